@@ -1,0 +1,28 @@
+"""Connected components of an edge table, by smallest labels and pointer jumps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwork.llm.common import materialise
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a long, b long) -> (node, label): the smallest node that can be reached.
+
+    Every round takes the smallest label of the neighbours and then the label of that label, so the
+    number of rounds grows with the logarithm of a component's length. Each round is written to the
+    shared folder. Nodes without an edge don't appear; an empty table gives an empty one.
+    """
+    both = materialise(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("next"))
+        step = materialise(step)
+        of = step.select(F.col("node").alias("root"), F.col("next").alias("root_label"))
+        jumped = materialise(step.join(of, F.col("next") == F.col("root")).select("node", "old", F.least("next", "root_label").alias("label")))
+        labels = jumped.select("node", "label")
+        if jumped.where("old <> label").isEmpty():
+            return labels

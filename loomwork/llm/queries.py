@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from loomwork.llm import language, pieces, quality, urls
+from pyspark.sql import functions as F
+
+from loomwork.llm import chat, language, pieces, pii, quality, simhash, urls
 from loomwork.llm.common import table
 
 
@@ -11,10 +13,30 @@ def op1_quality(spark, sf_dir):
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: The conversation -7 that holds the template's own control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op3_chat(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(extra)
+    records = rows.select("conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    return chat.digest(chat.format_turns(chat.canonical_turns(records)))
+
+
 def op5_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_pii(spark, sf_dir):
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_pieces(spark, sf_dir):
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -24,5 +46,5 @@ def op10_language(spark, sf_dir):
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op5_urls": op5_urls, "op9_pieces": op9_pieces, "op10_language": op10_language}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op5_urls": op5_urls, "op6_pii": op6_pii, "op9_pieces": op9_pieces, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
