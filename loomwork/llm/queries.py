@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, language, pieces, pii, quality, simhash, urls
+from loomwork.llm import chat, language, pieces, pii, quality, repeats, simhash, urls
 from loomwork.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op6_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op8_repeats(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark, sf_dir):
     return pieces.encode_decode(table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_language(spark, sf_dir):
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op5_urls": op5_urls, "op6_pii": op6_pii, "op9_pieces": op9_pieces, "op10_language": op10_language}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op5_urls": op5_urls, "op6_pii": op6_pii, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}
