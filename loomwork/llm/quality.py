@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import logistic
-from loomwork.llm.common import arrow_rows, in_sample, mix64, split_words
+from loomwork.llm.common import arrow_rows, in_sample, mix64, slices, split_words
 
 #: Buckets of each of the two blocks (words, characters) and how many labelled rows train the model at most (about).
 DIMS = 1 << 14
@@ -110,26 +110,37 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logisti
     return logistic.fit([(int(r.quality > 0), np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in got], 2 * DIMS) if got else None
 
 
+def _rows(batch: pa.RecordBatch, m: logistic.LogisticModel | None, keep_at: float) -> dict[str, list]:
+    w = None if m is None else m.weights
+    out: dict[str, list] = {k: [] for k in SCHEMA.names}
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        text = text or ""
+        data = text.encode()
+        ids, seen = word_ids(split_words(data))
+        n, again = len(ids), repeated_words(ids, len(seen))
+        failed = n < MIN_WORDS or 100 * again > 50 * n
+        p = None
+        if m is not None:
+            margin = m.bias + SCALE * sum(w[block].mean() for block in buckets(data, ids, seen) if len(block))
+            p = float(m.probability(margin))
+        for k, v in zip(SCHEMA.names, (doc_id, n, len(text) - sum(map(text.count, SPACES)), sum(map(data.count, SYMBOLS)), duplicate_lines(data), again, failed, not failed and (p is None or p >= keep_at), p), strict=True):
+            out[k].append(v)
+    return out
+
+
 def judge(docs: DataFrame, model: logistic.LogisticModel | None, keep_at: float = KEEP_AT) -> DataFrame:
     """One row for each document: counts, the base rule's failure and the verdict."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow_rows(SCHEMA, lambda b: _rows(b, held.value, keep_at)), DDL)
 
-    def of(batch: pa.RecordBatch) -> dict:
-        m = held.value
-        w = None if m is None else m.weights
-        out: dict[str, list] = {k: [] for k in SCHEMA.names}
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            text = text or ""
-            data = text.encode()
-            ids, seen = word_ids(split_words(data))
-            n, again = len(ids), repeated_words(ids, len(seen))
-            failed = n < MIN_WORDS or 100 * again > 50 * n
-            p = None
-            if m is not None:
-                margin = m.bias + SCALE * sum(w[block].mean() for block in buckets(data, ids, seen) if len(block))
-                p = float(m.probability(margin))
-            for k, v in zip(SCHEMA.names, (doc_id, n, len(text) - sum(map(text.count, SPACES)), sum(map(data.count, SYMBOLS)), duplicate_lines(data), again, failed, not failed and (p is None or p >= keep_at), p), strict=True):
-                out[k].append(v)
-        return out
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow_rows(SCHEMA, of), DDL)
+
+def keep(docs: DataFrame, model: logistic.LogisticModel | None, keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps; without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, 1024):
+                yield part.filter(pa.array(_rows(part, held.value, keep_at)["kept"], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, language, pieces, pii, quality, repeats, simhash, urls
+from loomwork.llm import chat, decontaminate, language, lmscore, pieces, pii, quality, repeats, simhash, urls
 from loomwork.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_chat(spark, sf_dir):
     return chat.digest(chat.format_turns(chat.canonical_turns(records)))
 
 
+def op4_decontaminate(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,11 @@ def op6_pii(spark, sf_dir):
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op7_lmscore(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lmscore.score(docs, lmscore.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_repeats(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -50,5 +59,5 @@ def op10_language(spark, sf_dir):
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op5_urls": op5_urls, "op6_pii": op6_pii, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language}
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_urls": op5_urls, "op6_pii": op6_pii, "op7_lmscore": op7_lmscore, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language}
 ORACLE_SQL: dict[str, str] = {}

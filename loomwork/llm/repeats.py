@@ -96,7 +96,7 @@ def runs(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int,
     return out
 
 
-def _with_tie(docs: DataFrame) -> DataFrame:
+def with_tie(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))
 
@@ -241,7 +241,7 @@ def cut_out(data: bytes, parts: list[tuple[int, int]], window: int) -> tuple[byt
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs."""
-    texts = _with_tie(docs)
+    texts = with_tie(docs)
     places = materialise(repeated_places(texts, window, gram, heavy).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")))
 
     def of(batch: pa.RecordBatch) -> dict:

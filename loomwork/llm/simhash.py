@@ -105,3 +105,10 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     classes = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     out = marked.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one document of each class, the one with the smallest doc_id; rows without doc_id stay."""
+    found = near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
