@@ -18,7 +18,7 @@ from loomwork.llm.common import arrow_rows, in_sample, mix64, slices, split_word
 
 #: Buckets of each of the two blocks (words, characters) and how many labelled rows train the model at most (about).
 DIMS = 1 << 14
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 2000
 #: A document stays if its calibrated probability of good quality reaches this.
 KEEP_AT = 0.5
 #: Frequencies are multiplied by this so that weights stay near one.
