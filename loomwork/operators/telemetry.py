@@ -20,7 +20,7 @@ def stage_durations(ticks: DataFrame) -> DataFrame:
     run = ticks.withColumn("run", F.sum(F.when(ends, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, -1)))
     run = run.withColumn("run", F.coalesce("run", F.lit(0)))
     open_start = F.last(F.when(F.col("phase") == "started", F.col("ts")), ignorenulls=True).over(Window.partitionBy("stage", "node_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ms = (F.col("ts").cast("double") - open_start.cast("double")) * 1000
+    ms = (F.unix_micros("ts") - F.unix_micros(open_start)) / 1000
     return run.withColumn("duration_ms", ms).where(ends).select("stage", "node_id", "seq", "phase", "duration_ms")
 
 

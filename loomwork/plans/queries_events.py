@@ -36,7 +36,7 @@ def _ticks(spark, sf_dir):
 
 def q_stage_durations(spark, sf_dir):
     d = telemetry.stage_durations(_ticks(spark, sf_dir))
-    return d.select("stage", "node_id", "seq", "phase", F.round("duration_ms", 2).alias("duration_ms"))
+    return d.select("stage", "node_id", "seq", "phase", F.round("duration_ms", 3).alias("duration_ms"))
 
 
 def _stats(spark, sf_dir):
@@ -45,7 +45,7 @@ def _stats(spark, sf_dir):
 
 
 def q_stage_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).select("stage", "enqueued", "started", "completed", "failed", "in_flight", F.round("last_ms", 2).alias("last_ms"), F.round("avg_ms", 2).alias("avg_ms"))
+    return _stats(spark, sf_dir).select("stage", "enqueued", "started", "completed", "failed", "in_flight", F.round("last_ms", 3).alias("last_ms"), F.round("avg_ms", 2).alias("avg_ms"))
 
 
 def q_bottleneck(spark, sf_dir):
@@ -214,7 +214,7 @@ _E = """e AS (SELECT event_id AS seq, ts, user_id AS node_id, event_type, value,
   CASE event_type WHEN 'signup' THEN 'CREATED' WHEN 'view' THEN 'FETCHED' WHEN 'click' THEN 'FILTERED' WHEN 'purchase' THEN 'SCORED' WHEN 'error' THEN 'EXPANDED' END AS state, 'stage' || (user_id % 4) AS stage FROM events)"""
 _D = f"""WITH {_E}, t AS (SELECT *, coalesce(sum(CASE WHEN phase IN ('completed', 'failed') THEN 1 ELSE 0 END) OVER (PARTITION BY stage, node_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM e WHERE phase IS NOT NULL),
   o AS (SELECT *, max(CASE WHEN phase = 'started' THEN ts END) OVER (PARTITION BY stage, node_id, run) AS s FROM t),
-  d AS (SELECT stage, node_id, seq, phase, round((epoch_us(ts) - epoch_us(s)) / 1000.0::DOUBLE, 2) AS duration_ms FROM o WHERE phase IN ('completed', 'failed'))"""
+  d AS (SELECT stage, node_id, seq, phase, round((epoch_us(ts) - epoch_us(s)) / 1000.0::DOUBLE, 3) AS duration_ms FROM o WHERE phase IN ('completed', 'failed'))"""
 _X = "x AS (SELECT o_custkey::VARCHAR AS id, 'crawl' || (o_orderkey % 5) AS crawl_id, o_orderpriority AS url, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status, o_totalprice AS price, o_orderkey AS seq FROM orders)"
 _ST = f"{_D}, n AS (SELECT stage, count(*) FILTER (WHERE phase = 'enqueued') AS enqueued, count(*) FILTER (WHERE phase = 'started') AS started, count(*) FILTER (WHERE phase = 'completed') AS completed, count(*) FILTER (WHERE phase = 'failed') AS failed FROM t GROUP BY stage), m AS (SELECT stage, max_by(duration_ms, seq) AS last_ms, round(avg(duration_ms), 2) AS avg_ms FROM d WHERE phase = 'completed' AND duration_ms IS NOT NULL GROUP BY stage)"
 ORACLE_SQL = {

@@ -134,7 +134,7 @@ def _priority(name):
     def run(spark, sf_dir):
         quality = t(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), (F.col("quality") * 100).alias("score"))
         df = _features(spark, sf_dir).join(quality, "vec_id", "left")
-        return df.select("vec_id", F.round(scores.priority(name, F.col("score"), F.col("label")), 4).alias("priority"))
+        return df.select("vec_id", scores.priority(name, F.col("score"), F.col("label")).alias("priority"))
 
     return run
 
@@ -171,7 +171,7 @@ _BUD = f", n AS (SELECT node_id, count(*) FILTER (WHERE bucket = 'low') AS n_low
 
 def _pri_sql(weights, depth):
     inner = " + ".join(f"{w}::DOUBLE * {k}" for k, w in weights.items())
-    return f"{_SIMS}{_FEATS} SELECT f.vec_id, round(round(greatest(0, CASE WHEN coalesce(l.quality, 0) <> 0 THEN 60 ELSE 1 END * ({inner} - {depth}::DOUBLE * f.label) + CASE WHEN coalesce(l.quality, 0) <> 0 THEN 40 ELSE 0 END * coalesce(l.quality, 0)::DOUBLE), 6), 4) AS priority FROM f LEFT JOIN labels l ON l.doc_id = f.vec_id"
+    return f"{_SIMS}{_FEATS} SELECT f.vec_id, round(greatest(0, CASE WHEN coalesce(l.quality, 0) <> 0 THEN 60 ELSE 1 END * ({inner} - {depth}::DOUBLE * f.label) + CASE WHEN coalesce(l.quality, 0) <> 0 THEN 40 ELSE 0 END * coalesce(l.quality, 0)::DOUBLE), 6) AS priority FROM f LEFT JOIN labels l ON l.doc_id = f.vec_id"
 
 
 _DB = f""", allv AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), edge AS (SELECT a.vec_id AS a, b.vec_id AS b FROM allv a, allv b WHERE a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.e, b.e) <= {EPS}),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from loomwork.plans import queries_events, queries_pages, queries_space, queries_text
+from loomwork.plans import queries_events, queries_pages, queries_reports, queries_space, queries_text
 
-MODULES = (queries_pages, queries_text, queries_space, queries_events)
+MODULES = (queries_pages, queries_text, queries_space, queries_events, queries_reports)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

@@ -35,3 +35,28 @@ def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> N
         batch.write.mode("overwrite").parquet(path)
 
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds: float) -> DataFrame:
+    """events(crawl_id, seq, ts, type, depth) -> (crawl_id, stop_seq, reason), once for each crawl, with state.
+
+    A crawl's state is four numbers; events of one trigger are taken in order of seq."""
+    import pandas as pd
+
+    def step(key, frames, state):
+        nodes, begun, done = state.get if state.exists else (0, -1.0, False)
+        found = None
+        rows = pd.concat(list(frames)).sort_values("seq")
+        for seq, sec, kind, depth in zip(rows["seq"], rows["sec"], rows["type"], rows["depth"], strict=True):
+            begun = sec if begun < 0 else begun
+            added = kind == "node_added"
+            nodes += added
+            reason = "MAX_NODES" if added and nodes >= max_nodes else "MAX_DEPTH" if added and depth >= max_depth else "MAX_TIME" if sec - begun >= max_seconds else None
+            if reason and not done:
+                done, found = True, (key[0], int(seq), reason)
+        state.update((int(nodes), float(begun), bool(done)))
+        if found:
+            yield pd.DataFrame([found], columns=["crawl_id", "stop_seq", "reason"])
+
+    rows = events.select("crawl_id", "seq", F.col("ts").cast("timestamp").cast("double").alias("sec"), "type", F.coalesce("depth", F.lit(-1)).alias("depth"))
+    return rows.groupBy("crawl_id").applyInPandasWithState(step, "crawl_id long, stop_seq long, reason string", "nodes long, begun double, done boolean", "append", "NoTimeout")
