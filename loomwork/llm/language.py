@@ -10,18 +10,17 @@ that sorts first. Without labelled rows every text is ``und``.
 
 from __future__ import annotations
 
-import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import arrow_rows, in_sample, slices
 
 SPACE = "▁"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 BLOCK = 32
 LONGEST = 16
 #: About how many labelled rows the probabilities are learned from, at most.
