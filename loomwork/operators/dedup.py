@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,18 @@ def item_hash(columns: list[str]):
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
 
 
+def with_item_hash(items: DataFrame, column: str = "item") -> DataFrame:
+    """items with item_hash: SHA-256 of the item struct as JSON with sorted keys and ASCII escapes.
+
+    The exact form for items of any fields, lists and scripts; item_hash() is its native form for ASCII texts."""
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest() for t in texts])
+
+    return items.withColumn("item_hash", digest(F.to_json(column, {"ignoreNullFields": "false"})))
+
+
 def dedup_links(links: DataFrame, seen: DataFrame, mode: str = "cross_page") -> DataFrame:
     """Links whose url is not in seen(url). cross_page keeps repeats among the new ones, strict drops them."""
     new = links.join(seen.select("url").distinct(), "url", "left_anti").select(*links.columns)

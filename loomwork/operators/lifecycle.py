@@ -47,14 +47,20 @@ def retry_plan(failures: DataFrame, key: str, order: str, priority: Column) -> D
 
 
 def backoff_series(outcomes: DataFrame, key: str, order: str, limited: Column) -> DataFrame:
-    """(key, order, backoff): doubled from one second to ten on a rate limit, halved on any other outcome."""
-    seq = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), limited.alias("l"))))
+    """(key, order, backoff): doubled from one second to ten on a rate limit, halved on any other outcome.
 
-    def step(acc, x):
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)).b, F.lit(0.0))
-        up = F.when(last == 0, BACKOFF_FIRST).otherwise(F.least(last * 2, F.lit(BACKOFF_MAX)))
-        return F.concat(acc, F.array(F.struct(x.o.alias("o"), F.when(x.l, up).otherwise(last / 2).alias("b"))))
+    The recurrence needs the rows of a key in order; they pass one by one, so that memory doesn't grow."""
+    kinds = dict(outcomes.dtypes)
 
-    kind = dict(outcomes.dtypes)[order]
-    folded = outcomes.groupBy(key).agg(F.aggregate(seq, F.array().cast(f"array<struct<o:{kind},b:double>>"), step).alias("s"))
-    return folded.select(key, F.explode("s").alias("s")).select(key, F.col("s.o").alias(order), F.col("s.b").alias("backoff"))
+    def run(frames):
+        at, wait = None, 0.0
+        for f in frames:
+            out = []
+            for k, hit in zip(f[key], f["__limited"], strict=True):
+                at, wait = k, wait if k == at else 0.0
+                wait = (BACKOFF_FIRST if wait == 0 else min(wait * 2, BACKOFF_MAX)) if hit else wait / 2
+                out.append(wait)
+            yield f[[key, order]].assign(backoff=out)
+
+    rows = outcomes.select(key, order, limited.alias("__limited")).repartition(key).sortWithinPartitions(key, order)
+    return rows.mapInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, backoff double")

@@ -72,6 +72,24 @@ def sampled(events: DataFrame, order: str, rate: float, critical: Column) -> Dat
     return events.where(critical | (F.pmod(F.col(order), F.lit(step)) == 0))
 
 
+#: Event types that the minimal trace mode keeps.
+MINIMAL = ("signup", "error")
+
+
+def traced(events: DataFrame, mode: str, order: str, kind: str = "event_type", rate: float = 0.1, minimal=MINIMAL) -> DataFrame:
+    """The events that a trace mode lets pass: off, minimal, sampled (critical ones always) or full."""
+    critical = F.col(kind).isin(*minimal)
+    if mode == "off":
+        return events.where(F.lit(False))
+    if mode == "full":
+        return events
+    if mode == "minimal":
+        return events.where(critical)
+    if mode == "sampled":
+        return sampled(events, order, rate, critical)
+    raise ValueError(f"unknown trace mode {mode!r}")
+
+
 def as_of_details(nodes: DataFrame, details: DataFrame) -> DataFrame:
     """nodes(seq, url), details(seq, url, detail): the latest detail before each node, used by one node only."""
     both = nodes.select("seq", "url", F.lit(None).cast("string").alias("detail"), F.lit(True).alias("is_node")).unionByName(details.select("seq", "url", "detail", F.lit(False).alias("is_node")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions import format as fmt
-from loomwork.operators import export
+from loomwork.operators import dedup, export, telemetry
 from loomwork.operators.telemetry import STATES
 from loomwork.plans.queries_events import _E, _events
 from loomwork.plans.store import shared_dir
@@ -136,6 +136,28 @@ def q_space_growth(spark, sf_dir):
     return space_store.grown(none, items).select("key", "type", "text", "source_url", F.size("vector").cast("long").alias("dim"))
 
 
+def q_item_hash_exact(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents")
+    items = docs.select("doc_id", F.struct(F.col("source").alias("b"), F.array("lang", F.lit("é")).alias("a")).alias("item"))
+    return dedup.with_item_hash(items).select("doc_id", "item_hash")
+
+
+def q_traced_minimal(spark, sf_dir):
+    return telemetry.traced(t(spark, sf_dir, "events"), "minimal", "event_id").select("event_id", "event_type")
+
+
+def q_stream_upsert(spark, sf_dir):
+    """Two batches of a stream into one table; the last event of each user and type stays."""
+    e, out, source = t(spark, sf_dir, "events"), shared_dir(spark), shared_dir(spark)
+    rows = e.select("user_id", "event_type", F.col("event_id").alias("seq"), "value")
+    rows.where("seq % 2 = 0").write.parquet(source)
+    stream = lambda: S.read_events(spark, source, rows.schema)
+    S.upsert_stream(stream(), out, f"{out}-state", ["user_id", "event_type"], "seq")
+    rows.where("seq % 2 = 1").write.mode("append").parquet(source)
+    S.upsert_stream(stream(), out, f"{out}-state", ["user_id", "event_type"], "seq")
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 def q_stream_stop(spark, sf_dir):
     """The stateful stop monitor over what is there, one crawl for each remainder of the user."""
     e, out = t(spark, sf_dir, "events"), shared_dir(spark)
@@ -171,6 +193,9 @@ ORACLE_SQL = {
     "table_ddl": "SELECT 'CREATE TABLE IF NOT EXISTS site_bp (id STRING, crawl_id STRING, url STRING, created_at STRING, `price` double, `n` bigint, `tags` string, `name` string) USING parquet' AS ddl",
     "space_store": r"SELECT 'bp' AS blueprint_id, 1::BIGINT AS version, 50::BIGINT AS n_vectors UNION ALL SELECT 'bp', 2, 50 + (SELECT sum(len(regexp_split_to_array(text, '\.\s*'))) FROM benchmark)::BIGINT",
     "space_growth": "SELECT 'u' || item_id || '::exp::' || k AS key, 'expansion' AS type, w AS text, 'u' || item_id AS source_url, 64::BIGINT AS dim FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS k FROM benchmark)",
+    "item_hash_exact": """SELECT doc_id, sha256('{"a": ["' || lang || '", "\\u00e9"], "b": "' || source || '"}') AS item_hash FROM documents""",
+    "traced_minimal": "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
+    "stream_upsert": "SELECT user_id, event_type, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1, 2",
     "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id))) / 1000000.0::DOUBLE AS el FROM events),
       s AS (SELECT crawl_id, event_id, CASE WHEN event_type = 'signup' AND n >= 300 THEN 'MAX_NODES' WHEN el >= 25 * 86400 THEN 'MAX_TIME' END AS reason FROM r)
       SELECT crawl_id, min(event_id) AS stop_seq, arg_min(reason, event_id) AS reason FROM s WHERE reason IS NOT NULL GROUP BY crawl_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +61,19 @@ def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds:
 
     rows = events.select("crawl_id", "seq", F.col("ts").cast("timestamp").cast("double").alias("sec"), "type", F.coalesce("depth", F.lit(-1)).alias("depth"))
     return rows.groupBy("crawl_id").applyInPandasWithState(step, "crawl_id long, stop_seq long, reason string", "nodes long, begun double, done boolean", "append", "NoTimeout")
+
+
+def upsert_stream(df: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> None:
+    """Batches of a stream upserted into a Parquet folder, the last writer of a key by ``order`` winning."""
+    from loomwork.operators.export import upsert_into, upsert_latest
+
+    def put(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        try:
+            upsert_into(spark, path, batch, keys, order)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            upsert_latest(batch, batch.where("false"), keys, order).write.parquet(path)
+
+    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
