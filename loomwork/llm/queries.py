@@ -60,4 +60,38 @@ def op10_language(spark, sf_dir):
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_urls": op5_urls, "op6_pii": op6_pii, "op7_lmscore": op7_lmscore, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language}
-ORACLE_SQL: dict[str, str] = {}
+#: The template's arithmetic, as the operator's module states it: head, escaped text, end mark and line feed.
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+x AS (SELECT *, length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')) + length('### : </turn>') + 1
+             + CASE WHEN role IN ('user', 'assistant', 'system') THEN length(role) ELSE length(role) + 3 END AS n FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM x GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+#: Plain patterns, their places from the text between the matches, and the checks. Secrets are whole runs of letters
+#: and digits. Account numbers need look-around, which this SQL lacks: it has none, as the fixture.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, t, 'email' AS kind, 0 AS ord, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
+  UNION ALL SELECT doc_id, t, 'ip', 1, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
+  UNION ALL SELECT doc_id, t, 'card', 2, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT doc_id, t, 'phone', 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT doc_id, t, 'secret', 5, regexp_extract_all(t, '[A-Za-z0-9]+'), string_split_regex(t, '[A-Za-z0-9]+') FROM d),
+e AS (SELECT doc_id, t, kind, ord, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM k WHERE len(m) > 0),
+w AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM e),
+v AS (SELECT doc_id, t, kind, ord, stop - length(m) AS start, stop FROM w WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda q: length(ltrim(q, '0')) > 3 OR coalesce(try_cast(ltrim(q, '0') AS INTEGER), 0) > 255)) = 0
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN digits[length(digits) - j]::INTEGER ELSE digits[length(digits) - j]::INTEGER * 2 - CASE WHEN digits[length(digits) - j]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
+    ELSE regexp_full_match(m, '[0-9a-f]{32,64}') END),
+l AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id, kind ORDER BY start), 0) AS prev FROM v),
+f AS (SELECT * FROM l WHERE kind <> 'secret' OR regexp_matches(substring(t, greatest(prev, start - 40) + 1, start - greatest(prev, start - 40)), '(?i)\b(?:token|secret|key|password|passwd|api)\b')),
+a AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE kind <> 'secret'), '') AS base,
+  count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_pii": OP6_SQL}
