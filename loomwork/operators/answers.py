@@ -67,3 +67,15 @@ def build_prompts(links: DataFrame, parent: str, topic: Column, instruction: str
     """One prompt for each node: the topic, the instruction and the links as JSON in their order."""
     items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
     return links.groupBy(parent).agg(items.alias("links"), F.count("*").alias("n_links")).select(parent, "n_links", F.concat_ws("\n\n", F.concat(F.lit("Topic: "), topic), F.lit(instruction), F.col("links")).alias("prompt"))
+
+
+#: How much an expansion prompt asks for, by style.
+STYLES = {"concise": "one short sentence each", "balanced": "one or two sentences each", "rich": "a short paragraph each"}
+
+
+def expansion_prompts(topics: DataFrame, topic: Column, style: str, n: int) -> DataFrame:
+    """One prompt for each topic that asks for n descriptions; an unknown style is an error."""
+    if style not in STYLES:
+        raise ValueError(f"unknown expansion style {style!r}")
+    blocks = [F.concat(F.lit("Topic: "), topic), F.lit(f"Write {n} different descriptions of pages on this topic, {STYLES[style]}."), F.lit('Answer with a JSON list of objects {"description": "..."}.')]
+    return topics.withColumn("prompt", F.concat_ws("\n\n", *blocks))

@@ -34,6 +34,8 @@ def safe_cast(c: Column, kind: str, data_type: str) -> Column:
         return c.try_cast("bigint")
     if structured:
         return F.to_json(c)
+    if kind == "json":
+        return F.coalesce(F.to_json(F.try_parse_json(c)), c)
     return c.cast("string")
 
 

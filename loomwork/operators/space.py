@@ -122,6 +122,11 @@ def centroids(members: DataFrame, label: str, value: str) -> DataFrame:
     return means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("centroid"))
 
 
+def cluster_entries(vectors: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """Entries of the space that clusters(key, cluster) names, noise left out."""
+    return vectors.join(clusters.where("cluster >= 0"), key)
+
+
 def cluster_distance(candidates: DataFrame, centers: DataFrame, key: str, value: str) -> DataFrame:
     """(key, cluster_distance): the least cosine distance to a centroid; 1 without centroids."""
     named = centers.select(F.monotonically_increasing_id().alias("__c"), F.col("centroid").alias(value))

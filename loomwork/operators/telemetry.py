@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.functions.urls import unquoted
+
 CHECKPOINT_EVERY = 200
 TICKS, ERRORS, CANDIDATES, PENDING = 40, 1000, 4000, 2000
 #: Phases in the order of the funnel.
@@ -108,3 +110,22 @@ def live_candidates(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
 def log_lines(events: DataFrame, order: str = "seq") -> DataFrame:
     """One text line for each event: time, type, node."""
     return events.select(order, F.format_string("%s [%s] node=%s", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.upper("type"), F.col("node_id").cast("string")).alias("line"))
+
+
+def debug_lines(events: DataFrame, tag: Column, status: Column, numbers: dict[str, Column], texts: dict[str, Column], order: str = "seq", width: int = 80) -> DataFrame:
+    """[TAG] STATUS k=v ...: numbers with four decimals, texts percent-decoded and cut to width."""
+    shown = [F.concat(F.lit(f"{k}="), F.format_string("%.4f", c.cast("double"))) for k, c in numbers.items()]
+    shown += [F.concat(F.lit(f"{k}="), F.left(F.coalesce(unquoted(c), c, F.lit("")), F.lit(width))) for k, c in texts.items()]
+    return events.select(order, F.concat_ws(" ", F.concat(F.lit("["), F.upper(tag), F.lit("]")), status, *shown).alias("line"))
+
+
+def valid_messages(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Messages of a log that parse as JSON objects with a text type; others are dropped. Batch or stream."""
+    df = lines.withColumn("payload", F.try_parse_json(column))
+    kind = F.try_variant_get("payload", "$.type", "string")
+    return df.withColumn("type", kind).where("payload is not null and type is not null")
+
+
+def edges_of(nodes: DataFrame) -> DataFrame:
+    """Distinct parent-child edges of nodes(node_id, parent_id)."""
+    return nodes.where("parent_id is not null").select(F.col("parent_id").alias("a"), F.col("node_id").alias("b")).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions import format as fmt
-from loomwork.operators import dedup, export, telemetry
+from loomwork.operators import answers, dedup, export, space, telemetry
 from loomwork.operators.telemetry import STATES
 from loomwork.plans.queries_events import _E, _events
 from loomwork.plans.store import shared_dir
@@ -158,6 +158,36 @@ def q_stream_upsert(spark, sf_dir):
     return spark.read.schema(rows.schema).parquet(out)
 
 
+def q_debug_lines(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return telemetry.debug_lines(e, F.lit("scoring"), F.col("event_type"), {"value": F.floor("value")}, {"url": F.concat(F.lit("a%20b+"), F.col("user_id").cast("string"))}, "event_id")
+
+
+def q_valid_messages(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('"}'))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("{broken"))
+    return telemetry.valid_messages(e.select("event_id", line.alias("value"))).select("event_id", "type")
+
+
+def q_expansion_prompts(spark, sf_dir):
+    return answers.expansion_prompts(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("topic")), F.col("topic"), "rich", 5).select("item_id", "prompt")
+
+
+def q_export_json(spark, sf_dir):
+    rows = t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), "props", F.array("event_type").alias("kinds"))
+    return export.export_rows(rows, {"props": "json", "kinds": "text"})
+
+
+def q_cluster_entries(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return space.cluster_entries(v, v.select("vec_id", F.when(F.col("label") < 3, -1).otherwise(F.col("label")).alias("cluster")), "vec_id").select("vec_id", "cluster")
+
+
+def q_edges(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    return telemetry.edges_of(c.select((F.col("c_custkey") % 200).alias("node_id"), F.when(F.col("c_custkey") > 1, F.col("c_custkey") % 10).alias("parent_id")))
+
+
 def q_stream_stop(spark, sf_dir):
     """The stateful stop monitor over what is there, one crawl for each remainder of the user."""
     e, out = t(spark, sf_dir, "events"), shared_dir(spark)
@@ -196,6 +226,12 @@ ORACLE_SQL = {
     "item_hash_exact": """SELECT doc_id, sha256('{"a": ["' || lang || '", "\\u00e9"], "b": "' || source || '"}') AS item_hash FROM documents""",
     "traced_minimal": "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
     "stream_upsert": "SELECT user_id, event_type, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1, 2",
+    "debug_lines": "SELECT event_id, '[SCORING] ' || event_type || ' value=' || floor(value)::BIGINT || '.0000 url=a b+' || user_id AS line FROM events",
+    "valid_messages": "SELECT event_id, event_type AS type FROM events WHERE event_id % 3 = 0",
+    "expansion_prompts": """SELECT item_id, 'Topic: ' || text || chr(10) || chr(10) || 'Write 5 different descriptions of pages on this topic, a short paragraph each.' || chr(10) || chr(10) || 'Answer with a JSON list of objects {"description": "..."}.' AS prompt FROM benchmark""",
+    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, replace(props, ': ', ':') AS props, '["' || event_type || '"]' AS kinds FROM events""",
+    "cluster_entries": "SELECT vec_id, label AS cluster FROM embeddings WHERE label >= 3",
+    "edges": "SELECT DISTINCT c_custkey % 10 AS a, c_custkey % 200 AS b FROM customer WHERE c_custkey > 1",
     "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id))) / 1000000.0::DOUBLE AS el FROM events),
       s AS (SELECT crawl_id, event_id, CASE WHEN event_type = 'signup' AND n >= 300 THEN 'MAX_NODES' WHEN el >= 25 * 86400 THEN 'MAX_TIME' END AS reason FROM r)
       SELECT crawl_id, min(event_id) AS stop_seq, arg_min(reason, event_id) AS reason FROM s WHERE reason IS NOT NULL GROUP BY crawl_id""",
