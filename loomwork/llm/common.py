@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space; everything else belongs to a word.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+from loomwork.plans.store import written as materialise
+
+__all__ = ["arrow_rows", "in_sample", "materialise", "mix64", "slices", "split_words", "table"]
+
 SAMPLE_GRAIN = 1_000_000
 
 
@@ -20,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path below the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "/tmp/loomwork-checkpoints"
-    return f"{base.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing a table in the shared folder; it survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def split_words(data: bytes) -> list[bytes]:
     """Words of UTF-8 bytes: bytes.split() cuts at exactly the six ASCII white-space bytes."""
     return data.split()
