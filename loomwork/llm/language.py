@@ -10,7 +10,6 @@ that sorts first. Without labelled rows every text is ``und``.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 import regex
@@ -48,13 +47,17 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.n = sp.vocab_size()
-        by: dict[int, list[tuple[int, int]]] = {}
+        usable: dict[int, list[tuple[str, int]]] = {}
         for i in range(self.n):
             p = sp.id_to_piece(i)
             if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) and len(p) <= LONGEST and (p.strip(SPACE) or p == SPACE):
-                h = self.hashes(np.array([[ord(c) for c in p]], np.uint64), len(p))[0, 0]
-                by.setdefault(len(p), []).append((int(h), i))
-        self.by = {k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int32)) for k, v in by.items()}
+                usable.setdefault(len(p), []).append((p, i))
+        self.by = {}
+        for size, found in usable.items():
+            cp = np.frombuffer("".join(p for p, _ in found).encode("utf-32-le"), np.uint32).reshape(len(found), size).astype(np.uint64)
+            h = self.hashes(cp, size)[:, 0]
+            order = np.argsort(h)
+            self.by[size] = (h[order], np.array([i for _, i in found], np.int32)[order])
 
     @staticmethod
     def hashes(cp: np.ndarray, n: int) -> np.ndarray:

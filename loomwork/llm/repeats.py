@@ -31,8 +31,9 @@ from loomwork.llm.common import arrow_rows, materialise, mix64, slices
 
 WINDOW = 200
 GRAM = 32
-#: Anchors with more distinct runs than this have their windows spread over tasks.
-HEAVY = 300
+#: Anchors with up to so many distinct runs are compared by one task, in about 10 kB a run; the windows of
+#: others are spread over tasks.
+HEAVY = 5000
 #: Slots of the filter that keeps texts without findings out of a shuffle; at most so many numbers reach the driver.
 SLOTS = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -179,7 +180,8 @@ def _compare(group: pa.Table, window: int) -> pa.Table:
 def repeated_places(texts: DataFrame, window: int, gram: int, heavy: int) -> DataFrame:
     """(doc_id, tie, lo, hi): first and last start of adjoining repeated windows."""
     marks = materialise(anchors(texts, window, gram))
-    often = marks.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Written, so that the join below is one of two plain shuffles and a hot anchor's task can be split.
+    often = materialise(marks.groupBy("anchor").count().where("count > 1").select("anchor"))
     marks = materialise(marks.join(often, "anchor", "left_semi"))
     by_run = materialise(marks.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tie", "first", "last")).alias("at")))
     n_runs = by_run.groupBy("anchor").agg(F.count("*").alias("n_runs")).where("n_runs > 1")

@@ -102,7 +102,8 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     linked = labels.join(firsts, F.col("node") == F.col("fp"))
     smallest = linked.groupBy("label").agg(F.min("first").alias("component_id"))
     moved = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
-    classes = firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # Written, so that the last join is one of two plain shuffles and a hot fingerprint's task can be split.
+    classes = materialise(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     out = marked.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
