@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman scores them.
-
-Words are runs of letters and digits, lower-cased A-Z. Every three-word gram of an item that the corpus
-holds is a hit. A gram is rare for its item if it is at most RARE_FACTOR times as frequent in the corpus
-as the item's median gram: copies of an item raise all its grams alike, common phrases stand out. Hits of
-rare seeds that lie together mark a passage; its words are aligned with the item's words, and the best
-local alignment's share of a perfect one is the score.
-
-Null and empty texts match nothing, nor do items of fewer than three words. Rows are known by doc_id and
-a hash of the text; repeated rows are scored once. Items with equal item_id stay separate by text and the
-best counts. Further columns are ignored.
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
+
+Words are runs of letters and digits, lower-cased A-Z. Every three-word gram of an item is a seed, however
+often the corpus holds it. Hits of an item's seeds that lie together mark a passage: MIN_SEEDS of them, or
+one where the item has no more. Its words are aligned with the item's words, and the best local alignment's
+share of a perfect one is the score. A passage that shares too few words with the item to reach the wanted
+score, whatever their order, isn't aligned, which changes no result; that keeps common phrases cheap.
+
+Null and empty texts match nothing, nor do items of fewer than three words. Up to MAX_SENT seeds, the items
+are sent to the tasks and each text is read once; beyond, grams are shuffled and rows known by doc_id and a
+hash of the text. Items with equal item_id stay separate by text and the best counts. Further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,14 +27,15 @@ from loomwork.llm.repeats import only_rows, with_tie
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 SEED_WORDS = 3
-RARE_FACTOR = 10
-#: Rare seeds that a passage must have before it is aligned.
+#: Seeds that a passage must have before it is aligned, if its item has as many.
 MIN_SEEDS = 2
 #: Scores from which an item counts as leaked. MATCH, MISMATCH and GAP weigh an alignment.
 LEAKED_AT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds up to this number are sent to the tasks as a filter; beyond, all grams of the corpus are shuffled.
+#: Seeds up to this number are sent to the tasks with their items; beyond, all grams of the corpus are shuffled.
 MAX_SENT = 2_000_000
+#: Alignments that a task remembers, so that copies of a passage are aligned once.
+REMEMBERED = 20_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -76,52 +77,28 @@ def seeds_of(items: DataFrame) -> DataFrame:
 HITS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("seed", pa.int64()), ("pos", pa.int32())])
 
 
-def hits_of(texts: DataFrame, sent: tuple[dict[bytes, int], np.ndarray] | None) -> DataFrame:
-    """(doc_id, tie, seed, pos) of the grams of all texts; with sent = (words, sorted seeds), of seeds only."""
-    held = texts.sparkSession.sparkContext.broadcast(sent)
-
-    def run(batches):
-        known, seeds = held.value or ({}, None)
-        get = known.get if seeds is not None else None
+def hits_of(texts: DataFrame) -> DataFrame:
+    """(doc_id, tie, seed, pos) of the grams of all texts."""
 
-        def of(batch):
-            docs, ties, keys, places = [], [], [], []
-            for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "text")), strict=True):
-                words = words_of(text)
-                if get is not None:
-                    h = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-                    ok = h != 0
-                    both = ok[: len(h) - 2] & ok[1 : len(h) - 1] & ok[2:] if len(h) > 2 else np.zeros(0, bool)
-                    at = np.flatnonzero(both)
-                    if not len(at):
-                        continue
-                    key = gram_keys(h)[at]
-                    found = seeds[np.minimum(np.searchsorted(seeds, key), len(seeds) - 1)] == key
-                    key, at = key[found], at[found]
-                else:
-                    key = gram_keys(np.fromiter(map(word_hash, words), np.uint64, len(words)))
-                    at = np.arange(len(key))
-                if len(at):
-                    docs.append(np.full(len(at), doc))
-                    ties.append(np.full(len(at), tie, np.int32))
-                    keys.append(key)
-                    places.append(at.astype(np.int32))
-            none = [np.zeros(0, np.int64)]
-            return {k: np.concatenate(v or none) for k, v in zip(HITS.names, (docs, ties, keys, places), strict=True)}
+    def of(batch):
+        docs, ties, keys, places = [], [], [], []
+        for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "text")), strict=True):
+            words = words_of(text)
+            key = gram_keys(np.fromiter(map(word_hash, words), np.uint64, len(words)))
+            docs.append(np.full(len(key), doc))
+            ties.append(np.full(len(key), tie, np.int32))
+            keys.append(key)
+            places.append(np.arange(len(key), dtype=np.int32))
+        none = [np.zeros(0, np.int64)]
+        return {k: np.concatenate(v or none) for k, v in zip(HITS.names, (docs, ties, keys, places), strict=True)}
 
+    def run(batches):
         for batch in batches:
             yield from arrow_rows(HITS, of)(slices(batch, 512))
 
     return texts.mapInArrow(run, "doc_id long, tie int, seed long, pos int")
 
 
-def rare_seeds(seeds: DataFrame, hits: DataFrame) -> DataFrame:
-    """Seeds with their items that are rare in the corpus, each once for an item."""
-    found = seeds.select("seed", "item_id", "item_text").distinct().join(hits.groupBy("seed").agg(F.count("*").alias("n")), "seed")
-    middle = found.groupBy("item_id", "item_text").agg(F.percentile_approx("n", 0.5).alias("middle"))
-    return found.join(middle, ["item_id", "item_text"]).where(F.col("n") <= RARE_FACTOR * F.col("middle")).select("seed", "item_id", "item_text")
-
-
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two word sequences, and where it ends in the passage."""
     n = len(passage)
@@ -137,19 +114,81 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(places: list[int], reach: int, size: int) -> list[tuple[int, int]]:
-    """Word ranges around hits that lie within reach of each other, if there are enough of them."""
+def passages(places: list[int], reach: int, size: int, least: int = MIN_SEEDS) -> list[tuple[int, int]]:
+    """Word ranges around hits that lie within reach of each other, if there are at least so many of them."""
     out, begin, last, n = [], places[0], places[0], 0
     for p in [*places, 2**62]:
         if p - last > reach:
-            if n >= MIN_SEEDS:
+            if n >= least:
                 out.append((max(0, begin - reach), min(size, last + SEED_WORDS + reach)))
             begin, n = p, 0
         last, n = p, n + 1
     return out
 
 
+class Aligner:
+    """Scores of items in texts; remembers passages, as far as they differ for the item."""
+
+    def __init__(self, leaked_at: float):
+        self.leaked_at, self.known = leaked_at, {}
+
+    def best(self, key, item: np.ndarray, places: list[int], ids: np.ndarray) -> tuple[float, int] | None:
+        """Share of a perfect alignment and where it ends, if the item leaks; ids are words, as item's or -1."""
+        best, end, n = 0, 0, len(item)
+        own, count = np.unique(item, return_counts=True)
+        for lo, hi in passages(places, n, len(ids), min(MIN_SEEDS, n - SEED_WORDS + 1)):
+            part = ids[lo:hi]
+            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
+            at[own[at] != part] = len(own)
+            if np.minimum(np.bincount(at, minlength=len(own) + 1)[:-1], count).sum() < self.leaked_at * n:
+                continue
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            passage = (key, at.astype(np.int32).tobytes())
+            if passage not in self.known:
+                self.known[passage] = align(item, part)
+            score, stop = self.known[passage]
+            if score > best:
+                best, end = score, lo + stop
+        share = best / (MATCH * n)
+        return (round(share, 6), end) if best and share >= self.leaked_at else None
+
+
+class Index:
+    """The items' words, seeds and the items of each seed."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.word: dict[bytes, int] = {}
+        self.items = [(item, np.array([self.word.setdefault(w, len(self.word)) for w in words_of(text)], np.int64)) for item, text in items]
+        self.items = [(item, words) for item, words in self.items if len(words) >= SEED_WORDS]
+        self.hashes = np.fromiter(map(word_hash, self.word), np.uint64, len(self.word))
+        keys = [np.unique(gram_keys(self.hashes[words])) for _, words in self.items]
+        seed, owner = np.concatenate(keys or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(seed, kind="stable")
+        self.owner = owner[order]
+        self.seeds, self.first = np.unique(seed[order], return_index=True)
+        self.until = np.append(self.first[1:], len(self.owner))
+
+    def read(self, text: str | None) -> tuple[np.ndarray, dict[int, list[int]]]:
+        """A text's words as ids, -1 for words of no item, and the places of each item's seeds."""
+        words = words_of(text)
+        ids = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+        places: dict[int, list[int]] = {}
+        if len(ids) < SEED_WORDS or not len(self.seeds):
+            return ids, places
+        ok = ids >= 0
+        at = np.flatnonzero(ok[:-2] & ok[1:-1] & ok[2:])
+        key = gram_keys(self.hashes[ids])[at]
+        slot = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
+        found = self.seeds[slot] == key
+        for p, k in zip(at[found].tolist(), slot[found].tolist(), strict=True):
+            for owner in self.owner[self.first[k] : self.until[k]].tolist():
+                places.setdefault(owner, []).append(p)
+        return ids, places
+
+
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64()), ("n_item_words", pa.int64())])
+LEAK_ROWS = "doc_id long, item_id long, score double, end_word long, n_item_words long"
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -> DataFrame:
@@ -157,48 +196,66 @@ def leaks(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -
     texts = with_tie(docs)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
     seeds = materialise(seeds_of(items))
-    n = seeds.select("seed").distinct().count()
-    sent = None
-    if 0 < n <= MAX_SENT:
-        got = seeds.select("seed").distinct().toPandas()["seed"].to_numpy()
-        vocabulary = items.mapInPandas(_vocabulary, "word binary").distinct().collect()
-        sent = ({bytes(r.word): word_hash(bytes(r.word)) for r in vocabulary}, np.sort(got))
-    hits = hits_of(texts, sent) if n else texts.select("doc_id", "tie", F.lit(0).cast("long").alias("seed"), F.lit(0).alias("pos")).limit(0)
-    if n > MAX_SENT:
-        hits = hits.join(seeds.select("seed").distinct(), "seed", "left_semi").select(*HITS.names)
-    hits = materialise(hits)
-    near = hits.join(rare_seeds(seeds, hits), "seed").groupBy("doc_id", "tie", "item_id", "item_text").agg(F.sort_array(F.collect_set("pos")).alias("places")).where(F.size("places") >= MIN_SEEDS)
+    scored = _sent(texts, seeds, leaked_at) if seeds.count() <= MAX_SENT else _shuffled(texts, seeds, leaked_at)
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word", "n_item_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.score", "b.end_word", "b.n_item_words")
+
+
+def _sent(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
+    """Scores of all texts, read once, by items that the tasks hold."""
+    items = seeds.select("item_id", "item_text").distinct().collect()
+    held = texts.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.item_text) for r in items)))
+
+    def run(batches):
+        index, aligner = held.value, Aligner(leaked_at)
+
+        def of(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {k: [] for k in LEAKS.names}
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids, found = index.read(text)
+                for k, places in found.items():
+                    item, words = index.items[k]
+                    if got := aligner.best(k, words, places, ids):
+                        for name, v in zip(LEAKS.names, (doc, item, *got, len(words)), strict=True):
+                            out[name].append(v)
+            return out
+
+        for batch in batches:
+            yield from arrow_rows(LEAKS, of)(slices(batch, 512))
+
+    return texts.select("doc_id", "text").mapInArrow(run, LEAK_ROWS)
+
+
+def _shuffled(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
+    """Scores of the texts that hold enough seeds of an item, found by a join of grams."""
+    hits = hits_of(texts).join(seeds.select("seed").distinct(), "seed", "left_semi").select(*HITS.names)
+    owners = seeds.groupBy("item_id", "item_text").agg(F.count("*").alias("n_grams"))
+    near = hits.join(seeds.select("seed", "item_id", "item_text").distinct(), "seed").groupBy("doc_id", "tie", "item_id", "item_text").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    near = near.join(owners, ["item_id", "item_text"]).where(F.size("places") >= F.least(F.lit(MIN_SEEDS), "n_grams")).drop("n_grams")
     near = materialise(near)
     wanted = near.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("items"))
 
-    def of(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in LEAKS.names}
-        for doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "items")), strict=True):
-            words = words_of(text)
-            own: dict[bytes, int] = {}
-            ids = np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
-            for one in found:
-                item = np.array([own.get(w, -1) for w in words_of(one["item_text"])], np.int64)
-                best, end = 0, 0
-                for lo, hi in passages(one["places"], len(item), len(words)):
-                    score, at = align(item, ids[lo:hi])
-                    if score > best:
-                        best, end = score, lo + at
-                share = best / (MATCH * len(item))
-                if share >= leaked_at:
-                    for k, v in zip(LEAKS.names, (doc, one["item_id"], round(share, 6), end, len(item)), strict=True):
-                        out[k].append(v)
-        return out
+    def run(batches):
+        aligner = Aligner(leaked_at)
 
-    sources = only_rows(texts, near.select("doc_id", "tie")).dropDuplicates(["doc_id", "tie"])
-    scored = sources.join(wanted, ["doc_id", "tie"]).mapInArrow(arrow_rows(LEAKS, of), "doc_id long, item_id long, score double, end_word long, n_item_words long")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word", "n_item_words")).alias("b"))
-    return best.select("doc_id", "item_id", "b.score", "b.end_word", "b.n_item_words")
+        def of(batch: pa.RecordBatch) -> dict:
+            out: dict[str, list] = {k: [] for k in LEAKS.names}
+            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "items")), strict=True):
+                words = words_of(text)
+                for one in found:
+                    own: dict[bytes, int] = {}
+                    item = np.array([own.setdefault(w, len(own)) for w in words_of(one["item_text"])], np.int64)
+                    ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
+                    if got := aligner.best(one["item_text"], item, one["places"], ids):
+                        for k, v in zip(LEAKS.names, (doc, one["item_id"], *got, len(item)), strict=True):
+                            out[k].append(v)
+            return out
 
+        for batch in batches:
+            yield from arrow_rows(LEAKS, of)(slices(batch, 512))
 
-def _vocabulary(frames):
-    for frame in frames:
-        yield pd.DataFrame({"word": sorted({w for t in frame["item_text"] for w in words_of(t)})})
+    sources = only_rows(texts, near.select("doc_id", "tie")).dropDuplicates(["doc_id", "tie"])
+    return sources.join(wanted, ["doc_id", "tie"]).mapInArrow(run, LEAK_ROWS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -236,6 +236,25 @@ def test_decontamination(spark, odd, empty):
     assert decontaminate.clean(df, bench).count() == 60 - len(want)
 
 
+def test_decontamination_of_copies(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    item = [word() for _ in range(40)]
+    edited = [word() if k % 5 == 4 else w for k, w in enumerate(item)]
+    body = [word() for _ in range(100)]
+    short = [word() for _ in range(3)]
+    rows = [(0, " ".join(body + item))] + [(d, " ".join(body + edited + body)) for d in range(1, 31)] + [(31, " ".join(body + short)), (32, " ".join(body))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    want = {(d, 1) for d in range(31)} | {(31, 2)}
+    for sent in (decontaminate.MAX_SENT, 0):
+        decontaminate.MAX_SENT, old = sent, decontaminate.MAX_SENT
+        got = decontaminate.leaks(df, bench).collect()
+        decontaminate.MAX_SENT = old
+        assert {(r.doc_id, r.item_id) for r in got} == want
+        assert all(r.score == brute_align(item, edited) / 80 for r in got if 1 <= r.doc_id <= 30)
+
+
 # 5
 
 
