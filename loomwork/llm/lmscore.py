@@ -1,13 +1,18 @@
 """Cross-entropy difference between a target and a background model over one shared vocabulary.
 
-The vocabulary holds the VOCABULARY most frequent words of the whole corpus (lower-cased A-Z, cut at
-ASCII white space; ties by hash) and one id for all others. Both models are bigram models with the same
-interpolation: the background is counted over all texts, the target over about TARGET_ROWS labelled
-documents of good quality. A document's score is the mean over its words of the target's loss less the
-background's; low scores are close to the target.
-
-Null and empty texts have no words: their losses are null. Rows are scored one by one, further columns
-are ignored. Without target documents both models are alike up to smoothing, and differences near zero.
+The vocabulary holds all words of the corpus (lower-cased A-Z, cut at ASCII white space). Both models are
+bigram models with the same interpolation: the background is counted over all texts, the target over all
+labelled documents of good quality. Counts are Spark tables: pairs of words are counted task by task and
+shuffled, and each document's pairs are joined to the table of losses; nothing of them reaches the driver.
+Words and pairs are known by 64-bit hashes. A document's score is the mean over its words of the target's
+loss less the background's; low scores are close to the target.
+
+Null and empty texts have no words: their losses are null. Rows are known by a 64-bit hash of doc_id and
+text, and each row has a score; further columns are ignored. Without target documents both models are alike
+up to smoothing, and differences near zero.
+
+train() and score() are the same models in memory, over the VOCABULARY most frequent words and one id for
+all others, the target over about TARGET_ROWS documents; op7_lmscore uses differences().
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, in_sample, slices, split_words
+from loomwork.llm.common import arrow_rows, in_sample, materialise, mix64, slices, split_words
 
 VOCABULARY = 1022
 TARGET_ROWS = 20_000
@@ -155,3 +160,112 @@ def score(docs: DataFrame, model: tuple[dict[int, int], np.ndarray, np.ndarray])
             yield from arrow_rows(schema, of)(slices(batch, 1024))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, loss_diff double")
+
+
+PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+ROW_PAIRS = pa.schema([("row", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int32())])
+#: Word pairs that a task counts before it hands them on.
+FLUSH_PAIRS = 1_000_000
+
+
+class Hasher:
+    """Texts as hashes of their words, with those of known words kept for the task."""
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def words(self, text: str | None) -> np.ndarray:
+        words, known = words_of(text), self.known
+        if len(known) > FLUSH:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = _hash(w)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+
+def _before(words: np.ndarray) -> np.ndarray:
+    return np.concatenate(([BEGIN], words[:-1])).astype(np.int64) if len(words) else words
+
+
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before.view(np.uint64)) * np.uint64(3) + word.view(np.uint64)).view(np.int64)
+
+
+def word_pairs(docs: DataFrame) -> DataFrame:
+    """(before, word, n): how often each word stands after each other one or at a text's beginning, task by task."""
+
+    def counted(parts: list[np.ndarray], befores: list[np.ndarray]) -> pa.RecordBatch:
+        none = [np.zeros(0, np.int64)]
+        word, before = np.concatenate(parts or none), np.concatenate(befores or none)
+        _, first, n = np.unique(pair_key(before, word), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(before[first]), pa.array(word[first]), pa.array(n.astype(np.int64))], schema=PAIRS)
+
+    def run(batches):
+        hasher, parts, befores, held = Hasher(), [], [], 0
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    words = hasher.words(text)
+                    parts.append(words)
+                    befores.append(_before(words))
+                    held += len(words)
+                    if held > FLUSH_PAIRS:
+                        yield counted(parts, befores)
+                        parts, befores, held = [], [], 0
+        yield counted(parts, befores)
+
+    return docs.select("text").mapInArrow(run, "before long, word long, n long")
+
+
+def row_pairs(rows: DataFrame) -> DataFrame:
+    """rows(row, text) -> (row, pair, n): the word pairs of each row."""
+
+    def run(batches):
+        hasher = Hasher()
+
+        def of(batch):
+            row, before, word, count = [], [], [], []
+            for key, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = hasher.words(text)
+                befores = _before(words)
+                _, first, n = np.unique(pair_key(befores, words), return_index=True, return_counts=True)
+                row.append(np.full(len(n), key, np.int64))
+                before.append(befores[first])
+                word.append(words[first])
+                count.append(n.astype(np.int32))
+            none = [np.zeros(0, np.int64)]
+            return {k: np.concatenate(v or none) for k, v in zip(ROW_PAIRS.names, (row, before, word, count), strict=True)}
+
+        for batch in batches:
+            yield from arrow_rows(ROW_PAIRS, of)(slices(batch))
+
+    return rows.mapInArrow(run, "row long, before long, word long, n int").select("row", F.xxhash64("before", "word").alias("pair"), "n")
+
+
+def pair_losses(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """(pair, target_loss, background_loss) of all word pairs of docs; the target's texts are those of target(doc_id)."""
+    good = docs.select("doc_id", "text").join(target.select("doc_id").distinct(), "doc_id", "left_semi")
+    none = F.lit(0).cast("long")
+    both = word_pairs(docs).withColumn("n_target", none).unionByName(word_pairs(good).select("before", "word", none.alias("n"), F.col("n").alias("n_target")))
+    counts = materialise(both.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
+    word = materialise(counts.groupBy("word").agg(F.sum("n").alias("of_word"), F.sum("n_target").alias("of_word_target")))
+    before = counts.groupBy("before").agg(F.sum("n").alias("of_before"), F.sum("n_target").alias("of_before_target"))
+    size, total, total_target = word.agg(F.count("*"), F.coalesce(F.sum("of_word"), none), F.coalesce(F.sum("of_word_target"), none)).first()
+
+    def loss(n: str, of_before: str, of_word: str, all_words: int):
+        alone = (F.col(of_word) + ADDED) / F.lit(float(all_words + ADDED * size or 1))
+        return -F.log(F.when(F.col(of_before) > 0, BIGRAM * F.col(n) / F.col(of_before) + (1 - BIGRAM) * alone).otherwise(alone))
+
+    joined = counts.join(before, "before").join(word, "word")
+    return joined.select(F.xxhash64("before", "word").alias("pair"), loss("n_target", "of_before_target", "of_word_target", total_target).cast("float").alias("target_loss"), loss("n", "of_before", "of_word", total).cast("float").alias("background_loss"))
+
+
+def differences(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_words, mean losses under both models and their difference, one row for each row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    found = pair_losses(rows, labels.where("quality > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")))
+    mean = lambda name: (F.sum(F.col("n") * F.col(name).cast("double")) / F.sum("n")).alias(name)
+    scored = row_pairs(rows.select("row", "text")).join(found, "pair").groupBy("row").agg(mean("target_loss"), mean("background_loss"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\x0B\\f]+")), F.lit(0)).cast("long").alias("n_words")
+    return rows.select("doc_id", "row", n_words).join(scored, "row", "left").select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("loss_diff"))

@@ -344,6 +344,47 @@ def test_lm_score(spark, docs, labels, odd, empty):
     assert lmscore.score(odd, lmscore.train(empty, labels)).count() == len(ODD) + 1
 
 
+def brute_differences(rows, good):
+    import math
+
+    texts = [[w.encode() for w in words("".join(c.lower() if c.isascii() else c for c in t or ""))] for _, t in rows]
+    vocabulary = {w for t in texts for w in t}
+
+    def model(some):
+        pair, word, before = collections.Counter(), collections.Counter(), collections.Counter()
+        for t in some:
+            for p, w in zip([None, *t], t, strict=False):
+                pair[p, w] += 1
+                word[w] += 1
+                before[p] += 1
+        total = sum(word.values()) + lmscore.ADDED * len(vocabulary)
+
+        def loss(p, w):
+            alone = (word[w] + lmscore.ADDED) / total
+            return -math.log(lmscore.BIGRAM * pair[p, w] / before[p] + (1 - lmscore.BIGRAM) * alone if before[p] else alone)
+
+        return lambda t: sum(loss(p, w) for p, w in zip([None, *t], t, strict=False)) / len(t) if t else None
+
+    target, background = model([t for (d, _), t in zip(rows, texts, strict=True) if d in good]), model(texts)
+    return [(d, len(t), target(t), background(t)) for (d, _), t in zip(rows, texts, strict=True)]
+
+
+def test_lm_differences(spark, docs, labels, odd, empty):
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(r.doc_id, r.text) for r in odd.collect()] + [(900001, "rare0 " * 3 + "rare1"), (900001, "rare2"), (None, "rare1 rare0")]
+    good = {r.doc_id for r in labels.where("quality > 0").collect()} | {900001}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(d, 1) for d in good], "doc_id long, quality int")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    got = sorted((tuple(r) for r in lmscore.differences(df, marked).collect()), key=key)
+    want = sorted(brute_differences(rows, good), key=key)
+    assert len(got) == len(want)
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:], abs=1e-5) if w[1] else (None, None))
+        assert g[4] == (pytest.approx(g[2] - g[3]) if w[1] else None)
+    assert lmscore.differences(empty, labels).count() == 0
+    assert lmscore.differences(odd, labels.where("false")).count() == len(ODD) + 1
+
+
 # 8
 
 
