@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows
+from loomwork.llm.common import arrow_rows, slices
 
 #: name -> how turns are read. list: path of the list of turns, with its role and text fields; fields: (role, field)
 #: in order; row: the record is one turn. Fields in optional may be absent.
@@ -135,6 +135,10 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def in_order(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, formatted and loss_spans (start, end) of the assistant's texts, in code points.
 
@@ -167,22 +171,65 @@ def format_turns(turns: DataFrame) -> DataFrame:
         if done:
             yield from pa.Table.from_batches(done, schema).combine_chunks().to_batches()
 
-    spread = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return spread.mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return in_order(turns).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>")
+
+
+DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+DIGESTS_DDL = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def digest(formatted: DataFrame) -> DataFrame:
     """What the formatted conversations say, read back from them."""
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def of(batch: pa.RecordBatch) -> dict:
-        out = {k: [] for k in schema.names}
+        out = {k: [] for k in DIGESTS.names}
         for conv, text, spans in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "formatted", "loss_spans")), strict=True):
             turns = read_turns(text)
             loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
             said = "".join(f"{role}\n{body}\n" for role, body in turns)
-            for k, v in zip(schema.names, (conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)), strict=True):
+            for k, v in zip(DIGESTS.names, (conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)), strict=True):
                 out[k].append(v)
         return out
 
-    return formatted.mapInArrow(arrow_rows(schema, of), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(arrow_rows(DIGESTS, of), DIGESTS_DDL)
+
+
+def digest_rows(batches):
+    """Digests of conversations whose turns come in order: each turn is formatted and read back alone, and of a
+    conversation only the states of its hashes and its sums are held."""
+    conv, begun, done = None, False, []
+    n_turns = loss_chars = formatted_chars = 0
+    said, loss = hashlib.sha256(), hashlib.sha256()
+
+    def row():
+        return {"conv_id": conv, "n_turns": n_turns, "turns_sha256": said.hexdigest(), "loss_chars": loss_chars, "loss_sha256": loss.hexdigest(), "formatted_chars": formatted_chars}
+
+    for batch in batches:
+        for part in slices(batch):
+            for c, role, text in zip(*(part.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
+                if begun and c != conv:
+                    done.append(row())
+                    n_turns = loss_chars = formatted_chars = 0
+                    said, loss = hashlib.sha256(), hashlib.sha256()
+                conv, begun = c, True
+                turn, start, end = write_turn(role or "", text or "")
+                for name, body in read_turns(turn):
+                    said.update(f"{name}\n{body}\n".encode())
+                    n_turns += 1
+                if role == "assistant":
+                    body = unescape(turn[start:end])
+                    loss.update(body.encode())
+                    loss_chars += len(body)
+                formatted_chars += len(turn)
+            if len(done) >= 500:
+                yield pa.RecordBatch.from_pylist(done, schema=DIGESTS)
+                done = []
+    if begun:
+        done.append(row())
+    if done:
+        yield pa.RecordBatch.from_pylist(done, schema=DIGESTS)
+
+
+def digest_turns(turns: DataFrame) -> DataFrame:
+    """digest(format_turns(turns)) without building a conversation's whole string, however long it is."""
+    return in_order(turns).mapInArrow(digest_rows, DIGESTS_DDL)

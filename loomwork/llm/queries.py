@@ -26,7 +26,7 @@ def op3_chat(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
     rows = rows.unionByName(extra)
     records = rows.select("conv_id", F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return chat.digest(chat.format_turns(chat.canonical_turns(records)))
+    return chat.digest_turns(chat.canonical_turns(records))
 
 
 def op4_decontaminate(spark, sf_dir):

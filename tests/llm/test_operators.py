@@ -190,6 +190,35 @@ def test_chat_query(spark):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_query_builds_no_whole_conversation(spark, monkeypatch):
+    def whole(turns):
+        raise AssertionError("a conversation's whole string is built")
+
+    monkeypatch.setattr(chat, "format_turns", whole)
+    assert queries.op3_chat(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_chat_digest_of_turns(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    parts = ["\\", "###", "</turn>", "### User: ", "\n", "a", "<", "é😀"]
+    turns = [(c, k, rng.choice(["user", "assistant", "system", "to\nol", "", None]), rng.choice([None, "", "".join(rng.choices(parts, k=9))])) for c in (None, 1, 2) for k in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    assert sorted(map(str, chat.digest_turns(df).collect())) == sorted(map(str, chat.digest(chat.format_turns(df)).collect()))
+    assert chat.digest_turns(df.where("false")).count() == 0
+    text = "</turn> x" * 1000
+    batch = pa.RecordBatch.from_pydict({"conv_id": [None] * 1000, "role": ["assistant"] * 1000, "text": [text] * 1000})
+    tracemalloc.start()
+    got = [r for b in chat.digest_rows(batch for _ in range(5)) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got[0]["n_turns"], got[0]["loss_chars"]) == (5000, 5000 * len(text)) and len(got) == 1
+    assert peak < 10_000_000
+
+
 # 4
 
 
