@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from loomwork.plans.store import written as materialise
 
-__all__ = ["arrow_rows", "in_sample", "materialise", "mix64", "slices", "split_words", "table"]
+__all__ = ["arrow_rows", "in_class_sample", "in_sample", "materialise", "mix64", "slices", "split_words", "table"]
 
 SAMPLE_GRAIN = 1_000_000
+#: Rows that each class has in a sample by class, or all of them if it has fewer.
+CLASS_ROWS = 100
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,18 @@ def in_sample(key: str, rows: int, bound: int):
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(SAMPLE_GRAIN)) < grain
 
 
+def in_class_sample(key: str, class_: str, counts: dict, bound: int):
+    """in_sample() for all rows of counts (class -> rows), but about CLASS_ROWS rows pass of each class that would have fewer."""
+    rows = sum(counts.values())
+    shared = SAMPLE_GRAIN if rows <= bound else max(1, SAMPLE_GRAIN * bound // rows)
+    own = {c: SAMPLE_GRAIN if n <= CLASS_ROWS else -(-SAMPLE_GRAIN * CLASS_ROWS // n) for c, n in counts.items()}
+    grain = F.lit(shared)
+    for c, g in sorted(own.items()):
+        if g > shared:
+            grain = F.when(F.col(class_) == F.lit(c), F.lit(g)).otherwise(grain)
+    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(SAMPLE_GRAIN)) < grain
+
+
 def arrow_rows(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function out of one that gives the columns of a batch."""
 

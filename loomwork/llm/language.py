@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, in_sample, slices
+from loomwork.llm.common import arrow_rows, in_class_sample, slices
 
 SPACE = "▁"
 LETTER = regex.compile(r"\p{L}")
@@ -153,8 +153,9 @@ def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS
     What comes to the driver is at most (vocabulary size) x (languages) sums a round."""
     path = vocabulary or default_vocabulary()
     usable = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    sample = usable.where(in_sample("doc_id", usable.count(), rows)).select("lang", "text")
-    langs = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    sample = usable.where(in_class_sample("doc_id", "lang", counts, rows)).select("lang", "text")
+    langs = sorted(counts)
     n = Pieces(path).n
     if not langs:
         return [], np.zeros((n + 1, 0))

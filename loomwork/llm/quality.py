@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import logistic
-from loomwork.llm.common import arrow_rows, in_sample, mix64, slices, split_words
+from loomwork.llm.common import arrow_rows, in_class_sample, mix64, slices, split_words
 
 #: Buckets of each of the two blocks (words, characters) and how many labelled rows train the model at most (about).
 DIMS = 1 << 14
@@ -95,8 +95,9 @@ def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logistic.LogisticModel | None:
     """Fit on about ``rows`` labelled documents, chosen by a hash of doc_id; their features come to the driver."""
-    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = good.where(in_sample("doc_id", good.count(), rows))
+    good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("good", F.col("quality") > 0)
+    counts = {r.good: r["count"] for r in good.groupBy("good").count().collect()}
+    few = good.where(in_class_sample("doc_id", "good", counts, rows))
     schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
 
     def of(batch: pa.RecordBatch) -> dict:

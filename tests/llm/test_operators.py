@@ -517,3 +517,11 @@ def test_language(docs, odd, empty):
     assert all(0 <= r.score <= 1 for r in some.values())
     assert language.predict(empty, model).count() == 0
     assert {r.lang_pred for r in language.predict(odd, language.train(empty)).collect()} == {"und"}
+
+
+def test_rare_classes_are_sampled(spark):
+    rows = [(d, "ga" if d % 1000 == 7 else "en", f"agus {d} tá" if d % 1000 == 7 else f"the {d} word", int(d % 1000 != 7)) for d in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string, quality int")
+    langs, p = language.train(df.select("doc_id", "lang", "text"), rows=20, rounds=1)
+    assert langs == ["en", "ga"] and p[:, 1].max() > 2 * p[p[:, 1] > 0, 1].min()
+    assert quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"), rows=20) is not None
