@@ -1,271 +1,169 @@
 """Cross-entropy difference between a target and a background model over one shared vocabulary.
 
-The vocabulary holds all words of the corpus (lower-cased A-Z, cut at ASCII white space). Both models are
-bigram models with the same interpolation: the background is counted over all texts, the target over all
-labelled documents of good quality. Counts are Spark tables: pairs of words are counted task by task and
-shuffled, and each document's pairs are joined to the table of losses; nothing of them reaches the driver.
-Words and pairs are known by 64-bit hashes. A document's score is the mean over its words of the target's
-loss less the background's; low scores are close to the target.
-
-Null and empty texts have no words: their losses are null. Rows are known by a 64-bit hash of doc_id and
-text, and each row has a score; further columns are ignored. Without target documents both models are alike
-up to smoothing, and differences near zero.
-
-train() and score() are the same models in memory, over the VOCABULARY most frequent words and one id for
-all others, the target over about TARGET_ROWS documents; op7_lmscore uses differences().
+The vocabulary holds all words of the corpus (lower-cased A-Z, cut at ASCII white space). Both are bigram
+models with the same interpolation: the target is counted over all documents labelled as good, the background
+over all others. A document is scored by what each model knows without it: its own counts are taken off
+those of the model that holds it. Its score is the mean over its words of the target's loss less the
+background's; low scores are close to the target.
+
+Rows are dealt to blocks of about BLOCK_BYTES of text by a hash. A block sends each of its distinct words
+and word pairs once, with its counts, to the bucket of their key; buckets add up and answer with the sums in
+the same order; the block, dealt the same way, scores its rows. So the whole table of counts is spread over
+tasks, grows with the corpus, and nothing of it reaches the driver. Words and pairs are known by 64-bit hashes.
+
+Null and empty texts have no words: their losses are null. Rows with equal doc_id are scored one by one;
+further columns are ignored. Without target documents the target knows no words and gives each the same loss.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, in_sample, materialise, mix64, slices, split_words
+from loomwork.llm.common import materialise, mix64, split_words
+
+#: Weight of the bigram against the word's own frequency; share and size of the probability of words not counted.
+BIGRAM, UNSEEN, FLOOR = 0.7, 0.01, 1e-6
+#: Text of one block. A task holds one block and about 30 times its bytes.
+BLOCK_BYTES = 12 << 20
+#: Rows equal in doc_id and text up to this number share a block.
+REPEATS = 5_000
+#: What stands before a text's first word.
+BEGIN = np.uint64(1)
+#: Words whose hashes a block remembers.
+KNOWN = 500_000
 
-VOCABULARY = 1022
-TARGET_ROWS = 20_000
-#: Weight of the bigram against the word's own frequency, and what is added to each word's count.
-BIGRAM, ADDED = 0.7, 0.5
-#: Words a task counts before it hands them on.
-FLUSH = 500_000
-OTHER, BEGIN = 0, 1
+COUNTS_DDL = "bucket int, block int, keys array<long>, n array<int>, n_target array<int>"
+COUNTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("n_target", pa.list_(pa.int32()))])
+SUMS_DDL = "block int, bucket int, n array<long>, n_target array<long>"
+SUMS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.list_(pa.int64())), ("n_target", pa.list_(pa.int64()))])
+SCORES_DDL = "doc_id long, n_words long, target_loss double, background_loss double, loss_diff double"
+SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("loss_diff", pa.float64())])
 
 
 def words_of(text: str | None) -> list[bytes]:
     return split_words((text or "").encode().lower())
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) - 2**63
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word as hash, n) over all texts."""
-    schema = pa.schema([("word", pa.int64()), ("n", pa.int64())])
-
-    def run(batches):
-        counts: Counter = Counter()
-
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(map(_hash, counts)), pa.int64()), pa.array(list(counts.values()), pa.int64())], schema=schema)
-            counts.clear()
-            return out
-
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    counts.update(words_of(text))
-                if len(counts) > FLUSH:
-                    yield rows()
-        yield rows()
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary_of(docs: DataFrame, size: int = VOCABULARY) -> dict[int, int]:
-    """Hash of each word of the vocabulary -> id, from 2 on."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {r.word: k for k, r in enumerate(top, 2)}
-
-
-class Reader:
-    """Texts as ids, with what is known of words kept for the task."""
-
-    def __init__(self, ids: dict[int, int]):
-        self.ids, self.known, self.width = ids, {}, len(ids) + 2
-
-    def keys(self, text: str | None) -> np.ndarray:
-        """previous * width + word for each word."""
-        words, known = words_of(text), self.known
-        if len(known) > FLUSH:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self.ids.get(_hash(w), OTHER)
-        at = np.fromiter((known[w] for w in words), np.int64, len(words))
-        return np.concatenate(([BEGIN], at[:-1])) * self.width + at if len(at) else at
-
-
-def pair_counts(docs: DataFrame, target: DataFrame, ids: dict[int, int]) -> DataFrame:
-    """(pair, n, n_target): how often each pair of ids stands in all texts and in those of target(doc_id)."""
-    held = docs.sparkSession.sparkContext.broadcast(ids)
-    schema = pa.schema([("pair", pa.int64()), ("n", pa.int64()), ("n_target", pa.int64())])
-    marked = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-
-    def run(batches):
-        reader = Reader(held.value)
-        size = reader.width**2
-        total = np.zeros((2, size), np.int64)
-        for batch in batches:
-            for part in slices(batch, 1024):
-                keys: tuple[list, list] = ([], [])
-                for text, good in zip(part.column("text").to_pylist(), part.column("good").to_pylist(), strict=True):
-                    keys[good].append(reader.keys(text))
-                for k in range(2):
-                    if keys[k]:
-                        total[k] += np.bincount(np.concatenate(keys[k]), minlength=size)
-        at = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[:, at].sum(axis=0)), pa.array(total[1, at])], schema=schema)
-
-    return marked.mapInArrow(run, "pair long, n long, n_target long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Loss of each word after each other one, from pair counts [previous, word]."""
-    counts = counts.astype(float)
-    word = counts.sum(axis=0) + ADDED
-    word /= word.sum()
-    before = counts.sum(axis=1, keepdims=True)
-    p = np.where(before > 0, BIGRAM * counts / np.maximum(before, 1) + (1 - BIGRAM) * word, word)
-    return -np.log(p).astype(np.float32)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
-    """Vocabulary, target losses and background losses; at most (VOCABULARY + 2)^2 counts reach the driver."""
-    good = labels.where("quality > 0 and doc_id is not null").select("doc_id").distinct()
-    target = good.where(in_sample("doc_id", good.count(), TARGET_ROWS))
-    ids = vocabulary_of(docs)
-    width = len(ids) + 2
-    got = pair_counts(docs, target, ids).toPandas()
-    total = np.zeros((2, width * width))
-    total[0, got["pair"].to_numpy()] = got["n_target"].to_numpy()
-    total[1, got["pair"].to_numpy()] = got["n"].to_numpy()
-    return ids, losses(total[0].reshape(width, width)).ravel(), losses(total[1].reshape(width, width)).ravel()
-
-
-def score(docs: DataFrame, model: tuple[dict[int, int], np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n_words, mean losses under both models and their difference."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("loss_diff", pa.float64())])
-
-    def run(batches):
-        ids, target, background = held.value
-        reader = Reader(ids)
-
-        def of(batch):
-            out: dict[str, list] = {k: [] for k in schema.names}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys = reader.keys(text)
-                t, b = (float(x[keys].mean(dtype=np.float64)) if len(keys) else None for x in (target, background))
-                for k, v in zip(schema.names, (doc, len(keys), t, b, t - b if len(keys) else None), strict=True):
-                    out[k].append(v)
-            return out
-
-        for batch in batches:
-            yield from arrow_rows(schema, of)(slices(batch, 1024))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, loss_diff double")
-
-
-PAIRS = pa.schema([("before", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
-ROW_PAIRS = pa.schema([("row", pa.int64()), ("before", pa.int64()), ("word", pa.int64()), ("n", pa.int32())])
-#: Word pairs that a task counts before it hands them on.
-FLUSH_PAIRS = 1_000_000
-
-
-class Hasher:
-    """Texts as hashes of their words, with those of known words kept for the task."""
-
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def words(self, text: str | None) -> np.ndarray:
-        words, known = words_of(text), self.known
-        if len(known) > FLUSH:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = _hash(w)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def _before(words: np.ndarray) -> np.ndarray:
-    return np.concatenate(([BEGIN], words[:-1])).astype(np.int64) if len(words) else words
-
-
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix64(mix64(before.view(np.uint64)) * np.uint64(3) + word.view(np.uint64)).view(np.int64)
-
-
-def word_pairs(docs: DataFrame) -> DataFrame:
-    """(before, word, n): how often each word stands after each other one or at a text's beginning, task by task."""
-
-    def counted(parts: list[np.ndarray], befores: list[np.ndarray]) -> pa.RecordBatch:
-        none = [np.zeros(0, np.int64)]
-        word, before = np.concatenate(parts or none), np.concatenate(befores or none)
-        _, first, n = np.unique(pair_key(before, word), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(before[first]), pa.array(word[first]), pa.array(n.astype(np.int64))], schema=PAIRS)
-
-    def run(batches):
-        hasher, parts, befores, held = Hasher(), [], [], 0
-        for batch in batches:
-            for part in slices(batch):
-                for text in part.column("text").to_pylist():
-                    words = hasher.words(text)
-                    parts.append(words)
-                    befores.append(_before(words))
-                    held += len(words)
-                    if held > FLUSH_PAIRS:
-                        yield counted(parts, befores)
-                        parts, befores, held = [], [], 0
-        yield counted(parts, befores)
-
-    return docs.select("text").mapInArrow(run, "before long, word long, n long")
-
-
-def row_pairs(rows: DataFrame) -> DataFrame:
-    """rows(row, text) -> (row, pair, n): the word pairs of each row."""
-
-    def run(batches):
-        hasher = Hasher()
-
-        def of(batch):
-            row, before, word, count = [], [], [], []
-            for key, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = hasher.words(text)
-                befores = _before(words)
-                _, first, n = np.unique(pair_key(befores, words), return_index=True, return_counts=True)
-                row.append(np.full(len(n), key, np.int64))
-                before.append(befores[first])
-                word.append(words[first])
-                count.append(n.astype(np.int32))
-            none = [np.zeros(0, np.int64)]
-            return {k: np.concatenate(v or none) for k, v in zip(ROW_PAIRS.names, (row, before, word, count), strict=True)}
-
-        for batch in batches:
-            yield from arrow_rows(ROW_PAIRS, of)(slices(batch))
-
-    return rows.mapInArrow(run, "row long, before long, word long, n int").select("row", F.xxhash64("before", "word").alias("pair"), "n")
-
-
-def pair_losses(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(pair, target_loss, background_loss) of all word pairs of docs; the target's texts are those of target(doc_id)."""
-    good = docs.select("doc_id", "text").join(target.select("doc_id").distinct(), "doc_id", "left_semi")
-    none = F.lit(0).cast("long")
-    both = word_pairs(docs).withColumn("n_target", none).unionByName(word_pairs(good).select("before", "word", none.alias("n"), F.col("n").alias("n_target")))
-    counts = materialise(both.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-    word = materialise(counts.groupBy("word").agg(F.sum("n").alias("of_word"), F.sum("n_target").alias("of_word_target")))
-    before = counts.groupBy("before").agg(F.sum("n").alias("of_before"), F.sum("n_target").alias("of_before_target"))
-    size, total, total_target = word.agg(F.count("*"), F.coalesce(F.sum("of_word"), none), F.coalesce(F.sum("of_word_target"), none)).first()
-
-    def loss(n: str, of_before: str, of_word: str, all_words: int):
-        alone = (F.col(of_word) + ADDED) / F.lit(float(all_words + ADDED * size or 1))
-        return -F.log(F.when(F.col(of_before) > 0, BIGRAM * F.col(n) / F.col(of_before) + (1 - BIGRAM) * alone).otherwise(alone))
-
-    joined = counts.join(before, "before").join(word, "word")
-    return joined.select(F.xxhash64("before", "word").alias("pair"), loss("n_target", "of_before_target", "of_word_target", total_target).cast("float").alias("target_loss"), loss("n", "of_before", "of_word", total).cast("float").alias("background_loss"))
-
-
-def differences(docs: DataFrame, labels: DataFrame) -> DataFrame:
+class Block:
+    """Rows as keys: words, what stands before each, and pairs of both, as places in the sorted distinct keys."""
+
+    def __init__(self, table: pa.Table):
+        marks = table.column("is_target").to_numpy(zero_copy_only=False)
+        rows = table.filter(pa.array(~marks))
+        self.doc_ids = rows.column("doc_id").to_pylist()
+        target = set(table.filter(pa.array(marks)).column("doc_id").to_pylist())
+        self.target = np.array([d in target for d in self.doc_ids], bool)
+        known: dict[bytes, int] = {}
+        hashed, texts = [np.zeros(0, np.uint64)], rows.column("text")
+        for k in range(len(texts)):
+            words = words_of(texts[k].as_py())
+            if len(known) > KNOWN:
+                known = {}
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            hashed.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+        self.sizes = np.array([len(h) for h in hashed[1:]], np.int64)
+        word = mix64(np.concatenate(hashed))
+        self.first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.first] = BEGIN
+        pair = mix64(before * np.uint64(3) + word)
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.keys, at = np.unique(np.concatenate((word, pair, np.full(len(self.first), BEGIN))), return_inverse=True)
+        n = len(word)
+        self.word, self.pair, self.begin = at[:n], at[n : 2 * n], at[2 * n :]
+
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """How often each key stands in the rows that of marks."""
+        mine = of[self.row]
+        places = np.concatenate((self.word[mine], self.pair[mine], self.begin[of[self.sizes > 0]]))
+        return np.bincount(places, minlength=len(self.keys)).astype(np.int32)
+
+    def own(self, places: np.ndarray) -> np.ndarray:
+        """How often the key at each place of a row stands in that row."""
+        _, at, n = np.unique(self.row * max(1, len(self.keys)) + places, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def losses(self, n: np.ndarray, total: int, holds: np.ndarray) -> np.ndarray:
+        """Each row's mean loss under the model with these sums; rows that it holds are left out of them."""
+        mine = holds[self.row]
+        own_word, own_pair = np.where(mine, self.own(self.word), 0), np.where(mine, self.own(self.pair), 0)
+        word = n[self.word] - own_word
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        before[self.first] = n[self.begin] - mine[self.first]
+        pair = n[self.pair] - own_pair
+        left = total - np.where(holds, self.sizes, 0)[self.row]
+        alone = np.where(left > 0, (1 - UNSEEN) * word / np.maximum(left, 1), 0.0) + UNSEEN * FLOOR
+        p = np.where(before > 0, BIGRAM * pair / np.maximum(before, 1) + (1 - BIGRAM) * alone, alone)
+        return np.bincount(self.row, weights=-np.log(p), minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets in the order of keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def count_block(table: pa.Table, buckets: int) -> pa.Table:
+    """What a block sends to each bucket: its distinct keys there, in order, and how often they stand in either model."""
+    block = Block(table)
+    bucket = bucket_of(block.keys, buckets)
+    some, first = np.unique(bucket, return_index=True)
+    cuts = np.append(first, len(bucket))
+    columns = [_lists(block.keys.view(np.int64), cuts, pa.int64()), _lists(block.counts(~block.target), cuts, pa.int32()), _lists(block.counts(block.target), cuts, pa.int32())]
+    return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), table.column("block")[0].as_py()), pa.int32()), *columns], schema=COUNTS)
+
+
+def sum_bucket(table: pa.Table) -> pa.Table:
+    """The answers to all blocks: the sums of their keys, in the order in which they came."""
+    table = table.combine_chunks()
+    flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "n", "n_target")]
+    cuts = np.concatenate(([0], np.cumsum(table.column("keys").combine_chunks().value_lengths().to_numpy())))
+    keys, at = np.unique(flat[0], return_inverse=True)
+    sums = [np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)[at] for n in flat[1:]]
+    return pa.Table.from_arrays([table.column("block"), table.column("bucket"), *(_lists(s, cuts, pa.int64()) for s in sums)], schema=SUMS)
+
+
+def score_block(table: pa.Table, answers: pa.Table, total: int, total_target: int) -> pa.Table:
+    block = Block(table)
+    answers = answers.sort_by("bucket")
+    n, n_target = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in answers.column(k).chunks)]) for k in ("n", "n_target"))
+    target, background = block.losses(n_target, total_target, block.target), block.losses(n, total, ~block.target)
+    none = block.sizes == 0
+    return pa.Table.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, mask=none) for x in (target, background, target - background))], schema=SCORES)
+
+
+def differences(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, repeats: int = REPEATS) -> DataFrame:
     """doc_id, n_words, mean losses under both models and their difference, one row for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    found = pair_losses(rows, labels.where("quality > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")))
-    mean = lambda name: (F.sum(F.col("n") * F.col(name).cast("double")) / F.sum("n")).alias(name)
-    scored = row_pairs(rows.select("row", "text")).join(found, "pair").groupBy("row").agg(mean("target_loss"), mean("background_loss"))
-    n_words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\x0B\\f]+")), F.lit(0)).cast("long").alias("n_words")
-    return rows.select("doc_id", "row", n_words).join(scored, "row", "left").select("doc_id", "n_words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("loss_diff"))
+    n_words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\x0B\\f]+")), F.lit(0)).cast("long")
+
+    def sizes_of(rows: DataFrame) -> DataFrame:
+        return materialise(rows.select("doc_id", "part", n_words.alias("n_words"), F.octet_length("text").cast("long").alias("n_bytes")))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.xxhash64("doc_id", "text"))
+    sizes = sizes_of(rows)
+    if (sizes.groupBy("part").count().agg(F.max("count")).first()[0] or 0) > repeats:  # equal rows go to several blocks
+        rows = materialise(rows.withColumn("part", F.xxhash64("part", F.monotonically_increasing_id())))
+        sizes = sizes_of(rows)
+    good = labels.where("quality > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    target = sizes.join(good, "doc_id", "left_semi")
+    n_bytes, n_all = sizes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    total_target = target.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    total, blocks = n_all - total_target, max(1, -(-n_bytes // block_bytes))
+
+    block = F.pmod("part", F.lit(blocks)).cast("int").alias("block")
+    marks = target.select(block, "doc_id", F.lit("").alias("text"), F.lit(True).alias("is_target")).distinct()
+    dealt = rows.select(block, "doc_id", "text", F.lit(False).alias("is_target")).unionByName(marks)
+    counts = dealt.groupBy("block").applyInArrow(lambda t: count_block(t, blocks), COUNTS_DDL)
+    sums = counts.groupBy("bucket").applyInArrow(sum_bucket, SUMS_DDL)
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, total, total_target), SCORES_DDL)

@@ -349,71 +349,59 @@ def test_pii_plan_has_no_python(docs):
 # 7
 
 
-def test_lm_score(spark, docs, labels, odd, empty):
-    texts = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
-    df = spark.createDataFrame(texts, "doc_id long, text string")
-    good = labels.where("quality = 1")
-    ids, target, background = lmscore.train(df, good)
-    counts = collections.Counter(w for _, t in texts for w in words(t.lower() if t.isascii() else "".join(c.lower() if c.isascii() else c for c in t)))
-    assert sum(r.n for r in lmscore.word_counts(df).collect()) == sum(counts.values())
-    top = {lmscore._hash(w.encode()) for w, n in counts.items() if n > sorted(counts.values())[-min(len(counts), lmscore.VOCABULARY)]}
-    assert top <= set(ids)
-    width = len(ids) + 2
-    pairs = {r.pair: r.n for r in lmscore.pair_counts(df, good.select("doc_id").limit(0), ids).collect()}
-    want = collections.Counter()
-    for _, t in texts:
-        at = [ids.get(lmscore._hash(w), 0) for w in lmscore.words_of(t)]
-        want.update(p * width + w for p, w in zip([1, *at], at, strict=False))
-    assert pairs == want
-    got = {r.doc_id: r for r in lmscore.score(df, (ids, target, background)).collect()}
-    assert all(r.loss_diff == pytest.approx(r.target_loss - r.background_loss) for r in got.values() if r.n_words)
-    some = {r.doc_id: r for r in lmscore.score(odd, (ids, target, background)).collect()}
-    assert some[0].loss_diff is None and some[1].n_words == 0
-    assert lmscore.score(empty, (ids, target, background)).count() == 0
-    assert lmscore.score(odd, lmscore.train(empty, labels)).count() == len(ODD) + 1
-
-
 def brute_differences(rows, good):
     import math
 
     texts = [[w.encode() for w in words("".join(c.lower() if c.isascii() else c for c in t or ""))] for _, t in rows]
-    vocabulary = {w for t in texts for w in t}
 
-    def model(some):
+    def loss(k, members):
+        """Mean loss of text k under the model of members, without k itself."""
         pair, word, before = collections.Counter(), collections.Counter(), collections.Counter()
-        for t in some:
-            for p, w in zip([None, *t], t, strict=False):
-                pair[p, w] += 1
-                word[w] += 1
-                before[p] += 1
-        total = sum(word.values()) + lmscore.ADDED * len(vocabulary)
-
-        def loss(p, w):
-            alone = (word[w] + lmscore.ADDED) / total
-            return -math.log(lmscore.BIGRAM * pair[p, w] / before[p] + (1 - lmscore.BIGRAM) * alone if before[p] else alone)
-
-        return lambda t: sum(loss(p, w) for p, w in zip([None, *t], t, strict=False)) / len(t) if t else None
-
-    target, background = model([t for (d, _), t in zip(rows, texts, strict=True) if d in good]), model(texts)
-    return [(d, len(t), target(t), background(t)) for (d, _), t in zip(rows, texts, strict=True)]
-
-
-def test_lm_differences(spark, docs, labels, odd, empty):
-    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(r.doc_id, r.text) for r in odd.collect()] + [(900001, "rare0 " * 3 + "rare1"), (900001, "rare2"), (None, "rare1 rare0")]
+        for j in members:
+            if j != k:
+                for p, w in zip([None, *texts[j]], texts[j], strict=False):
+                    pair[p, w] += 1
+                    word[w] += 1
+                before.update([None] if texts[j] else [])
+        total, out = sum(word.values()), 0.0
+        for p, w in zip([None, *texts[k]], texts[k], strict=False):
+            alone = ((1 - lmscore.UNSEEN) * word[w] / total if total else 0.0) + lmscore.UNSEEN * lmscore.FLOOR
+            n = before[p] if p is None else word[p]
+            out -= math.log(lmscore.BIGRAM * pair[p, w] / n + (1 - lmscore.BIGRAM) * alone if n else alone)
+        return out / len(texts[k])
+
+    target, background = [k for k, (d, _) in enumerate(rows) if d in good], [k for k, (d, _) in enumerate(rows) if d not in good]
+    return [(d, len(texts[k]), *((loss(k, target), loss(k, background)) if texts[k] else (None, None))) for k, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("repeats", [5000, 1])
+def test_lm_differences(spark, docs, labels, odd, empty, repeats):
+    rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(r.doc_id, r.text) for r in odd.collect()] + [(900001, "rare0 " * 3 + "rare1"), (900001, "rare2"), (None, "rare1 rare0"), (None, "rare1 rare0")]
     good = {r.doc_id for r in labels.where("quality > 0").collect()} | {900001}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marked = spark.createDataFrame([(d, 1) for d in good], "doc_id long, quality int")
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
-    got = sorted((tuple(r) for r in lmscore.differences(df, marked).collect()), key=key)
+    got = sorted((tuple(r) for r in lmscore.differences(df, marked, block_bytes=20_000, repeats=repeats).collect()), key=key)
     want = sorted(brute_differences(rows, good), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
-        assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:], abs=1e-5) if w[1] else (None, None))
+        assert g[:2] == w[:2] and g[2:4] == (pytest.approx(w[2:], abs=1e-9) if w[1] else (None, None))
         assert g[4] == (pytest.approx(g[2] - g[3]) if w[1] else None)
     assert lmscore.differences(empty, labels).count() == 0
     assert lmscore.differences(odd, labels.where("false")).count() == len(ODD) + 1
 
 
+def test_lm_table_of_sums_grows(spark):
+    """The model has one sum for each word and pair of the corpus, whatever its size."""
+    rng = random.Random(9)
+    for n in (200, 2000):
+        df = spark.createDataFrame([(k, " ".join(str(rng.randrange(n)) for _ in range(20))) for k in range(n // 10)], "doc_id long, text string")
+        table = df.selectExpr("0 as block", "doc_id", "text", "false as is_target").toArrow()
+        block = lmscore.Block(table)
+        texts = [lmscore.words_of(r.text) for r in df.collect()]
+        assert len(block.keys) == len({w for t in texts for w in t}) + len({x for t in texts for x in zip([None, *t], t, strict=False)}) + 1
+
+
 # 8
 
 
