@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.plans.store import discard
 from loomwork.plans.store import written as materialise
 
-__all__ = ["arrow_rows", "in_class_sample", "in_sample", "materialise", "mix64", "slices", "split_words", "table"]
+__all__ = ["arrow_rows", "discard", "fresh", "in_class_sample", "materialise", "mix64", "numbered", "slices", "split_words", "table"]
 
 SAMPLE_GRAIN = 1_000_000
 #: Rows that each class has in a sample by class, or all of them if it has fewer.
@@ -27,14 +28,10 @@ def split_words(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def in_sample(key: str, rows: int, bound: int):
-    """A filter that lets about ``bound`` of ``rows`` rows pass, by a hash of their key."""
-    grain = SAMPLE_GRAIN if rows <= bound else max(1, SAMPLE_GRAIN * bound // rows)
-    return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(SAMPLE_GRAIN)) < grain
-
-
 def in_class_sample(key: str, class_: str, counts: dict, bound: int):
-    """in_sample() for all rows of counts (class -> rows), but about CLASS_ROWS rows pass of each class that would have fewer."""
+    """A filter that lets about ``bound`` rows pass, by a hash of their key; of each class that would have fewer, about CLASS_ROWS.
+
+    counts: class -> rows."""
     rows = sum(counts.values())
     shared = SAMPLE_GRAIN if rows <= bound else max(1, SAMPLE_GRAIN * bound // rows)
     own = {c: SAMPLE_GRAIN if n <= CLASS_ROWS else -(-SAMPLE_GRAIN * CLASS_ROWS // n) for c, n in counts.items()}
@@ -45,6 +42,19 @@ def in_class_sample(key: str, class_: str, counts: dict, bound: int):
     return F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(SAMPLE_GRAIN)) < grain
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, row: str = "row") -> DataFrame:
+    """The same rows in a written table, each with a number of its own; ``row`` must not be a column of df."""
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()))
+
+
 def arrow_rows(schema: pa.Schema, rows: Callable[[pa.RecordBatch], dict]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function out of one that gives the columns of a batch."""
 

@@ -7,9 +7,10 @@ share of a perfect one is the score. A passage that shares too few words with th
 score, whatever their order, isn't aligned, which changes no result; that keeps common phrases cheap.
 
 Null and empty texts match nothing, nor do items of fewer than three words. Up to MAX_SENT seeds, the items
-are sent to the tasks and each text is read once; beyond, grams are shuffled and rows known by doc_id and a
-hash of the text. Items with equal item_id stay separate by text and the best counts. Further columns are
-ignored.
+are sent to the tasks and each text is read once; beyond, rows are numbered in a written table and their grams
+shuffled. leaks() gives one row for each doc_id and item, so rows with one doc_id, or with none, are reported
+together; clean() judges each row alone, those without doc_id too. Items with equal item_id stay separate by
+text and the best counts. Further columns are ignored by leaks() and kept by clean().
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, materialise, mix64, slices
-from loomwork.llm.repeats import only_rows, with_tie
+from loomwork.llm.common import arrow_rows, discard, fresh, materialise, mix64, numbered, slices
+from loomwork.llm.repeats import only_rows
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 SEED_WORDS = 3
@@ -33,7 +34,7 @@ MIN_SEEDS = 2
 LEAKED_AT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds up to this number are sent to the tasks with their items; beyond, all grams of the corpus are shuffled.
-MAX_SENT = 2_000_000
+MAX_SENT = 500_000
 #: Alignments that a task remembers, so that copies of a passage are aligned once.
 REMEMBERED = 20_000
 
@@ -74,29 +75,28 @@ def seeds_of(items: DataFrame) -> DataFrame:
     return items.mapInArrow(arrow_rows(schema, of), "seed long, item_id long, item_text string, item_pos int")
 
 
-HITS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("seed", pa.int64()), ("pos", pa.int32())])
+HITS = pa.schema([("row", pa.int64()), ("seed", pa.int64()), ("pos", pa.int32())])
 
 
 def hits_of(texts: DataFrame) -> DataFrame:
-    """(doc_id, tie, seed, pos) of the grams of all texts."""
+    """(row, seed, pos) of the grams of all texts."""
 
     def of(batch):
-        docs, ties, keys, places = [], [], [], []
-        for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "text")), strict=True):
+        rows, keys, places = [], [], []
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = words_of(text)
             key = gram_keys(np.fromiter(map(word_hash, words), np.uint64, len(words)))
-            docs.append(np.full(len(key), doc))
-            ties.append(np.full(len(key), tie, np.int32))
+            rows.append(np.full(len(key), row))
             keys.append(key)
             places.append(np.arange(len(key), dtype=np.int32))
         none = [np.zeros(0, np.int64)]
-        return {k: np.concatenate(v or none) for k, v in zip(HITS.names, (docs, ties, keys, places), strict=True)}
+        return {k: np.concatenate(v or none) for k, v in zip(HITS.names, (rows, keys, places), strict=True)}
 
     def run(batches):
         for batch in batches:
             yield from arrow_rows(HITS, of)(slices(batch, 512))
 
-    return texts.mapInArrow(run, "doc_id long, tie int, seed long, pos int")
+    return texts.select("row", "text").mapInArrow(run, "row long, seed long, pos int")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -191,20 +191,39 @@ LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa
 LEAK_ROWS = "doc_id long, item_id long, score double, end_word long, n_item_words long"
 
 
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """(seed, item_id, item_text, item_pos) of all items, in a written table."""
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
+    return materialise(seeds_of(items))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -> DataFrame:
     """doc_id, item_id, score, end_word: each pair of a document and an item that it holds, by the best passage."""
-    texts = with_tie(docs)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
-    seeds = materialise(seeds_of(items))
-    scored = _sent(texts, seeds, leaked_at) if seeds.count() <= MAX_SENT else _shuffled(texts, seeds, leaked_at)
+    seeds = items_of(benchmark)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = _sent(texts, seeds, leaked_at) if seeds.count() <= MAX_SENT else _shuffled(numbered(texts), seeds, leaked_at)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word", "n_item_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.end_word", "b.n_item_words")
 
 
+def _held(seeds: DataFrame):
+    """The items as a broadcast: at most MAX_SENT seeds with their items' words."""
+    items = seeds.select("item_id", "item_text").distinct().collect()
+    return seeds.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.item_text) for r in items)))
+
+
+def _found(index: Index, aligner: Aligner, text: str | None):
+    """(item_id, words, (score, end)) of each item that a text holds."""
+    ids, found = index.read(text)
+    for k, places in found.items():
+        item, words = index.items[k]
+        if got := aligner.best(k, words, places, ids):
+            yield item, words, got
+
+
 def _sent(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
     """Scores of all texts, read once, by items that the tasks hold."""
-    items = seeds.select("item_id", "item_text").distinct().collect()
-    held = texts.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.item_text) for r in items)))
+    held = _held(seeds)
 
     def run(batches):
         index, aligner = held.value, Aligner(leaked_at)
@@ -212,53 +231,66 @@ def _sent(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
         def of(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in LEAKS.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids, found = index.read(text)
-                for k, places in found.items():
-                    item, words = index.items[k]
-                    if got := aligner.best(k, words, places, ids):
-                        for name, v in zip(LEAKS.names, (doc, item, *got, len(words)), strict=True):
-                            out[name].append(v)
+                for item, words, got in _found(index, aligner, text):
+                    for name, v in zip(LEAKS.names, (doc, item, *got, len(words)), strict=True):
+                        out[name].append(v)
             return out
 
         for batch in batches:
             yield from arrow_rows(LEAKS, of)(slices(batch, 512))
 
-    return texts.select("doc_id", "text").mapInArrow(run, LEAK_ROWS)
+    return texts.mapInArrow(run, LEAK_ROWS)
+
+
+ROW_LEAKS = LEAKS.insert(0, pa.field("row", pa.int64()))
 
 
 def _shuffled(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
-    """Scores of the texts that hold enough seeds of an item, found by a join of grams."""
+    """Scores of texts(row, doc_id, text) that hold enough seeds of an item, found by a join of grams; with their row."""
     hits = hits_of(texts).join(seeds.select("seed").distinct(), "seed", "left_semi").select(*HITS.names)
     owners = seeds.groupBy("item_id", "item_text").agg(F.count("*").alias("n_grams"))
-    near = hits.join(seeds.select("seed", "item_id", "item_text").distinct(), "seed").groupBy("doc_id", "tie", "item_id", "item_text").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    near = hits.join(seeds.select("seed", "item_id", "item_text").distinct(), "seed").groupBy("row", "item_id", "item_text").agg(F.sort_array(F.collect_set("pos")).alias("places"))
     near = near.join(owners, ["item_id", "item_text"]).where(F.size("places") >= F.least(F.lit(MIN_SEEDS), "n_grams")).drop("n_grams")
     near = materialise(near)
-    wanted = near.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("items"))
+    wanted = near.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("items"))
 
     def run(batches):
         aligner = Aligner(leaked_at)
 
         def of(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in LEAKS.names}
-            for doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "items")), strict=True):
+            out: dict[str, list] = {k: [] for k in ROW_LEAKS.names}
+            for row, doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "text", "items")), strict=True):
                 words = words_of(text)
                 for one in found:
                     own: dict[bytes, int] = {}
                     item = np.array([own.setdefault(w, len(own)) for w in words_of(one["item_text"])], np.int64)
                     ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
                     if got := aligner.best(one["item_text"], item, one["places"], ids):
-                        for k, v in zip(LEAKS.names, (doc, one["item_id"], *got, len(item)), strict=True):
+                        for k, v in zip(ROW_LEAKS.names, (row, doc, one["item_id"], *got, len(item)), strict=True):
                             out[k].append(v)
             return out
 
         for batch in batches:
-            yield from arrow_rows(LEAKS, of)(slices(batch, 512))
+            yield from arrow_rows(ROW_LEAKS, of)(slices(batch, 512))
+
+    return only_rows(texts, near.select("row")).join(wanted, "row").mapInArrow(run, f"row long, {LEAK_ROWS}")
 
-    sources = only_rows(texts, near.select("doc_id", "tie")).dropDuplicates(["doc_id", "tie"])
-    return sources.join(wanted, ["doc_id", "tie"]).mapInArrow(run, LEAK_ROWS)
 
+def clean(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item; up to MAX_SENT seeds without a shuffle."""
+    seeds = items_of(benchmark)
+    if seeds.count() > MAX_SENT:
+        row = fresh("row", docs)
+        rows = numbered(docs, row)
+        leaked = materialise(_shuffled(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), seeds, leaked_at).select(F.col("row").alias(row)).distinct())
+        return rows.join(leaked, row, "left_anti").select(*docs.columns)
+    held = _held(seeds)
+    discard(seeds)
+
+    def run(batches):
+        index, aligner = held.value, Aligner(leaked_at)
+        for batch in batches:
+            for part in slices(batch, 512):
+                yield part.filter(pa.array([next(_found(index, aligner, t), None) is None for t in part.column("text").to_pylist()], pa.bool_()))
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item; rows without doc_id stay."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leaked")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__leaked"), "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

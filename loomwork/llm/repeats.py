@@ -4,16 +4,17 @@ A suffix matters only through its first WINDOW bytes. Suffixes are ordered digit
 that a pass leaves with one member is dropped:
 
 1. The first digit of a window is its minimiser: the smallest hash among the GRAM-byte strings it holds.
-   Equal windows have equal minimisers, and neighbouring windows mostly share one, so that one record
-   (an anchor) stands for a run of suffixes. Anchors that occur once leave here.
-2. The next digit is the whole run of the anchor (all its windows' bytes). Runs found twice or more are
-   repeated at full depth, without looking at their windows one by one.
-3. For anchors with several different runs the last digit is the window itself: one window for each
-   place of each distinct run, however often that run occurs.
-
-Equal groups at the end are exactly the repeated windows. Null and empty texts have no windows. A row is
-known by its doc_id and a hash of its text, so rows with equal doc_id and different texts are different
-documents, and repeated rows are copies of each other that all go. Further columns are ignored.
+   Equal windows have equal minimisers at equal places, and neighbouring windows mostly share one, so that
+   one record (an anchor) stands for a run of suffixes. Anchors that occur once leave here.
+2. Runs found twice or more, known by 128 bits of their bytes, are repeated at full depth.
+3. Different runs of one anchor are ordered by their bytes, one byte a pass: first those of the anchor, then
+   each byte to its right and each to its left, and who is alone in a group leaves. Two windows are equal if
+   their runs are in one group both to the left and to the right as far as the window reaches. Anchors with
+   more than HEAVY distinct runs are spread over tasks instead, by 128 bits of each window's bytes.
+
+Equal groups at the end are exactly the repeated windows. Null and empty texts have no windows. Rows are
+numbered in a written table first, so rows with one doc_id or none are documents of their own, and repeated
+rows are copies of each other that all go. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, materialise, mix64, slices
+from loomwork.llm.common import arrow_rows, discard, materialise, mix64, numbered, slices
 
 WINDOW = 200
 GRAM = 32
-#: Anchors with up to so many distinct runs are compared by one task, in about 10 kB a run; the windows of
-#: others are spread over tasks.
+#: Anchors with up to so many distinct runs are compared by one task; the windows of others are spread over tasks.
 HEAVY = 5000
+#: Bytes of runs that a task orders at a time.
+ORDERED = 6 << 20
 #: Slots of the filter that keeps texts without findings out of a shuffle; at most so many numbers reach the driver.
 SLOTS = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +85,8 @@ def minimisers(h: np.ndarray, width: int) -> np.ndarray:
     return np.where(back[:n] <= low.ravel()[width - 1 : width - 1 + n], back_place[:n], place[width - 1 : width - 1 + n])
 
 
-def runs(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, int]]:
-    """(minimiser's hash, first window, last window) of each run of windows with one anchor."""
+def runs(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int, int, int, int]]:
+    """(minimiser's hash, first window, last window, minimiser's place in the first) of each run of windows with one anchor."""
     raw = np.frombuffer(data, np.uint8)
     out: list = []
     for at in range(0, max(0, len(raw) - window + 1), STRETCH):
@@ -93,48 +95,49 @@ def runs(data: bytes, window: int = WINDOW, gram: int = GRAM) -> list[tuple[int,
         cut = np.flatnonzero(np.diff(where)) + 1
         first = np.concatenate(([0], cut))
         last = np.concatenate((cut, [len(where)])) - 1
-        out += zip(h[where[first]].view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), strict=True)
+        out += zip(h[where[first]].view(np.int64).tolist(), (first + at).tolist(), (last + at).tolist(), (where[first] - first).tolist(), strict=True)
     return out
 
 
-def with_tie(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.hash(text).alias("tie"), text.alias("text"))
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
 
 
-NO_ID = -(2**63)
-ANCHORS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("anchor", pa.int64()), ("run", pa.int64())])
+def wide_hash(data: bytes) -> tuple[int, int]:
+    """128 bits as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(data)
+    return _signed(h >> 64), _signed(h & (2**64 - 1))
+
+
+#: off: the anchor's place in the first window; run, run2: bits of all the windows' bytes.
+ANCHORS = pa.schema([("row", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("run", pa.int64()), ("run2", pa.int64())])
+RUN = ["anchor", "run", "run2"]
 
 
 def anchors(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """One record for each run; run is a hash of the bytes of all its windows."""
+    """One record for each run of texts(row, text)."""
 
     def of(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ANCHORS.names}
-        for doc, tie, text in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "text")), strict=True):
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = text.encode()
-            found = runs(data, window, gram)
-            out["doc_id"] += [doc] * len(found)
-            out["tie"] += [tie] * len(found)
-            out["anchor"] += [r[0] for r in found]
-            out["first"] += [r[1] for r in found]
-            out["last"] += [r[2] for r in found]
-            out["run"] += [xxhash.xxh3_64_intdigest(data[first : last + window]) for _, first, last in found]
-        out["run"] = np.array(out["run"], np.uint64).view(np.int64)
+            for anchor, first, last, off in runs(data, window, gram):
+                for k, v in zip(ANCHORS.names, (row, first, last, off, anchor, *wide_hash(data[first : last + window])), strict=True):
+                    out[k].append(v)
         return out
 
     def run(batches):
         for batch in batches:
             yield from arrow_rows(ANCHORS, of)(slices(batch, 512))
 
-    return texts.mapInArrow(run, "doc_id long, tie int, first int, last int, anchor long, run long")
+    return texts.select("row", "text").mapInArrow(run, "row long, first int, last int, off int, anchor long, run long, run2 long")
 
 
 def only_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts whose key may be among wanted(doc_id, tie): a filter of SLOTS bits, whatever the input's size.
+    """Texts whose row may be among wanted(row): a filter of SLOTS bits, whatever the input's size.
 
     It only saves shuffling texts that the join after it would drop."""
-    slot = F.pmod(F.xxhash64("doc_id", "tie"), F.lit(SLOTS)).cast("int")
+    slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS)).cast("int")
     bits = np.zeros(SLOTS, bool)
     bits[wanted.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy()] = True
     held = texts.sparkSession.sparkContext.broadcast(np.packbits(bits))
@@ -147,85 +150,130 @@ def only_rows(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.where(among(slot))
 
 
-RUN_BYTES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("bytes", pa.binary())])
-PLACES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
-WINDOWS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("lo", pa.int32()), ("window", pa.int64())])
+RUN_BYTES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("run2", pa.int64()), ("n_runs", pa.int64()), ("off", pa.int32()), ("bytes", pa.binary())])
+RUN_BYTES_DDL = "anchor long, run long, run2 long, n_runs long, off int, bytes binary"
+PLACES = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("run2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+WINDOWS = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("run2", pa.int64()), ("lo", pa.int32()), ("window", pa.int64()), ("window2", pa.int64())])
+
 
+def _grouped(group: np.ndarray, digit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal (group, digit), and which members aren't alone in theirs."""
+    _, at, n = np.unique(group * size + digit, return_inverse=True, return_counts=True)
+    return at, n[at] > 1
 
-def _windows_of(data: bytes, window: int) -> list[int]:
-    of = xxhash.xxh3_64_intdigest
-    return [of(data[k : k + window]) for k in range(len(data) - window + 1)]
+
+def _passes(group: np.ndarray, digits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[depth, run]: the group by the first depth digits, -1 for who is alone or has fewer digits; digits[run, depth]."""
+    out = np.full((digits.shape[1] + 1, len(group)), -1, np.int64)
+    out[0] = group
+    members = np.flatnonzero(group >= 0)
+    for depth in range(1, digits.shape[1] + 1):
+        members = members[sizes[members] >= depth]
+        at, more = _grouped(out[depth - 1, members], digits[members, depth - 1], 256)
+        members = members[more]
+        if not len(members):
+            break
+        out[depth, members] = at[more]
+    return out
 
 
-def _compare(group: pa.Table, window: int) -> pa.Table:
-    """All distinct runs of one anchor: where each has windows that another one has too."""
-    runs_, data = group.column("run").to_pylist(), group.column("bytes").to_pylist()
-    hashes = [_windows_of(d, window) for d in data]
-    seen: dict[int, int] = {}
-    for h in hashes:
-        for x in set(h):
-            seen[x] = seen.get(x, 0) + 1
-    out: dict[str, list] = {k: [] for k in PLACES.names}
-    for run, h in zip(runs_, hashes, strict=True):
-        again = np.concatenate(([0], np.fromiter((seen[x] > 1 for x in h), np.int8, len(h)), [0]))
-        step = np.diff(again)
-        lo, hi = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
-        out["run"] += [run] * len(lo)
-        out["lo"] += lo.tolist()
-        out["hi"] += hi.tolist()
-    out["anchor"] = [group.column("anchor")[0].as_py()] * len(out["run"])
-    return pa.table({k: pa.array(out[k], PLACES.field(k).type) for k in PLACES.names})
+def shared_windows(anchor: np.ndarray, off: np.ndarray, data: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, lo, hi): windows that a run shares with another run of its anchor."""
+    n, depth = len(data), window - gram
+    sizes = np.fromiter(map(len, data), np.int64, n)
+    flat = np.frombuffer(b"".join(data) + bytes(window), np.uint8)
+    middle = np.cumsum(sizes) - sizes + off
+    right_size, left_size = sizes - off - gram, off.astype(np.int64)
+    col = np.arange(depth)
+    right = flat[np.minimum(middle[:, None] + gram + col, len(flat) - 1)]
+    left = flat[np.maximum(middle[:, None] - 1 - col, 0)]
+    group = np.unique(anchor, return_inverse=True)[1]
+    for k in range(gram):
+        group = _grouped(group, flat[middle + k], 256)[0]
+    alone = ~_grouped(group, np.zeros(n, np.int64), 1)[1]
+    group[alone] = -1
+    rights, lefts = _passes(group, right, right_size), _passes(group, left, left_size)
+    again = np.zeros((n, depth + 2), bool)  # by the window's place in the run, with an end that is never shared
+    for d in range(depth + 1):
+        some = np.flatnonzero((lefts[d] >= 0) & (rights[depth - d] >= 0))
+        if len(some):
+            some = some[_grouped(lefts[d, some], rights[depth - d, some], n + 1)[1]]
+            again[some, off[some] - d] = True
+    step = np.diff(again.astype(np.int8), axis=1, prepend=0)
+    run, lo = np.nonzero(step == 1)
+    return run, lo, np.nonzero(step == -1)[1] - 1
+
+
+def _ordered(batches, window: int, gram: int):
+    """Places of shared windows, of runs that come with all of an anchor's together."""
+
+    def places(part: pa.Table) -> pa.RecordBatch:
+        run, lo, hi = shared_windows(part.column("anchor").to_numpy(), part.column("off").to_numpy(), part.column("bytes").to_pylist(), window, gram)
+        keys = [pa.array(part.column(k).to_numpy()[run]) for k in RUN]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=PLACES)
+
+    held: list = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) > ORDERED:
+            part = pa.Table.from_batches(held)
+            anchor = part.column("anchor").to_numpy()
+            whole = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if whole:
+                yield places(part.slice(0, whole))
+            held = part.slice(whole).combine_chunks().to_batches()
+    if held:
+        yield places(pa.Table.from_batches(held))
 
 
 def repeated_places(texts: DataFrame, window: int, gram: int, heavy: int) -> DataFrame:
-    """(doc_id, tie, lo, hi): first and last start of adjoining repeated windows."""
-    marks = materialise(anchors(texts, window, gram))
+    """(row, lo, hi): first and last start of adjoining repeated windows."""
+    all_marks = materialise(anchors(texts, window, gram))
     # Written, so that the join below is one of two plain shuffles and a hot anchor's task can be split.
-    often = materialise(marks.groupBy("anchor").count().where("count > 1").select("anchor"))
-    marks = materialise(marks.join(often, "anchor", "left_semi"))
-    by_run = materialise(marks.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tie", "first", "last")).alias("at")))
+    often = materialise(all_marks.groupBy("anchor").count().where("count > 1").select("anchor"))
+    marks = materialise(all_marks.join(often, "anchor", "left_semi"))
+    discard(all_marks, often)
+    by_run = materialise(marks.groupBy(*RUN).agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last", "off")).alias("at")))
     n_runs = by_run.groupBy("anchor").agg(F.count("*").alias("n_runs")).where("n_runs > 1")
-    mixed = materialise(by_run.join(n_runs, "anchor").select("anchor", "run", "n_runs", "copies", "at.*"))
+    mixed = materialise(by_run.join(n_runs, "anchor").select(*RUN, "n_runs", "at.*"))
 
     def cut(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("anchor", "run", "n_runs", "bytes")}
+        out: dict[str, list] = {k: [] for k in RUN_BYTES.names}
         for text, parts in zip(batch.column("text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
             data = text.encode()
             for p in parts:
-                for k in ("anchor", "run", "n_runs"):
+                for k in (*RUN, "n_runs", "off"):
                     out[k].append(p[k])
                 out["bytes"].append(data[p["first"] : p["last"] + window])
         return out
 
-    wanted = mixed.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "run", "n_runs", "first", "last")).alias("parts"))
-    schema = pa.schema([("anchor", pa.int64()), ("run", pa.int64()), ("n_runs", pa.int64()), ("bytes", pa.binary())])
-    sources = only_rows(texts, mixed.select("doc_id", "tie")).dropDuplicates(["doc_id", "tie"])
-    pieces = materialise(sources.join(wanted, ["doc_id", "tie"]).select("text", "parts").mapInArrow(arrow_rows(schema, cut), "anchor long, run long, n_runs long, bytes binary"))
+    wanted = mixed.groupBy("row").agg(F.collect_list(F.struct(*RUN, "n_runs", "first", "last", "off")).alias("parts"))
+    pieces = materialise(only_rows(texts, mixed.select("row")).join(wanted, "row").select("text", "parts").mapInArrow(arrow_rows(RUN_BYTES, cut), RUN_BYTES_DDL))
 
-    light = pieces.where(F.col("n_runs") <= heavy).select("anchor", "run", "bytes").groupBy("anchor").applyInArrow(lambda g: _compare(g, window), "anchor long, run long, lo int, hi int")
+    light = pieces.where(F.col("n_runs") <= heavy).select(*RUN, "off", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    light = light.mapInArrow(lambda batches: _ordered(batches, window, gram), "anchor long, run long, run2 long, lo int, hi int")
 
     def spread(batches):
         for batch in batches:
             for part in slices(batch, 200):
                 out: dict[str, list] = {k: [] for k in WINDOWS.names}
-                for anchor, run, data in zip(*(part.column(k).to_pylist() for k in RUN_BYTES.names), strict=True):
-                    h = _windows_of(data, window)
-                    out["anchor"] += [anchor] * len(h)
-                    out["run"] += [run] * len(h)
-                    out["lo"] += range(len(h))
-                    out["window"] += h
-                out["window"] = np.array(out["window"], np.uint64).view(np.int64)
+                for anchor, run, run2, data in zip(*(part.column(k).to_pylist() for k in (*RUN, "bytes")), strict=True):
+                    for lo in range(len(data) - window + 1):
+                        for k, v in zip(WINDOWS.names, (anchor, run, run2, lo, *wide_hash(data[lo : lo + window])), strict=True):
+                            out[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in WINDOWS], schema=WINDOWS)
 
-    windows = pieces.where(F.col("n_runs") > heavy).select("anchor", "run", "bytes").mapInArrow(spread, "anchor long, run long, lo int, window long")
-    again = windows.groupBy("anchor", "window").agg(F.countDistinct("run").alias("n")).where("n > 1").select("anchor", "window")
-    spread_out = windows.join(again, ["anchor", "window"], "left_semi").select("anchor", "run", "lo", F.col("lo").alias("hi"))
-    whole = by_run.where("copies > 1").select("anchor", "run", F.lit(0).alias("lo"), (F.col("at.last") - F.col("at.first")).alias("hi"))
+    windows = pieces.where(F.col("n_runs") > heavy).select(*RUN, "bytes").mapInArrow(spread, "anchor long, run long, run2 long, lo int, window long, window2 long")
+    key, run = ["anchor", "window", "window2"], F.struct("run", "run2")
+    again = windows.groupBy(*key).agg(F.min(run).alias("least"), F.max(run).alias("most")).where("least <> most").select(*key)
+    spread_out = windows.join(again, key, "left_semi").select(*RUN, "lo", F.col("lo").alias("hi"))
+    whole = by_run.where("copies > 1").select(*RUN, F.lit(0).alias("lo"), (F.col("at.last") - F.col("at.first")).alias("hi"))
     found = materialise(whole.unionByName(light).unionByName(spread_out))
-    return marks.join(found, ["anchor", "run"]).select("doc_id", "tie", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    discard(by_run, mixed, pieces)
+    return marks.join(found, RUN).select("row", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("tie", pa.int32()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
+RESULT = pa.schema([("row", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string())])
 
 
 def cut_out(data: bytes, parts: list[tuple[int, int]], window: int) -> tuple[bytes, int, int]:
@@ -243,18 +291,18 @@ def cut_out(data: bytes, parts: list[tuple[int, int]], window: int) -> tuple[byt
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs."""
-    texts = with_tie(docs)
-    places = materialise(repeated_places(texts, window, gram, heavy).groupBy("doc_id", "tie").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")))
+    texts = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    places = materialise(repeated_places(texts, window, gram, heavy).groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("parts")))
 
     def of(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in RESULT.names}
-        for doc, tie, text, parts in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "tie", "text", "parts")), strict=True):
+        for row, text, parts in zip(*(batch.column(k).to_pylist() for k in ("row", "text", "parts")), strict=True):
             rest, removed, spans = cut_out(text.encode(), [(p["lo"], p["hi"]) for p in parts], window)
-            for k, v in zip(RESULT.names, (doc, tie, removed, spans, hashlib.sha256(rest).hexdigest()), strict=True):
+            for k, v in zip(RESULT.names, (row, removed, spans, hashlib.sha256(rest).hexdigest()), strict=True):
                 out[k].append(v)
         return out
 
-    once = only_rows(texts, places.select("doc_id", "tie")).dropDuplicates(["doc_id", "tie"])
-    changed = once.join(places, ["doc_id", "tie"]).mapInArrow(arrow_rows(RESULT, of), "doc_id long, tie int, n_removed long, n_spans long, kept string")
-    every = texts.select("doc_id", "tie", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return every.join(changed, ["doc_id", "tie"], "left").select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    none = F.lit(0).cast("long")
+    changed = only_rows(texts, places.select("row")).join(places, "row").select("row", "text", "parts").mapInArrow(arrow_rows(RESULT, of), "row long, n_removed long, n_spans long, kept string")
+    every = texts.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    return every.join(changed, "row", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))

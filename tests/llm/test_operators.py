@@ -262,7 +262,15 @@ def test_decontamination(spark, odd, empty):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
     decontaminate.MAX_SENT = old
     assert decontaminate.leaks(odd, bench).count() == decontaminate.leaks(empty, bench).count() == decontaminate.leaks(df, bench.where("false")).count() == 0
-    assert decontaminate.clean(df, bench).count() == 60 - len(want)
+    odd_rows = df.withColumn("row", F.lit("clash")).unionByName(df.where("doc_id % 3 < 2").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit("clash").alias("row")))
+    for sent in (decontaminate.MAX_SENT, 0):
+        decontaminate.MAX_SENT, old = sent, decontaminate.MAX_SENT
+        assert decontaminate.clean(df, bench).count() == 60 - len(want)
+        kept = decontaminate.clean(odd_rows, bench)
+        assert kept.columns == odd_rows.columns and kept.where("doc_id is null").count() == 20
+        assert {r.doc_id for r in decontaminate.leaks(odd_rows, bench).collect()} == {d for d, _ in want} | {None}
+        assert decontaminate.clean(empty, bench).count() == 0 and decontaminate.clean(odd, bench).count() == len(ODD) + 1
+        decontaminate.MAX_SENT = old
 
 
 def test_decontamination_of_copies(spark):
@@ -422,8 +430,9 @@ def brute_repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("heavy", [5000, 3])
-def test_repeats(spark, heavy):
+@pytest.mark.parametrize(("heavy", "ordered"), [(5000, 6 << 20), (5000, 20_000), (3, 6 << 20)])
+def test_repeats(spark, monkeypatch, heavy, ordered):
+    monkeypatch.setattr(repeats, "ORDERED", ordered)
     rng = random.Random(2)
     base = ["".join(rng.choices("abé ", k=rng.randint(0, 900))) for _ in range(20)]
     texts = list(base)
@@ -431,11 +440,47 @@ def test_repeats(spark, heavy):
         t = "".join(rng.choice(base)[rng.randint(0, 300) :][: rng.randint(0, 500)] for _ in range(rng.randint(1, 4)))
         texts.append(t[:50] + "z" + t[51:] if rng.random() < 0.5 else t)
     texts += [None, "", "a" * 1000, "ab" * 400, "a" * 199, "a" * 200, base[0], base[0]]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("tie", F.lit("clash"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.lit("clash"))
     got = {r.doc_id: tuple(r)[1:] for r in repeats.remove_repeats(df, heavy=heavy).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts, 200)
 
 
+def test_shared_windows_are_compared_by_bytes():
+    """One anchor for all runs, as if hashes collided: only equal bytes count."""
+    import numpy as np
+
+    rng = random.Random(11)
+    window, gram = 12, 4
+    for _ in range(300):
+        middles = ["".join(rng.choices("ab", k=gram)) for _ in range(2)]
+        runs = set()
+        for _ in range(rng.randint(1, 12)):
+            reach = window - gram
+            before, after = rng.randint(0, reach), rng.randint(0, reach)
+            if before + after >= reach:
+                runs.add(("".join(rng.choices("ab", k=before)) + rng.choice(middles) + "".join(rng.choices("ab", k=after)), before))
+        runs = sorted(runs)
+        data, off = [r.encode() for r, _ in runs], np.array([o for _, o in runs], np.int32)
+        seen = collections.defaultdict(set)
+        for k, (d, o) in enumerate(zip(data, off.tolist(), strict=True)):
+            for lo in range(len(d) - window + 1):
+                seen[d[lo : lo + window], o - lo].add(k)
+        want = {(k, o - place) for (w, place), ks in seen.items() for k in ks if len(ks) > 1 for o in [off[k].item()]}
+        run, lo, hi = repeats.shared_windows(np.zeros(len(data), np.int64), off, data, window, gram) if data else ([], [], [])
+        assert {(r, k) for r, a, b in zip(run, lo, hi, strict=True) for k in range(a, b + 1)} == want
+
+
+def test_repeats_of_rows_without_an_id_of_their_own(spark):
+    """Rows of one doc_id, or none, are documents of their own: unique text stays, whatever the hashes of texts are."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefgh ", k=256)) for _ in range(40)]
+    rows = [(None, t) for t in texts] + [(7, t) for t in texts[:10]] + [(7, "unique " * 3 + "".join(rng.choices("xyz", k=300)))] * 2 + [(7, "".join(rng.choices("xyz", k=300)))]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_repeats([t for _, t in rows], 200)
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((d, *w)) for (d, _), w in zip(rows, want, strict=True))
+    assert sum(r.n_removed == 0 for r in got) == 31
+
+
 def test_repeats_of_odd_rows(odd, empty, docs):
     assert repeats.remove_repeats(odd).count() == len(ODD) + 1 and repeats.remove_repeats(empty).count() == 0
     rows = docs.collect()
