@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/loomwork-checkpoints"
+    """A new path in spark.checkpoint.dir. Without that setting, a local session gets a folder of this machine; a cluster is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/loomwork-checkpoints"
     return f"{base.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a new table; it survives lost executors."""
+    """The same rows, read back from a new table; it survives lost executors. discard() removes the table."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on any file system that Spark reaches."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the tables behind results of written(), which nothing may read any more."""
+    for t in tables:
+        remove(t.sparkSession, t.written_path)
