@@ -9,7 +9,9 @@ background's; low scores are close to the target.
 Rows are dealt to blocks of about BLOCK_BYTES of text by a hash. A block sends each of its distinct words
 and word pairs once, with its counts, to the bucket of their key; buckets add up and answer with the sums in
 the same order; the block, dealt the same way, scores its rows. So the whole table of counts is spread over
-tasks, grows with the corpus, and nothing of it reaches the driver. Words and pairs are known by 64-bit hashes.
+tasks, grows with the corpus, and nothing of it reaches the driver. Words and pairs are known by their bucket
+and 48 bits of a hash, so they get longer with the corpus. A message holds keys as differences in order, and
+counts as one byte a key, with a list of those that don't fit.
 
 Null and empty texts have no words: their losses are null. Rows with equal doc_id are scored one by one;
 further columns are ignored. Without target documents the target knows no words and gives each the same loss.
@@ -28,7 +30,7 @@ from loomwork.llm.common import materialise, mix64, split_words
 #: Weight of the bigram against the word's own frequency; share and size of the probability of words not counted.
 BIGRAM, UNSEEN, FLOOR = 0.7, 0.01, 1e-6
 #: Text of one block. A task holds one block and about 30 times its bytes.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Rows equal in doc_id and text up to this number share a block.
 REPEATS = 5_000
 #: What stands before a text's first word.
@@ -36,10 +38,18 @@ BEGIN = np.uint64(1)
 #: Words whose hashes a block remembers.
 KNOWN = 500_000
 
-COUNTS_DDL = "bucket int, block int, keys array<long>, n array<int>, n_target array<int>"
-COUNTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("n_target", pa.list_(pa.int32()))])
-SUMS_DDL = "block int, bucket int, n array<long>, n_target array<long>"
-SUMS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.list_(pa.int64())), ("n_target", pa.list_(pa.int64()))])
+#: Bits of a key within its bucket.
+KEY_BITS = 48
+#: Counts up to this go into half a byte.
+SMALL = 15
+
+#: A message: low and high are the keys' differences; counts hold n and n_target in halves of a byte, where neither is
+#: over SMALL; others stand in at, n and n_target.
+COUNTS_DDL = "bucket int, block int, low array<int>, high array<short>, counts binary, at array<int>, n array<int>, n_target array<int>"
+COUNTS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("low", pa.list_(pa.int32())), ("high", pa.list_(pa.int16())), ("counts", pa.binary()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("n_target", pa.list_(pa.int32()))])
+#: An answer: sums as floats, exact up to 2^24.
+SUMS_DDL = "block int, bucket int, n array<float>, n_target array<float>"
+SUMS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.list_(pa.float32())), ("n_target", pa.list_(pa.float32()))])
 SCORES_DDL = "doc_id long, n_words long, target_loss double, background_loss double, loss_diff double"
 SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("loss_diff", pa.float64())])
 
@@ -51,7 +61,7 @@ def words_of(text: str | None) -> list[bytes]:
 class Block:
     """Rows as keys: words, what stands before each, and pairs of both, as places in the sorted distinct keys."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, buckets: int):
         marks = table.column("is_target").to_numpy(zero_copy_only=False)
         rows = table.filter(pa.array(~marks))
         self.doc_ids = rows.column("doc_id").to_pylist()
@@ -74,9 +84,11 @@ class Block:
         before[1:] = word[:-1]
         before[self.first] = BEGIN
         pair = mix64(before * np.uint64(3) + word)
-        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        self.keys, at = np.unique(np.concatenate((word, pair, np.full(len(self.first), BEGIN))), return_inverse=True)
+        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        keys = np.concatenate((word, pair, np.full(len(self.first), BEGIN)))
         n = len(word)
+        del hashed, known, word, pair, before
+        self.bucket, self.keys, at = dealt(keys, buckets)
         self.word, self.pair, self.begin = at[:n], at[n : 2 * n], at[2 * n :]
 
     def counts(self, of: np.ndarray) -> np.ndarray:
@@ -87,7 +99,7 @@ class Block:
 
     def own(self, places: np.ndarray) -> np.ndarray:
         """How often the key at each place of a row stands in that row."""
-        _, at, n = np.unique(self.row * max(1, len(self.keys)) + places, return_inverse=True, return_counts=True)
+        _, at, n = np.unique(self.row * np.int64(max(1, len(self.keys))) + places, return_inverse=True, return_counts=True)
         return n[at]
 
     def losses(self, n: np.ndarray, total: int, holds: np.ndarray) -> np.ndarray:
@@ -105,39 +117,62 @@ class Block:
         return np.bincount(self.row, weights=-np.log(p), minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
 
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, as buckets and KEY_BITS bits within them, and the place of each of keys among them.
 
+    A bucket is a range of keys, so what its number says needn't be sent: beyond 2^16 buckets no bit of 64 is lost."""
+    shift = max(0, 64 - KEY_BITS - (buckets.bit_length() - 1))
+    some, at = np.unique(keys >> np.uint64(shift), return_inverse=True)
+    many, half = np.uint64(buckets), np.uint64(32 - shift)
+    bucket = (some >> half) * many >> np.uint64(32)
+    start = ((bucket << np.uint64(32)) + many - np.uint64(1)) // many
+    return bucket.astype(np.int32), some - (start << half), at.astype(np.int32)
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets in the order of keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+def packed(keys: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> dict:
+    """One message; keys are of KEY_BITS bits, in order."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    fits = (n <= SMALL) & (n_target <= SMALL)
+    at = np.flatnonzero(~fits).astype(np.int32)
+    counts = np.where(fits, n | n_target << 4, 0).astype(np.uint8)
+    return {"low": step.astype(np.uint32).view(np.int32), "high": (step >> np.uint64(32)).astype(np.uint16).view(np.int16), "counts": counts.tobytes(), "at": at, "n": n[at], "n_target": n_target[at]}
+
+
+def unpacked(message: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """keys, n and n_target."""
+    keys = np.cumsum(message["low"].view(np.uint32).astype(np.uint64) | message["high"].view(np.uint16).astype(np.uint64) << np.uint64(32), dtype=np.uint64)
+    counts = np.frombuffer(message["counts"], np.uint8).astype(np.int32)
+    n, n_target = counts & SMALL, counts >> 4
+    n[message["at"]], n_target[message["at"]] = message["n"], message["n_target"]
+    return keys, n, n_target
 
 
 def count_block(table: pa.Table, buckets: int) -> pa.Table:
     """What a block sends to each bucket: its distinct keys there, in order, and how often they stand in either model."""
-    block = Block(table)
-    bucket = bucket_of(block.keys, buckets)
-    some, first = np.unique(bucket, return_index=True)
-    cuts = np.append(first, len(bucket))
-    columns = [_lists(block.keys.view(np.int64), cuts, pa.int64()), _lists(block.counts(~block.target), cuts, pa.int32()), _lists(block.counts(block.target), cuts, pa.int32())]
-    return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), table.column("block")[0].as_py()), pa.int32()), *columns], schema=COUNTS)
+    number = table.column("block")[0].as_py()
+    block = Block(table, buckets)
+    del table
+    n, n_target = block.counts(~block.target), block.counts(block.target)
+    some, first = np.unique(block.bucket, return_index=True)
+    out = [{"bucket": b, "block": number} | packed(block.keys[lo:hi], n[lo:hi], n_target[lo:hi]) for b, lo, hi in zip(some.tolist(), first, [*first[1:], len(n)], strict=True)]
+    return pa.Table.from_arrays([pa.array([m[f.name] for m in out], f.type) for f in COUNTS], schema=COUNTS)
 
 
 def sum_bucket(table: pa.Table) -> pa.Table:
     """The answers to all blocks: the sums of their keys, in the order in which they came."""
-    table = table.combine_chunks()
-    flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("keys", "n", "n_target")]
-    cuts = np.concatenate(([0], np.cumsum(table.column("keys").combine_chunks().value_lengths().to_numpy())))
-    keys, at = np.unique(flat[0], return_inverse=True)
-    sums = [np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)[at] for n in flat[1:]]
-    return pa.Table.from_arrays([table.column("block"), table.column("bucket"), *(_lists(s, cuts, pa.int64()) for s in sums)], schema=SUMS)
+    lists = [k for k, f in zip(COUNTS.names, COUNTS, strict=True) if pa.types.is_list(f.type)]
+    messages = [unpacked({k: part.column(k)[i].values.to_numpy() for k in lists} | {"counts": part.column("counts")[i].as_py()}) for part in table.to_batches() for i in range(part.num_rows)]
+    cuts = np.cumsum([0, *(len(m[0]) for m in messages)]).astype(np.int32)
+    keys, at = np.unique(np.concatenate([m[0] for m in messages]), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate([m[k] for m in messages]), minlength=len(keys)).astype(np.float32)[at] for k in (1, 2)]
+    return pa.Table.from_arrays([table.column("block"), table.column("bucket"), *(pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in sums)], schema=SUMS)
 
 
-def score_block(table: pa.Table, answers: pa.Table, total: int, total_target: int) -> pa.Table:
-    block = Block(table)
+def score_block(table: pa.Table, answers: pa.Table, buckets: int, total: int, total_target: int) -> pa.Table:
+    """Scores of a block's rows; the answers' sums stand in the order of its keys."""
+    block = Block(table, buckets)
     answers = answers.sort_by("bucket")
-    n, n_target = (np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in answers.column(k).chunks)]) for k in ("n", "n_target"))
+    n, n_target = (np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in answers.column(k).chunks)]).astype(float) for k in ("n", "n_target"))
     target, background = block.losses(n_target, total_target, block.target), block.losses(n, total, ~block.target)
     none = block.sizes == 0
     return pa.Table.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, mask=none) for x in (target, background, target - background))], schema=SCORES)
@@ -166,4 +201,4 @@ def differences(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYT
     dealt = rows.select(block, "doc_id", "text", F.lit(False).alias("is_target")).unionByName(marks)
     counts = dealt.groupBy("block").applyInArrow(lambda t: count_block(t, blocks), COUNTS_DDL)
     sums = counts.groupBy("bucket").applyInArrow(sum_bucket, SUMS_DDL)
-    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, total, total_target), SCORES_DDL)
+    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(lambda t, a: score_block(t, a, blocks, total, total_target), SCORES_DDL)

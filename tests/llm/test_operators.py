@@ -399,13 +399,30 @@ def test_lm_differences(spark, docs, labels, odd, empty, repeats):
     assert lmscore.differences(odd, labels.where("false")).count() == len(ODD) + 1
 
 
+def test_lm_messages():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for buckets in (1, 3, 1000, 2**16, 5_000_000):
+        keys = rng.integers(0, 2**64 - 1, 3000, np.uint64)
+        bucket, key, at = lmscore.dealt(keys, buckets)
+        assert len(at) == 3000 and len(set(zip(bucket.tolist(), key.tolist(), strict=True))) == len(key) and (np.diff(bucket) >= 0).all()
+        assert key.max() < 2**lmscore.KEY_BITS and 0 <= bucket.min() and bucket.max() < buckets
+        assert (np.diff(key.astype(np.int64))[np.diff(bucket) == 0] > 0).all()
+    for size in (1, 1, 1, 1, 5, 4000):
+        keys = np.unique(rng.integers(0, 2**lmscore.KEY_BITS, size, np.uint64))
+        n, n_target = (rng.choice([0, 1, 15, 16, 300, 2**30], len(keys)).astype(np.int32) for _ in range(2))
+        for got, want in zip(lmscore.unpacked(lmscore.packed(keys, n, n_target)), (keys, n, n_target), strict=True):
+            assert got.tolist() == want.tolist()
+
+
 def test_lm_table_of_sums_grows(spark):
     """The model has one sum for each word and pair of the corpus, whatever its size."""
     rng = random.Random(9)
     for n in (200, 2000):
         df = spark.createDataFrame([(k, " ".join(str(rng.randrange(n)) for _ in range(20))) for k in range(n // 10)], "doc_id long, text string")
         table = df.selectExpr("0 as block", "doc_id", "text", "false as is_target").toArrow()
-        block = lmscore.Block(table)
+        block = lmscore.Block(table, 7)
         texts = [lmscore.words_of(r.text) for r in df.collect()]
         assert len(block.keys) == len({w for t in texts for w in t}) + len({x for t in texts for x in zip([None, *t], t, strict=False)}) + 1
 
