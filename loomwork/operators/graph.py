@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.plans.store import written
+from loomwork.plans.store import discard, kept, written
 
 
 #: Parents whose children one task numbers.
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round takes the smallest label of the neighbours and then the label of that label, so the
     number of rounds grows with the logarithm of a component's length. Each round is written to the
-    shared folder. Nodes without an edge don't appear; an empty table gives an empty one.
+    shared folder and removed after the next; discard() removes the last. Nodes without an edge don't appear; an empty table gives an empty one.
     """
     both = written(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).distinct())
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")))
@@ -26,8 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("old"), F.least("label", "near").alias("next")))
         of = step.select(F.col("node").alias("root"), F.col("next").alias("root_label"))
         jumped = written(step.join(of, F.col("next") == F.col("root")).select("node", "old", F.least("next", "root_label").alias("label")))
-        labels = jumped.select("node", "label")
+        discard(labels, step)
+        labels = kept(jumped.select("node", "label"), jumped)
         if jumped.where("old <> label").isEmpty():
+            discard(both)
             return labels
 
 

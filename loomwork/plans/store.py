@@ -27,6 +27,12 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def kept(view: DataFrame, table: DataFrame) -> DataFrame:
+    """A view of a written table that discard() takes for it."""
+    view.written_path = table.written_path
+    return view
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder on any file system that Spark reaches."""
     sc = spark.sparkContext
