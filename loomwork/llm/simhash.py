@@ -1,15 +1,17 @@
 """SimHash near-duplicates: a byte-position inverted index with count filtering.
 
 A fingerprint has eight bytes; three differing bits touch three of them at most, so two linked
-fingerprints share five positional bytes at least. The index has postings for the 14 sets of four
-positions whose numbers xor to zero: any five positions hold exactly one such set, so every link meets
-in a posting. Pairs of a posting are tallied (shared positional bytes), those with five or more kept,
-and verified by their differing bits. A posting of more than HEAVY fingerprints isn't paired: each of
-its members offers itself to all points within two bits, and what meets at a point that one member
-reaches within one bit is linked in a star; that keeps every link and grows with the posting's size.
+fingerprints share five positional bytes at least. Postings of single positional bytes would hold 1/256 of
+all rows each, so the index has postings for sets of four positions: 28 sets in which any five positions
+hold exactly two, and any four at most one. Each posting in which a pair meets is tallied; pairs that share
+five positional bytes or more are those tallied at least twice, the guaranteed minimum. They are kept and
+verified by their differing bits. A posting of more than HEAVY fingerprints isn't paired: each of its
+members offers itself to all points within two bits, and what meets at a point that one member reaches
+within one bit is linked in a star; that keeps every link and grows with the posting's size.
 
 Copies share one fingerprint and enter once. Null and empty texts have fingerprint zero and are linked
-like others. Rows with equal doc_id are kept as they are; further columns are ignored.
+like others. Rows with equal doc_id are rows of their own, in keep_first() too; further columns are ignored
+by near_duplicates() and kept by keep_first(). A text's shingles are hashed STRETCH at a time.
 """
 
 from __future__ import annotations
@@ -22,22 +24,37 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import arrow_rows, materialise, split_words
+from loomwork.llm.common import arrow_rows, discard, fresh, materialise, numbered, split_words
 from loomwork.operators.graph import components
 
 SEED = 42
 WORDS = 3
 BITS = 3
 SHARED = 8 - BITS
-HEAVY = 1000
+#: In how many postings a pair meets that shares SHARED positional bytes.
+MEETINGS = 2
+HEAVY = 300
+STRETCH = 1 << 16
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-#: The 14 sets of four byte positions, and their masks.
-SETS = [s for s in itertools.combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
+#: The 14 sets of four positions whose numbers xor to zero: any three positions are in one of them, any five hold one.
+PLANES = [s for s in itertools.combinations(range(8), 4) if s[0] ^ s[1] ^ s[2] ^ s[3] == 0]
+
+
+def _other_planes() -> list[tuple[int, ...]]:
+    """The first renumbering of PLANES that has none of them."""
+    for order in itertools.permutations(range(8)):
+        turned = sorted(tuple(sorted(order[p] for p in s)) for s in PLANES)
+        if not set(turned) & set(PLANES):
+            return turned
+    raise AssertionError
+
+
+SETS = [*PLANES, *_other_planes()]
 MASKS = [_signed(sum(255 << (8 * p) for p in s)) for s in SETS]
 
 
@@ -46,32 +63,25 @@ def fingerprint(text: str | None) -> int:
     words = split_words((text or "").encode().lower())
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) < WORDS:
-        h = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))
-        of = xxhash.xxh64_intdigest
-        h = np.array([of(joined[a:b], SEED) for a, b in zip(starts[: 1 - WORDS].tolist(), (ends[WORDS - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    of, joined, n = xxhash.xxh64_intdigest, b" ".join(words), max(1, len(words) - WORDS + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[:n]
+    stops = ends[min(WORDS, len(words)) - 1 :] - 1
     ones = np.zeros(64, np.int64)
-    for at in range(0, len(h), 4096):
-        ones += np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little", signed=True)
+    for at in range(0, n, STRETCH):
+        h = np.array([of(joined[a:b], SEED) for a, b in zip(starts[at : at + STRETCH].tolist(), stops[at : at + STRETCH].tolist(), strict=True)], np.uint64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(rows: DataFrame, *keys: str) -> DataFrame:
+    """The keys, which are long, and fp."""
+    schema = pa.schema([(k, pa.int64()) for k in (*keys, "fp")])
 
     def of(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "fp": [fingerprint(t) for t in batch.column("text").to_pylist()]}
+        return {k: batch.column(k) for k in keys} | {"fp": [fingerprint(t) for t in batch.column("text").to_pylist()]}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow_rows(schema, of), "doc_id long, fp long")
-
-
-def tally(x):
-    """Positional bytes that two fingerprints with xor x share."""
-    return sum(F.when(x.bitwiseAND(F.lit(_signed(255 << (8 * p)))) == 0, 1).otherwise(0) for p in range(8))
+    return rows.select(*keys, "text").mapInArrow(arrow_rows(schema, of), ", ".join(f"{k} long" for k in (*keys, "fp")))
 
 
 def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -81,9 +91,8 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     dense = not large.isEmpty()
     paired = index.join(large, ["s", "key"], "left_anti") if dense else index
     left, right = paired.select("s", "key", F.col("fp").alias("a")), paired.select("s", "key", F.col("fp").alias("b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = left.join(right, ["s", "key"]).where(F.col("a") < F.col("b")).where(tally(x) >= SHARED).where(F.bit_count(x) <= BITS)
-    edges = pairs.select("a", "b")
+    tallied = left.join(right, ["s", "key"]).where(F.col("a") < F.col("b")).groupBy("a", "b").count()
+    edges = tallied.where(F.col("count") >= MEETINGS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     if dense:
         free = [[b for b in range(64) if not (m >> b) & 1] for m in MASKS]
         deltas = [(k, _signed(sum(1 << b for b in bits)), n) for k, at in enumerate(free) for n in range(3) for bits in itertools.combinations(at, n)]
@@ -96,7 +105,7 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id, the smallest doc_id that can be reached."""
-    marked = materialise(fingerprints(docs))
+    marked = materialise(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"))
     firsts = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(links(firsts.select("fp"), heavy))
     linked = labels.join(firsts, F.col("node") == F.col("fp"))
@@ -104,12 +113,20 @@ def near_duplicates(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     moved = labels.join(smallest, "label").select(F.col("node").alias("fp"), "component_id")
     # Written, so that the last join is one of two plain shuffles and a hot fingerprint's task can be split.
     classes = materialise(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
+    discard(firsts, labels)
     out = marked.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class, the one with the smallest doc_id; rows without doc_id stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti").select(*docs.columns)
+def keep_first(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """docs with one row of each class: the one with the smallest doc_id, rows without doc_id last, and the first of equal ones."""
+    row = fresh("row", docs)
+    rows = numbered(docs, row)
+    marked = materialise(fingerprints(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row).alias("row")), "doc_id", "row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = materialise(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    labels = components(links(firsts.select("fp"), heavy))
+    classes = firsts.join(labels, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("label", "fp").alias("class")).agg(F.min("first").alias("first"))
+    kept = materialise(classes.select(F.col("first.row").alias(row)))
+    discard(marked, firsts, labels)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

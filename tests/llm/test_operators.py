@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -102,6 +103,12 @@ def brute_components(fps):
     return {x: least[find(k)] for k, x in enumerate(fps)}
 
 
+def test_simhash_sets():
+    for n, least, most in ((4, 0, 1), (5, 2, 2), (6, 6, 6)):
+        held = [sum(set(s) <= set(some) for s in simhash.SETS) for some in itertools.combinations(range(8), n)]
+        assert (min(held), max(held)) == (least, most)
+
+
 @pytest.mark.parametrize("heavy", [1000, 20])
 def test_simhash_links(spark, heavy):
     rng = random.Random(3)
@@ -122,22 +129,46 @@ def test_simhash_links(spark, heavy):
     assert {x: got.get(x, x) for x in fps} == brute_components(fps)
 
 
-def test_simhash_documents(spark, docs, odd, empty):
-    texts = docs.limit(50).select("doc_id", "text").collect()
-    for r in texts:
-        w = words(re.sub("[A-Z]+", lambda m: m[0].lower(), r.text))
-        grams = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))] if w else []
-        h = [x.h for x in spark.createDataFrame([(g,) for g in grams], "g string").select(F.xxhash64("g").alias("h")).collect()] if grams else []
-        want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in h) > len(h))
-        assert simhash.fingerprint(r.text) & (2**64 - 1) == want
-        break
-    got = simhash.near_duplicates(odd).collect()
+def test_simhash_fingerprints(spark, docs, monkeypatch):
+    """Every fingerprint against Spark's own XXH64 of the shingles."""
+    rows = [(r.doc_id, re.sub("[A-Z]+", lambda m: m[0].lower(), r.text or "")) for r in docs.collect()]
+    grams = []
+    for d, text in rows:
+        w = words(text)
+        grams += [(d, " ".join(w[k : k + 3])) for k in range(max(1, len(w) - 2))] if w else []
+    hashed = spark.createDataFrame(grams, "doc_id long, g string").select("doc_id", F.xxhash64("g").alias("h"))
+    bits = hashed.groupBy("doc_id").agg(*[(F.sum(F.getbit("h", F.lit(b))) * 2 > F.count("*")).alias(f"b{b}") for b in range(64)])
+    want = {r.doc_id: sum(1 << b for b in range(64) if r[f"b{b}"]) for r in bits.collect()}
+    for stretch in (simhash.STRETCH, 7):
+        monkeypatch.setattr(simhash, "STRETCH", stretch)
+        assert {d: simhash.fingerprint(text) & (2**64 - 1) for d, text in rows} == {d: want.get(d, 0) for d, _ in rows}
+
+
+@pytest.mark.parametrize("heavy", [300, 3])
+def test_simhash_documents(spark, docs, odd, empty, heavy):
+    rows = [(r.doc_id, simhash.fingerprint(r.text)) for r in docs.collect()]
+    classes = brute_components([x for _, x in rows])
+    least = {}
+    for d, x in rows:
+        least[classes[x]] = min(least.get(classes[x], d), d)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, heavy).collect()}
+    assert got == {d: (f"{x & (2**64 - 1):016x}", least[classes[x]]) for d, x in rows}
+    assert {r.doc_id for r in simhash.keep_first(docs, heavy).collect()} == set(least.values())
+    got = simhash.near_duplicates(odd, heavy).collect()
     assert len(got) == len(ODD) + 1
     by = {r.doc_id: r for r in got}
     assert by[0].fingerprint == by[2].fingerprint == "0" * 16 and by[2].component_id == 0
     assert by[7].component_id == 6
-    assert simhash.near_duplicates(empty).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_first(odd).collect()) == sorted(r.doc_id for r in got if r.doc_id == r.component_id)
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_class(spark):
+    text, near = "a b c d e f g h " * 40, "quite another text " * 30
+    rows = [(5, text), (5, text), (None, text), (None, "only here " * 9), (None, "only here " * 9), (9, near), (2, "third one " * 50), (9, text), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("Row", F.lit("clash")).withColumn("fp", F.lit(0))
+    got = simhash.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(5, text), (None, "only here " * 9), (9, near), (2, "third one " * 50), (3, "")], key=str)
 
 
 # 3
