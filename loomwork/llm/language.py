@@ -2,10 +2,13 @@
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood is the
 sum over all its segmentations into pieces (forward algorithm); a text's is the product over its words
-(cut at white space, a space mark in front; words over 32 code points are taken in blocks of 32).
-Probabilities come from expectation-maximisation over the words of about TRAIN_ROWS labelled rows.
+(cut at white space, a space mark in front), whatever their length: words of up to MATRIX code points are
+summed side by side, longer ones one by one in logarithms. Probabilities come from expectation-maximisation
+over the words of about TRAIN_ROWS labelled rows, of which each language has CLASS_ROWS at least, or all it has.
 Texts that are null or without a letter get ``und`` and score 0; equal likelihoods go to the language
-that sorts first. Without labelled rows every text is ``und``.
+that sorts first. Without labelled rows every text is ``und``. A null doc_id is held out of nothing: its
+held_out is false, and it isn't learned from. Rows with equal doc_id are judged one by one; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from loomwork.llm.common import arrow_rows, in_class_sample, slices
 
 SPACE = "▁"
 LETTER = regex.compile(r"\p{L}")
-BLOCK = 32
-LONGEST = 16
+#: Code points of words whose likelihoods, as products, stay within a float.
+MATRIX = 32
 #: About how many labelled rows the probabilities are learned from, at most.
 TRAIN_ROWS = 6000
 ROUNDS = 2
@@ -50,9 +53,9 @@ class Pieces:
         usable: dict[int, list[tuple[str, int]]] = {}
         for i in range(self.n):
             p = sp.id_to_piece(i)
-            if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) and len(p) <= LONGEST and (p.strip(SPACE) or p == SPACE):
+            if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i)) and (p.strip(SPACE) or p == SPACE):
                 usable.setdefault(len(p), []).append((p, i))
-        self.by = {}
+        self.by, self.longest = {}, max(usable)
         for size, found in usable.items():
             cp = np.frombuffer("".join(p for p, _ in found).encode("utf-32-le"), np.uint32).reshape(len(found), size).astype(np.uint64)
             h = self.hashes(cp, size)[:, 0]
@@ -71,7 +74,7 @@ class Pieces:
     def ids(self, cp: np.ndarray) -> list[np.ndarray]:
         """For each length, the piece at each start, n if there is none."""
         out = []
-        for n in range(1, min(LONGEST, cp.shape[1]) + 1):
+        for n in range(1, min(self.longest, cp.shape[1]) + 1):
             if n not in self.by:
                 out.append(np.full((cp.shape[0], cp.shape[1] - n + 1), self.n, np.int32))
                 continue
@@ -82,16 +85,9 @@ class Pieces:
         return out
 
 
-def blocks_of(text: str) -> list[str]:
-    """Words with the space mark, long ones in blocks."""
-    out = []
-    for w in text.split():
-        w = SPACE + w
-        if len(w) <= BLOCK:
-            out.append(w)
-        else:
-            out += [w[k : k + BLOCK] for k in range(0, len(w), BLOCK)]
-    return out
+def words_of(text: str) -> list[str]:
+    """Words with the space mark."""
+    return [SPACE + w for w in text.split()]
 
 
 def _by_width(words: list[str]):
@@ -99,8 +95,9 @@ def _by_width(words: list[str]):
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
     for width, ks in by.items():
-        cp = np.frombuffer("".join(words[k] for k in ks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(ks), width).astype(np.uint64)
-        yield np.array(ks), cp
+        for some in ([ks] if width <= MATRIX else [[k] for k in ks]):
+            cp = np.frombuffer("".join(words[k] for k in some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), width).astype(np.uint64)
+            yield np.array(some), cp
 
 
 def _forward(ids: list[np.ndarray], p: np.ndarray, width: int) -> np.ndarray:
@@ -116,19 +113,63 @@ def _forward(ids: list[np.ndarray], p: np.ndarray, width: int) -> np.ndarray:
     return alpha
 
 
+def _log_chances(ids: list[np.ndarray], p: np.ndarray) -> list[np.ndarray]:
+    """[length - 1][start, language] of one word, as logarithms."""
+    with np.errstate(divide="ignore"):
+        return [np.log(np.maximum(p[at[0]], UNKNOWN if n == 0 else 0.0)) for n, at in enumerate(ids)]
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=0)
+    return top + np.log(np.exp(x - top).sum(axis=0))
+
+
+def _log_forward(chances: list[np.ndarray], width: int, keep: bool) -> np.ndarray:
+    """Logarithms of what _forward() sums, for one word of any length: all ends, or the last one only."""
+    n = len(chances)
+    last = np.full((n, chances[0].shape[1]), -np.inf)  # of the n ends before, the nearest first
+    last[0] = 0.0
+    kept = [last[0].copy()] if keep else None
+    for e in range(1, width + 1):
+        here = _log_sum(np.stack([last[k] + chances[k][e - 1 - k] for k in range(min(e, n))]))
+        last[1:] = last[:-1]
+        last[0] = here
+        if keep:
+            kept.append(here)
+    return np.array(kept) if keep else last[0].copy()
+
+
 def likelihoods(words: list[str], pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Log likelihood of each word in each language."""
     out = np.zeros((len(words), p.shape[1]))
     for ks, cp in _by_width(words):
-        out[ks] = np.log(np.maximum(_forward(pieces.ids(cp), p, cp.shape[1])[:, -1], 1e-300))
+        if cp.shape[1] > MATRIX:
+            out[ks] = _log_forward(_log_chances(pieces.ids(cp), p), cp.shape[1], keep=False)
+        else:
+            out[ks] = np.log(np.maximum(_forward(pieces.ids(cp), p, cp.shape[1])[:, -1], 1e-300))
     return out
 
 
+def _log_uses(ids: list[np.ndarray], counts: np.ndarray, p: np.ndarray, width: int, out: np.ndarray) -> None:
+    """expected() for one word of any length."""
+    chances = _log_chances(ids, p)
+    alpha = _log_forward(chances, width, keep=True)
+    # Backwards is forwards over the word turned round, whose piece of a length starts where it ended.
+    beta = _log_forward([c[::-1] for c in chances], width, keep=True)[::-1]
+    for k, (at, c) in enumerate(zip(ids, chances, strict=True)):
+        with np.errstate(divide="ignore"):
+            known = np.log(p[at[0]])  # a character without a piece is nobody's use
+        np.add.at(out, at[0], np.exp(alpha[: width - k] + np.minimum(known, c) + beta[k + 1 :] - alpha[width]) * counts)
+
+
 def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in each language; counts[word, language]."""
     out = np.zeros((pieces.n + 1, p.shape[1]))
     for ks, cp in _by_width(words):
         width, ids = cp.shape[1], pieces.ids(cp)
+        if width > MATRIX:
+            _log_uses(ids, counts[ks[0]], p, width, out)
+            continue
         alpha = _forward(ids, p, width)
         beta = np.zeros_like(alpha)
         beta[:, width] = 1.0
@@ -144,7 +185,7 @@ def expected(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.ndarray
 
 
 def held_out(col: str = "doc_id"):
-    return F.crc32(F.col(col).cast("string")) % FOLDS == 0
+    return F.coalesce(F.crc32(F.col(col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
 def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -170,7 +211,7 @@ def train(docs: DataFrame, vocabulary: str | None = None, rows: int = TRAIN_ROWS
             for batch in batches:
                 for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                     k = langs.index(lang)
-                    for w in blocks_of(text):
+                    for w in words_of(text):
                         if w not in counts:
                             counts[w] = [0] * len(langs)
                         counts[w][k] += 1
@@ -202,7 +243,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], vocabulary: st
         def of(batch):
             nonlocal known, table
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            lists = [blocks_of(t) if langs and LETTER.search(t) else [] for t in texts]
+            lists = [words_of(t) if langs and LETTER.search(t) else [] for t in texts]
             if len(known) > CACHE:
                 known, table = {}, table[:0]
             new = list({w for ws in lists for w in ws} - known.keys())

@@ -3,9 +3,10 @@
 A text is cut into chunks (a run of blanks and what follows up to the next blank, line feeds alone);
 no piece of the vocabulary crosses such a cut, so chunks can be merged one by one and remembered.
 Within a chunk the agenda always joins the adjacent pair of symbols with the best score, the leftmost
-one of equals. Many chunks are merged side by side as rows of one matrix; long ones by a heap. Each new
-chunk of an Arrow batch is compared with the sentencepiece library, whose ids win and are counted if
-they differ. Null texts are empty: one end id. Rows with equal doc_id stay separate.
+one of equals. Many chunks are merged side by side as rows of one matrix; long ones by a heap. The result
+is the agenda's. Each new chunk of an Arrow batch is also encoded by the sentencepiece library, and
+n_mismatches counts a text's chunks for which the library has other ids; they change nothing else. Null
+texts are empty: one end id. Rows with equal doc_id stay separate, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,18 +199,12 @@ class Agenda:
                 out[k] = ids
         return out
 
-    def check(self, chunks: list[str], ids: list[tuple[int, ...]]) -> int:
-        """Compare with the library; its ids replace others. The library puts a space mark before a text:
-        it is taken off chunks that begin with one, and a line feed, which joins with nothing, shields the rest."""
+    def differing(self, chunks: list[str], ids: list[tuple[int, ...]]) -> list[bool]:
+        """Whether the library has other ids for each chunk. It puts a space mark before a text: the mark is
+        taken off chunks that begin with one, and a line feed, which joins with nothing, shields the rest."""
         asked = [c[1:] if c[0] == SPACE and len(c) > 1 else "\n" + c for c in chunks]
-        wrong = 0
-        for k, got in enumerate(self.library.encode(asked, num_threads=1)):
-            if asked[k][0] == "\n" and asked[k][1:] == chunks[k]:
-                got = got[2:]
-            if tuple(got) != ids[k]:
-                wrong += 1
-                ids[k] = tuple(got)
-        return wrong
+        shielded = [a[0] == "\n" and a[1:] == c for a, c in zip(asked, chunks, strict=True)]
+        return [tuple(got[2:] if cut else got) != own for got, cut, own in zip(self.library.encode(asked, num_threads=1), shielded, ids, strict=True)]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -217,43 +212,42 @@ def chunks_of(text: str) -> list[str]:
     return CHUNK.findall(" " + text.replace(SPACE, " ")) if text else []
 
 
+def encode_batches(batches, path: str, checked: bool):
+    """Batches of doc_id and text -> batches of SCHEMA."""
+    agenda = Agenda(path)
+    end = agenda.library.eos_id()
+    known: dict[str, tuple[tuple[int, ...], str, int]] = {}
+
+    def of(batch):
+        nonlocal known
+        lists = [chunks_of(t or "") for t in batch.column("text").to_pylist()]
+        if len(known) > CACHE:
+            known = {}
+        new = list({c for chunks in lists for c in chunks} - known.keys())
+        asked = [c.replace(" ", SPACE) for c in new]
+        ids = agenda.encode(asked)
+        differs = agenda.differing(asked, ids) if checked and asked else [False] * len(ids)
+        for c, x, other in zip(new, ids, differs, strict=True):
+            known[c] = (x, " ".join(map(str, x)), int(other))
+        all_ids, out = [], {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "n_mismatches": []}
+        for chunks in lists:
+            found = [known[c] for c in chunks]
+            own: list[int] = []
+            for x in found:
+                own += x[0]
+            own.append(end)
+            all_ids.append(own)
+            out["n_tokens"].append(len(own))
+            out["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found] + [str(end)]).encode()).hexdigest())
+            out["n_mismatches"].append(sum([x[2] for x in found]))
+        out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in agenda.library.decode(all_ids, num_threads=1)] if all_ids else []
+        return out
+
+    for batch in batches:
+        yield from arrow_rows(SCHEMA, of)(slices(batch, 512))
+
+
 def encode_decode(docs: DataFrame, model_file: str | None = None, checked: bool = True) -> DataFrame:
     """doc_id, number of ids with the end id, and digests of the ids and of the decoded text."""
     path = model_file or default_model()
-
-    def run(batches):
-        agenda = Agenda(path)
-        end = agenda.library.eos_id()
-        known: dict[str, tuple[tuple[int, ...], str, int]] = {}
-
-        def of(batch):
-            nonlocal known
-            lists = [chunks_of(t or "") for t in batch.column("text").to_pylist()]
-            if len(known) > CACHE:
-                known = {}
-            new = list({c for chunks in lists for c in chunks} - known.keys())
-            asked = [c.replace(" ", SPACE) for c in new]
-            ids = agenda.encode(asked)
-            before = list(ids)
-            if checked and asked:
-                agenda.check(asked, ids)
-            for c, x, was in zip(new, ids, before, strict=True):
-                known[c] = (x, " ".join(map(str, x)), int(x != was))
-            all_ids, out = [], {"doc_id": batch.column("doc_id"), "n_tokens": [], "ids_sha256": [], "n_mismatches": []}
-            for chunks in lists:
-                found = [known[c] for c in chunks]
-                own: list[int] = []
-                for x in found:
-                    own += x[0]
-                own.append(end)
-                all_ids.append(own)
-                out["n_tokens"].append(len(own))
-                out["ids_sha256"].append(hashlib.sha256(" ".join([x[1] for x in found] + [str(end)]).encode()).hexdigest())
-                out["n_mismatches"].append(sum([x[2] for x in found]))
-            out["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in agenda.library.decode(all_ids, num_threads=1)] if all_ids else []
-            return out
-
-        for batch in batches:
-            yield from arrow_rows(SCHEMA, of)(slices(batch, 512))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatches long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: encode_batches(batches, path, checked), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_mismatches long")

@@ -557,6 +557,21 @@ def test_pieces(spark, docs, odd, empty):
     assert pieces.encode_decode(empty).count() == 0
 
 
+def test_pieces_are_the_agendas_and_the_library_only_counts(monkeypatch):
+    """Ids come from the agenda even where the library differs; n_mismatches tells."""
+    import pyarrow as pa
+
+    agenda = pieces.Agenda(pieces.default_model())
+    asked = ["▁the", "▁encoding", "word", "\n"]
+    ids = agenda.encode(asked)
+    assert agenda.differing(asked, ids) == [False] * 4
+    bent = [*ids[:2], (1, 2, 3), ids[3]]
+    assert agenda.differing(asked, bent) == [False, False, True, False] and bent[2] == (1, 2, 3)
+    monkeypatch.setattr(pieces.Agenda, "encode", lambda self, chunks: [(7,) for _ in chunks])
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["two words"]})
+    assert pieces.encode_batches([batch], pieces.default_model(), True).__next__().to_pylist()[0]["n_mismatches"] == 2
+
+
 # 10
 
 
@@ -586,6 +601,66 @@ def test_forward_sums_all_segmentations():
         assert np.exp(row) == pytest.approx([brute(w, 0), brute(w, 1)], rel=1e-9)
 
 
+def test_long_words_are_summed_whole():
+    """Words of 33 to 5000 code points: likelihood and expected uses as one plain sum over the whole word."""
+    import math
+
+    import numpy as np
+    import sentencepiece
+
+    pieces_ = language.Pieces(language.default_vocabulary())
+    sp = sentencepiece.SentencePieceProcessor(model_file=language.default_vocabulary())
+    assert pieces_.longest == max(len(sp.id_to_piece(i)) for i in range(sp.vocab_size()) if sp.id_to_piece(i).strip(language.SPACE))
+    prob = np.random.default_rng(1).random((pieces_.n + 1, 2)) / 100
+    prob[-1] = 0
+    rng = random.Random(6)
+
+    def usable(piece):
+        i = sp.piece_to_id(piece)
+        return None if i == sp.unk_id() or sp.is_control(i) or sp.is_byte(i) else i
+
+    for n in (33, 41, 200, 5000):
+        word = language.SPACE + "".join(rng.choices(["the", "tion", "é", "日本", "ing", "x", "😀"], k=n))[: n - 1]
+        got = language.likelihoods([word], pieces_, prob)[0]
+        uses = language.expected([word], np.array([[2.0, 3.0]]), pieces_, prob)
+        for k in range(2):
+            # Scaled sums forwards and backwards, by plain arithmetic.
+            found = [[(word[s : s + m], m) for m in range(1, min(pieces_.longest, n - s) + 1)] for s in range(n)]
+            chance = [[(m, language.UNKNOWN if i is None and m == 1 else 0.0 if i is None else max(prob[i, k], language.UNKNOWN if m == 1 else 0.0), i) for w, m in f for i in [usable(w)]] for f in found]
+            logs = [0.0] + [-math.inf] * n
+            for s in range(n):
+                for m, c, _ in chance[s]:
+                    if c:
+                        x = logs[s] + math.log(c)
+                        top = max(x, logs[s + m])
+                        logs[s + m] = top + math.log(math.exp(x - top) + math.exp(logs[s + m] - top))
+            assert got[k] == pytest.approx(logs[n], rel=1e-9)
+            back = [-math.inf] * n + [0.0]
+            want = collections.Counter()
+            for s in range(n - 1, -1, -1):
+                terms = [back[s + m] + math.log(c) for m, c, _ in chance[s] if c]
+                top = max(terms)
+                back[s] = top + math.log(sum(math.exp(t - top) for t in terms))
+                for m, _, i in chance[s]:
+                    if i is not None:
+                        want[i] += math.exp(logs[s] + math.log(prob[i, k]) + back[s + m] - logs[n]) * (2, 3)[k]
+            assert {i: x for i, x in enumerate(uses[:, k]) if x > 1e-9} == pytest.approx({i: x for i, x in want.items() if x > 1e-9}, rel=1e-6)
+
+
+def test_short_and_long_words_are_summed_alike(monkeypatch):
+    import numpy as np
+
+    pieces_ = language.Pieces(language.default_vocabulary())
+    prob = np.random.default_rng(2).random((pieces_.n + 1, 3)) / 100
+    prob[-1] = 0
+    ws = ["▁the", "▁a", "▁Segmentation", "▁日本語xé", "ing"]
+    counts = np.random.default_rng(3).random((len(ws), 3))
+    one = language.likelihoods(ws, pieces_, prob), language.expected(ws, counts, pieces_, prob)
+    monkeypatch.setattr(language, "MATRIX", 0)
+    two = language.likelihoods(ws, pieces_, prob), language.expected(ws, counts, pieces_, prob)
+    assert np.allclose(one[0], two[0], rtol=1e-9) and np.allclose(one[1], two[1], rtol=1e-6, atol=1e-12)
+
+
 def test_language(docs, odd, empty):
     model = language.train(docs, rows=400)
     got = {r.doc_id: r for r in language.predict(docs, model).collect()}
@@ -593,6 +668,8 @@ def test_language(docs, odd, empty):
     held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
     assert {d for d, r in got.items() if r.held_out} == set(held)
     assert sum(got[d].lang_pred == truth[d] for d in held) >= 0.97 * len(held)
+    nobody = language.predict(odd.select(F.lit(None).cast("long").alias("doc_id"), "text"), model)
+    assert {r.held_out for r in nobody.collect()} == {False}
     some = {r.doc_id: r for r in language.predict(odd, model).collect()}
     assert [some[k].lang_pred for k in (0, 1, 2)] == ["und"] * 3 and some[5].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in some.values())
