@@ -63,10 +63,11 @@ def _descend(rows, y, weight, dims, rounds, l2, rate):
     return w, bias
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int, rounds: int = 60, l2: float = 1e-4, rate: float = 0.1) -> LogisticModel | None:
-    """rows: (label, buckets, values), each with a feature at least. Every fourth row calibrates. None if one class is missing."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int, rounds: int = 60, l2: float = 1e-4, rate: float = 0.1, held: np.ndarray | None = None) -> LogisticModel | None:
+    """rows: (label, buckets, values), each with a feature at least. Rows that held marks, every fourth one unless given, calibrate.
+    None if one class is missing."""
     y = np.array([r[0] for r in rows], dtype=float)
-    held = np.arange(len(rows)) % 4 == 3
+    held = np.arange(len(rows)) % 4 == 3 if held is None else held.copy()
     if len(set(y[~held])) < 2:
         held[:] = False
     if len(set(y)) < 2:

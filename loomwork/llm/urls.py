@@ -1,11 +1,19 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams.
 
+The labelled table is drawn by a rule from short word lists: hosts of either kind are made of a kind's words,
+partly joined to invented names, with the same ends and subdomains for both; paths are drawn apart from hosts,
+and most say nothing. Hosts are split: FIT tenths of them fit the weights, CALIBRATE calibrate the probability, from
+which BLOCK_AT was chosen, and the rest is for tests.
+
 Host and path of a null url, or one without ``://``, are both empty; such rows and repeated page_ids are
 judged like any other, one by one. Further columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
+import re
+import zlib
 from functools import reduce
 
 import numpy as np
@@ -18,43 +26,79 @@ from loomwork.llm.common import arrow_rows, mix64
 
 #: (verdict, host, path): a rule fits its host and all subdomains if the url's path starts with its path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-BITS = 13
+DIGIT = re.compile("[0-9]")
+BITS = 15
 SCALE = 10.0
-BLOCK_AT = 0.75
-
-#: Parts from which the labelled table is made: each host with each path of its own kind.
-GOOD_HOSTS = ("news.example.com", "www.library.example.net", "docs.example.net", "blog.example.com", "university.example.net", "journal.example.com")
-GOOD_PATHS = ("/en/article/2041", "/fr/4210.html", "/wiki/history", "/es/guide/3", "/papers/1907", "/de/9123", "/about", "/")
-BAD_HOSTS = ("casino-bonus.example.com", "xxx-video.example.net", "cheap-pills.example.com", "free-download.example.net", "adult-chat.example.com", "win-prize.example.net")
-BAD_PATHS = ("/casino/bonus", "/porn/video/18", "/buy/viagra-cheap", "/crack/keygen.exe", "/click?aff=", "/bet/slots", "/adult/cams", "/free-prize")
-
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """The small labelled table: (host, path, 1 to block)."""
-    return [(h, p, label) for hosts, paths, label in ((GOOD_HOSTS, GOOD_PATHS, 0), (BAD_HOSTS, BAD_PATHS, 1)) for h in hosts for p in paths]
-
-
-def grams(host: str, path: str) -> np.ndarray:
-    """Buckets of the 3-, 4- and 5-grams of bytes of host and of path, with marked ends, kept apart."""
+#: The lowest tenth at which at most 15 in 1000 of the plain hosts that calibrate are blocked.
+BLOCK_AT = 0.8
+#: Hosts of each kind in the labelled table, and urls of each.
+HOSTS, URLS = 2000, 1
+#: Of every ten hosts, so many fit, and so many after them calibrate.
+FIT, CALIBRATE = 6, 2
+
+UNWANTED = "casino bet bets poker slots jackpot bingo lotto win prize bonus free cheap pills viagra cialis pharma meds adult porn xxx sex cams nude dating escort crack keygen warez torrent download hack spam farm ads click track banner popup redirect affiliate loan payday credit fast cash money rich forex crypto replica watches".split()
+WANTED = "news daily times post library docs manual guide wiki archive museum school college university campus science research journal physics history nature garden kitchen recipe travel city town council health clinic family sport music radio film theatre book books reading paper letter studio design code data open forum market house home green river mountain valley coast".split()
+SYLLABLES = "ba be bi bo bu da de di do du fa fe fi fo ga go ha he ho ka ke ki ko la le li lo lu ma me mi mo mu na ne ni no nu pa pe pi po ra re ri ro ru sa se si so su ta te ti to tu va ve vi vo wa we wi th ng nt st er an in on al or".split()
+SUBDOMAINS = ("", "", "www.", "blog.", "m.", "shop.", "en.")
+ENDS = ("com", "net", "org", "info", "de", "fr", "es", "co.uk", "example.com", "example.net", "example.org")
+PLAIN_PATHS = ("", "/", "/en/{n}", "/fr/{n}.html", "/de/{n}/", "/es/{n}", "/article/{n}", "/p/{n}", "/index.html", "/about", "/{w}", "/{w}/{n}", "/page/{n}/{w}")
+
+
+def _name(rng: random.Random, words: list[str]) -> str:
+    invented = "".join(rng.choices(SYLLABLES, k=rng.randint(2, 4)))
+    parts = rng.choice(([rng.choice(words), rng.choice(words)], [rng.choice(words), invented], [invented, rng.choice(words)], [rng.choice(words)]))
+    return rng.choice(("-", "-", "")).join(parts) + (str(rng.randint(1, 999)) if rng.random() < 0.15 else "")
+
+
+def labelled_urls(seed: int = 0) -> list[tuple[str, str, int, int]]:
+    """The small labelled table: (host, path, 1 to block, tenth of the hosts that it is in)."""
+    rng, rows = random.Random(seed), []
+    for k in range(2 * HOSTS):
+        label = k % 2
+        if label:
+            name = _name(rng, UNWANTED)
+        else:  # half of the plain hosts are invented names without a word
+            name = _name(rng, WANTED) if rng.random() < 0.5 else "".join(rng.choices(SYLLABLES, k=rng.randint(2, 5)))
+        host = f"{rng.choice(SUBDOMAINS)}{name}.{rng.choice(ENDS)}"
+        for _ in range(URLS):
+            word = rng.choice(UNWANTED if label and rng.random() < 0.4 else WANTED)
+            rows.append((host, rng.choice(PLAIN_PATHS).format(n=rng.randint(1, 9999), w=word), label, zlib.crc32(host.encode()) % 10))
+    return rows
+
+
+def grams(host: str, path: str) -> list[np.ndarray]:
+    """Buckets of the 3-, 4- and 5-grams of bytes of host and of path, with marked ends, kept apart; all digits are alike."""
     out = []
     for seed, part in ((1, f"^{host}$"), (2, f"^{path}$")):
-        raw = np.frombuffer(part.encode(), np.uint8).astype(np.uint64)
-        h = raw
+        raw = np.frombuffer(DIGIT.sub("0", part).encode(), np.uint8).astype(np.uint64)
+        h, found = raw, []
         for n in range(2, 6):
             h = h[: max(0, len(raw) - n + 1)] * np.uint64(0x100000001B3) + raw[n - 1 :]
             if n > 2:
-                out.append(mix64(h + np.uint64(n * 2**32 + seed)) >> np.uint64(64 - BITS))
-    return np.concatenate(out).astype(np.int64)
+                found.append(mix64(h + np.uint64(n * 2**32 + seed)) >> np.uint64(64 - BITS))
+        out.append(np.concatenate(found).astype(np.int64))
+    return out
+
+
+def margin_of(model: logistic.LogisticModel, host: str, path: str) -> float:
+    """The mean weights of the host's and of the path's grams, added up."""
+    return model.bias + SCALE * sum(float(model.weights[g].mean()) for g in grams(host, path) if len(g))
 
 
-def train(rows: list[tuple[str, str, int]] | None = None) -> logistic.LogisticModel:
-    """Fit on a small table of labelled urls, by default labelled_urls()."""
-    data = []
-    for host, path, label in rows or labelled_urls():
-        at, n = np.unique(g := grams(host, path), return_counts=True)
-        data.append((label, at, SCALE * n / max(1, len(g))))
-    order = np.random.default_rng(0).permutation(len(data))
-    return logistic.fit([data[k] for k in order], 1 << BITS, rounds=150)
+def train(rows: list[tuple[str, str, int, int]] | None = None) -> logistic.LogisticModel:
+    """Fit on a small table of labelled urls, by default labelled_urls(); calibrated on hosts that aren't fitted."""
+    data, held = [], []
+    for host, path, label, tenth in rows or labelled_urls():
+        if tenth >= FIT + CALIBRATE:
+            continue
+        at, value = [], []
+        for g in grams(host, path):
+            some, n = np.unique(g, return_counts=True)
+            at.append(some)
+            value.append(SCALE * n / max(1, len(g)))
+        data.append((label, np.concatenate(at), np.concatenate(value)))
+        held.append(tenth >= FIT)
+    return logistic.fit(data, 1 << BITS, rounds=150, l2=1e-3, held=np.array(held))
 
 
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -84,13 +128,10 @@ def judge(pages: DataFrame, model: logistic.LogisticModel | None = None, rules=R
     """page_id, host, path, rule, verdict and the classifier's probability that the url is unwanted."""
     model = model or train()
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("block_prob", pa.float64())])
-    w, bias = model.weights.astype(np.float32), model.bias
 
     def of(batch: pa.RecordBatch) -> dict:
         hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-        all_grams = [grams(h, p) for h, p in zip(hosts, paths, strict=True)]
-        margin = np.array([bias + SCALE * w[g].mean() if len(g) else bias for g in all_grams])
-        p = model.probability(margin)
+        p = model.probability(np.array([margin_of(model, h, p) for h, p in zip(hosts, paths, strict=True)]))
         verdict = [r or ("block" if x >= block_at else "allow") for r, x in zip(batch.column("rule_verdict").to_pylist(), p.tolist(), strict=True)]
         return {"page_id": batch.column("page_id"), "host": hosts, "path": paths, "rule": batch.column("rule"), "verdict": verdict, "block_prob": p}
 

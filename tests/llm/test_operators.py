@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -333,9 +334,63 @@ def test_urls(spark):
     assert [(got[k].host, got[k].path, got[k].rule) for k in range(len(rows))] == [("", "", None)] * 3 + [("a.example.org", "/es/x", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1"), ("b.org", "", None), ("b.org", "/", "org/"), ("x.com", "/fr/1", "com/fr/"), ("q.com", "/de/", "com/de/"), ("com", "/fr/", "com/fr/"), ("badcom", "/fr/", None), ("h", "", None), ("b:", "//c/d", None)]
     assert got[3].verdict == "block" and got[6].verdict == "allow"
     assert urls.judge(df.where("false")).count() == 0
-    model = urls.train()
     bad = spark.createDataFrame([(1, "http://casino-bonus.example.net/bet/slots"), (2, "http://wiki.example.net/en/history")], "page_id long, url string")
-    assert {r.page_id: r.verdict for r in urls.judge(bad, model).collect()} == {1: "block", 2: "allow"}
+    assert {r.page_id: r.verdict for r in urls.judge(bad, urls.train()).collect()} == {1: "block", 2: "allow"}
+
+
+def brute_mix(x):
+    m = 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def brute_margin(model, host, path):
+    """One gram after the other, in plain numbers."""
+    total = model.bias
+    for seed, part in ((1, f"^{host}$"), (2, f"^{path}$")):
+        part = re.sub("[0-9]", "0", part).encode()
+        weights = []
+        for n in (3, 4, 5):
+            for k in range(len(part) - n + 1):
+                h = part[k]
+                for byte in part[k + 1 : k + n]:
+                    h = (h * 0x100000001B3 + byte) % 2**64
+                weights.append(model.weights[brute_mix((h + n * 2**32 + seed) % 2**64) >> 64 - urls.BITS])
+        if weights:
+            total += urls.SCALE * sum(weights) / len(weights)
+    return total
+
+
+def test_url_classifier_against_brute_force(spark):
+    model = urls.train()
+    rows = [(k, h, p) for k, (h, p, _, _) in enumerate(urls.labelled_urls()[::40])] + [(-1, "", ""), (-2, "é.de", "/ü"), (-3, "x", "")]
+    df = spark.createDataFrame([(k, f"http://{h}{p}" if h else None) for k, h, p in rows], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(df, model, rules=()).collect()}
+    for k, h, p in rows:
+        want = 1 / (1 + math.exp(-(model.a * brute_margin(model, h, p) + model.b)))
+        assert got[k].block_prob == pytest.approx(want, abs=1e-6)
+        assert got[k].verdict == ("block" if got[k].block_prob >= urls.BLOCK_AT else "allow")
+
+
+def test_url_classifier_on_hosts_it_has_not_seen():
+    rows = urls.labelled_urls()
+    assert {h for h, _, _, t in rows if t < urls.FIT} & {h for h, _, _, t in rows if t >= urls.FIT} == set()
+    model = urls.train(rows)
+    for lo, hi, most in ((urls.FIT, urls.FIT + urls.CALIBRATE, 0.015), (urls.FIT + urls.CALIBRATE, 10, 0.03)):
+        blocked = {0: [], 1: []}
+        for h, p, label, tenth in rows:
+            if lo <= tenth < hi:
+                blocked[label].append(model.probability(urls.margin_of(model, h, p)) >= urls.BLOCK_AT)
+        assert sum(blocked[0]) <= most * len(blocked[0]) and sum(blocked[1]) >= 0.8 * len(blocked[1])
+
+
+def test_url_classifier_decides_on_pages(spark):
+    got = urls.judge(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).where("rule is null").collect()
+    unwanted = [r for r in got if re.search("casino|pills|bets|track|spam|adult", r.host)]
+    plain = [r for r in got if r not in unwanted]
+    assert len(unwanted) > 20 and sum(r.verdict == "block" for r in unwanted) >= 0.9 * len(unwanted)
+    assert sum(r.verdict == "allow" for r in plain) >= 0.95 * len(plain)
 
 
 # 6
@@ -389,8 +444,6 @@ def test_pii_plan_has_no_python(docs):
 
 
 def brute_differences(rows, good):
-    import math
-
     texts = [[w.encode() for w in words("".join(c.lower() if c.isascii() else c for c in t or ""))] for _, t in rows]
 
     def loss(k, members):
@@ -603,8 +656,6 @@ def test_forward_sums_all_segmentations():
 
 def test_long_words_are_summed_whole():
     """Words of 33 to 5000 code points: likelihood and expected uses as one plain sum over the whole word."""
-    import math
-
     import numpy as np
     import sentencepiece
 
