@@ -3,7 +3,9 @@
 Only DataFrame functions are used. A null text is an empty one; it has no spans. Rows with equal doc_id
 are treated one by one, further columns are ignored by find() and kept by redact(). The patterns are
 possessive and start at the beginning of a run, so their time is linear in the text's length; what they
-match is the leftmost, greedy match of the plain patterns.
+match is the leftmost, greedy match of the plain patterns. Matches are placed in chunks, so that a text with
+very many of them takes time in proportion too. Context words count before and after a span, as far as the
+next match of the same kind.
 """
 
 from __future__ import annotations
@@ -32,15 +34,17 @@ KINDS = (
     Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"(?i)\b(?:ip|host|server|address|login)\b", 0.6, needs="."),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"(?i)\b(?:card|visa|mastercard|credit|payment|account)\b", 0.7),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"(?i)\b(?:phone|tel|call|mobile|fax|cell)\b", 0.6, needs="+"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"(?i)\b(?:iban|bank|account|transfer|konto)\b", 0.6, always=False),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])", r"(?i)\b(?:iban|bank|account|transfer|konto)\b", 0.6, always=False),
     Kind("secret", r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])", r"(?i)\b(?:token|secret|key|password|passwd|api)\b", 0.3, always=False),
 )
 BASE = ("email", "ip", "card", "phone")
 ORDER = [k.name for k in KINDS]
-#: Added by a context word among the CONTEXT_CHARS before the span; spans that aren't always kept need KEEP_AT.
+#: Added by a context word among the CONTEXT_CHARS before or after the span; spans that aren't always kept need KEEP_AT.
 CONTEXT_BONUS = 0.3
 CONTEXT_CHARS = 40
 KEEP_AT = 0.5
+#: Matches that are placed one after the other; results of chunks are put together afterwards.
+CHUNK = 128
 SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>"
 #: The phone is taken before the card and the address, which it may contain.
 REDACT_ORDER = ("email", "phone", "card", "ip", "iban", "secret")
@@ -88,27 +92,57 @@ def _matches(kind: Kind, text: Column) -> Column:
     return F.when(text.contains(kind.needs), found).otherwise(F.array().cast("array<string>")) if kind.needs else found
 
 
-def _score(kind: Kind, before: Column) -> Column:
-    return F.lit(kind.score) + F.when(F.right(before, F.lit(CONTEXT_CHARS)).rlike(kind.context), CONTEXT_BONUS).otherwise(0.0)
+def _score(kind: Kind, before: Column, after: Column) -> Column:
+    near = F.right(before, F.lit(CONTEXT_CHARS)).rlike(kind.context) | F.left(after, F.lit(CONTEXT_CHARS)).rlike(kind.context)
+    return F.lit(kind.score) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
 
 
-def _accepted(kind: Kind, match: Column, before: Column) -> Column:
+def _accepted(kind: Kind, match: Column, before: Column, after: Column) -> Column:
     ok = valid(kind.name, match)
-    return ok if kind.always else ok & (_score(kind, before) >= KEEP_AT)
+    return ok if kind.always else ok & (_score(kind, before, after) >= KEEP_AT)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, and standing once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _around(matches: Column, gaps: Column) -> Column:
+    """Each match with the text before it (g) and after it (h), as far as the next matches."""
+    n = F.size(matches)
+    before = F.zip_with(matches, F.slice(gaps, 1, n), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    return F.zip_with(before, F.slice(gaps, 2, n), lambda x, h: F.struct(x.m.alias("m"), x.g.alias("g"), h.alias("h")))
+
+
+def _chunks(items: Column) -> Column:
+    """An array in parts of CHUNK members; an empty one has no parts."""
+
+    def parts(held):
+        n = F.size(held)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.transform(F.sequence(at, F.least(at + CHUNK, n) - 1), lambda k: F.get(held, k)))
+
+    return _let(items, parts)
 
 
 def _placed(k: Kind, order: int) -> Column:
-    """Accepted matches with their places, by one pass over the matches and the text between them."""
-    zipped = F.zip_with(F.col(f"m_{k.name}"), F.slice(F.col(f"g_{k.name}"), 1, F.size(f"m_{k.name}")), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    """Accepted matches with their places, by one pass over the matches and the text around them."""
 
     def step(acc, x):
         start = acc.pos + F.length(x.g)
         end = start + F.length(x.m)
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(k.name).alias("kind"), F.round(_score(k, x.g), 2).alias("score"))).cast(SPANS)
-        return F.struct(end.alias("pos"), F.concat(acc.out, F.when(_accepted(k, x.m, x.g), one).otherwise(F.array().cast(SPANS))).alias("out"))
+        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(k.name).alias("kind"), F.round(_score(k, x.g, x.h), 2).alias("score"))).cast(SPANS)
+        return F.struct(end.alias("pos"), F.concat(acc.out, F.when(_accepted(k, x.m, x.g, x.h), one).otherwise(F.array().cast(SPANS))).alias("out"))
+
+    def place(part, at):
+        return F.aggregate(part, F.struct(at.alias("pos"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc.out)
 
-    nothing = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast(SPANS).alias("out"))
-    return F.aggregate(zipped, nothing, step, lambda acc: acc.out)
+    def place_all(parts):
+        sizes = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda n, x: n + F.length(x.g) + F.length(x.m)))
+        begins = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(parts, F.slice(begins, 1, F.size(parts)), place))
+
+    return _let(_chunks(_around(F.col(f"m_{k.name}"), F.col(f"g_{k.name}"))), place_all)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -137,19 +171,14 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value worked out once, and standing once in the plan."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _replaced(k: Kind, text: Column) -> Column:
     """The text with accepted matches of one kind replaced."""
 
-    def marked(gap, match):
-        return F.concat(gap, F.when(_accepted(k, match, gap), f"[{k.name.upper()}]").otherwise(match))
+    def marked(x):
+        return F.concat(x.g, F.when(_accepted(k, x.m, x.g, x.h), f"[{k.name.upper()}]").otherwise(x.m))
 
     def joined(found):
-        return F.concat(F.array_join(F.zip_with(F.slice(found.g, 1, F.size(found.m)), found.m, marked), ""), F.element_at(found.g, -1))
+        return F.concat(F.array_join(F.transform(_around(found.m, found.g), marked), ""), F.element_at(found.g, -1))
 
     def one(t):
         return _let(_matches(k, t), lambda m: F.when(F.size(m) > 0, _let(F.struct(m.alias("m"), _gaps(k, t).alias("g")), joined)).otherwise(t))

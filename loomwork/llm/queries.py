@@ -72,26 +72,26 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS l
 """
 
 #: Plain patterns, their places from the text between the matches, and the checks. Secrets are whole runs of letters
-#: and digits. Account numbers need look-around, which this SQL lacks: it has none, as the fixture.
+#: and digits; account numbers are letters as 10 to 35, turned round, with a remainder of 1 by 97.
 OP6_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-k AS (SELECT doc_id, t, 'email' AS kind, 0 AS ord, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS m, string_split_regex(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
-  UNION ALL SELECT doc_id, t, 'ip', 1, regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
-  UNION ALL SELECT doc_id, t, 'card', 2, regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(t, '[0-9](?:[\x20-]?[0-9])+') FROM d
-  UNION ALL SELECT doc_id, t, 'phone', 3, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(t, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
-  UNION ALL SELECT doc_id, t, 'secret', 5, regexp_extract_all(t, '[A-Za-z0-9]+'), string_split_regex(t, '[A-Za-z0-9]+') FROM d),
-e AS (SELECT doc_id, t, kind, ord, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM k WHERE len(m) > 0),
-w AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits FROM e),
-v AS (SELECT doc_id, t, kind, ord, stop - length(m) AS start, stop FROM w WHERE CASE kind
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+p(kind, ord, pattern) AS (VALUES ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  ('card', 2, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]'), ('iban', 4, '\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b'), ('secret', 5, '[A-Za-z0-9]+')),
+k AS (SELECT r, doc_id, t, kind, ord, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS g FROM d, p),
+e AS (SELECT r, doc_id, t, kind, ord, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM k WHERE len(m) > 0),
+w AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY r, kind ORDER BY i))::BIGINT AS stop, regexp_replace(m, '[^0-9]', '', 'g') AS digits, regexp_replace(m, '\x20', '', 'g') AS plain FROM e),
+l AS (SELECT *, stop - length(m) AS start, coalesce(lag(stop) OVER (PARTITION BY r, kind ORDER BY stop), 0) AS prev, coalesce(lead(stop - length(m)) OVER (PARTITION BY r, kind ORDER BY stop), length(t)) AS next
+  FROM w WHERE kind <> 'secret' OR regexp_full_match(m, '[0-9a-f]{32,64}')),
+f AS (SELECT * FROM l WHERE CASE kind
     WHEN 'email' THEN true
     WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda q: length(ltrim(q, '0')) > 3 OR coalesce(try_cast(ltrim(q, '0') AS INTEGER), 0) > 255)) = 0
     WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN digits[length(digits) - j]::INTEGER ELSE digits[length(digits) - j]::INTEGER * 2 - CASE WHEN digits[length(digits) - j]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0
     WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
-    ELSE regexp_full_match(m, '[0-9a-f]{32,64}') END),
-l AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id, kind ORDER BY start), 0) AS prev FROM v),
-f AS (SELECT * FROM l WHERE kind <> 'secret' OR regexp_matches(substring(t, greatest(prev, start - 40) + 1, start - greatest(prev, start - 40)), '(?i)\b(?:token|secret|key|password|passwd|api)\b')),
-a AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE kind <> 'secret'), '') AS base,
-  count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+    WHEN 'iban' THEN length(plain) BETWEEN 15 AND 34 AND list_reduce(list_concat([0], list_transform(string_split(plain[5:] || plain[:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE c::INTEGER END)), lambda a, x: (CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END) % 97) = 1
+    ELSE regexp_matches(substring(t, greatest(prev, start - 40) + 1, start - greatest(prev, start - 40)), '(?i)\b(?:token|secret|key|password|passwd|api)\b')
+      OR regexp_matches(substring(t, stop + 1, least(next, stop + 40) - stop), '(?i)\b(?:token|secret|key|password|passwd|api)\b') END),
+a AS (SELECT r, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans, coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE ord < 4), '') AS base,
+  count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone FROM f GROUP BY r)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
 """
 ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_pii": OP6_SQL}
