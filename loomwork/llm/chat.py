@@ -6,7 +6,10 @@ by layouts(). Turns are then written with a template that marks them and escapes
 reversibly, with the spans that carry loss, and can be read back exactly.
 
 Null texts and roles are empty; a null conv_id is a conversation of its own (all its rows together); rows
-with equal (conv_id, turn) stay, ordered by role and text. An empty table gives an empty one.
+with equal (conv_id, turn) stay, ordered by role and text. An empty table gives an empty one. Members of a
+list of turns that aren't objects make no turn, parts of a content that hold no text say nothing, a turn that
+isn't a whole number is null, and half a surrogate pair becomes a question mark. A record that isn't JSON, is
+nested deeper than Python decodes, or whose paths are no mapping's gives no turns.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from pyspark.sql import functions as F
 from loomwork.llm.common import arrow_rows, slices
 
 #: name -> how turns are read. list: path of the list of turns, with its role and text fields; fields: (role, field)
-#: in order; row: the record is one turn. Fields in optional may be absent.
+#: in order; row: the record is one turn. Fields in optional may be absent. A content may be a list of parts with text.
 MAPPINGS = {
     "turn_row": {"row": ("role", "text"), "required": ("conv_id", "turn", "role", "text"), "optional": ()},
     "messages": {"list": ("messages", "role", "content"), "required": ("messages[].role", "messages[].content"), "optional": ("conv_id", "system")},
+    "message_parts": {"list": ("messages", "role", "content"), "required": ("messages[].role", "messages[].content[].text"), "optional": ("conv_id", "system", "messages[].content", "messages[].content[].type")},
     "from_value": {"list": ("conversations", "from", "value"), "required": ("conversations[].from", "conversations[].value"), "optional": ("conv_id", "system")},
     "prompt": {"fields": (("system", "system"), ("user", "prompt"), ("assistant", "completion")), "required": ("prompt", "completion"), "optional": ("conv_id", "system")},
     "prompt_response": {"fields": (("system", "system"), ("user", "prompt"), ("assistant", "response")), "required": ("prompt", "response"), "optional": ("conv_id", "system")},
@@ -44,13 +48,18 @@ TURN = re.compile(r'### (?:(User|Assistant|System)|=("(?:[^"\\]|\\.)*")): ((?:[^
 TURNS_DDL = "conv_id long, turn long, role string, text string"
 
 
-def field_paths(value, prefix: str = "") -> set[str]:
-    """Nested field paths of a decoded record; list members share one path."""
-    if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()))
-    if isinstance(value, list):
-        return set().union(*(field_paths(v, f"{prefix}[]") for v in value)) or {prefix}
-    return {prefix}
+def field_paths(value) -> set[str]:
+    """Nested field paths of a decoded record; list members share one path, and members that hold nothing have none."""
+    found, left = set(), [("", value)]
+    while left:
+        prefix, value = left.pop()
+        if isinstance(value, dict):
+            left += ((f"{prefix}.{k}" if prefix else k, v) for k, v in value.items())
+        elif isinstance(value, list) and value:
+            left += ((f"{prefix}[]", v) for v in value)
+        else:
+            found.add(prefix)
+    return found
 
 
 def fingerprint(paths: set[str]) -> str:
@@ -61,7 +70,14 @@ BY_FINGERPRINT = {fingerprint({*m["required"], *some}): name for name, m in MAPP
 
 
 def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, list) and any(isinstance(x, dict) and "text" in x for x in value):
+        value = "".join(_text(x["text"]) if isinstance(x, dict) and "text" in x else x if isinstance(x, str) else "" for x in value)
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-8", "replace").decode()
+
+
+def _turn(value) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
 
 
 def turns_of(record: dict) -> tuple[str | None, list[tuple[int | None, str, str]]]:
@@ -72,11 +88,11 @@ def turns_of(record: dict) -> tuple[str | None, list[tuple[int | None, str, str]
     m = MAPPINGS[name]
     if "row" in m:
         role, text = m["row"]
-        return name, [(record["turn"], _text(record[role]), _text(record[text]))]
+        return name, [(_turn(record["turn"]), _text(record[role]), _text(record[text]))]
     if "list" in m:
         at, role, text = m["list"]
         pairs = [("system", _text(record["system"]))] if record.get("system") else []
-        pairs += [(_text(t.get(role)), _text(t.get(text))) for t in record[at]]
+        pairs += [(_text(t.get(role)), _text(t.get(text))) for t in record[at] if isinstance(t, dict)]
     else:
         pairs = [(role, "\n\n".join(x for x in (_text(record.get(f)) for f in fields) if x)) for role, *fields in m["fields"] if role != "system" or record.get("system")]
     return name, [(k, ROLES.get(role.lower(), role), text) for k, (role, text) in enumerate(pairs)]
@@ -86,9 +102,10 @@ def _records(batch: pa.RecordBatch):
     for conv, record in zip(batch.column("conv_id").to_pylist(), batch.column("record").to_pylist(), strict=True):
         try:
             value = json.loads(record or "")
-        except ValueError:
-            value = None
-        yield conv, *(turns_of(value) if isinstance(value, dict) else (None, []))
+            found = turns_of(value) if isinstance(value, dict) else (None, [])
+        except (ValueError, RecursionError):
+            found = None, []
+        yield conv, *found
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:

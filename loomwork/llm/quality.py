@@ -2,7 +2,8 @@
 
 Null texts count as empty; an empty text has no words and fails the base rule. Rows with the same
 doc_id are judged one by one. Further columns of the input are ignored. Without labelled rows of both
-classes there is no model: the probability is null and only the base rule decides.
+classes there is no model: the probability is null and only the base rule decides. Texts are hashed STRETCH
+bytes at a time, so a text of many megabytes takes some ten times its size.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm import logistic
-from loomwork.llm.common import arrow_rows, in_class_sample, mix64, slices, split_words
+from loomwork.llm.common import arrow_rows, discard, in_class_sample, materialise, mix64, slices, split_words
 
 #: Buckets of each of the two blocks (words, characters) and how many labelled rows train the model at most (about).
 DIMS = 1 << 14
 TRAIN_ROWS = 2000
+#: Bytes of features that reach the driver at most (about); longer texts make for fewer rows.
+TRAIN_BYTES = 64 << 20
+#: Bytes, or words, of a text that are hashed at a time.
+STRETCH = 1 << 20
 #: A document stays if its calibrated probability of good quality reaches this.
 KEEP_AT = 0.5
 #: Frequencies are multiplied by this so that weights stay near one.
@@ -66,35 +71,54 @@ def duplicate_lines(data: bytes) -> int:
     return again
 
 
-def buckets(data: bytes, ids: np.ndarray, seen: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash buckets of word uni- and bigrams, and of character 3-, 4- and 5-grams (bytes)."""
+def word_buckets(ids: np.ndarray, seen: dict[bytes, int]):
+    """Hash buckets of word uni- and bigrams, in stretches."""
+    if not len(ids):
+        return
     shift = np.uint64(64 - DIMS.bit_length() + 1)
-    of = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))[ids] if len(ids) else np.zeros(0, np.uint64)
-    words = np.concatenate((of, mix64(of[:-1] * np.uint64(3) + of[1:]))) >> shift
-    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
-    h = raw
-    chars = []
-    for n in range(2, 6):
-        h = h[: max(0, len(raw) - n + 1)] * np.uint64(0x100000001B3) + raw[n - 1 :]
-        if n > 2:
-            chars.append(mix64(h + np.uint64(n)) >> shift)
-    return words.astype(np.int64), np.concatenate(chars).astype(np.int64) + DIMS
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+    for at in range(0, len(ids), STRETCH):
+        of = own[ids[at : at + STRETCH + 1]]
+        yield (np.concatenate((of[:STRETCH], mix64(of[:-1] * np.uint64(3) + of[1:]))) >> shift).astype(np.int64)
+
+
+def char_buckets(data: bytes):
+    """Hash buckets of 3-, 4- and 5-grams of bytes, in stretches."""
+    shift = np.uint64(64 - DIMS.bit_length() + 1)
+    for at in range(0, len(data), STRETCH):
+        h = raw = np.frombuffer(data, np.uint8, min(STRETCH + 4, len(data) - at), at).astype(np.uint64)
+        chars = []
+        for n in range(2, 6):
+            h = h[: max(0, len(raw) - n + 1)] * np.uint64(0x100000001B3) + raw[n - 1 :]
+            if n > 2:
+                chars.append(mix64(h[:STRETCH] + np.uint64(n)) >> shift)
+        yield np.concatenate(chars).astype(np.int64) + DIMS
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Sparse features: frequencies within each block."""
-    ids, seen = word_ids(split_words(data))
     at, value = [], []
-    for block in buckets(data, ids, seen):
-        if len(block):
-            b, n = np.unique(block, return_counts=True)
-            at.append(b)
-            value.append(SCALE * n / len(block))
-    return (np.concatenate(at), np.concatenate(value)) if at else (np.zeros(0, np.int64), np.zeros(0))
+    for block in (word_buckets(*word_ids(split_words(data))), char_buckets(data)):
+        n = sum((np.bincount(b, minlength=2 * DIMS) for b in block), np.zeros(2 * DIMS, np.int64))
+        some = np.flatnonzero(n)
+        at.append(some)
+        value.append(SCALE * n[some] / max(1, n.sum()))
+    return np.concatenate(at), np.concatenate(value)
+
+
+def margin_of(m: logistic.LogisticModel, data: bytes, ids: np.ndarray, seen: dict[bytes, int]) -> float:
+    """The bias and the mean weights of both blocks."""
+    out = m.bias
+    for block in (word_buckets(ids, seen), char_buckets(data)):
+        total, n = 0.0, 0
+        for b in block:
+            total, n = total + m.weights[b].sum(), n + len(b)
+        out += SCALE * total / n if n else 0.0
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logistic.LogisticModel | None:
-    """Fit on about ``rows`` labelled documents, chosen by a hash of doc_id; their features come to the driver."""
+    """Fit on about ``rows`` labelled documents, or fewer long ones, chosen by a hash of doc_id; their features come to the driver."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("good", F.col("quality") > 0)
     counts = {r.good: r["count"] for r in good.groupBy("good").count().collect()}
     few = good.where(in_class_sample("doc_id", "good", counts, rows))
@@ -105,14 +129,23 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logisti
         return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "at": [a.astype(np.int32).tobytes() for a, _ in found], "value": [v.astype(np.float32).tobytes() for _, v in found]}
 
     sample = docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", F.col("quality").cast("int"))), "doc_id")
-    got = sample.select("doc_id", "quality", "text").mapInArrow(arrow_rows(schema, of), "doc_id long, quality int, at binary, value binary").collect()
+    def parts(batches):
+        for batch in batches:
+            yield from arrow_rows(schema, of)(slices(batch, 64))
+
+    found = sample.select("doc_id", "quality", "text").mapInArrow(parts, "doc_id long, quality int, at binary, value binary")
+    size = F.octet_length("at") + F.octet_length("value")
+    found = materialise(found)
+    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    share = min(1.0, TRAIN_BYTES / max(1, total))
+    got = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))).collect()
+    discard(found)
     got.sort(key=lambda r: (r.doc_id, bytes(r.at), bytes(r.value)))
     got = [r for r in got if len(r.at)]
     return logistic.fit([(int(r.quality > 0), np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in got], 2 * DIMS) if got else None
 
 
 def _rows(batch: pa.RecordBatch, m: logistic.LogisticModel | None, keep_at: float) -> dict[str, list]:
-    w = None if m is None else m.weights
     out: dict[str, list] = {k: [] for k in SCHEMA.names}
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
         text = text or ""
@@ -122,8 +155,7 @@ def _rows(batch: pa.RecordBatch, m: logistic.LogisticModel | None, keep_at: floa
         failed = n < MIN_WORDS or 100 * again > 50 * n
         p = None
         if m is not None:
-            margin = m.bias + SCALE * sum(w[block].mean() for block in buckets(data, ids, seen) if len(block))
-            p = float(m.probability(margin))
+            p = float(m.probability(margin_of(m, data, ids, seen)))
         for k, v in zip(SCHEMA.names, (doc_id, n, len(text) - sum(map(text.count, SPACES)), sum(map(data.count, SYMBOLS)), duplicate_lines(data), again, failed, not failed and (p is None or p >= keep_at), p), strict=True):
             out[k].append(v)
     return out
@@ -132,7 +164,12 @@ def _rows(batch: pa.RecordBatch, m: logistic.LogisticModel | None, keep_at: floa
 def judge(docs: DataFrame, model: logistic.LogisticModel | None, keep_at: float = KEEP_AT) -> DataFrame:
     """One row for each document: counts, the base rule's failure and the verdict."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(arrow_rows(SCHEMA, lambda b: _rows(b, held.value, keep_at)), DDL)
+
+    def run(batches):
+        for batch in batches:
+            yield from arrow_rows(SCHEMA, lambda b: _rows(b, held.value, keep_at))(slices(batch, 1024))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DDL)
 
 
 def keep(docs: DataFrame, model: logistic.LogisticModel | None, keep_at: float = KEEP_AT) -> DataFrame:

@@ -72,6 +72,51 @@ def test_quality_counts(docs, odd, labels):
             assert r.kept is (not r.base_failed) and r.quality_prob is None
 
 
+def test_quality_features_in_stretches(monkeypatch):
+    """Features, margins and counts of a text don't depend on the stretches in which it is hashed."""
+    import numpy as np
+
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["the", "word", "é", "x" * 50, "a,b"]) for _ in range(3000)).encode()
+    model = quality.logistic.LogisticModel(np.random.default_rng(0).normal(size=2 * quality.DIMS), 0.3)
+    ids, seen = quality.word_ids(quality.split_words(text))
+    whole, margin = quality.features(text), quality.margin_of(model, text, ids, seen)
+    assert margin == pytest.approx(0.3 + float((model.weights[whole[0]] * whole[1]).sum()))
+    monkeypatch.setattr(quality, "STRETCH", 97)
+    parts = quality.features(text)
+    assert np.array_equal(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+    assert quality.margin_of(model, text, ids, seen) == pytest.approx(margin)
+    n = len(text) - 2
+    plain = collections.Counter(text[k : k + m] for m in (3, 4, 5) for k in range(len(text) - m + 1))
+    chars = whole[1][whole[0] >= quality.DIMS]
+    assert chars.sum() == pytest.approx(quality.SCALE) and len(chars) <= len(plain) and sum(plain.values()) == 3 * n - 3
+
+
+def test_quality_of_a_very_long_text():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = ("a b c " * 5000 + "\n") * 200
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})
+    import numpy as np
+
+    model = quality.logistic.LogisticModel(np.zeros(2 * quality.DIMS), 0.0)
+    tracemalloc.start()
+    quality._rows(batch, model, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * len(text)
+
+
+def test_quality_training_is_bounded_in_bytes(docs, labels, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1 << 20)
+    seen = []
+    monkeypatch.setattr(quality.logistic, "fit", lambda rows, dims: seen.append(sum(8 * len(at) for _, at, _ in rows)))
+    quality.train(docs, labels)
+    assert 0 < seen[0] < 1.5 * (1 << 20)
+
+
 def test_quality_model(docs, labels, empty):
     model = quality.train(docs, labels)
     got = {r.doc_id: r for r in quality.judge(docs, model).collect()}
@@ -196,6 +241,31 @@ def test_chat_layouts(spark):
     assert {r.layout: r["count"] for r in chat.layouts(df).collect()}[None] == 3
 
 
+def test_chat_odd_records(spark):
+    """Stray list members, contents in parts, odd turns, half surrogate pairs and deep nesting: no record ends the job."""
+    deep = '{"a": ' * 50_000 + "1" + "}" * 50_000
+    records = [
+        (1, '{"messages": ["stray", null, 3, {"role": "user", "content": "a"}, []]}'),
+        (2, '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "text": null}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": "c"}]}'),
+        (3, deep),
+        (4, "[" * 100_000),
+        (5, '{"conv_id": 5, "turn": "one", "role": "user", "text": "a"}'),
+        (6, '{"conv_id": 6, "turn": 99999999999999999999, "role": "user", "text": "\\ud800x"}'),
+        (7, '{"messages": [[{"role": "user", "content": "a"}]]}'),
+        (8, '{"messages": []}'),
+        (9, '{"prompt": {"k": 1}, "completion": "b"}'),
+        (10, '{"messages": {"role": "user", "content": "a"}}'),
+        (None, '{"prompt": ["x", 1], "completion": true}'),
+        (11, '{"messages": [{"role": ["user"], "content": {"text": "a"}}]}'),
+    ]
+    df = spark.createDataFrame(records, "conv_id long, record string")
+    got = collections.defaultdict(list)
+    for r in chat.canonical_turns(df).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.turn, r.role, r.text))
+    assert got == {1: [(0, "user", "a")], 2: [(0, "user", "ab"), (1, "assistant", "c")], 5: [(None, "user", "a")], 6: [(None, "user", "?x")]}
+    assert sum(r["count"] for r in chat.layouts(df).collect()) == len(records)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(1)
     parts = ["\\", "###", "</turn>", "### User: ", "\n", "a", "<", "/turn>", "#", '"', "é😀"]
