@@ -1,91 +1,84 @@
-"""The vector space: neighbours, densities, centroids, clusters and link features."""
+"""The vector space: neighbours, densities, centroids, clusters and link features.
 
-from __future__ import annotations
+Candidates are compared with the space in blocks: both are dealt to blocks of bounded size by a hash of their
+key, and each pair of blocks is one task's work. Nothing of either is collected or broadcast. Rows without a
+vector are left out of a space; vectors must have one length.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.scores import composite, cosine, jaccard
 from loomwork.operators.graph import components
+from loomwork.plans.store import written
 
-#: Space vectors that are sent to the tasks at once; a larger space is passed in so many blocks.
+#: Vectors of a block; a task holds two blocks and their products.
 BLOCK = 4096
 TOP = 5
+#: Vectors that dbscan() measures all others against, at most: they and one radius each are all that is broadcast.
+PIVOTS = 256
 
 
-def _matrix(rows, value: str) -> np.ndarray:
-    m = np.array([r[value] for r in rows], dtype=np.float64)
+def _unit(column) -> np.ndarray:
+    """Rows of unit length out of an array column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def blocks(space: DataFrame, key: str, value: str, block: int = BLOCK):
-    """(keys, unit vectors) of the space, a bounded number at a time."""
-    n = space.count()
-    parts = max(1, -(-n // block))
-    slot = F.pmod(F.xxhash64(key), F.lit(parts))
-    for k in range(parts if n else 0):
-        rows = space.where(slot == k).select(key, value).orderBy(key).collect()
-        if rows:
-            yield [r[key] for r in rows], _matrix(rows, value)
+def _parts(df: DataFrame, block: int) -> int:
+    return max(1, -(-df.count() // block))
 
 
-def _unit(batch_column) -> np.ndarray:
-    m = np.array(batch_column.to_pylist(), dtype=np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+def by_blocks(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, compare, ddl: str, block: int = BLOCK) -> DataFrame:
+    """compare(candidate block, space block) for each pair of blocks; their columns are k (long) and v."""
+    left = candidates.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v")).where("v is not null")
+    right = space.select(F.col(space_key).cast("long").alias("k"), F.col(value).alias("v")).where("v is not null")
+    n, m = _parts(left, block), _parts(right, block)
+    slot = lambda parts: F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = left.select("k", "v", slot(n).alias("a"), every(m).alias("b"))
+    right = right.select("k", "v", every(n).alias("a"), slot(m).alias("b"))
+    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(compare, ddl)
 
 
 def neighbours(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, k: int = TOP, threshold: float | None = 0.0, block: int = BLOCK) -> DataFrame:
     """(key, rank, space_key, similarity): the k most similar space vectors of each candidate, ties by key."""
-    schema = pa.schema([(key, pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
-    parts = []
-    for keys, m in blocks(space, space_key, value, block):
-        held = candidates.sparkSession.sparkContext.broadcast((np.array(keys), m))
-
-        def run(batches, held=held):
-            keys, m = held.value
-            for b in batches:
-                if b.num_rows:
-                    sims = _unit(b.column(value)) @ m.T
-                    order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-                    ids = np.repeat(b.column(key).to_numpy(), order.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sims, order, 1).ravel())], schema=schema)
-
-        parts.append(candidates.select(F.col(key).cast("long").alias(key), value).mapInArrow(run, f"{key} long, neighbour long, similarity double"))
-    if not parts:
-        return candidates.sparkSession.createDataFrame([], f"{key} long, rank long, {space_key} long, similarity double")
-    found = reduce(DataFrame.union, parts)
+    schema = pa.schema([("k", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        keys, sims = right.column("k").to_numpy(), _unit(left.column("v")) @ _unit(right.column("v")).T
+        order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
+        ids = np.repeat(left.column("k").to_numpy(), order.shape[1])
+        return pa.Table.from_arrays([pa.array(ids), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sims, order, 1).ravel())], schema=schema)
+
+    found = by_blocks(candidates, space, key, space_key, value, compare, "k long, neighbour long, similarity double", block)
     if threshold is not None:
         found = found.where(F.col("similarity") >= threshold)
-    ordered = F.slice(F.sort_array(F.collect_list(F.struct((-F.round("similarity", 12)).alias("o"), "neighbour", "similarity"))), 1, k)
-    flat = found.groupBy(key).agg(ordered.alias("n")).select(key, F.posexplode("n"))
-    return flat.select(key, (F.col("pos") + 1).cast("long").alias("rank"), F.col("col.neighbour").alias(space_key), F.col("col.similarity").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.round("similarity", 12)), "neighbour"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(F.col("k").alias(key), "rank", F.col("neighbour").alias(space_key), "similarity")
 
 
 def space_stats(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, radius: float, block: int = BLOCK) -> DataFrame:
     """For each candidate: n, similarity_sum, within (vectors no farther than radius) and top (best similarities)."""
-    schema = pa.schema([(key, pa.int64()), ("n", pa.int64()), ("similarity_sum", pa.float64()), ("within", pa.int64()), ("top", pa.list_(pa.float64()))])
-    parts = []
-    for _, m in blocks(space, space_key, value, block):
-        held = candidates.sparkSession.sparkContext.broadcast(m)
-
-        def run(batches, held=held):
-            for b in batches:
-                if b.num_rows:
-                    sims = _unit(b.column(value)) @ held.value.T
-                    top = -np.sort(-sims, axis=1)[:, :TOP]
-                    yield pa.RecordBatch.from_arrays([b.column(key), pa.array(np.full(len(sims), sims.shape[1])), pa.array(sims.sum(axis=1)), pa.array((1 - sims <= radius).sum(axis=1)), pa.array(top.tolist(), pa.list_(pa.float64()))], schema=schema)
-
-        parts.append(candidates.select(F.col(key).cast("long").alias(key), value).mapInArrow(run, f"{key} long, n long, similarity_sum double, within long, top array<double>"))
-    if not parts:
-        return candidates.select(F.col(key).cast("long").alias(key), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("similarity_sum"), F.lit(0).cast("long").alias("within"), F.array().cast("array<double>").alias("top"))
-    if len(parts) == 1:
-        return parts[0]
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("similarity_sum", pa.float64()), ("within", pa.int64()), ("top", pa.list_(pa.float64()))])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        sims = _unit(left.column("v")) @ _unit(right.column("v")).T if right.num_rows else np.zeros((left.num_rows, 0))
+        top = -np.sort(-sims, axis=1)[:, :TOP]
+        return pa.Table.from_arrays([left.column("k"), pa.array(np.full(len(sims), sims.shape[1])), pa.array(sims.sum(axis=1)), pa.array((1 - sims <= radius).sum(axis=1)), pa.array(top.tolist(), pa.list_(pa.float64()))], schema=schema)
+
+    found = by_blocks(candidates, space, key, space_key, value, compare, "k long, n long, similarity_sum double, within long, top array<double>", block)
     best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, TOP)
-    return reduce(DataFrame.union, parts).groupBy(key).agg(F.sum("n").alias("n"), F.sum("similarity_sum").alias("similarity_sum"), F.sum("within").alias("within"), best.alias("top"))
+    return found.groupBy(F.col("k").alias(key)).agg(F.sum("n").alias("n"), F.sum("similarity_sum").alias("similarity_sum"), F.sum("within").alias("within"), best.alias("top"))
 
 
 def _mean(values):
@@ -134,30 +127,94 @@ def cluster_distance(candidates: DataFrame, centers: DataFrame, key: str, value:
     return stats.select(key, F.coalesce(1 - F.try_element_at("top", F.lit(1)), F.lit(1.0)).alias("cluster_distance"))
 
 
-def dbscan(vectors: DataFrame, key: str, value: str, eps: float, block: int = BLOCK) -> DataFrame:
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) edges of near[row, column], enough to join what it joins: one component after the other."""
+    rows, cols = [], []
+    left = np.ones(len(near), bool)
+    for start in range(len(near)):
+        if not left[start]:
+            continue
+        left[start] = False
+        front, reached = np.array([start]), np.zeros(near.shape[1], bool)
+        while len(front):
+            hit = near[front] & ~reached
+            new = np.flatnonzero(hit.any(axis=0))
+            rows.append(front[hit[:, new].argmax(axis=0)])
+            cols.append(new)
+            reached[new] = True
+            others = np.flatnonzero(left)
+            joined = near[np.ix_(others, new)]
+            more = joined.any(axis=1)
+            front = others[more]
+            rows.append(front)
+            cols.append(new[joined[more].argmax(axis=1)] if len(front) else np.zeros(0, int))
+            left[front] = False
+    return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cols or [np.zeros(0, int)])
+
+
+def dbscan(vectors: DataFrame, key: str, value: str, eps: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """(key, cluster): with two members enough for a core, clusters are the components of the eps-graph.
 
-    A cluster is named by its smallest key, noise by -1. All vectors are compared block by block."""
+    A cluster is named by its smallest key, noise by -1. Equal vectors enter once. Each vector has a home, the cell
+    of the nearest of at most ``pivots`` vectors, and is copied to all cells whose members it may reach: those with
+    a pivot no farther than eps (as an angle) and the cell's radius together, which loses no pair. A cell is
+    compared in pairs of blocks, and each pair gives the edges of a spanning forest, not all its pairs. Rows
+    without a vector are noise."""
+    spark = vectors.sparkSession
+    rows = written(vectors.select(F.col(key).cast("long").alias("k"), F.col(value).cast("array<double>").alias("v")))
+    once = written(rows.where("v is not null").groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    n = once.count()
+    if not n:
+        return rows.select(F.col("k").alias(key), F.lit(-1).cast("long").alias("cluster"))
+    reach = float(np.arccos(np.clip(1 - eps, -1, 1))) + 1e-9
+    chosen = once.orderBy(F.xxhash64("k"), "k").limit(min(pivots, int(np.ceil(np.sqrt(n))))).toArrow()
+    held = spark.sparkContext.broadcast(_unit(chosen.column("v")))
+
+    def homes(batches):
+        for b in batches:
+            if b.num_rows:
+                angle = np.arccos(np.clip(_unit(b.column("v")) @ held.value.T, -1, 1))
+                home = angle.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(angle.min(axis=1))], names=["k", "v", "home", "far"])
+
+    placed = written(once.select("k", "v").mapInArrow(homes, "k long, v array<double>, home int, far double"))
+    radius = np.zeros(len(held.value))
+    sizes = np.zeros(len(held.value), np.int64)
+    for r in placed.groupBy("home").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # at most ``pivots`` rows
+        radius[r.home], sizes[r.home] = r.far, r.n
+    limit = spark.sparkContext.broadcast(np.where(sizes > 0, radius + reach, -1.0))
+
+    def copies(batches):
+        for b in batches:
+            if b.num_rows:
+                m, home = _unit(b.column("v")), b.column("home").to_numpy()
+                near = np.arccos(np.clip(m @ held.value.T, -1, 1)) <= limit.value
+                # A pair is found in the later one of its two homes.
+                at, cell = np.nonzero(near & (np.arange(near.shape[1]) >= home[:, None]))
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["k", "v", "cell"])
+
+    copied = written(placed.select("k", "v", "home").mapInArrow(copies, "k long, v array<double>, cell int"))
+    counts = copied.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("n_b")).join(spark.createDataFrame([(c, int(-(-x // block))) for c, x in enumerate(sizes) if x], "cell int, n_a int"), "cell")
+    counts = F.broadcast(counts)  # one row for each cell
+    slot = lambda parts: F.pmod(F.xxhash64("k"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    left = placed.select("k", "v", F.col("home").alias("cell")).join(counts, "cell").select("k", "v", "cell", slot("n_a").alias("a"), every("n_b").alias("b"))
+    right = copied.join(counts, "cell").select("k", "v", "cell", every("n_a").alias("a"), slot("n_b").alias("b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    parts = []
-    for keys, m in blocks(vectors, key, value, block):
-        held = vectors.sparkSession.sparkContext.broadcast((np.array(keys), m))
-
-        def run(batches, held=held):
-            keys, m = held.value
-            for b in batches:
-                if b.num_rows:
-                    own = b.column(key).to_numpy()
-                    x, y = np.nonzero(1 - _unit(b.column(value)) @ m.T <= eps)
-                    up = own[x] < keys[y]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[x][up]), pa.array(keys[y][up])], schema=schema)
-
-        parts.append(vectors.select(F.col(key).cast("long").alias(key), value).mapInArrow(run, "a long, b long"))
-    all_keys = vectors.select(F.col(key).cast("long").alias(key))
-    if not parts:
-        return all_keys.withColumn("cluster", F.lit(-1).cast("long"))
-    labels = components(reduce(DataFrame.union, parts))
-    return all_keys.join(labels, F.col(key) == F.col("node"), "left").select(key, F.coalesce("label", F.lit(-1).cast("long")).alias("cluster"))
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return schema.empty_table()
+        one, two = _spanning(1 - _unit(x.column("v")) @ _unit(y.column("v")).T <= eps)
+        a, b = x.column("k").to_numpy()[one], y.column("k").to_numpy()[two]
+        return pa.Table.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
+
+    by = ["cell", "a", "b"]
+    labels = components(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a long, b long"))
+    # Equal vectors are a cluster of their own, but those of zeros, which have no direction, are 1 apart.
+    alike = (F.col("n") > 1) & (F.exists("v", lambda x: x != 0) | F.lit(eps >= 1))
+    named = once.join(labels, F.col("k") == F.col("node"), "left").select("v", F.coalesce("label", F.when(alike, F.col("k"))).alias("cluster"))
+    return rows.join(named, "v", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def link_features(links: DataFrame, space: DataFrame, centers: DataFrame, key: str, value: str, parent: str, radius: float) -> DataFrame:

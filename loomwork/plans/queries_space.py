@@ -1,6 +1,7 @@
 """Queries over vectors: neighbours, densities, clusters, features, the cascade and priorities.
 
-Test adapter: vectors below 50 are the space, the others are candidate links of node vec_id % 50."""
+Test adapter: all vectors are the space; those whose id is divisible by 20 are the candidate links that are looked
+up in it, of node (vec_id / 20) modulo NODES."""
 
 from __future__ import annotations
 
@@ -11,17 +12,21 @@ from loomwork.operators import cascade, graph, space
 from loomwork.plans.store import written
 from loomwork.plans.tables import r6, t
 
-BASIS = 50
+QUERY, NODES = 20, 10
 RADIUS = 0.65
 EPS = 0.62
-LOW, HIGH = 0.20, 0.30
+LOW, HIGH, NEAR = 0.66, 0.685, 0.35
 #: Budgets that aren't zero for the small groups of the fixture.
 SHARES = {"low_share": 0.5, "high_share": 0.6, "random_share": 0.4}
 
 
 def _vectors(spark, sf_dir):
     df = t(spark, sf_dir, "embeddings")
-    return df.where(F.col("vec_id") >= BASIS), df.where(F.col("vec_id") < BASIS)
+    return df.where(F.col("vec_id") % QUERY == 0), df
+
+
+def _node():
+    return F.floor(F.col("vec_id") / QUERY) % NODES
 
 
 def _stats(spark, sf_dir):
@@ -31,7 +36,7 @@ def _stats(spark, sf_dir):
 
 def q_knn(spark, sf_dir):
     links, basis = _vectors(spark, sf_dir)
-    found = space.neighbours(links, basis.withColumnRenamed("vec_id", "basis_id"), "vec_id", "basis_id", "embedding", 5, None)
+    found = space.neighbours(links, basis.withColumnRenamed("vec_id", "basis_id"), "vec_id", "basis_id", "embedding", 5, NEAR)
     return found.select("vec_id", "rank", "basis_id", r6(F.col("similarity")).alias("similarity"))
 
 
@@ -60,10 +65,6 @@ def q_space_density(spark, sf_dir):
     return _stats(spark, sf_dir).select("vec_id", r6(d).alias("density"), r6(1 - d).alias("coverage_gap"))
 
 
-def q_coverage_gap(spark, sf_dir):
-    return _stats(spark, sf_dir).select("vec_id", r6(space.target_similarity() * (1 - space.region_density())).alias("value"))
-
-
 def q_centroids(spark, sf_dir):
     c = space.centroids(t(spark, sf_dir, "embeddings"), "label", "embedding")
     return c.select(F.col("label").cast("long").alias("label"), F.posexplode("centroid").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x"))
@@ -79,6 +80,13 @@ def q_dbscan(spark, sf_dir):
     return space.dbscan(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS)
 
 
+def q_dbscan_shared(spark, sf_dir):
+    """Every vector three times, and one of zeros: copies are one cluster whatever else is near."""
+    e = t(spark, sf_dir, "embeddings")
+    rows = e.select(F.explode(F.array(*[F.col("vec_id") * 3 + k for k in range(3)])).alias("vec_id"), "embedding")
+    return space.dbscan(rows, "vec_id", "embedding", 0.3, 64)
+
+
 def q_dbscan_members(spark, sf_dir):
     labels = space.dbscan(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS).where("cluster >= 0")
     return labels.groupBy("cluster").agg(F.count("*").alias("n"), F.max("vec_id").alias("last"))
@@ -87,19 +95,11 @@ def q_dbscan_members(spark, sf_dir):
 def _links(spark, sf_dir):
     """Candidates with their parent's vector, an anchor and the parent's text."""
     links, basis = _vectors(spark, sf_dir)
-    docs = t(spark, sf_dir, "documents").where(F.col("doc_id") < BASIS).select(F.col("doc_id").alias("node_id"), F.col("text").alias("parent_text"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), F.col("text").alias("parent_text"))
     parents = basis.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("parent")).join(docs, "node_id")
     topics = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("anchor"))
     n = topics.agg(F.count("*").alias("n"))
-    return links.withColumn("node_id", F.col("vec_id") % BASIS).join(parents, "node_id").join(F.broadcast(n)).join(topics, F.expr("vec_id % n = item_id")).select("vec_id", "node_id", "label", "embedding", "parent", "anchor", "parent_text")
-
-
-def q_semantic_delta(spark, sf_dir):
-    return _links(spark, sf_dir).select("vec_id", r6(1 - scores.cosine(F.col("embedding"), F.col("parent"))).alias("value"))
-
-
-def q_contextual_consistency(spark, sf_dir):
-    return _links(spark, sf_dir).select("vec_id", r6(F.greatest(F.lit(0.0), scores.cosine(F.col("embedding"), F.col("parent")))).alias("value"))
+    return links.withColumn("node_id", _node()).join(parents, "node_id").join(F.broadcast(n)).join(topics, F.expr("vec_id % n = item_id")).select("vec_id", "node_id", "label", "embedding", "parent", "anchor", "parent_text")
 
 
 def _features(spark, sf_dir):
@@ -110,12 +110,19 @@ def _features(spark, sf_dir):
     return feats.join(links.select("vec_id", "node_id", "label"), "vec_id")
 
 
+def _feature(name):
+    return lambda spark, sf_dir: _features(spark, sf_dir).select("vec_id", r6(F.col(name)).alias("value"))
+
+
+q_coverage_gap, q_semantic_delta, q_contextual_consistency = map(_feature, ("coverage_gap", "semantic_delta", "contextual_consistency"))
+
+
 def q_composite_score(spark, sf_dir):
     return _features(spark, sf_dir).select("vec_id", r6(F.col("nlp_score")).alias("nlp_score"))
 
 
 def _bucketed(spark, sf_dir):
-    return _stats(spark, sf_dir).select("vec_id", (F.col("vec_id") % BASIS).alias("node_id"), r6(space.target_similarity()).alias("nlp_score")).withColumn("bucket", cascade.bucket(F.col("nlp_score"), LOW, HIGH))
+    return _stats(spark, sf_dir).select("vec_id", _node().alias("node_id"), r6(space.target_similarity()).alias("nlp_score")).withColumn("bucket", cascade.bucket(F.col("nlp_score"), LOW, HIGH))
 
 
 def q_bucket(spark, sf_dir):
@@ -155,17 +162,17 @@ def q_frontier_order(spark, sf_dir):
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
-_SIMS = f"""WITH RECURSIVE cand AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings WHERE vec_id >= {BASIS}), basis AS (SELECT vec_id AS bid, label, embedding::DOUBLE[] e FROM embeddings WHERE vec_id < {BASIS}),
+_SIMS = f"""WITH RECURSIVE cand AS (SELECT vec_id, label, embedding::DOUBLE[] e FROM embeddings WHERE vec_id % {QUERY} = 0), basis AS (SELECT vec_id AS bid, label, embedding::DOUBLE[] e FROM embeddings),
   sims AS (SELECT c.vec_id, b.bid, list_cosine_similarity(c.e, b.e) AS s FROM cand c, basis b),
   ranked AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, bid) AS rank FROM sims)"""
 _FEATS = f""", cen AS (SELECT label, list(x ORDER BY dim) AS e FROM (SELECT label, dim, avg(x) AS x FROM (SELECT label, unnest(range(len(e))) AS dim, unnest(e) AS x FROM basis) GROUP BY label, dim) GROUP BY label),
   far AS (SELECT c.vec_id, min(1 - list_cosine_similarity(c.e, k.e)) AS cluster_distance FROM cand c, cen k GROUP BY c.vec_id),
   near AS (SELECT vec_id, coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0) AS target_similarity, avg(CASE WHEN 1 - s <= {RADIUS} THEN 1.0::DOUBLE ELSE 0 END) AS region_density, 1 - avg(s) FILTER (WHERE rank <= 5) AS novelty_injection FROM ranked GROUP BY vec_id),
   own AS (SELECT c.vec_id, c.label, list_cosine_similarity(c.e, b.e) AS s, list_distinct(regexp_extract_all(lower(t.text), '[\\p{{L}}\\p{{N}}_]+')) AS x, list_distinct(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}_]+')) AS y
-          FROM cand c JOIN basis b ON b.bid = c.vec_id % {BASIS} JOIN documents d ON d.doc_id = b.bid JOIN benchmark t ON t.item_id = c.vec_id % (SELECT count(*) FROM benchmark)),
+          FROM cand c JOIN basis b ON b.bid = c.vec_id // {QUERY} % {NODES} JOIN documents d ON d.doc_id = b.bid JOIN benchmark t ON t.item_id = c.vec_id % (SELECT count(*) FROM benchmark)),
   f AS (SELECT *, target_similarity * (1 - region_density) AS coverage_gap, 1 - s AS semantic_delta, greatest(0, s) AS contextual_consistency,
           CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS lexical_overlap FROM near JOIN far USING (vec_id) JOIN own USING (vec_id))"""
-_B = f", b AS (SELECT vec_id, vec_id % {BASIS} AS node_id, round(target_similarity, 6) AS nlp_score, CASE WHEN round(target_similarity, 6) < {LOW} THEN 'low' WHEN round(target_similarity, 6) > {HIGH} THEN 'high' ELSE 'mid' END AS bucket FROM (SELECT vec_id, coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0) AS target_similarity FROM ranked GROUP BY vec_id))"
+_B = f", b AS (SELECT vec_id, vec_id // {QUERY} % {NODES} AS node_id, round(target_similarity, 6) AS nlp_score, CASE WHEN round(target_similarity, 6) < {LOW} THEN 'low' WHEN round(target_similarity, 6) > {HIGH} THEN 'high' ELSE 'mid' END AS bucket FROM (SELECT vec_id, coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0) AS target_similarity FROM ranked GROUP BY vec_id))"
 _BUD = f", n AS (SELECT node_id, count(*) FILTER (WHERE bucket = 'low') AS n_low, count(*) FILTER (WHERE bucket = 'mid') AS n_mid, count(*) FILTER (WHERE bucket = 'high') AS n_high FROM b GROUP BY node_id), m AS (SELECT *, floor(n_low * {SHARES['low_share']}::DOUBLE)::BIGINT AS low_budget, floor(n_high * {SHARES['high_share']}::DOUBLE)::BIGINT AS hb FROM n), bud AS (SELECT node_id, n_low, n_mid, n_high, low_budget, floor(hb * {SHARES['random_share']}::DOUBLE)::BIGINT AS random_budget, hb - floor(hb * {SHARES['random_share']}::DOUBLE)::BIGINT AS top_budget FROM m)"
 
 
@@ -177,7 +184,7 @@ def _pri_sql(weights, depth):
 _DB = f""", allv AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), edge AS (SELECT a.vec_id AS a, b.vec_id AS b FROM allv a, allv b WHERE a.vec_id <> b.vec_id AND 1 - list_cosine_similarity(a.e, b.e) <= {EPS}),
   reach AS (SELECT a AS node, a AS root FROM edge UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node), lab AS (SELECT node, min(root) AS cluster FROM reach GROUP BY node)"""
 ORACLE_SQL = {
-    "knn": f"{_SIMS} SELECT vec_id, rank, bid AS basis_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 5",
+    "knn": f"{_SIMS} SELECT vec_id, rank, bid AS basis_id, round(s, 6) AS similarity FROM ranked WHERE rank <= 5 AND s >= {NEAR}",
     "target_similarity": f"{_SIMS} SELECT vec_id, round(coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0), 6) AS value FROM ranked GROUP BY vec_id",
     "mean_similarity": f"{_SIMS} SELECT vec_id, round(avg(s), 6) AS value FROM ranked GROUP BY vec_id",
     "region_density": f"{_SIMS} SELECT vec_id, round(avg(CASE WHEN 1 - s <= {RADIUS} THEN 1.0::DOUBLE ELSE 0 END), 6) AS value FROM ranked GROUP BY vec_id",
@@ -188,6 +195,8 @@ ORACLE_SQL = {
     "centroids": "SELECT label::BIGINT AS label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, dim",
     "cluster_distance": f"{_SIMS}{_FEATS} SELECT vec_id, round(cluster_distance, 6) AS value FROM far",
     "dbscan": f"{_SIMS}{_DB} SELECT vec_id, coalesce(cluster, -1)::BIGINT AS cluster FROM allv LEFT JOIN lab ON node = vec_id",
+    "dbscan_shared": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), edge AS (SELECT a.vec_id AS a, min(b.vec_id) AS b FROM v a, v b WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.3 GROUP BY 1)
+      SELECT a * 3 + unnest([0, 1, 2]) AS vec_id, b * 3 AS cluster FROM edge""",
     "dbscan_members": f"{_SIMS}{_DB} SELECT cluster, count(*) AS n, max(node) AS last FROM lab GROUP BY cluster",
     "semantic_delta": f"{_SIMS}{_FEATS} SELECT vec_id, round(semantic_delta, 6) AS value FROM f",
     "contextual_consistency": f"{_SIMS}{_FEATS} SELECT vec_id, round(contextual_consistency, 6) AS value FROM f",
