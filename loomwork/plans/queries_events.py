@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomwork.operators import export, graph, lifecycle, telemetry
+from loomwork.operators import export, graph, lifecycle, reports, telemetry
 from loomwork.plans.crawl import crawl
 from loomwork.plans.store import shared_dir
 from loomwork.plans.tables import r6, t
@@ -53,10 +53,8 @@ def q_bottleneck(spark, sf_dir):
 
 
 def q_crawl_metrics(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    count = {s.lower(): F.count_if(F.col("state") == s).alias(s.lower()) for s in telemetry.STATES}
-    span = F.max("ts").cast("double") - F.min("ts").cast("double")
-    return e.agg(*count.values(), F.countDistinct("node_id").alias("nodes"), F.round(span, 3).alias("seconds"), r6(F.coalesce(F.try_divide(F.countDistinct("node_id").cast("double"), span), F.lit(0.0))).alias("rate"))
+    m = reports.crawl_metrics(_events(spark, sf_dir))
+    return m.withColumns({"seconds": F.round("seconds", 3), "rate": r6(F.col("rate"))})
 
 
 def q_funnel(spark, sf_dir):
@@ -111,7 +109,7 @@ def q_live_candidates(spark, sf_dir):
 
 def q_first_stop(spark, sf_dir):
     e = _events(spark, sf_dir).select("seq", "ts", F.when(F.col("event_type") == "signup", "node_added").otherwise("other").alias("type"), (F.col("node_id") % 7).cast("int").alias("depth"), F.col("node_id").cast("string").alias("url"))
-    return lifecycle.first_stop(e, 1500, 9, None, 20 * 86400.0).select("stop_seq", "reason", F.col("nodes").cast("long").alias("nodes"))
+    return lifecycle.first_stop(e, 1500, 9, "149", 20 * 86400.0).select("stop_seq", "reason", F.col("nodes").cast("long").alias("nodes"))
 
 
 def q_retry_plan(spark, sf_dir):
@@ -125,7 +123,7 @@ def q_backoff_series(spark, sf_dir):
 
 
 def q_child_nodes(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_orderkey < 500")
+    li = t(spark, sf_dir, "lineitem")
     links = li.select(F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").cast("long").alias("pos"), F.concat(F.lit("u"), (F.col("l_partkey") % 3).cast("string")).alias("url"), F.col("l_linenumber").alias("score"), F.col("l_quantity").alias("priority"))
     parents = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node_id"), F.lit(2).alias("depth"), F.col("o_orderpriority").alias("domain"))
     return graph.child_nodes(links, parents, 1000)
@@ -165,8 +163,10 @@ def q_sample_page(spark, sf_dir):
 
 
 def q_list_tables(spark, sf_dir):
-    found = [(n, c) for n, cs in (("a_b", export.MANDATORY), ("bad-name", export.MANDATORY), ("partial", ("id", "url")), ("sqlite_master", export.MANDATORY), ("t2", (*export.MANDATORY, "x"))) for c in cs]
-    return export.list_tables(spark, spark.createDataFrame(found, "table_name string, column_name string"))
+    """One table for each page: those of odd pages lack the crawl, names of others may be too short or not allowed."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.concat(F.when(F.col("page_id") % 5 == 0, "t-").otherwise("t"), F.col("page_id").cast("string")).alias("table_name"))
+    columns = p.select("page_id", F.when(F.col("page_id") % 7 == 0, "sqlite_master").when(F.col("page_id") == 3, "x").otherwise(F.col("table_name")).alias("table_name"), F.explode(F.array(*map(F.lit, (*export.MANDATORY, "x")))).alias("column_name"))
+    return export.list_tables(spark, columns.where("page_id % 2 = 0 or column_name <> 'crawl_id'").distinct())
 
 
 def q_table_names(spark, sf_dir):
@@ -234,19 +234,19 @@ ORACLE_SQL = {
     "as_of_details": f"""WITH {_E}, n AS (SELECT seq, node_id, coalesce(lag(seq) OVER (PARTITION BY node_id ORDER BY seq), -1) AS prev FROM e WHERE event_type = 'signup')
       SELECT n.seq, n.node_id::VARCHAR AS url, (SELECT 'd' || max(v.seq) FROM e v WHERE v.event_type = 'view' AND v.node_id = n.node_id AND v.seq < n.seq AND v.seq > n.prev) AS detail FROM n""",
     "live_candidates": "SELECT c_name AS url, c_custkey - 1 AS parent_id FROM customer WHERE c_custkey % 3 <> 0 AND (c_custkey - 1) IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)",
-    "first_stop": f"WITH {_E}, r AS (SELECT seq, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (ORDER BY seq) AS nodes, (epoch_us(ts) - epoch_us(first_value(ts) OVER (ORDER BY seq))) / 1000000.0::DOUBLE AS el FROM e) SELECT seq AS stop_seq, CASE WHEN event_type = 'signup' AND nodes >= 1500 THEN 'MAX_NODES' ELSE 'MAX_TIME' END AS reason, nodes FROM r WHERE (event_type = 'signup' AND nodes >= 1500) OR el >= 20 * 86400 ORDER BY seq LIMIT 1",
+    "first_stop": f"WITH {_E}, r AS (SELECT seq, event_type, node_id, count(*) FILTER (WHERE event_type = 'signup') OVER (ORDER BY seq) AS nodes, (epoch_us(ts) - epoch_us(first_value(ts) OVER (ORDER BY seq))) / 1000000.0::DOUBLE AS el FROM e) SELECT seq AS stop_seq, CASE WHEN event_type = 'signup' AND nodes >= 1500 THEN 'MAX_NODES' WHEN event_type = 'signup' AND contains(node_id::VARCHAR, '149') THEN 'TARGET_REACHED' ELSE 'MAX_TIME' END AS reason, nodes FROM r WHERE (event_type = 'signup' AND (nodes >= 1500 OR contains(node_id::VARCHAR, '149'))) OR el >= 20 * 86400 ORDER BY seq LIMIT 1",
     "retry_plan": f"WITH {_E}, r AS (SELECT seq, node_id, value, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS attempt FROM e WHERE event_type = 'error') SELECT seq, node_id, attempt, CASE WHEN attempt <= 3 THEN 'requeue' ELSE 'give_up' END AS action, round(value - 2 * least(attempt, 3), 4) AS new_priority FROM r",
     "backoff_series": f"""WITH RECURSIVE {_E}, k AS (SELECT node_id, seq, event_type = 'error' AS l, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS k FROM e),
       b AS (SELECT node_id, seq, k, CASE WHEN l THEN 1.0::DOUBLE ELSE 0 END AS b FROM k WHERE k = 1 UNION ALL SELECT k.node_id, k.seq, k.k, CASE WHEN l THEN CASE WHEN b = 0 THEN 1 ELSE least(2 * b, 10) END ELSE b / 2 END FROM b JOIN k ON k.node_id = b.node_id AND k.k = b.k + 1)
       SELECT node_id, seq, round(b, 6) AS backoff FROM b""",
-    "child_nodes": "WITH l AS (SELECT l_orderkey AS parent_id, l_linenumber AS pos, 'u' || (l_partkey % 3) AS url, l_linenumber AS score, l_quantity AS priority FROM lineitem WHERE l_orderkey < 500), o AS (SELECT *, row_number() OVER (PARTITION BY parent_id, url ORDER BY pos, score, priority) AS k FROM l) SELECT row_number() OVER (ORDER BY parent_id, pos, url) - 1 + 1000 AS node_id, url, parent_id, o_orderpriority AS domain, 3 AS depth, score, priority FROM o JOIN orders ON o_orderkey = parent_id WHERE k = 1",
+    "child_nodes": "WITH l AS (SELECT l_orderkey AS parent_id, l_linenumber AS pos, 'u' || (l_partkey % 3) AS url, l_linenumber AS score, l_quantity AS priority FROM lineitem), o AS (SELECT *, row_number() OVER (PARTITION BY parent_id, url ORDER BY pos, score, priority) AS k FROM l) SELECT row_number() OVER (ORDER BY parent_id, pos, url) - 1 + 1000 AS node_id, url, parent_id, o_orderpriority AS domain, 3 AS depth, score, priority FROM o JOIN orders ON o_orderkey = parent_id WHERE k = 1",
     "seed_nodes": "SELECT n_name AS url, r_name AS domain, row_number() OVER (ORDER BY n_name) - 1 AS node_id, 0 AS depth, 0.01::DOUBLE AS priority FROM nation JOIN region ON n_regionkey = r_regionkey",
     "neighbourhood": "WITH RECURSIVE c AS (SELECT c_custkey AS node_id, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent_id FROM customer), u AS (SELECT node_id, parent_id FROM c WHERE node_id IN (77, 500) UNION SELECT c.node_id, c.parent_id FROM u JOIN c ON c.node_id = u.parent_id) SELECT node_id FROM u UNION SELECT node_id FROM c WHERE parent_id IN (77, 500)",
     "export_rows": f"WITH {_X} SELECT id, crawl_id, url, created_at, try_cast(status AS BIGINT) AS status, price, seq::VARCHAR AS seq FROM x",
     "upsert_latest": f"WITH {_X} SELECT id, crawl_id, created_at, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM x) WHERE k = 1",
     "crawls_per_table": f"WITH {_X} SELECT crawl_id, count(*) AS count, max(created_at) AS last_seen FROM x GROUP BY crawl_id",
     "sample_page": f"WITH {_X} SELECT id, crawl_id, created_at, seq FROM x WHERE crawl_id = 'crawl2' ORDER BY created_at DESC, seq LIMIT 50 OFFSET 10",
-    "list_tables": "SELECT unnest(['a_b', 't2']) AS table_name",
+    "list_tables": "SELECT 't' || page_id AS table_name FROM pages WHERE page_id % 2 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0",
     "table_names": "WITH n AS (SELECT page_id, regexp_replace(replace(replace(regexp_extract(url, '^[a-z]+://[^/?#]*'), 'https://', ''), '.', '_') || '_bp-1', '[^A-Za-z0-9_]', '_', 'g') AS name FROM pages) SELECT page_id, name, regexp_matches(name, '^[a-zA-Z0-9][a-zA-Z0-9_]{1,127}$') AS valid FROM n",
     "stream_counts": "SELECT event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY event_type",
     "stream_first_seen": "SELECT DISTINCT user_id, event_type FROM events",

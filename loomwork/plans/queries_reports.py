@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomwork.functions import format as fmt
-from loomwork.operators import answers, dedup, export, space, telemetry
+from loomwork.operators import answers, cascade, dedup, export, reports, space, telemetry
 from loomwork.operators.telemetry import STATES
 from loomwork.plans.queries_events import _E, _events
 from loomwork.plans.store import shared_dir
@@ -41,93 +43,94 @@ def q_url_search(spark, sf_dir):
 
 
 def q_event_type_filter(spark, sf_dir):
-    return _events(spark, sf_dir).where(~F.col("event_type").isin("view", "click")).select("seq", "event_type")
+    return reports.of_kinds(_events(spark, sf_dir), ["view", "click"], keep=False).select("seq", "event_type")
 
 
 def q_node_errors(spark, sf_dir):
-    return _events(spark, sf_dir).where("node_id = 7 and event_type = 'error'").select("seq", "value")
+    return reports.errors_of(_events(spark, sf_dir), 7).select("seq", "value")
 
 
 def q_children(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.floor(F.col("c_custkey") / 2).alias("parent_id"))
-    return c.where("parent_id = 33")
+    return reports.children_of(c, 33)
 
 
 def q_state_histogram(spark, sf_dir):
-    last = _events(spark, sf_dir).groupBy("node_id").agg(F.max_by("state", "seq").alias("state"))
-    return last.groupBy("state").agg(F.count("*").alias("n"))
+    return reports.state_histogram(telemetry.state_at(_events(spark, sf_dir), "node_id"))
 
 
 def q_drop_rate(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    dropped, trusted = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus") == "O")
-    return o.groupBy("o_orderpriority").agg(dropped.alias("dropped"), trusted.alias("trusted"), r6(F.coalesce(F.try_divide(dropped.cast("double"), (dropped + trusted).cast("double")), F.lit(0.0))).alias("rate"))
+    decided = o.select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "dropped").when(F.col("o_orderstatus") == "O", "trusted").otherwise("llm").alias("decision"))
+    return reports.drop_rate(decided, "o_orderpriority").withColumn("rate", r6(F.col("rate")))
 
 
 def q_candidates_by_parent(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
-    return li.groupBy(F.col("l_orderkey").alias("parent_id")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.format_string("%03d:%d", "l_linenumber", "l_partkey"))), "|").alias("candidates"))
+    li = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent_id"), "l_linenumber", "l_partkey")
+    got = reports.candidates_by_parent(li, "parent_id", "l_linenumber")
+    return got.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.format_string("%d:%d", c.l_linenumber, c.l_partkey)), "|"))
 
 
 def q_max_abs_signal(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem")
-    return li.groupBy("l_orderkey").agg(F.greatest(F.lit(0.001), F.max(F.greatest(F.abs(F.col("l_discount") - 0.05), F.abs("l_tax")))).alias("scale"))
+    return reports.signal_scale(li.select("l_orderkey", (F.col("l_discount") - 0.05).alias("a"), F.col("l_tax").alias("b")), "l_orderkey", ["a", "b"])
 
 
 def q_retry_attempts(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_type = 'error'").groupBy("node_id").agg(F.count("*").alias("attempts"), F.least(F.count("*"), F.lit(3)).alias("retried"))
+    return reports.retry_attempts(reports.of_kinds(_events(spark, sf_dir), ["error"]), "node_id")
 
 
 def q_buffer_stats(spark, sf_dir):
-    """A buffer of 500 for each user: what came, what stayed, what was lost."""
-    n = t(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("added"))
-    return n.select("user_id", "added", F.least("added", F.lit(50)).alias("kept"), F.greatest(F.col("added") - 50, F.lit(0)).alias("lost"))
+    """A buffer of 40 for each user: what came, what stayed, what was lost."""
+    return reports.buffer_stats(t(spark, sf_dir, "events"), "user_id")
 
 
 def q_signals_in_order(spark, sf_dir):
-    order = F.array(*map(F.lit, ("signup", "view", "click")))
     n = t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    place = F.array_position(order, F.col("event_type"))
-    return n.select("event_type", F.when(place > 0, place).otherwise(99).cast("long").alias("place"), "n")
+    return reports.in_order(n, "event_type", ["signup", "view", "click"])
 
 
 def q_visible_edges(spark, sf_dir):
     """Distinct edges both of whose ends are nodes."""
     c = t(spark, sf_dir, "customer").where("c_custkey % 4 <> 3")
-    edges = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.pmod(F.col("o_orderkey"), F.lit(1500)).alias("b")).distinct()
-    return edges.join(c.select(F.col("c_custkey").alias("a")), "a", "left_semi").join(c.select(F.col("c_custkey").alias("b")), "b", "left_semi").select("a", "b")
+    edges = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.pmod(F.col("o_orderkey"), F.lit(1500)).alias("b"))
+    return reports.visible_edges(edges, c.select(F.col("c_custkey").alias("node_id")))
 
 
 def q_sampled_union(spark, sf_dir):
-    o = t(spark, sf_dir, "orders")
-    low, high = o.where("o_totalprice < 1000").select("o_orderkey", F.lit("low").alias("part")), o.where("o_totalprice > 400000").select("o_orderkey", F.lit("high").alias("part"))
-    return low.unionByName(high)
+    """What the cascade sends to the model, over orders as links of customers."""
+    links = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").alias("nlp_score"), cascade.bucket(F.col("o_totalprice"), 100_000, 250_000).alias("bucket"))
+    decided = cascade.decisions(links, "o_custkey", "o_orderkey", "seed", low_share=0.3, high_share=0.5, random_share=0.5)
+    return reports.seen_by_model(decided).select("o_orderkey", "part")
 
 
 def q_running_depth(spark, sf_dir):
-    """Nodes and largest depth after each day of the log."""
-    e = _events(spark, sf_dir).where("event_type = 'signup'")
-    day = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.max(F.col("node_id") % 40).alias("d"))
-    from pyspark.sql import Window
-
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return day.select("day", F.sum("n").over(w).alias("nodes"), F.max("d").over(w).alias("depth"))
+    """Nodes and largest depth after each node that is added."""
+    e = reports.of_kinds(_events(spark, sf_dir), ["signup"]).select("seq", (F.col("node_id") % 40).alias("depth"))
+    return reports.running_depth(e, width=700)
 
 
 def q_table_ddl(spark, sf_dir):
-    text = export.ddl("site_bp", {"price": "real", "n": "int", "tags": "json", "name": "text"})
-    return spark.createDataFrame([(text,)], "ddl string")
+    """The table is made and described by the catalogue, then dropped."""
+    name = f"site_{uuid.uuid4().hex}"
+    spark.sql(export.ddl(name, {"price": "real", "n": "int", "tags": "json", "name": "text"}))
+    found = [(c.name, c.dataType) for c in spark.catalog.listColumns(name)]
+    spark.sql(f"DROP TABLE {name}")
+    return spark.createDataFrame(found, "name string, type string")
 
 
 def q_space_store(spark, sf_dir):
     """Saved, grown, saved again as the next version; the index tells both."""
     path = shared_dir(spark)
     e = t(spark, sf_dir, "embeddings")
-    space = e.where("vec_id < 50").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"), F.lit("seed").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_url"))
+    space = e.select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"), F.lit("seed").alias("type"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("source_url"))
     space_store.save(space, path, "bp", 1)
     items = t(spark, sf_dir, "benchmark").select(F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("url"), F.split("text", r"\.\s*").alias("expansions"))
     space_store.save(space_store.grown(space_store.load(spark, path, "bp", 1), items), path, "bp", 2)
-    return space_store.index(spark, path).select("blueprint_id", F.col("version").cast("long").alias("version"), "n_vectors")
+    got = space_store.index(spark, path)
+    saved = space_store.load(spark, path, "bp", 2).select(F.lit("bp").alias("blueprint_id"), F.lit(2).alias("version"), "key", "type", F.md5(F.array_join(F.transform("vector", lambda x: F.format_string("%.4f", x)), ",")).alias("digest"))
+    old = saved.where("type = 'seed'").groupBy("blueprint_id", "version").agg(F.min("digest").alias("least"), F.max("key").alias("last"))
+    return got.join(old, ["blueprint_id", "version"], "left").select("blueprint_id", F.col("version").cast("long").alias("version"), "n_vectors", "least", "last")
 
 
 def q_space_growth(spark, sf_dir):
@@ -212,16 +215,19 @@ ORACLE_SQL = {
     "children": "SELECT c_custkey AS node_id, c_custkey // 2 AS parent_id FROM customer WHERE c_custkey // 2 = 33",
     "state_histogram": f"WITH {_E} SELECT state, count(*) AS n FROM (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id) GROUP BY state",
     "drop_rate": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS dropped, count(*) FILTER (WHERE o_orderstatus = 'O') AS trusted, round(coalesce(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / nullif(count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 0), 0), 6) AS rate FROM orders GROUP BY 1",
-    "candidates_by_parent": "SELECT l_orderkey AS parent_id, count(*) AS n, string_agg(printf('%03d:%d', l_linenumber, l_partkey), '|' ORDER BY printf('%03d:%d', l_linenumber, l_partkey)) AS candidates FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1",
+    "candidates_by_parent": "SELECT l_orderkey AS parent_id, count(*) AS n, string_agg(printf('%d:%d', l_linenumber, l_partkey), '|' ORDER BY l_linenumber, l_partkey) AS candidates FROM lineitem GROUP BY 1",
     "max_abs_signal": "SELECT l_orderkey, greatest(0.001::DOUBLE, max(greatest(abs(l_discount - 0.05::DOUBLE), abs(l_tax)))) AS scale FROM lineitem GROUP BY 1",
     "retry_attempts": "SELECT user_id AS node_id, count(*) AS attempts, least(count(*), 3) AS retried FROM events WHERE event_type = 'error' GROUP BY 1",
-    "buffer_stats": "SELECT user_id, count(*) AS added, least(count(*), 50) AS kept, greatest(count(*) - 50, 0) AS lost FROM events GROUP BY 1",
+    "buffer_stats": "SELECT user_id, count(*) AS added, least(count(*), 40) AS kept, greatest(count(*) - 40, 0) AS lost FROM events GROUP BY 1",
     "signals_in_order": "SELECT event_type, CASE event_type WHEN 'signup' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 ELSE 99 END::BIGINT AS place, count(*) AS n FROM events GROUP BY 1",
     "visible_edges": "SELECT DISTINCT o_custkey AS a, o_orderkey % 1500 AS b FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 3) AND o_orderkey % 1500 IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 3)",
-    "sampled_union": "SELECT o_orderkey, 'low' AS part FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT o_orderkey, 'high' FROM orders WHERE o_totalprice > 400000",
-    "running_depth": "WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, max(user_id % 40) AS d FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT day, (sum(n) OVER (ORDER BY day))::BIGINT AS nodes, max(d) OVER (ORDER BY day) AS depth FROM d",
-    "table_ddl": "SELECT 'CREATE TABLE IF NOT EXISTS site_bp (id STRING, crawl_id STRING, url STRING, created_at STRING, `price` double, `n` bigint, `tags` string, `name` string) USING parquet' AS ddl",
-    "space_store": r"SELECT 'bp' AS blueprint_id, 1::BIGINT AS version, 50::BIGINT AS n_vectors UNION ALL SELECT 'bp', 2, 50 + (SELECT sum(len(regexp_split_to_array(text, '\.\s*'))) FROM benchmark)::BIGINT",
+    "sampled_union": """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_totalprice < 100000 THEN 'low' WHEN o_totalprice > 250000 THEN 'high' ELSE 'mid' END AS bucket FROM orders),
+      n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, bucket) AS n, row_number() OVER (PARTITION BY o_custkey, bucket ORDER BY md5('seed' || o_orderkey), o_orderkey) AS k FROM o),
+      h AS (SELECT *, floor(n * 0.5::DOUBLE) AS h, floor(floor(n * 0.5::DOUBLE) * 0.5::DOUBLE) AS rnd FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, bucket, k <= rnd ORDER BY o_totalprice DESC, o_orderkey) AS r FROM h)
+      SELECT o_orderkey, CASE bucket WHEN 'mid' THEN 'mid' ELSE bucket || '_sample' END AS part FROM r WHERE bucket = 'mid' OR bucket = 'low' AND k <= floor(n * 0.3::DOUBLE) OR bucket = 'high' AND (k <= rnd OR r <= h - rnd)""",
+    "running_depth": "SELECT event_id AS seq, user_id % 40 AS depth, count(*) OVER (ORDER BY event_id) AS nodes, max(user_id % 40) OVER (ORDER BY event_id) AS top_depth FROM events WHERE event_type = 'signup'",
+    "table_ddl": "SELECT unnest(['id', 'crawl_id', 'url', 'created_at', 'price', 'n', 'tags', 'name']) AS name, unnest(['string', 'string', 'string', 'string', 'double', 'bigint', 'string', 'string']) AS type",
+    "space_store": r"WITH e AS (SELECT count(*) AS n, min(md5(array_to_string(list_transform(embedding, lambda x: printf('%.4f', x::DOUBLE)), ','))) AS least, max(vec_id::VARCHAR) AS last FROM embeddings) SELECT 'bp' AS blueprint_id, 1::BIGINT AS version, n AS n_vectors, NULL::VARCHAR AS least, NULL::VARCHAR AS last FROM e UNION ALL SELECT 'bp', 2, n + (SELECT sum(len(regexp_split_to_array(text, '\.\s*'))) FROM benchmark)::BIGINT, least, last FROM e",
     "space_growth": "SELECT 'u' || item_id || '::exp::' || k AS key, 'expansion' AS type, w AS text, 'u' || item_id AS source_url, 64::BIGINT AS dim FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS k FROM benchmark)",
     "item_hash_exact": """SELECT doc_id, sha256('{"a": ["' || lang || '", "\\u00e9"], "b": "' || source || '"}') AS item_hash FROM documents""",
     "traced_minimal": "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
@@ -229,7 +235,7 @@ ORACLE_SQL = {
     "debug_lines": "SELECT event_id, '[SCORING] ' || event_type || ' value=' || floor(value)::BIGINT || '.0000 url=a b+' || user_id AS line FROM events",
     "valid_messages": "SELECT event_id, event_type AS type FROM events WHERE event_id % 3 = 0",
     "expansion_prompts": """SELECT item_id, 'Topic: ' || text || chr(10) || chr(10) || 'Write 5 different descriptions of pages on this topic, a short paragraph each.' || chr(10) || chr(10) || 'Answer with a JSON list of objects {"description": "..."}.' AS prompt FROM benchmark""",
-    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, replace(props, ': ', ':') AS props, '["' || event_type || '"]' AS kinds FROM events""",
+    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, props, '["' || event_type || '"]' AS kinds FROM events""",
     "cluster_entries": "SELECT vec_id, label AS cluster FROM embeddings WHERE label >= 3",
     "edges": "SELECT DISTINCT c_custkey % 10 AS a, c_custkey % 200 AS b FROM customer WHERE c_custkey > 1",
     "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id))) / 1000000.0::DOUBLE AS el FROM events),

@@ -26,12 +26,12 @@ def q_tf_regex_extract(spark, sf_dir):
 
 
 def q_tf_lowercase(spark, sf_dir):
-    return _tf(spark, sf_dir, [{"type": "lowercase"}, {"type": "truncate", "max_len": 200}])
+    return _tf(spark, sf_dir, [{"type": "lowercase"}])
 
 
 def q_tf_strip(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    return docs.select("doc_id", chain(F.concat(F.lit(" \n\t"), F.left("text", F.lit(50)), F.lit("  \n")), [{"type": "strip"}]).alias("value"))
+    return docs.select("doc_id", chain(F.concat(F.lit(" \n\t"), F.col("text"), F.lit("  \n")), [{"type": "strip"}]).alias("value"))
 
 
 def q_tf_join(spark, sf_dir):
@@ -44,7 +44,7 @@ def q_tf_truncate(spark, sf_dir):
 
 def q_tf_deduplicate(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
-    return docs.select("doc_id", chain(F.slice(F.split("text", " "), 1, 60), [{"type": "deduplicate"}, {"type": "join", "sep": " "}], True).alias("value"))
+    return docs.select("doc_id", chain(F.split("text", " "), [{"type": "deduplicate"}, {"type": "join", "sep": " "}], True).alias("value"))
 
 
 def q_tf_chain(spark, sf_dir):
@@ -60,8 +60,8 @@ def q_lexical_overlap(spark, sf_dir):
 
 def q_url_unquote(spark, sf_dir):
     pages = t(spark, sf_dir, "pages")
-    coded = F.concat("url", F.lit("%20a+b%C3%A9"))
-    return pages.select("page_id", unquoted(coded).alias("url"))
+    coded = F.concat("url", F.lit("%20a+b%C3%A9"), F.replace("html", F.lit(" "), F.lit("%20")), F.when(F.col("page_id") % 4 == 0, "%zz").otherwise(""))
+    return pages.where(~F.contains("html", F.lit("%"))).select("page_id", F.md5(unquoted(coded)).alias("url"))
 
 
 def _answers(spark, sf_dir):
@@ -99,13 +99,13 @@ def q_map_partial(spark, sf_dir):
 
 def q_flat_objects(spark, sf_dir):
     events = t(spark, sf_dir, "events")
-    text = F.concat(F.lit("see "), F.col("props"), F.lit(" and "), F.col("props"))
+    text = F.concat(F.lit("see "), F.array_join(F.array_repeat(F.col("props"), (F.col("event_id") % 4).cast("int")), " and "), F.when(F.col("event_id") % 5 == 0, " {broken}").otherwise(""))
     return events.select("event_id", F.size(answers.flat_objects(text)).cast("long").alias("n"), F.get_json_object(F.try_element_at(answers.flat_objects(text), F.lit(1)), "$.k").cast("long").alias("k"))
 
 
 def q_build_prompt(spark, sf_dir):
     talk = t(spark, sf_dir, "conversations")
-    links = talk.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("url"), F.left(F.regexp_replace("text", r'[\n"\\/]', " "), F.lit(20)).alias("anchor"), F.lit("c").alias("context"))
+    links = talk.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("url"), F.regexp_replace("text", r'[\n"\\/]', " ").alias("anchor"), F.lit("c").alias("context"))
     return answers.build_prompts(links, "conv_id", F.lit("health"), "Score every link.")
 
 
@@ -116,21 +116,21 @@ TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 ORACLE_SQL = {
     "tf_regex": r"SELECT doc_id, CASE WHEN regexp_matches(text, '([A-Z][a-z]+)\.') THEN regexp_extract(text, '([A-Z][a-z]+)\.', 1) END AS value FROM documents",
     "tf_regex_extract": "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS value FROM documents",
-    "tf_lowercase": "SELECT doc_id, left(lower(text), 200) AS value FROM documents",
-    "tf_strip": r"SELECT doc_id, regexp_replace(regexp_replace(left(text, 50), '^\s+', ''), '\s+$', '') AS value FROM documents",
+    "tf_lowercase": "SELECT doc_id, lower(text) AS value FROM documents",
+    "tf_strip": r"SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS value FROM documents",
     "tf_join": "SELECT doc_id, array_to_string(string_split(text, ' '), '-') AS value FROM documents",
     "tf_truncate": "SELECT doc_id, left(text, 300) AS value FROM documents",
-    "tf_deduplicate": r"""WITH w AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS v FROM (SELECT doc_id, list_slice(string_split(text, ' '), 1, 60) AS x FROM documents)),
+    "tf_deduplicate": r"""WITH w AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS k, unnest(x) AS v FROM (SELECT doc_id, string_split(text, ' ') AS x FROM documents)),
       f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(regexp_replace(v, '^\s+', ''), '\s+$', '')) ORDER BY k) AS n FROM w)
       SELECT doc_id, string_agg(v, ' ' ORDER BY k) AS value FROM f WHERE n = 1 GROUP BY doc_id""",
     "tf_chain": "SELECT doc_id, left(lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')), 40) AS value FROM documents",
     "lexical_overlap": f"""WITH s AS (SELECT d.doc_id, b.item_id, {TOKENS.format('d.text')} AS x, {TOKENS.format('b.text')} AS y FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
       SELECT doc_id, item_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM s""",
-    "url_unquote": "SELECT page_id, url || ' a+bé' AS url FROM pages",
+    "url_unquote": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN md5(url || ' a+bé' || html) END AS url FROM pages WHERE NOT contains(html, '%')",
     "llm_parse": f"WITH {_ANS} SELECT doc_id, url, score::BIGINT AS score, relevance_type, expansions FROM ans",
     "map_results": f"WITH {_ANS}, {_LNK} SELECT l.url, CASE WHEN a.url IS NOT NULL THEN a.score ELSE coalesce(l.score, 0) END::BIGINT AS score, coalesce(a.relevance_type, 'irrelevant') AS relevance_type, coalesce(a.expansions, '') AS expansions FROM lnk l LEFT JOIN ans a USING (url)",
     "map_partial": f"WITH {_ANS}, {_LNK} SELECT url, pos, score::BIGINT AS score, NULL::VARCHAR AS relevance_type FROM lnk UNION ALL SELECT l.url, l.pos + 100000000, CASE WHEN a.url IS NOT NULL THEN a.score ELSE l.score END::BIGINT, a.relevance_type FROM lnk l LEFT JOIN ans a USING (url)",
-    "flat_objects": "SELECT event_id, 2::BIGINT AS n, (props->>'$.k')::BIGINT AS k FROM events",
-    "build_prompt": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || left(regexp_replace(text, '[\n"\\/]', ' ', 'g'), 20) || '","context":"c"}' AS j FROM conversations)
+    "flat_objects": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 4 END::BIGINT AS n, CASE WHEN event_id % 5 <> 0 AND event_id % 4 > 0 THEN (props->>'$.k')::BIGINT END AS k FROM events",
+    "build_prompt": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
       SELECT conv_id, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' AS prompt FROM l GROUP BY conv_id""",
 }
