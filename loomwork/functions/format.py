@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,25 @@ def request_delay(elapsed: Column, backoff: Column, jitter: Column) -> Column:
 def matches_search(url: Column, query: str) -> Column:
     """Case-blind substring; a blank query matches all."""
     return F.contains(F.lower(url), F.lit(query.strip().lower()))
+
+
+def link_text(url: Column, anchor: Column, context: Column) -> Column:
+    """What stands for a link where texts are embedded; parts that are null are empty."""
+    parts = zip(("[URL]", " [ANCHOR]", " [CTX]"), (url, anchor, context), strict=True)
+    return F.concat(*[x for mark, c in parts for x in (F.lit(mark), F.coalesce(c, F.lit("")))])
+
+
+def crawl_id(template: Column, started: Column) -> Column:
+    """The template's name up to its first dot, and the time of the start."""
+    return F.concat(F.substring_index(template, ".", 1), F.lit("-"), F.date_format(started, "yyyy-MM-dd_HH:mm:ss"))
+
+
+def at_path(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where the path, or the text, leads nowhere."""
+    return F.get_json_object(document, "$" + "".join(f"['{name}']" for name in path.split(".")))
+
+
+def json_lines(df: DataFrame, column: str) -> DataFrame:
+    """df with each line of a text that isn't blank: line_no from 1, line, and payload, which is null if it isn't JSON."""
+    flat = df.select(*[c for c in df.columns if c != column], F.posexplode(F.split(column, "\r?\n")).alias("line_no", "line"))
+    return flat.where(F.trim("line") != "").withColumns({"line_no": F.col("line_no") + 1, "payload": F.try_parse_json("line")})

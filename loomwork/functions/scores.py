@@ -21,10 +21,15 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)))
 
 
+def shared_part(x: Column, y: Column) -> Column:
+    """Shared part of two arrays of distinct members; 0 if one has none."""
+    both = F.size(F.array_intersect(x, y))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(both / (F.size(x) + F.size(y) - both))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared part of two texts' distinct tokens; 0 if one has none."""
-    x, y = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+    return shared_part(tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit(""))))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.scores import parsed_expansions, parsed_relevance, parsed_score
+from loomwork.functions.scores import RELEVANCE, parsed_expansions, parsed_relevance, parsed_score
+
 
 def unfenced(answer: Column) -> Column:
     """An answer without the code fence around it."""
@@ -69,6 +73,49 @@ def build_prompts(links: DataFrame, parent: str, topic: Column, instruction: str
     return links.groupBy(parent).agg(items.alias("links"), F.count("*").alias("n_links")).select(parent, "n_links", F.concat_ws("\n\n", F.concat(F.lit("Topic: "), topic), F.lit(instruction), F.col("links")).alias("prompt"))
 
 
+#: The names of the scoring strategies. What each asks of the model is in our own words.
+CONTEXTS = {
+    "TOPICAL": "Judge how close a page's meaning is to the topic itself; menus and indexes count for little.",
+    "PATHFINDING": "Value pages that lead on towards the topic, even if they are only steps on the way.",
+    "EXPLORATION": "Value pages that differ in meaning from each other, so that more ground is covered.",
+    "GOAL_ORIENTED": "Value pages that serve the stated aim at once.",
+    "DENSITY_FOCUSED": "Value pages full of content, such as definitions and explanations.",
+    "UNCERTAINTY_BIASED": "Value pages whose meaning is unclear and that may open new fields.",
+}
+TASK = "TASK:\nGive each candidate a score of its own from 0 to 100 for how much it has to do with target_topic."
+RULES = f"RULES:\n- The candidates don't depend on each other.\n- strategy_context only leans the score.\n- A score is a whole number.\n- relevance_type is one of {', '.join(RELEVANCE)}.\n- Give two to four expansions: ideas, not copied text."
+OUTPUT = 'OUTPUT FORMAT:\n{"results": [{"url": "...", "score": 0, "relevance_type": "...", "expansions": ["...", "..."]}]}'
+LIMITS = "CONSTRAINTS:\n- JSON and nothing else: no markup, no remarks, no further keys."
+
+
+def scoring_prompts(links: DataFrame, parent: str, topic: Column, strategy: str = "TOPICAL", system: str = "You score links for a crawler.") -> DataFrame:
+    """(parent, n_links, prompt): seven blocks with blank lines between them: system, task, context, candidates, rules,
+    form of the answer and limits. links: parent, pos, url, anchor, context. An unknown strategy is an error."""
+    if strategy not in CONTEXTS:
+        raise ValueError(f"unknown scoring strategy {strategy!r}")
+    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
+    context = F.concat(F.lit("CONTEXT:\ntarget_topic: "), topic, F.lit(f"\nstrategy: {strategy}\nstrategy_context: {CONTEXTS[strategy]}"))
+    blocks = [F.lit(system), F.lit(TASK), context, F.concat(F.lit("CANDIDATES:\n"), F.col("links")), F.lit(RULES), F.lit(OUTPUT), F.lit(LIMITS)]
+    return links.groupBy(parent).agg(items.alias("links"), F.count("*").alias("n_links")).select(parent, "n_links", F.concat_ws("\n\n", *blocks).alias("prompt"))
+
+
+def ask(prompts: DataFrame, client: Callable[[str], str | None], prompt: str = "prompt") -> DataFrame:
+    """prompts with answer by client(prompt), called by the tasks; a call that fails gives null."""
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for text in frame[prompt]:
+                try:
+                    out.append(client(text))
+                except Exception:  # noqa: BLE001  whatever the client raises, the row has no answer
+                    out.append(None)
+            yield frame.assign(answer=out)
+
+    columns = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)
+    return prompts.mapInPandas(run, f"{columns}, answer string")
+
+
 #: How much an expansion prompt asks for, by style.
 STYLES = {"concise": "one short sentence each", "balanced": "one or two sentences each", "rich": "a short paragraph each"}
 

@@ -22,13 +22,13 @@ def item_hash(columns: list[str]):
 
 
 def with_item_hash(items: DataFrame, column: str = "item") -> DataFrame:
-    """items with item_hash: SHA-256 of the item struct as JSON with sorted keys and ASCII escapes.
+    """items with item_hash: SHA-256 of the item struct as JSON with sorted keys and ASCII escapes; a null item has none.
 
     The exact form for items of any fields, lists and scripts; item_hash() is its native form for ASCII texts."""
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest() for t in texts])
+        return pd.Series([None if t is None else hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest() for t in texts])
 
     return items.withColumn("item_hash", digest(F.to_json(column, {"ignoreNullFields": "false"})))
 

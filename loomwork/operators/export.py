@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.plans.store import shared_dir
+from loomwork.plans.store import discard, written
 
 MANDATORY = ("id", "crawl_id", "url", "created_at")
 NAME = r"^[a-zA-Z0-9][a-zA-Z0-9_]{1,127}$"
@@ -25,17 +30,24 @@ def ddl(name: str, fields: dict[str, str]) -> str:
     return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(columns)}) USING parquet"
 
 
+def python_json(c: Column) -> Column:
+    """Any value as JSON with a blank after each comma and colon, scripts as they are; null stays null."""
+
+    @F.pandas_udf("string")
+    def spaced(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else json.dumps(json.loads(t)[0], ensure_ascii=False) for t in texts])
+
+    return spaced(F.when(c.isNotNull(), F.to_json(F.array(c), {"ignoreNullFields": "false"})))
+
+
 def safe_cast(c: Column, kind: str, data_type: str) -> Column:
-    """Value under an export type; what can't be cast is null, lists under text become JSON."""
-    structured = data_type.startswith(("array", "struct", "map"))
+    """Value under an export type; what can't be cast is null, lists and structs become JSON, and texts under json do."""
     if kind == "real":
         return c.try_cast("double")
     if kind == "int":
         return c.try_cast("bigint")
-    if structured:
-        return F.to_json(c)
-    if kind == "json":
-        return F.coalesce(F.to_json(F.try_parse_json(c)), c)
+    if kind == "json" or data_type.startswith(("array", "struct", "map")):
+        return python_json(c)
     return c.cast("string")
 
 
@@ -53,12 +65,45 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     return last.select(*keys, "r.*").select(*columns)
 
 
-def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str) -> None:
-    """Upsert into a Parquet folder: the merged rows are written aside first, then take the folder's place."""
-    old = spark.read.schema(new.schema).parquet(path)
-    aside = shared_dir(spark)
-    upsert_latest(old, new, keys, order).write.parquet(aside)
-    spark.read.schema(new.schema).parquet(aside).write.mode("overwrite").parquet(path)
+#: Parts of an upserted table: a batch rewrites those that it touches.
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """Number and folders (by bucket) of the latest version of an upserted table; at most BUCKETS rows."""
+    try:
+        rows = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1, {}
+    last = rows.agg(F.max("version")).first()[0]
+    return last, {r.bucket: r.folder for r in rows.where(F.col("version") == last).collect()}
+
+
+def upserted(spark: SparkSession, path: str, schema, buckets: list[int] | None = None) -> DataFrame:
+    """The latest version of an upserted table, or some of its buckets."""
+    _, folders = _manifest(spark, path)
+    places = [f"{folder}/bucket={b}" for b, folder in folders.items() if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
+def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
+    """Upsert into a table of files: only the buckets that hold a key of ``new`` are written again, in a new folder.
+
+    A manifest of all buckets' folders makes the version; until it is whole, readers see the version before."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    new = written(new.select("*", bucket))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    version, folders = _manifest(spark, path)
+    old = upserted(spark, path, new.drop("bucket").schema, touched)
+    folder = f"{path}/data/{version + 1:09d}-{uuid.uuid4().hex}"
+    upsert_latest(old, new.drop("bucket"), keys, order).select("*", bucket).write.partitionBy("bucket").parquet(folder)
+    discard(new)
+    rows = [(version + 1, b, f) for b, f in (folders | dict.fromkeys(touched, folder)).items()]
+    spark.createDataFrame(rows, "version long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
 
 
 def crawls_per_table(rows: DataFrame) -> DataFrame:

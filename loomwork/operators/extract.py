@@ -6,11 +6,12 @@ import re
 from urllib.parse import urljoin
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.functions import html as H
 from loomwork.functions import urls as U
+from loomwork.functions.transforms import strip
 
 CONTEXT_LEN = 300
 ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")
@@ -27,12 +28,6 @@ def _context(node) -> str:
     return ""
 
 
-def _sentence(context: str, anchor: str) -> str:
-    if not context or not anchor:
-        return context
-    return next((s.strip() for s in context.split(".") if anchor.lower() in s.lower()), context)
-
-
 def _page_links(page: str | None, base: str | None, selector: str) -> list[dict]:
     try:
         tree = H.parse(page or "")
@@ -47,25 +42,33 @@ def _page_links(page: str | None, base: str | None, selector: str) -> list[dict]
     return out
 
 
-def extract_links(pages: DataFrame, selector: str = "//a", key: str = "page_id", base: str = "url") -> DataFrame:
+def extract_links(pages: DataFrame, selector: str | Column = "//a", key: str = "page_id", base: str = "url") -> DataFrame:
     """(key, page_url, pos, url, anchor, context) for each link with an address.
 
-    Relative addresses are resolved against ``base``. Pages that can't be read give no links."""
+    selector is a path for all pages or a column with each page's own. Relative addresses are resolved against the
+    column ``base``. Pages that can't be read, or without a selector, give no links."""
     schema = pa.schema([(key, pa.int64()), ("page_url", pa.string()), ("links", LINKS)])
 
     def run(batches):
         for b in batches:
-            links = [_page_links(h, u, selector) for h, u in zip(b.column("html").to_pylist(), b.column("page_url").to_pylist(), strict=True)]
+            links = [_page_links(h, u, s) if s else [] for h, u, s in zip(*(b.column(c).to_pylist() for c in ("html", "page_url", "selector")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("page_url"), pa.array(links, LINKS)], schema=schema)
 
-    rows = pages.select(F.col(key).cast("long").alias(key), F.col(base).alias("page_url"), "html")
+    rows = pages.select(F.col(key).cast("long").alias(key), F.col(base).alias("page_url"), "html", (selector if isinstance(selector, Column) else F.lit(selector)).alias("selector"))
     found = rows.mapInArrow(run, f"{key} long, page_url string, links array<struct<pos: long, href: string, anchor: string, context: string>>")
     flat = found.select(key, "page_url", F.explode("links").alias("l")).select(key, "page_url", "l.pos", F.col("l.href").alias("url"), "l.anchor", "l.context")
     flat = flat.withColumn("anchor", F.when(F.col("anchor") == "", U.last_segment(F.col("url"))).otherwise(F.col("anchor")))
     anchor, context = F.lower("anchor"), F.col("context")
     # Where the anchor was empty the sentence is looked for with its substitute.
     pick = F.try_element_at(F.filter(F.split(context, r"\."), lambda s: F.contains(F.lower(s), anchor)), F.lit(1))
-    return flat.withColumn("context", F.when((context == "") | (F.col("anchor") == ""), context).otherwise(F.coalesce(F.trim(pick), context)))
+    return flat.withColumn("context", F.when((context == "") | (F.col("anchor") == ""), context).otherwise(F.coalesce(strip(pick), context)))
+
+
+def domain_links(pages: DataFrame, domains: DataFrame, key: str = "page_id") -> DataFrame:
+    """extract_links() by pages(key, html, domain) and domains(domain, base_url, link_selector): each domain has its own
+    selector and the address that its relative links are resolved against. Pages of unknown domains give none."""
+    known = pages.select(key, "html", "domain").join(domains.select("domain", "base_url", "link_selector"), "domain")
+    return extract_links(known, F.col("link_selector"), key, "base_url")
 
 
 def _spec_type(fields: dict) -> str:
@@ -87,12 +90,12 @@ def extract_items(pages: DataFrame, spec: dict, key: str = "page_id") -> DataFra
     types, and container mode without a selector, are errors when the plan is made."""
     mode, fields = spec.get("mode", "document"), spec.get("fields", {})
     if mode not in ("document", "container"):
-        raise ValueError(f"Unknown extraction mode: {mode!r}")
+        raise ValueError(f"extraction mode {mode!r} is neither document nor container")
     if mode == "container" and not spec.get("container"):
-        raise ValueError("Container mode requires 'container' selector")
+        raise ValueError("mode container needs the selector of its containers")
     for f in fields.values():
         if f.get("type", "list") not in ("scalar", "list"):
-            raise ValueError(f"Unknown field type: {f['type']!r}")
+            raise ValueError(f"field type {f['type']!r} is neither scalar nor list")
     item = pa.struct([(n, pa.string() if f.get("type", "list") == "scalar" else pa.list_(pa.string())) for n, f in fields.items()])
     schema = pa.schema([(key, pa.int64()), ("items", pa.list_(item))])
 

@@ -51,12 +51,22 @@ def neighbourhood(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return ancestors(nodes, ids).union(children).distinct()
 
 
+def in_sequence(rows: DataFrame, name: str, *order: str, first: int = 0) -> DataFrame:
+    """rows with a running number by order, from ``first``: places within sorted ranges, and a running sum over the ranges."""
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(sorted_rows.withColumn("__m", F.monotonically_increasing_id()))
+    place = placed.withColumns({"__p": F.shiftright("__m", 33), "__k": F.col("__m").bitwiseAND(F.lit(2**33 - 1))})
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = place.groupBy("__p").count().select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__n"))  # one row for each range
+    return place.join(F.broadcast(sizes), "__p").select(*rows.columns, (F.col("__n") + F.col("__k") + first).cast("long").alias(name))
+
+
 def seed_nodes(seeds: DataFrame, domains: DataFrame, first_priority: float = 0.01) -> DataFrame:
     """seeds(url, domain) joined to domains(base_url); seeds of unknown domains raise."""
     if not seeds.join(domains, seeds["domain"] == domains["base_url"], "left_anti").isEmpty():
         raise KeyError("a seed names a domain that is not declared")
     known = seeds.join(domains, seeds["domain"] == domains["base_url"]).select("url", "domain")
-    return known.withColumns({"node_id": F.row_number().over(Window.orderBy("url")).cast("long") - 1, "depth": F.lit(0), "priority": F.lit(first_priority)})
+    return in_sequence(known, "node_id", "url").withColumns({"depth": F.lit(0), "priority": F.lit(first_priority)})
 
 
 def child_nodes(links: DataFrame, parents: DataFrame, first_id: int = 0) -> DataFrame:

@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.extract import extract_links
-from loomwork.operators.graph import frontier
-from loomwork.plans.store import written
+from loomwork.operators.graph import frontier, in_sequence
+from loomwork.plans.store import shared_dir, written
 from loomwork.sources.pages import from_table
 
+NODES = "node_id long, url string, parent_id long, depth int, priority double, wave int"
 
-def crawl(seeds: DataFrame, pages: DataFrame, max_nodes: int, max_depth: int, wave: int, score, route=None, selector: str = "//a") -> DataFrame:
+
+def crawl(seeds: DataFrame, pages: DataFrame, max_nodes: int, max_depth: int, wave: int, score, route=None, selector: str = "//a", judge=None) -> DataFrame:
     """seeds(url), pages(url, html) -> nodes(node_id, url, parent_id, depth, priority, wave).
 
     score gives a link's priority as a column of (url, anchor, context, depth); route may map a link's url to
-    another one. A url becomes a node once. The crawl ends when the number of nodes reaches max_nodes, when a
-    node reaches max_depth, or without a frontier. Each wave is written to the shared folder."""
-    spark = seeds.sparkSession
-    number = F.row_number().over(Window.orderBy("url")).cast("long") - 1
-    nodes = written(seeds.select("url").distinct().select(number.alias("node_id"), "url", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), F.lit(0.01).alias("priority"), F.lit(0).alias("wave")))
-    visited = spark.createDataFrame([], "node_id long")
-    turn = 0
+    another one; judge may take the new links of a wave (url, parent_id, pos, depth, anchor, context) through
+    any operators, the cascade's for one, and gives back those that stay. A url becomes a node once. The crawl
+    ends when the number of nodes reaches max_nodes, when a node reaches max_depth, or without a frontier.
+    Each wave adds its nodes and visits to folders of the shared place; nothing is written twice."""
+    spark, base = seeds.sparkSession, shared_dir(seeds.sparkSession)
+    first = seeds.select("url").distinct()
+    rows = in_sequence(first, "node_id", "url").select("node_id", "url", F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("depth"), F.lit(0.01).alias("priority"), F.lit(0).alias("wave"))
+    rows.write.parquet(f"{base}/nodes/0")
+    spark.createDataFrame([], "node_id long").write.parquet(f"{base}/visited/0")
+    turn, known = 0, [f"{base}/nodes/0"]
     while True:
+        nodes = spark.read.schema(NODES).parquet(*known)
         totals = nodes.agg(F.count("*").alias("n"), F.max("depth").alias("d")).first()
         if totals.n >= max_nodes or (totals.d or 0) >= max_depth:
             return nodes
+        visited = spark.read.schema("node_id long").parquet(*[f"{base}/visited/{k}" for k in range(turn + 1)])
         front = written(frontier(nodes.join(visited, "node_id", "left_anti"), wave))
         if front.isEmpty():
             return nodes
         turn += 1
-        visited = written(visited.union(front.select("node_id")))
+        front.select("node_id").write.parquet(f"{base}/visited/{turn}")
         got = from_table(front, pages).where("html is not null")
         links = extract_links(got, selector, key="node_id")
         if route is not None:
@@ -39,9 +46,7 @@ def crawl(seeds: DataFrame, pages: DataFrame, max_nodes: int, max_depth: int, wa
         fresh = links.join(nodes.select("url"), "url", "left_anti").join(parent, "node_id")
         one = fresh.groupBy("url").agg(F.min(F.struct("node_id", "pos", "depth", "anchor", "context")).alias("l"))
         rows = one.select("url", F.col("l.node_id").alias("parent_id"), "l.pos", (F.col("l.depth") + 1).alias("depth"), "l.anchor", "l.context")
-        # A wave's new nodes are at most (wave size) x (links of a page); they are numbered after the old ones.
-        order = Window.orderBy("parent_id", "pos", "url")
-        new = written(rows.select((F.row_number().over(order) - 1 + totals.n).cast("long").alias("node_id"), "url", "parent_id", "depth", score().alias("priority"), F.lit(turn).alias("wave")))
-        if new.isEmpty():
-            continue
-        nodes = written(nodes.unionByName(new))
+        rows = judge(rows) if judge is not None else rows
+        new = in_sequence(rows, "node_id", "parent_id", "pos", "url", first=totals.n)
+        new.select("node_id", "url", "parent_id", "depth", score().cast("double").alias("priority"), F.lit(turn).alias("wave")).write.parquet(f"{base}/nodes/{turn}")
+        known.append(f"{base}/nodes/{turn}")

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import urls as U
-from loomwork.functions.scores import jaccard
+from loomwork.functions.scores import shared_part, tokens
 from loomwork.operators import dedup, export
-from loomwork.operators.extract import extract_items, extract_links
+from loomwork.operators.extract import domain_links, extract_items, extract_links
+from loomwork.plans.store import shared_dir, written
 from loomwork.plans.tables import r6, t
 
 #: Links and their resolution as SQL over the fixture's regular markup; used by several queries.
@@ -36,9 +37,11 @@ def q_resolve_urls(spark, sf_dir):
 
 
 def q_top_links_per_host(spark, sf_dir):
-    pages = t(spark, sf_dir, "pages")
-    links = dedup.dedup_links(links_of(spark, sf_dir).select("page_id", "pos", "url", "anchor"), links_of(spark, sf_dir).where("page_id % 3 = 0").select("url"))
-    scored = links.join(pages.select("page_id", "html"), "page_id").select("page_id", "pos", "url", U.hostname(F.col("url")).alias("host"), r6(jaccard(F.col("anchor"), F.col("html"))).alias("overlap"))
+    """Pages are parsed once, their words told apart once for each page."""
+    all_links = written(links_of(spark, sf_dir).select("page_id", "pos", "url", tokens(F.col("anchor")).alias("x")))
+    links = dedup.dedup_links(all_links, all_links.where("page_id % 3 = 0").select("url"))
+    pages = t(spark, sf_dir, "pages").select("page_id", tokens(F.coalesce("html", F.lit(""))).alias("y"))
+    scored = links.join(pages, "page_id").select("page_id", "pos", "url", U.hostname(F.col("url")).alias("host"), r6(shared_part(F.col("x"), F.col("y"))).alias("overlap"))
     rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("overlap"), "url", "page_id", "pos"))
     return scored.withColumn("rank", rank.cast("long")).where("rank <= 20").select("host", "rank", "url", "overlap")
 
@@ -102,7 +105,36 @@ def q_dedup_items(spark, sf_dir):
 
 def q_raw_documents(spark, sf_dir):
     raw = export.raw_documents(t(spark, sf_dir, "pages"), "loomwork", F.lit("2024-01-01T00:00:00Z"))
-    return raw.select("id", "source_type", "source_uri", "title", "language", "retrieved_at", F.col("metadata")["crawler"].alias("crawler"), F.length("text").cast("long").alias("n_chars"))
+    return raw.select("id", "source_type", "source_uri", "title", "language", "retrieved_at", F.col("metadata")["crawler"].alias("crawler"), F.md5("text").alias("digest"))
+
+
+def q_raw_documents_written(spark, sf_dir):
+    """Written as JSON lines and read again."""
+    path = shared_dir(spark)
+    raw = export.raw_documents(t(spark, sf_dir, "pages"), "loomwork", F.lit("2024-01-01T00:00:00Z"))
+    export.write_raw_documents(raw.where("id % 2 = 0"), path)
+    export.write_raw_documents(raw.where("id % 2 = 1"), path)
+    return spark.read.schema(raw.schema).json(path).select("id", "source_uri", F.md5("text").alias("digest"))
+
+
+def q_fetch_by_client(spark, sf_dir):
+    """Pages by a client that the tasks call: it fails for some addresses and has nothing for others."""
+    from loomwork.sources.pages import by_fetching
+
+    def fetch(url):
+        if "blog." in url:
+            raise OSError("refused")
+        return None if url.endswith("#top") else f"<p>{url}</p>"
+
+    return by_fetching(t(spark, sf_dir, "pages").select("page_id", "url"), fetch)
+
+
+def q_domain_links(spark, sf_dir):
+    """Each domain has its own selector and the address that relative links belong to; pages of a third have none."""
+    named = [("a", "https://one.example/start/page", "//nav/ul/li/a"), ("b", "http://two.example", "//a[@href]")]
+    domains = spark.createDataFrame(named, "domain string, base_url string, link_selector string")
+    pages = t(spark, sf_dir, "pages").select("page_id", "html", F.element_at(F.array(*map(F.lit, "abc")), (F.col("page_id") % 3 + 1).cast("int")).alias("domain"))
+    return domain_links(pages, domains).select("page_id", "pos", "url", "anchor")
 
 
 def q_fetch_from_table(spark, sf_dir):
@@ -132,6 +164,9 @@ ORACLE_SQL = {
     "found_links_grown": f"WITH {LINKS_SQL} SELECT DISTINCT url FROM links",
     "item_hash": """SELECT doc_id, sha256('{"lang": "' || lang || '", "source": "' || source || '"}') AS item_hash FROM documents""",
     "dedup_items": "SELECT doc_id, sha256(text) AS item_hash FROM documents WHERE doc_id >= 500 AND text NOT IN (SELECT text FROM documents WHERE doc_id < 500)",
-    "raw_documents": "SELECT page_id::VARCHAR AS id, 'web' AS source_type, url AS source_uri, '' AS title, 'en' AS language, '2024-01-01T00:00:00Z' AS retrieved_at, 'loomwork' AS crawler, length(html)::BIGINT AS n_chars FROM pages",
+    "raw_documents": "SELECT page_id::VARCHAR AS id, 'web' AS source_type, url AS source_uri, '' AS title, 'en' AS language, '2024-01-01T00:00:00Z' AS retrieved_at, 'loomwork' AS crawler, md5(html) AS digest FROM pages",
+    "raw_documents_written": "SELECT page_id::VARCHAR AS id, url AS source_uri, md5(html) AS digest FROM pages",
+    "fetch_by_client": "SELECT page_id, url, CASE WHEN contains(url, 'blog.') OR url LIKE '%#top' THEN NULL ELSE '<p>' || url || '</p>' END AS html FROM pages",
+    "domain_links": f"WITH {LINKS_SQL} SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN CASE page_id % 3 WHEN 0 THEN 'https://one.example' ELSE 'http://two.example' END || href ELSE href END AS url, anchor FROM links WHERE page_id % 3 < 2",
     "fetch_from_table": "SELECT CASE WHEN page_id % 5 = 0 THEN url || '#gone' ELSE url END AS url, page_id % 5 <> 0 AS fetched FROM pages",
 }

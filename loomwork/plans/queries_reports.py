@@ -158,7 +158,7 @@ def q_stream_upsert(spark, sf_dir):
     S.upsert_stream(stream(), out, f"{out}-state", ["user_id", "event_type"], "seq")
     rows.where("seq % 2 = 1").write.mode("append").parquet(source)
     S.upsert_stream(stream(), out, f"{out}-state", ["user_id", "event_type"], "seq")
-    return spark.read.schema(rows.schema).parquet(out)
+    return export.upserted(spark, out, rows.schema)
 
 
 def q_debug_lines(spark, sf_dir):
@@ -177,7 +177,7 @@ def q_expansion_prompts(spark, sf_dir):
 
 
 def q_export_json(spark, sf_dir):
-    rows = t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), "props", F.array("event_type").alias("kinds"))
+    rows = t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), "props", F.array("event_type", F.lit("é")).alias("kinds"))
     return export.export_rows(rows, {"props": "json", "kinds": "text"})
 
 
@@ -192,10 +192,10 @@ def q_edges(spark, sf_dir):
 
 
 def q_stream_stop(spark, sf_dir):
-    """The stateful stop monitor over what is there, one crawl for each remainder of the user."""
+    """The stateful stop monitor over what is there, one crawl for each remainder of the user: nodes, time, target or idleness ends it."""
     e, out = t(spark, sf_dir, "events"), shared_dir(spark)
-    stream = S.read_events(spark, f"{sf_dir}/events.parquet*", e.schema).select((F.col("user_id") % 5).alias("crawl_id"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "signup", "node_added").otherwise("other").alias("type"), F.lit(0).alias("depth"))
-    S.run_to(S.stop_monitor(stream, 300, 9, 25 * 86400.0), out, f"{out}-state")
+    stream = S.read_events(spark, f"{sf_dir}/events.parquet*", e.schema).select((F.col("user_id") % 5).alias("crawl_id"), F.col("event_id").alias("seq"), "ts", F.when(F.col("event_type") == "signup", "node_added").otherwise("other").alias("type"), F.lit(0).alias("depth"), F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string")).alias("url"))
+    S.run_to(S.stop_monitor(stream, 300, 9, 25 * 86400.0, "/u/3/8", 9000), out, f"{out}-state")
     return spark.read.schema("crawl_id long, stop_seq long, reason string").parquet(out)
 
 
@@ -235,10 +235,11 @@ ORACLE_SQL = {
     "debug_lines": "SELECT event_id, '[SCORING] ' || event_type || ' value=' || floor(value)::BIGINT || '.0000 url=a b+' || user_id AS line FROM events",
     "valid_messages": "SELECT event_id, event_type AS type FROM events WHERE event_id % 3 = 0",
     "expansion_prompts": """SELECT item_id, 'Topic: ' || text || chr(10) || chr(10) || 'Write 5 different descriptions of pages on this topic, a short paragraph each.' || chr(10) || chr(10) || 'Answer with a JSON list of objects {"description": "..."}.' AS prompt FROM benchmark""",
-    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, props, '["' || event_type || '"]' AS kinds FROM events""",
+    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, to_json(props)::VARCHAR AS props, '["' || event_type || '", "é"]' AS kinds FROM events""",
     "cluster_entries": "SELECT vec_id, label AS cluster FROM embeddings WHERE label >= 3",
     "edges": "SELECT DISTINCT c_custkey % 10 AS a, c_custkey % 200 AS b FROM customer WHERE c_custkey > 1",
-    "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id))) / 1000000.0::DOUBLE AS el FROM events),
-      s AS (SELECT crawl_id, event_id, CASE WHEN event_type = 'signup' AND n >= 300 THEN 'MAX_NODES' WHEN el >= 25 * 86400 THEN 'MAX_TIME' END AS reason FROM r)
-      SELECT crawl_id, min(event_id) AS stop_seq, arg_min(reason, event_id) AS reason FROM s WHERE reason IS NOT NULL GROUP BY crawl_id""",
+    "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, user_id, lag(event_id) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS prev,
+        (epoch_us(ts) - epoch_us(max(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) / 1000000.0::DOUBLE AS gap, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id % 5 ORDER BY event_id))) / 1000000.0::DOUBLE AS el FROM events),
+      s AS (SELECT crawl_id, event_id, CASE WHEN gap >= 9000 THEN prev ELSE event_id END AS stop, CASE WHEN gap >= 9000 THEN 'NO_PROGRESS' WHEN event_type = 'signup' AND n >= 300 THEN 'MAX_NODES' WHEN event_type = 'signup' AND starts_with('/u/' || user_id || '/' || event_id, '/u/3/8') THEN 'TARGET_REACHED' WHEN el >= 25 * 86400 THEN 'MAX_TIME' END AS reason FROM r)
+      SELECT crawl_id, arg_min(stop, event_id) AS stop_seq, arg_min(reason, event_id) AS reason FROM s WHERE reason IS NOT NULL GROUP BY crawl_id""",
 }

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import copy
+import json
+
 from pyspark.sql import functions as F
 
+from loomwork.functions import format as fmt
 from loomwork.functions.scores import jaccard
 from loomwork.functions.transforms import chain
 from loomwork.functions.urls import unquoted
 from loomwork.operators import answers
 from loomwork.plans.tables import r6, t
+from loomwork.sources import blueprint
 
 
 def _tf(spark, sf_dir, steps, source="text", is_list=False):
@@ -109,6 +114,96 @@ def q_build_prompt(spark, sf_dir):
     return answers.build_prompts(links, "conv_id", F.lit("health"), "Score every link.")
 
 
+def q_scoring_prompts(spark, sf_dir):
+    talk = t(spark, sf_dir, "conversations")
+    links = talk.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("url"), F.regexp_replace("text", r'[\n"\\/]', " ").alias("anchor"), F.lit("c").alias("context"))
+    return answers.scoring_prompts(links, "conv_id", F.lit("health"), "PATHFINDING").select("conv_id", "n_links", "prompt")
+
+
+def q_model_answers(spark, sf_dir):
+    """A client that the tasks call: it fails for every prompt with a digit."""
+
+    def client(prompt):
+        if any(c.isdigit() for c in prompt):
+            raise TimeoutError
+        return '{"n": %d}' % len(prompt)
+
+    return answers.ask(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt")), client).select("item_id", "answer")
+
+
+def q_link_text(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    return p.select("page_id", fmt.link_text(F.col("url"), F.when(F.col("page_id") % 3 > 0, F.col("page_id").cast("string")), F.lit("c")).alias("text"))
+
+
+def q_crawl_ids(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return e.select("event_id", fmt.crawl_id(F.concat("event_type", F.when(F.col("event_id") % 2 == 0, ".v1.json").otherwise("")), F.col("ts")).alias("crawl_id"))
+
+
+def q_dotted_paths(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"a": {"b": '), F.col("props"), F.lit(', "c.d": 1}}'))
+    return e.select("event_id", fmt.at_path(doc, "a.b.k").alias("k"), fmt.at_path(doc, "a.x.k").alias("none"), fmt.at_path(F.lit("no json"), "a").alias("broken"))
+
+
+def q_json_lines(spark, sf_dir):
+    e = t(spark, sf_dir, "events").where("event_id % 3 < 2")
+    text = F.concat_ws("\n", "props", F.lit("  "), F.lit("{broken"), F.concat("props", F.lit("\r")), F.lit("7"))
+    return fmt.json_lines(e.select("event_id", text.alias("text")), "text").select("event_id", F.col("line_no").cast("long").alias("line_no"), F.col("payload").isNotNull().alias("ok"))
+
+
+GOOD_SPEC = {
+    "blueprint_id": "b", "target_topic": "@", "seeds": [{"url": "u", "domain": "d"}], "domains": {"d": {"base_url": "d", "link_selector": "//a"}},
+    "extraction": {"fields": {"f": {"selector": "//a", "type": "list", "export_type": "text", "transform": [{"type": "truncate"}]}}},
+    "scoring": {"strategy": "TOPICAL", "params": {"scoring_type": "x", "model_information": "m"}}, "expansion": {"style": "rich", "num_descriptions": 3, "llm_type": "a", "llm_model": "b"},
+    "stop_conditions": {"max_nodes": 5, "max_depth": 2, "max_duration": 9.0, "no_progress_timeout": 1, "stop_url": None},
+}
+#: What is changed in GOOD_SPEC, and what the check says then; None removes.
+SPEC_CASES = [
+    ((), 0, None),
+    (("seeds",), None, "specification lacks seeds"),
+    (("scoring", "strategy"), "topical", "scoring: 'topical' is none of TOPICAL, PATHFINDING, EXPLORATION, GOAL_ORIENTED, DENSITY_FOCUSED, UNCERTAINTY_BIASED"),
+    (("scoring", "params", "model_information"), {}, "scoring params: model_information must be text"),
+    (("expansion", "num_descriptions"), "3", "expansion: num_descriptions must be whole number"),
+    (("expansion", "style"), "long", "expansion: 'long' is none of concise, balanced, rich"),
+    (("stop_conditions", "max_nodes"), True, "stop_conditions: max_nodes must be whole number"),
+    (("stop_conditions", "no_progress_timeout"), None, "stop_conditions lacks no_progress_timeout"),
+    (("stop_conditions", "priority_strategy"), "fast", "stop_conditions: 'fast' is none of aggressive, balanced, exploration"),
+    (("seeds", 0, "url"), 7, "seed 0: url must be text"),
+    (("domains", "d", "link_selector"), None, "domain d lacks link_selector"),
+    (("extraction", "mode"), "container", "extraction: mode container needs the selector of its containers"),
+    (("extraction", "fields"), {}, "extraction: no fields"),
+    (("extraction", "profile"), "p", "extraction: no profile 'p'"),
+    (("extraction", "fields", "f", "export_type"), "blob", "field f: 'blob' is none of text, real, int, json"),
+    (("extraction", "fields", "f", "transform"), [{"type": "regex"}], "field f: regex needs a pattern"),
+    (("extraction", "fields", "f", "transform"), [{"type": "sort"}], "field f: transform: 'sort' is none of regex, regex_extract, lowercase, strip, join, truncate, deduplicate"),
+]
+
+
+def spec_with(path, value) -> dict:
+    spec = copy.deepcopy(GOOD_SPEC)
+    if path:
+        part = spec
+        for k in path[:-1]:
+            part = part[k]
+        if value is None:
+            del part[path[-1]]
+        else:
+            part[path[-1]] = value
+    return spec
+
+
+def q_spec_checks(spark, sf_dir):
+    """One specification for each benchmark item, in turn sound or broken in one place."""
+    n = len(SPEC_CASES)
+    cases = spark.createDataFrame([(k, json.dumps(spec_with(path, value))) for k, (path, value, _) in enumerate(SPEC_CASES)], "k int, template string")
+    items = t(spark, sf_dir, "benchmark").join(cases, F.col("item_id") % n == F.col("k"))
+    topic = F.regexp_replace("text", r'["\\\\]', "")
+    got = blueprint.checked(items.select("item_id", F.replace("template", F.lit("@"), topic).alias("spec")), "item_id")
+    return got.select("item_id", "problem", fmt.at_path(F.col("translated"), "stop_conditions.priority_strategy").alias("priority"), fmt.at_path(F.col("translated"), "target_topic").alias("topic"), F.get_json_object("translated", "$.extraction.fields.f.transform[0].max_len").cast("long").alias("max_len"))
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 _ANS = """ans AS (SELECT doc_id, 'u' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE least(100, quality * 100 + doc_id % 7) END AS score, CASE WHEN quality = 1 THEN 'direct' ELSE 'ambiguous' END AS relevance_type, 'a|b' || doc_id AS expansions FROM labels)"""
 _LNK = "lnk AS (SELECT 'u' || doc_id AS url, doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN 7 END AS score FROM documents)"
@@ -131,6 +226,15 @@ ORACLE_SQL = {
     "map_results": f"WITH {_ANS}, {_LNK} SELECT l.url, CASE WHEN a.url IS NOT NULL THEN a.score ELSE coalesce(l.score, 0) END::BIGINT AS score, coalesce(a.relevance_type, 'irrelevant') AS relevance_type, coalesce(a.expansions, '') AS expansions FROM lnk l LEFT JOIN ans a USING (url)",
     "map_partial": f"WITH {_ANS}, {_LNK} SELECT url, pos, score::BIGINT AS score, NULL::VARCHAR AS relevance_type FROM lnk UNION ALL SELECT l.url, l.pos + 100000000, CASE WHEN a.url IS NOT NULL THEN a.score ELSE l.score END::BIGINT, a.relevance_type FROM lnk l LEFT JOIN ans a USING (url)",
     "flat_objects": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 4 END::BIGINT AS n, CASE WHEN event_id % 5 <> 0 AND event_id % 4 > 0 THEN (props->>'$.k')::BIGINT END AS k FROM events",
+    "scoring_prompts": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
+      SELECT conv_id, count(*) AS n_links, 'You score links for a crawler.' || chr(10) || chr(10) || '%s' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || 'target_topic: health' || chr(10) || 'strategy: PATHFINDING' || chr(10) || 'strategy_context: %s' || chr(10) || chr(10) || 'CANDIDATES:' || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' || chr(10) || chr(10) || '%s' AS prompt FROM l GROUP BY conv_id"""
+    % (answers.TASK, answers.CONTEXTS["PATHFINDING"].replace("'", "''"), "\n\n".join((answers.RULES, answers.OUTPUT, answers.LIMITS)).replace("'", "''")),
+    "model_answers": """SELECT item_id, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN '{"n": ' || length(text) || '}' END AS answer FROM benchmark""",
+    "link_text": "SELECT page_id, '[URL]' || url || ' [ANCHOR]' || CASE WHEN page_id % 3 > 0 THEN page_id::VARCHAR ELSE '' END || ' [CTX]c' AS text FROM pages",
+    "crawl_ids": "SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%d_%H:%M:%S') AS crawl_id FROM events",
+    "dotted_paths": "SELECT event_id, props->>'$.k' AS k, NULL::VARCHAR AS none, NULL::VARCHAR AS broken FROM events",
+    "json_lines": "SELECT event_id, unnest([1, 3, 4, 5])::BIGINT AS line_no, unnest([true, false, true, true]) AS ok FROM events WHERE event_id % 3 < 2",
+    "spec_checks": f"SELECT item_id, p.problem, CASE WHEN p.problem IS NULL THEN 'balanced' END AS priority, CASE WHEN p.problem IS NULL THEN replace(replace(text, chr(34), ''), chr(92), '') END AS topic, CASE WHEN p.problem IS NULL THEN 300 END::BIGINT AS max_len FROM benchmark JOIN (VALUES {', '.join('(%d, %s)' % (k, 'NULL::VARCHAR' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)) for k, (_, _, x) in enumerate(SPEC_CASES))}) p(k, problem) ON item_id % {len(SPEC_CASES)} = p.k",
     "build_prompt": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
       SELECT conv_id, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' AS prompt FROM l GROUP BY conv_id""",
 }

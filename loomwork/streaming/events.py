@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,42 +37,69 @@ def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> N
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
-def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds: float) -> DataFrame:
-    """events(crawl_id, seq, ts, type, depth) -> (crawl_id, stop_seq, reason), once for each crawl, with state.
+def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds: float, target: str | None = None, idle: float | None = None, late: str = "0 seconds") -> DataFrame:
+    """events(crawl_id, seq, ts, type, depth, url) -> (crawl_id, stop_seq, reason), once for each crawl, with state.
 
-    A crawl's state is four numbers; events of one trigger are taken in order of seq."""
+    A crawl's state is six numbers; events of one trigger are taken in order of seq. ``target`` ends a crawl with a
+    node whose url contains it. ``idle`` seconds without an event end it too: where a later event shows the gap, or
+    else by a timer of event time, which needs ts not to lag by more than ``late``."""
     import pandas as pd
 
+    columns = ["crawl_id", "stop_seq", "reason"]
+
+    def why(added, nodes, depth, url, elapsed):
+        if added and nodes >= max_nodes:
+            return "MAX_NODES"
+        if added and depth >= max_depth:
+            return "MAX_DEPTH"
+        if added and target is not None and target in url:
+            return "TARGET_REACHED"
+        return "MAX_TIME" if elapsed >= max_seconds else None
+
     def step(key, frames, state):
-        nodes, begun, done = state.get if state.exists else (0, -1.0, False)
+        nodes, begun, latest, last_seq, done = state.get if state.exists else (0, -1.0, -1.0, -1, False)
         found = None
+        if state.hasTimedOut:
+            state.update((nodes, begun, latest, last_seq, True))
+            if not done:
+                yield pd.DataFrame([(key[0], last_seq, "NO_PROGRESS")], columns=columns)
+            return
         rows = pd.concat(list(frames)).sort_values("seq")
-        for seq, sec, kind, depth in zip(rows["seq"], rows["sec"], rows["type"], rows["depth"], strict=True):
+        for seq, sec, kind, depth, url in zip(rows["seq"], rows["sec"], rows["type"], rows["depth"], rows["url"], strict=True):
+            reason, stop = None, int(seq)
+            if idle is not None and latest >= 0 and sec - latest >= idle:
+                reason, stop = "NO_PROGRESS", last_seq
             begun = sec if begun < 0 else begun
             added = kind == "node_added"
             nodes += added
-            reason = "MAX_NODES" if added and nodes >= max_nodes else "MAX_DEPTH" if added and depth >= max_depth else "MAX_TIME" if sec - begun >= max_seconds else None
+            reason = reason or why(added, nodes, depth, url, sec - begun)
+            latest, last_seq = max(latest, sec), int(seq)
             if reason and not done:
-                done, found = True, (key[0], int(seq), reason)
-        state.update((int(nodes), float(begun), bool(done)))
+                done, found = True, (key[0], stop, reason)
+        state.update((int(nodes), float(begun), float(latest), int(last_seq), bool(done)))
+        if idle is not None and not done:
+            state.setTimeoutTimestamp(max(int((latest + idle) * 1000), state.getCurrentWatermarkMs() + 1))
         if found:
-            yield pd.DataFrame([found], columns=["crawl_id", "stop_seq", "reason"])
+            yield pd.DataFrame([found], columns=columns)
 
-    rows = events.select("crawl_id", "seq", F.col("ts").cast("timestamp").cast("double").alias("sec"), "type", F.coalesce("depth", F.lit(-1)).alias("depth"))
-    return rows.groupBy("crawl_id").applyInPandasWithState(step, "crawl_id long, stop_seq long, reason string", "nodes long, begun double, done boolean", "append", "NoTimeout")
+    if idle is not None:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    url = F.coalesce("url", F.lit("")) if "url" in events.columns else F.lit("")
+    rows = events.select("crawl_id", "seq", "ts", F.col("ts").cast("timestamp").cast("double").alias("sec"), "type", F.coalesce("depth", F.lit(-1)).alias("depth"), url.alias("url"))
+    kept = "nodes long, begun double, latest double, last_seq long, done boolean"
+    return rows.groupBy("crawl_id").applyInPandasWithState(step, "crawl_id long, stop_seq long, reason string", kept, "append", "NoTimeout" if idle is None else "EventTimeTimeout")
 
 
-def upsert_stream(df: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Batches of a stream upserted into a Parquet folder, the last writer of a key by ``order`` winning."""
-    from loomwork.operators.export import upsert_into, upsert_latest
+def upsert_stream(df: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, every: str | None = None):
+    """Batches of a stream upserted into a table (export.upserted reads it), the last writer of a key by ``order`` winning.
+
+    Takes what is there and ends; with ``every`` ("10 seconds") it goes on at that pace, and the running query is returned."""
+    from loomwork.operators.export import upsert_into
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        try:
-            upsert_into(spark, path, batch, keys, order)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            upsert_latest(batch, batch.where("false"), keys, order).write.parquet(path)
-
-    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        upsert_into(batch.sparkSession, path, batch, keys, order)
+
+    writer = df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put)
+    if every is not None:
+        return writer.trigger(processingTime=every).start()
+    return writer.trigger(availableNow=True).start().awaitTermination()
