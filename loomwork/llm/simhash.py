@@ -129,4 +129,5 @@ def keep_first(docs: DataFrame, heavy: int = HEAVY) -> DataFrame:
     classes = firsts.join(labels, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("label", "fp").alias("class")).agg(F.min("first").alias("first"))
     kept = materialise(classes.select(F.col("first.row").alias(row)))
     discard(marked, firsts, labels)
-    return rows.join(kept, row, "left_semi").select(*docs.columns)
+    # By a shuffle at every size: whether the kept numbers are sent to all tasks would depend on how many there are.
+    return rows.join(kept.hint("merge"), row, "left_semi").select(*docs.columns)
