@@ -70,6 +70,14 @@ def q_checkpoint_seek(spark, sf_dir):
     return telemetry.seek(telemetry.checkpoints(e, "node_id"), e, "node_id", SEEK)
 
 
+def q_late_reader(spark, sf_dir):
+    """A snapshot at an event, and what follows it: together the state at the end."""
+    e = _events(spark, sf_dir)
+    now, rest = reports.snapshot_then_tail(telemetry.checkpoints(e, "node_id", 1000), e, "node_id", SEEK, 1000)
+    both = now.select("node_id", "state", F.col("last_seq").alias("seq")).unionByName(rest.select("node_id", "state", "seq"))
+    return telemetry.state_at(both, "node_id").select("node_id", "state", "last_seq")
+
+
 def q_checkpoints(spark, sf_dir):
     return telemetry.checkpoints(_events(spark, sf_dir), "node_id", 1000)
 
@@ -225,6 +233,7 @@ ORACLE_SQL = {
     "funnel": f"WITH {_E}, s AS (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id), k AS (SELECT unnest(['CREATED', 'FETCHED', 'FILTERED', 'SCORED', 'EXPANDED']) AS state, unnest([1, 2, 3, 4, 5]) AS step) SELECT step::BIGINT AS step, state, (SELECT count(*) FROM s JOIN k j USING (state) WHERE j.step >= k.step) AS reached FROM k",
     "state_at": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
     "checkpoint_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
+    "late_reader": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq FROM e GROUP BY node_id",
     "checkpoints": f"WITH {_E} SELECT seq // 1000 AS range, node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e GROUP BY 1, 2",
     "recent_ticks": f"WITH {_E} SELECT seq, stage, phase FROM e WHERE phase IS NOT NULL ORDER BY seq DESC LIMIT 40",
     "retained_errors": f"WITH {_E} SELECT seq, node_id FROM e WHERE phase = 'failed' ORDER BY seq DESC LIMIT 1000",

@@ -159,6 +159,7 @@ GOOD_SPEC = {
     "scoring": {"strategy": "TOPICAL", "params": {"scoring_type": "x", "model_information": "m"}}, "expansion": {"style": "rich", "num_descriptions": 3, "llm_type": "a", "llm_model": "b"},
     "stop_conditions": {"max_nodes": 5, "max_depth": 2, "max_duration": 9.0, "no_progress_timeout": 1, "stop_url": None},
 }
+PROFILES = {"site": {"t": {"selector": "//title", "type": "scalar", "export_type": "text", "transform": [{"type": "strip"}]}, "u": {"selector": "//u", "type": "list", "export_type": "json"}}}
 #: What is changed in GOOD_SPEC, and what the check says then; None removes.
 SPEC_CASES = [
     ((), 0, None),
@@ -175,6 +176,8 @@ SPEC_CASES = [
     (("extraction", "mode"), "container", "extraction: mode container needs the selector of its containers"),
     (("extraction", "fields"), {}, "extraction: no fields"),
     (("extraction", "profile"), "p", "extraction: no profile 'p'"),
+    (("extraction",), {"profile": "site", "checklist": ["t"]}, None),
+    (("extraction",), {"profile": "site", "checklist": ["t", "z"]}, "profile has no z"),
     (("extraction", "fields", "f", "export_type"), "blob", "field f: 'blob' is none of text, real, int, json"),
     (("extraction", "fields", "f", "transform"), [{"type": "regex"}], "field f: regex needs a pattern"),
     (("extraction", "fields", "f", "transform"), [{"type": "sort"}], "field f: transform: 'sort' is none of regex, regex_extract, lowercase, strip, join, truncate, deduplicate"),
@@ -199,9 +202,9 @@ def q_spec_checks(spark, sf_dir):
     n = len(SPEC_CASES)
     cases = spark.createDataFrame([(k, json.dumps(spec_with(path, value))) for k, (path, value, _) in enumerate(SPEC_CASES)], "k int, template string")
     items = t(spark, sf_dir, "benchmark").join(cases, F.col("item_id") % n == F.col("k"))
-    topic = F.regexp_replace("text", r'["\\\\]', "")
-    got = blueprint.checked(items.select("item_id", F.replace("template", F.lit("@"), topic).alias("spec")), "item_id")
-    return got.select("item_id", "problem", fmt.at_path(F.col("translated"), "stop_conditions.priority_strategy").alias("priority"), fmt.at_path(F.col("translated"), "target_topic").alias("topic"), F.get_json_object("translated", "$.extraction.fields.f.transform[0].max_len").cast("long").alias("max_len"))
+    topic = F.regexp_replace("text", "[^A-Za-z .,]", "")
+    got = blueprint.checked(items.select("item_id", F.replace("template", F.lit("@"), topic).alias("spec")), "item_id", profiles=PROFILES)
+    return got.select("item_id", "problem", F.array_join(F.json_object_keys(F.get_json_object("translated", "$.extraction.fields")), ",").alias("fields"), fmt.at_path(F.col("translated"), "stop_conditions.priority_strategy").alias("priority"), fmt.at_path(F.col("translated"), "target_topic").alias("topic"), F.get_json_object("translated", "$.extraction.fields.f.transform[0].max_len").cast("long").alias("max_len"))
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
@@ -234,7 +237,7 @@ ORACLE_SQL = {
     "crawl_ids": "SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%d_%H:%M:%S') AS crawl_id FROM events",
     "dotted_paths": "SELECT event_id, props->>'$.k' AS k, NULL::VARCHAR AS none, NULL::VARCHAR AS broken FROM events",
     "json_lines": "SELECT event_id, unnest([1, 3, 4, 5])::BIGINT AS line_no, unnest([true, false, true, true]) AS ok FROM events WHERE event_id % 3 < 2",
-    "spec_checks": f"SELECT item_id, p.problem, CASE WHEN p.problem IS NULL THEN 'balanced' END AS priority, CASE WHEN p.problem IS NULL THEN replace(replace(text, chr(34), ''), chr(92), '') END AS topic, CASE WHEN p.problem IS NULL THEN 300 END::BIGINT AS max_len FROM benchmark JOIN (VALUES {', '.join('(%d, %s)' % (k, 'NULL::VARCHAR' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)) for k, (_, _, x) in enumerate(SPEC_CASES))}) p(k, problem) ON item_id % {len(SPEC_CASES)} = p.k",
+    "spec_checks": f"SELECT item_id, p.problem, CASE WHEN p.problem IS NULL THEN 'balanced' END AS priority, CASE WHEN p.problem IS NULL THEN regexp_replace(text, '[^A-Za-z .,]', '', 'g') END AS topic, CASE WHEN p.k = 0 THEN 300 END::BIGINT AS max_len, CASE WHEN p.problem IS NULL THEN CASE p.k WHEN 0 THEN 'f' ELSE 't' END END AS fields FROM benchmark JOIN (VALUES {', '.join('(%d, %s)' % (k, 'NULL::VARCHAR' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)) for k, (_, _, x) in enumerate(SPEC_CASES))}) p(k, problem) ON item_id % {len(SPEC_CASES)} = p.k",
     "build_prompt": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
       SELECT conv_id, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' AS prompt FROM l GROUP BY conv_id""",
 }
