@@ -4,11 +4,13 @@ Test adapter: user_id is the node; signup adds it, view enqueues, click starts,
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import json
+
 from pyspark.sql import functions as F
 
 from loomwork.operators import export, graph, lifecycle, reports, telemetry
 from loomwork.plans.crawl import crawl
+from loomwork.plans.scoring import judged
 from loomwork.plans.store import shared_dir
 from loomwork.plans.tables import r6, t
 from loomwork.streaming import events as S
@@ -211,12 +213,28 @@ def q_crawl_loop(spark, sf_dir):
     """Test adapter: a link leads to the page whose number is its md5 modulo the number of pages."""
     pages = t(spark, sf_dir, "pages")
     n = pages.count()
-    numbered = pages.withColumn("k", F.row_number().over(Window.orderBy("page_id")) - 1)
-    named = numbered.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
+    named = graph.in_sequence(pages, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
     route = lambda url: F.concat(F.lit("p"), F.pmod(F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("string"))
     return crawl(named.where("url in ('p0', 'p1')").select("url"), named, 60, 6, 10, lambda: F.col("depth") + F.length("anchor") / 100.0, route)
 
 
+def _client(prompt):
+    """Test adapter of a model: a link's score is the length of its anchor, times ten; it forgets links that end in 7."""
+    links = json.loads(prompt.split("CANDIDATES:\n")[1].split("\n\n")[0])
+    return json.dumps({"results": [{"url": x["url"], "score": 10 * len(x["anchor"]), "relevance_type": "direct", "expansions": [x["anchor"]]} for x in links if not x["url"].endswith("7")]})
+
+
+def q_crawl_cascade(spark, sf_dir):
+    """The crawl with the whole cascade in each wave; adapters of q_crawl_loop, a link's first score from its url's md5."""
+    pages = t(spark, sf_dir, "pages")
+    n = pages.count()
+    named = graph.in_sequence(pages, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
+    part = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
+    route = lambda url: F.concat(F.lit("p"), F.pmod(part(url), F.lit(n)).cast("string"))
+    judge = lambda rows: judged(rows, F.pmod(part(F.col("url")), F.lit(100)) / 100, 0.3, 0.7, _client, F.lit("health"), low_share=0.5, high_share=0.5, random_share=0.5)
+    return crawl(named.where("url in ('p0', 'p1')").select("url"), named, 60, 6, 10, lambda: 100.0 - F.coalesce("score", F.lit(0)) + F.col("depth"), route, judge=judge)
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 _E = """e AS (SELECT event_id AS seq, ts, user_id AS node_id, event_type, value, CASE event_type WHEN 'view' THEN 'enqueued' WHEN 'click' THEN 'started' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS phase,
   CASE event_type WHEN 'signup' THEN 'CREATED' WHEN 'view' THEN 'FETCHED' WHEN 'click' THEN 'FILTERED' WHEN 'purchase' THEN 'SCORED' WHEN 'error' THEN 'EXPANDED' END AS state, 'stage' || (user_id % 4) AS stage FROM events)"""

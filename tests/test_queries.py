@@ -1,6 +1,8 @@
 """Every registered query against its SQL, over the driver's small tables."""
 
+import hashlib
 import os
+import re
 
 import duckdb
 import pytest
@@ -34,17 +36,13 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_but_the_loop_has_sql():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"crawl_loop"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"crawl_loop", "crawl_cascade"}
 
 
-def test_crawl_loop(spark):
-    """The whole table of nodes against a crawl in plain Python."""
-    import hashlib
-    import re
-
+def plain_crawl(spark, judge, priority):
+    """(node_id, url, parent_id, depth, priority, wave) of a crawl in plain Python."""
     pages = {f"p{k}": r.html for k, r in enumerate(spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").collect())}
     links = {u: [(pos, href, text) for pos, (href, text) in enumerate(re.findall(r'<a href="([^"]*)">([^<]*)</a>', h))] for u, h in pages.items()}
-    route = lambda url: f"p{int(hashlib.md5(url.encode()).hexdigest()[:8], 16) % len(pages)}"
     nodes = [(0, "p0", None, 0, 0.01, 0), (1, "p1", None, 0, 0.01, 0)]
     visited, wave = set(), 0
     while len(nodes) < 60 and max(n[3] for n in nodes) < 6:
@@ -57,13 +55,51 @@ def test_crawl_loop(spark):
         for n in front:
             for pos, href, text in links[n[1]]:
                 # The page's own address is its name here, so that relative links keep their path.
-                url = route(href)
+                url = f"p{part(href) % len(pages)}"
                 if url not in known:
                     found[url] = min(found.get(url, (n[0], pos, n[3], text)), (n[0], pos, n[3], text))
-        for k, (url, (parent, pos, depth, text)) in enumerate(sorted(found.items(), key=lambda x: (x[1][0], x[1][1], x[0])), len(nodes)):
-            nodes.append((k, url, parent, depth + 1, depth + 1 + len(text) / 100.0, wave))
-    got = sorted((r.node_id, r.url, r.parent_id, r.depth, round(r.priority, 6), r.wave) for r in QUERIES["crawl_loop"](spark, SF).collect())
-    assert got == [(*n[:4], round(n[4], 6), n[5]) for n in nodes]
+        scores = judge(found)
+        kept = sorted((u for u in found if u in scores), key=lambda u: (found[u][0], found[u][1], u))
+        nodes += [(len(nodes) + k, u, found[u][0], found[u][2] + 1, round(priority(scores[u], found[u][2] + 1, found[u][3]), 6), wave) for k, u in enumerate(kept)]
+    return nodes
+
+
+def part(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
+def crawled(spark, name):
+    return sorted((r.node_id, r.url, r.parent_id, r.depth, round(r.priority, 6), r.wave) for r in QUERIES[name](spark, SF).collect())
+
+
+def test_crawl_loop(spark):
+    """The whole table of nodes against a crawl in plain Python."""
+    assert crawled(spark, "crawl_loop") == plain_crawl(spark, lambda found: dict.fromkeys(found), lambda _, depth, text: depth + len(text) / 100.0)
+
+
+def test_crawl_cascade(spark):
+    """The same with the cascade: buckets, budgets, choices by md5, the model's answers, and what is trusted."""
+
+    def judge(found):
+        out = {}
+        for parent in {f[0] for f in found.values()}:
+            groups = {"low": [], "mid": [], "high": []}
+            for u in (u for u, f in found.items() if f[0] == parent):
+                s = part(u) % 100 / 100
+                groups["low" if s < 0.3 else "high" if s > 0.7 else "mid"].append((s, u))
+            dice = lambda x: (hashlib.md5(f"seed{x[1]}".encode()).hexdigest(), x[1])
+            low = sorted(groups["low"], key=dice)[: int(len(groups["low"]) * 0.5)]
+            budget = int(len(groups["high"]) * 0.5)
+            chance = sorted(groups["high"], key=dice)[: int(budget * 0.5)]
+            rest = sorted((x for x in groups["high"] if x not in chance), key=lambda x: (-x[0], x[1]))
+            best = rest[: budget - int(budget * 0.5)]
+            for _, u in low + groups["mid"] + chance + best:
+                out[u] = 0 if u.endswith("7") else min(100, 10 * len(found[u][3]))
+            for s, u in rest[len(best) :]:
+                out[u] = int(s * 100 + 0.5)
+        return out
+
+    assert crawled(spark, "crawl_cascade") == plain_crawl(spark, judge, lambda score, depth, _: 100.0 - score + depth)
 
 
 def test_entry(spark):
