@@ -229,12 +229,12 @@ def _ordered(batches, window: int, gram: int):
 def repeated_places(texts: DataFrame, window: int, gram: int, heavy: int) -> DataFrame:
     """(row, lo, hi): first and last start of adjoining repeated windows."""
     all_marks = materialise(anchors(texts, window, gram))
-    # Written, so that the join below is one of two plain shuffles and a hot anchor's task can be split.
+    # Both lists of anchors are written, so that the joins are of two plain shuffles and a hot anchor's task can be split.
     often = materialise(all_marks.groupBy("anchor").count().where("count > 1").select("anchor"))
     marks = materialise(all_marks.join(often, "anchor", "left_semi"))
     discard(all_marks, often)
     by_run = materialise(marks.groupBy(*RUN).agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last", "off")).alias("at")))
-    n_runs = by_run.groupBy("anchor").agg(F.count("*").alias("n_runs")).where("n_runs > 1")
+    n_runs = materialise(by_run.groupBy("anchor").agg(F.count("*").alias("n_runs")).where("n_runs > 1"))
     mixed = materialise(by_run.join(n_runs, "anchor").select(*RUN, "n_runs", "at.*"))
 
     def cut(batch: pa.RecordBatch) -> dict:
@@ -269,7 +269,7 @@ def repeated_places(texts: DataFrame, window: int, gram: int, heavy: int) -> Dat
     spread_out = windows.join(again, key, "left_semi").select(*RUN, "lo", F.col("lo").alias("hi"))
     whole = by_run.where("copies > 1").select(*RUN, F.lit(0).alias("lo"), (F.col("at.last") - F.col("at.first")).alias("hi"))
     found = materialise(whole.unionByName(light).unionByName(spread_out))
-    discard(by_run, mixed, pieces)
+    discard(by_run, n_runs, mixed, pieces)
     return marks.join(found, RUN).select("row", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
