@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import format as fmt
 from loomwork.operators import answers, cascade, dedup, export, reports, space, telemetry
-from loomwork.operators.telemetry import STATES
 from loomwork.plans.queries_events import _E, _events
 from loomwork.plans.store import shared_dir
 from loomwork.plans.tables import r6, t
@@ -200,7 +199,6 @@ def q_stream_stop(spark, sf_dir):
 
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
-_STATES = ", ".join(f"'{s}'" for s in STATES)
 ORACLE_SQL = {
     "formats": """SELECT event_id, printf('%.1f%%', floor(value) / 1000 * 100) AS share, CASE WHEN length(props) > 5 THEN left(props, 5) || '…' ELSE props END AS short,
       CASE WHEN event_id * 3 < 60 THEN round(event_id * 3.0::DOUBLE)::BIGINT || 's ago' WHEN event_id * 3 < 3600 THEN round(event_id * 3.0::DOUBLE / 60)::BIGINT || 'm ago' ELSE round(event_id * 3.0::DOUBLE / 3600)::BIGINT || 'h ago' END AS age,
