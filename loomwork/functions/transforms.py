@@ -52,8 +52,14 @@ def _deduplicate(c, is_list, options):
     """The first of elements that are equal without case and outer blanks; other values pass."""
     if not is_list:
         return c, False
-    norm = F.transform(c, lambda x: F.lower(strip(x)))
-    return F.filter(c, lambda x, i: F.array_position(norm, F.lower(strip(x))) == i + 1), True
+    marked = F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x, i: F.struct(F.lower(strip(x)).alias("n"), i.alias("i"), x.alias("x")))
+
+    def firsts(z):
+        """Of members sorted by (n, i), the first of each n, back in their order; z is sorted once."""
+        new = F.filter(z, lambda s, k: (k == 0) | (s.n != F.get(z, k - 1).n))
+        return F.transform(F.array_sort(F.transform(new, lambda s: F.struct(s.i.alias("i"), s.x.alias("x")))), lambda s: s.x)
+
+    return F.element_at(F.transform(F.array(F.array_sort(marked)), firsts), 1), True
 
 
 register_transform("regex", _regex)
