@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.llm import chat, decontaminate, language, lmscore, pieces, pii, quality, repeats, simhash, urls
+from loomwork.llm import alignment, chat, decontaminate, language, lmscore, minhash, pieces, pii, quality, repeats, simhash, urls, variants
 from loomwork.llm.common import table
 
 
@@ -59,7 +59,19 @@ def op10_language(spark, sf_dir):
     return language.predict(docs, language.train(docs))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_urls": op5_urls, "op6_pii": op6_pii, "op7_lmscore": op7_lmscore, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language}
+def op11_variants(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark, sf_dir):
+    return minhash.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_decontaminate": op4_decontaminate, "op5_urls": op5_urls, "op6_pii": op6_pii, "op7_lmscore": op7_lmscore, "op8_repeats": op8_repeats, "op9_pieces": op9_pieces, "op10_language": op10_language, "op11_variants": op11_variants, "op12_minhash": op12_minhash, "op13_alignment": op13_alignment}
 #: The template's arithmetic, as the operator's module states it: head, escaped text, end mark and line feed.
 OP3_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
