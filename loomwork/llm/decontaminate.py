@@ -1,102 +1,74 @@
-"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman scores them.
-
-Words are runs of letters and digits, lower-cased A-Z. Every three-word gram of an item is a seed, however
-often the corpus holds it. Hits of an item's seeds that lie together mark a passage: MIN_SEEDS of them, or
-one where the item has no more. Its words are aligned with the item's words, and the best local alignment's
-share of a perfect one is the score. A passage that shares too few words with the item to reach the wanted
-score, whatever their order, isn't aligned, which changes no result; that keeps common phrases cheap.
-
-Null and empty texts match nothing, nor do items of fewer than three words. Up to MAX_SENT seeds, the items
-are sent to the tasks and each text is read once; beyond, rows are numbered in a written table and their grams
-shuffled. leaks() gives one row for each doc_id and item, so rows with one doc_id, or with none, are reported
-together; clean() judges each row alone, those without doc_id too. Items with equal item_id stay separate by
-text and the best counts. Further columns are ignored by leaks() and kept by clean().
+"""Benchmark decontamination: rare gapped pairs of words join passages to test items, Smith-Waterman scores them.
+
+Words are runs of letters and digits, lower-cased A-Z. An item leaks if a local alignment of its words with a text's
+reaches leaked_at of a perfect one. Such an alignment of an item of n words (share L) has at least k = L n - 1 pairs of
+matches that follow each other with at most one error between them: a replaced word or one word more on either side.
+Each is a gapped pair, two words of the item one or two places apart that are one or two places apart in the text too. So
+
+* of the n - 1 places of an item at which pairs begin, the k - 1 with the most frequent pairs in the corpus can be left
+  out: one of the others, the rare seeds, still hits every leak; pairs are counted over all texts;
+* around a rare hit a stretch of 2 n words must hold k places where a pair of the item begins, or it isn't aligned.
+
+Neither loses a leak, whatever is edited, if L n is over one, as it is for the items that are looked for.
+
+Null and empty texts match nothing, nor do items of fewer than three words. Up to MAX_SENT words of benchmark, the items
+are sent to the tasks, which read each text once to count and once to score; beyond, pairs are shuffled. leaks() gives
+one row for each doc_id and item, so rows with one doc_id, or with none, are reported together; clean() judges each row
+alone, those without doc_id too. Items with equal item_id stay separate by text and the best counts. Empty tables give
+empty results or, in clean(), all rows. Further columns are ignored by leaks() and kept by clean(). A very long item
+costs its length times the length of the stretches that are aligned, and no more memory than both.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import arrow_rows, discard, fresh, materialise, mix64, numbered, slices
 from loomwork.llm.repeats import only_rows
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
-SEED_WORDS = 3
-#: Seeds that a passage must have before it is aligned, if its item has as many.
-MIN_SEEDS = 2
-#: Scores from which an item counts as leaked. MATCH, MISMATCH and GAP weigh an alignment.
+LEAST_WORDS = 3
+#: Scores from which an item counts as leaked. MATCH, MISMATCH and GAP weigh an alignment; the module's bound is for these.
 LEAKED_AT = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Seeds up to this number are sent to the tasks with their items; beyond, all grams of the corpus are shuffled.
-MAX_SENT = 500_000
+#: Words of benchmark up to which the items are sent to the tasks; beyond, pairs of the corpus are shuffled.
+MAX_SENT = 250_000
 #: Alignments that a task remembers, so that copies of a passage are aligned once.
 REMEMBERED = 20_000
+#: Slots of the filters that pass pairs which may be seeds.
+FILTER_BITS = 22
 
 
 def words_of(text: str | None) -> list[bytes]:
     return WORDS.findall((text or "").encode().lower())
 
 
-def gram_keys(hashes: np.ndarray) -> np.ndarray:
-    """A hash of each SEED_WORDS words in a row, from hashes of the words."""
-    n = len(hashes) - SEED_WORDS + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    key = hashes[:n]
-    for k in range(1, SEED_WORDS):
-        key = mix64(key * np.uint64(3) + hashes[k : k + n])
-    return key.view(np.int64)
-
-
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) or 1
 
 
-def seeds_of(items: DataFrame) -> DataFrame:
-    """items(item_id, item_text) -> (seed, item_id, item_text, item_pos)."""
-    schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("item_text", pa.string()), ("item_pos", pa.int32())])
+def needed(n: int, leaked_at: float) -> int:
+    """Gapped pairs that a leak of an item of n words has at least."""
+    return max(1, math.ceil(round(leaked_at * n - 1, 9)))
 
-    def of(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in schema.names}
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("item_text").to_pylist(), strict=True):
-            keys = gram_keys(np.array([word_hash(w) for w in words_of(text)], np.uint64)).tolist()
-            out["seed"] += keys
-            out["item_id"] += [item] * len(keys)
-            out["item_text"] += [text] * len(keys)
-            out["item_pos"] += range(len(keys))
-        return out
-
-    return items.mapInArrow(arrow_rows(schema, of), "seed long, item_id long, item_text string, item_pos int")
 
+def _gapped(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, first and second words of the pairs one and two places apart."""
+    n = len(ids)
+    at = np.concatenate((np.arange(max(n - 1, 0)), np.arange(max(n - 2, 0))))
+    return at, ids[at], np.concatenate((ids[1:], ids[2:]))
 
-HITS = pa.schema([("row", pa.int64()), ("seed", pa.int64()), ("pos", pa.int32())])
 
-
-def hits_of(texts: DataFrame) -> DataFrame:
-    """(row, seed, pos) of the grams of all texts."""
-
-    def of(batch):
-        rows, keys, places = [], [], []
-        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            words = words_of(text)
-            key = gram_keys(np.fromiter(map(word_hash, words), np.uint64, len(words)))
-            rows.append(np.full(len(key), row))
-            keys.append(key)
-            places.append(np.arange(len(key), dtype=np.int32))
-        none = [np.zeros(0, np.int64)]
-        return {k: np.concatenate(v or none) for k, v in zip(HITS.names, (rows, keys, places), strict=True)}
-
-    def run(batches):
-        for batch in batches:
-            yield from arrow_rows(HITS, of)(slices(batch, 512))
-
-    return texts.select("row", "text").mapInArrow(run, "row long, seed long, pos int")
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of two words from theirs."""
+    return mix64(first.astype(np.uint64) * np.uint64(3) + mix64(second.astype(np.uint64)))
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -114,16 +86,45 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def passages(places: list[int], reach: int, size: int, least: int = MIN_SEEDS) -> list[tuple[int, int]]:
-    """Word ranges around hits that lie within reach of each other, if there are at least so many of them."""
-    out, begin, last, n = [], places[0], places[0], 0
-    for p in [*places, 2**62]:
-        if p - last > reach:
-            if n >= least:
-                out.append((max(0, begin - reach), min(size, last + SEED_WORDS + reach)))
-            begin, n = p, 0
-        last, n = p, n + 1
-    return out
+class Item:
+    """An item's words, its pairs, and how many of them a leak has."""
+
+    def __init__(self, words: np.ndarray, leaked_at: float):
+        self.words, self.need = words, needed(len(words), leaked_at)
+        self.own, place = np.unique(words, return_inverse=True)
+        _, a, b = _gapped(place)
+        self.pairs = np.unique(a * (len(self.own) + 1) + b)
+
+    def stretches(self, places: list[int], ids: np.ndarray) -> list[tuple[int, int]]:
+        """Ranges of a text that may hold the item, out of those around rare hits."""
+        n, out = len(self.words), []
+        begin, last = places[0], places[0]
+        ranges = []
+        for p in [*places[1:], 2**62]:
+            if p - last > 4 * n:
+                ranges.append((max(0, begin - 2 * n), min(len(ids), last + 2 * n + 2)))
+                begin = p
+            last = p
+        for lo, hi in ranges:
+            at = self.as_own(ids[lo:hi])
+            place, a, b = _gapped(at)
+            code = a * (len(self.own) + 1) + b
+            slot = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            hit = np.zeros(len(at) + 1, np.int64)
+            hit[1:][place[self.pairs[slot] == code]] = 1
+            total = np.cumsum(hit)
+            size = min(2 * n, len(at))
+            full = np.flatnonzero(total[size:] - total[: len(total) - size] >= self.need)
+            if len(full):
+                cuts = np.flatnonzero(np.diff(full) > size)
+                out += [(lo + int(full[i]), min(hi, lo + int(full[j]) + size + 2)) for i, j in zip([0, *(cuts + 1)], [*cuts, -1], strict=True)]
+        return out
+
+    def as_own(self, ids: np.ndarray) -> np.ndarray:
+        """Words as places among the item's distinct words; others are one more."""
+        at = np.minimum(np.searchsorted(self.own, ids), len(self.own) - 1)
+        at[self.own[at] != ids] = len(self.own)
+        return at
 
 
 class Aligner:
@@ -132,21 +133,19 @@ class Aligner:
     def __init__(self, leaked_at: float):
         self.leaked_at, self.known = leaked_at, {}
 
-    def best(self, key, item: np.ndarray, places: list[int], ids: np.ndarray) -> tuple[float, int] | None:
-        """Share of a perfect alignment and where it ends, if the item leaks; ids are words, as item's or -1."""
-        best, end, n = 0, 0, len(item)
-        own, count = np.unique(item, return_counts=True)
-        for lo, hi in passages(places, n, len(ids), min(MIN_SEEDS, n - SEED_WORDS + 1)):
-            part = ids[lo:hi]
-            at = np.minimum(np.searchsorted(own, part), len(own) - 1)
-            at[own[at] != part] = len(own)
-            if np.minimum(np.bincount(at, minlength=len(own) + 1)[:-1], count).sum() < self.leaked_at * n:
+    def best(self, key, item: Item, places: list[int], ids: np.ndarray) -> tuple[float, int] | None:
+        """Share of a perfect alignment and where it ends, if the item leaks; ids are words, as item's or others."""
+        best, end, n = 0, 0, len(item.words)
+        count = np.bincount(item.as_own(item.words), minlength=len(item.own))
+        for lo, hi in item.stretches(places, ids):
+            at = item.as_own(ids[lo:hi])
+            if np.minimum(np.bincount(at, minlength=len(item.own) + 1)[:-1], count).sum() < self.leaked_at * n:
                 continue
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             passage = (key, at.astype(np.int32).tobytes())
             if passage not in self.known:
-                self.known[passage] = align(item, part)
+                self.known[passage] = align(item.words, ids[lo:hi])
             score, stop = self.known[passage]
             if score > best:
                 best, end = score, lo + stop
@@ -155,36 +154,54 @@ class Aligner:
 
 
 class Index:
-    """The items' words, seeds and the items of each seed."""
+    """The items, their words by number, and the codes of their pairs: which items have them, and which are rare."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], leaked_at: float):
         self.word: dict[bytes, int] = {}
-        self.items = [(item, np.array([self.word.setdefault(w, len(self.word)) for w in words_of(text)], np.int64)) for item, text in items]
-        self.items = [(item, words) for item, words in self.items if len(words) >= SEED_WORDS]
-        self.hashes = np.fromiter(map(word_hash, self.word), np.uint64, len(self.word))
-        keys = [np.unique(gram_keys(self.hashes[words])) for _, words in self.items]
-        seed, owner = np.concatenate(keys or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        order = np.argsort(seed, kind="stable")
-        self.owner = owner[order]
-        self.seeds, self.first = np.unique(seed[order], return_index=True)
-        self.until = np.append(self.first[1:], len(self.owner))
-
-    def read(self, text: str | None) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """A text's words as ids, -1 for words of no item, and the places of each item's seeds."""
+        rows = [(item, np.array([self.word.setdefault(w, len(self.word)) for w in words_of(text)], np.int64)) for item, text in items]
+        self.items = [(item, Item(words, leaked_at)) for item, words in rows if len(words) >= LEAST_WORDS]
+        self.base = max(1, len(self.word))
+        pairs = [self._pairs(item.words) for _, item in self.items]
+        self.codes, slot = np.unique(np.concatenate([c for _, c in pairs] or [np.zeros(0, np.int64)]), return_inverse=True)
+        self.slots = np.split(slot, np.cumsum([len(c) for _, c in pairs])[:-1]) if pairs else []
+        self.places = [p for p, _ in pairs]
+        self.passes = np.zeros(1 << FILTER_BITS, bool)
+        self.passes[self._filter(self.codes)] = True
+
+    def _pairs(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, a, b = _gapped(ids)
+        ok = (a >= 0) & (b >= 0)
+        return at[ok], a[ok] * self.base + b[ok]
+
+    @staticmethod
+    def _filter(codes: np.ndarray) -> np.ndarray:
+        return (codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A text's words as numbers, -1 for words of no item; places and slots of the pairs that an item has."""
         words = words_of(text)
-        ids = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
-        places: dict[int, list[int]] = {}
-        if len(ids) < SEED_WORDS or not len(self.seeds):
-            return ids, places
-        ok = ids >= 0
-        at = np.flatnonzero(ok[:-2] & ok[1:-1] & ok[2:])
-        key = gram_keys(self.hashes[ids])[at]
-        slot = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
-        found = self.seeds[slot] == key
-        for p, k in zip(at[found].tolist(), slot[found].tolist(), strict=True):
-            for owner in self.owner[self.first[k] : self.until[k]].tolist():
-                places.setdefault(owner, []).append(p)
-        return ids, places
+        get = self.word.get
+        ids = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        place, code = self._pairs(ids)
+        maybe = self.passes[self._filter(code)]
+        place, code = place[maybe], code[maybe]
+        slot = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        found = self.codes[slot] == code if len(self.codes) else np.zeros(len(slot), bool)
+        return ids, place[found], slot[found]
+
+    def rare(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each code the items for which it is a seed: bounds by slot, and the items' numbers. counts: of the corpus, by slot."""
+        slots, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (_, item) in enumerate(self.items):
+            common = np.bincount(self.places[k], counts[self.slots[k]], len(item.words) - 1)
+            keep = np.ones(len(common), bool)
+            keep[np.argsort(-common, kind="stable")[: item.need - 1]] = False
+            own = np.unique(self.slots[k][keep[self.places[k]]])
+            slots.append(own)
+            owners.append(np.full(len(own), k))
+        slot, owner = np.concatenate(slots), np.concatenate(owners)
+        order = np.argsort(slot, kind="stable")
+        return np.searchsorted(slot[order], np.arange(len(self.codes) + 1)), owner[order]
 
 
 LEAKS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64()), ("n_item_words", pa.int64())])
@@ -192,47 +209,86 @@ LEAK_ROWS = "doc_id long, item_id long, score double, end_word long, n_item_word
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """(seed, item_id, item_text, item_pos) of all items, in a written table."""
+    """(item, item_id, item_text, n_words) of the items of at least LEAST_WORDS words, numbered, in a written table."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).distinct()
-    return materialise(seeds_of(items))
+    schema = pa.schema([("item_id", pa.int64()), ("item_text", pa.string()), ("n_words", pa.int64())])
+
+    def of(batch: pa.RecordBatch) -> dict:
+        return {"item_id": batch.column("item_id"), "item_text": batch.column("item_text"), "n_words": [len(words_of(t)) for t in batch.column("item_text").to_pylist()]}
+
+    return numbered(items.mapInArrow(arrow_rows(schema, of), "item_id long, item_text string, n_words long").where(F.col("n_words") >= LEAST_WORDS), "item")
+
+
+def _few(items: DataFrame) -> bool:
+    return (items.agg(F.sum("n_words")).first()[0] or 0) <= MAX_SENT
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -> DataFrame:
     """doc_id, item_id, score, end_word: each pair of a document and an item that it holds, by the best passage."""
-    seeds = items_of(benchmark)
+    items = items_of(benchmark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = _sent(texts, seeds, leaked_at) if seeds.count() <= MAX_SENT else _shuffled(numbered(texts), seeds, leaked_at)
+    if _few(items):
+        scored = _sent(texts, items, leaked_at)
+        discard(items)
+    else:
+        scored = _shuffled(numbered(texts), items, leaked_at)
     best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "end_word", "n_item_words")).alias("b"))
     return best.select("doc_id", "item_id", "b.score", "b.end_word", "b.n_item_words")
 
 
-def _held(seeds: DataFrame):
-    """The items as a broadcast: at most MAX_SENT seeds with their items' words."""
-    items = seeds.select("item_id", "item_text").distinct().collect()
-    return seeds.sparkSession.sparkContext.broadcast(Index(sorted((r.item_id, r.item_text) for r in items)))
+def _held(texts: DataFrame, items: DataFrame, leaked_at: float):
+    """The items, at most MAX_SENT words, and their rare seeds as a broadcast; pairs are counted over all texts."""
+    sc = texts.sparkSession.sparkContext
+    index = Index(sorted((r.item_id, r.item_text) for r in items.select("item_id", "item_text").collect()), leaked_at)
+    held = sc.broadcast(index)
+    schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
 
+    def count(batches):
+        own = held.value
+        n = np.zeros(len(own.codes), np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                slot = own.read(text)[2]
+                if len(slot):
+                    n += np.bincount(slot, minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], schema=schema)
 
-def _found(index: Index, aligner: Aligner, text: str | None):
-    """(item_id, words, (score, end)) of each item that a text holds."""
-    ids, found = index.read(text)
-    for k, places in found.items():
-        item, words = index.items[k]
-        if got := aligner.best(k, words, places, ids):
-            yield item, words, got
+    counts = np.zeros(len(index.codes))
+    if len(counts):
+        got = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most two rows a word of benchmark
+        counts[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return sc.broadcast((index, *index.rare(counts)))
 
 
-def _sent(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
-    """Scores of all texts, read once, by items that the tasks hold."""
-    held = _held(seeds)
+def _found(held: tuple, aligner: Aligner, text: str | None):
+    """(item_id, words, (score, end)) of each item that a text holds."""
+    index, bounds, owners = held
+    ids, place, slot = index.read(text)
+    first, n = bounds[slot], bounds[slot + 1] - bounds[slot]
+    place, at = np.repeat(place, n), np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(n)], n) + np.arange(n.sum())
+    owner = owners[at]
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order]
+    cuts = np.flatnonzero(np.diff(owner)) + 1
+    for k, places in zip(owner[np.concatenate(([0], cuts))].tolist() if len(owner) else [], np.split(place, cuts), strict=False):
+        item_id, item = index.items[k]
+        if got := aligner.best(k, item, places.tolist(), ids):
+            yield item_id, len(item.words), got
+
+
+def _sent(texts: DataFrame, items: DataFrame, leaked_at: float) -> DataFrame:
+    """Scores of all texts by items that the tasks hold."""
+    held = _held(texts, items, leaked_at)
 
     def run(batches):
-        index, aligner = held.value, Aligner(leaked_at)
+        aligner = Aligner(leaked_at)
 
         def of(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in LEAKS.names}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for item, words, got in _found(index, aligner, text):
-                    for name, v in zip(LEAKS.names, (doc, item, *got, len(words)), strict=True):
+                for item, n, got in _found(held.value, aligner, text):
+                    for name, v in zip(LEAKS.names, (doc, item, *got, n), strict=True):
                         out[name].append(v)
             return out
 
@@ -242,55 +298,88 @@ def _sent(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
     return texts.mapInArrow(run, LEAK_ROWS)
 
 
-ROW_LEAKS = LEAKS.insert(0, pa.field("row", pa.int64()))
+PAIRS = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("pos", pa.int32())])
 
 
-def _shuffled(texts: DataFrame, seeds: DataFrame, leaked_at: float) -> DataFrame:
-    """Scores of texts(row, doc_id, text) that hold enough seeds of an item, found by a join of grams; with their row."""
-    hits = hits_of(texts).join(seeds.select("seed").distinct(), "seed", "left_semi").select(*HITS.names)
-    owners = seeds.groupBy("item_id", "item_text").agg(F.count("*").alias("n_grams"))
-    near = hits.join(seeds.select("seed", "item_id", "item_text").distinct(), "seed").groupBy("row", "item_id", "item_text").agg(F.sort_array(F.collect_set("pos")).alias("places"))
-    near = near.join(owners, ["item_id", "item_text"]).where(F.size("places") >= F.least(F.lit(MIN_SEEDS), "n_grams")).drop("n_grams")
-    near = materialise(near)
-    wanted = near.groupBy("row").agg(F.collect_list(F.struct("item_id", "item_text", "places")).alias("items"))
+def pairs_of(texts: DataFrame, row: str, text: str, passes=None) -> DataFrame:
+    """(row, pair, pos) of the gapped pairs of all texts, as far as the filter passes them."""
+
+    def of(batch):
+        out: list[list] = [[], [], []]
+        for r, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = words_of(t)
+            place, a, b = _gapped(np.fromiter(map(word_hash, words), np.uint64, len(words)))
+            key = pair_keys(a, b)
+            ok = passes.value[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] if passes is not None else slice(None)
+            place, key = place[ok], key[ok]
+            for column, values in zip(out, (np.full(len(key), r), key.view(np.int64), place.astype(np.int32)), strict=True):
+                column.append(values)
+        return {k: np.concatenate(v or [np.zeros(0, np.int64)]) for k, v in zip(PAIRS.names, out, strict=True)}
 
     def run(batches):
-        aligner = Aligner(leaked_at)
+        for batch in batches:
+            yield from arrow_rows(PAIRS, of)(slices(batch, 64))
 
-        def of(batch: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {k: [] for k in ROW_LEAKS.names}
-            for row, doc, text, found in zip(*(batch.column(k).to_pylist() for k in ("row", "doc_id", "text", "items")), strict=True):
-                words = words_of(text)
-                for one in found:
-                    own: dict[bytes, int] = {}
-                    item = np.array([own.setdefault(w, len(own)) for w in words_of(one["item_text"])], np.int64)
-                    ids = np.fromiter((own.get(w, -1) for w in words), np.int64, len(words))
-                    if got := aligner.best(one["item_text"], item, one["places"], ids):
-                        for k, v in zip(ROW_LEAKS.names, (row, doc, one["item_id"], *got, len(item)), strict=True):
-                            out[k].append(v)
-            return out
+    return texts.select(row, text).mapInArrow(run, "row long, pair long, pos int")
 
-        for batch in batches:
-            yield from arrow_rows(ROW_LEAKS, of)(slices(batch, 512))
 
-    return only_rows(texts, near.select("row")).join(wanted, "row").mapInArrow(run, f"row long, {LEAK_ROWS}")
+def _filter(seeds: DataFrame):
+    """A filter of 2^FILTER_BITS slots for seeds(pair), whatever their number."""
+    slot = seeds.select(F.shiftrightunsigned("pair", 64 - FILTER_BITS).alias("slot"))
+    words = slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return seeds.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+
+
+ROW_LEAKS = LEAKS.insert(0, pa.field("row", pa.int64()))
+
+
+def _shuffled(texts: DataFrame, items: DataFrame, leaked_at: float) -> DataFrame:
+    """Scores of texts(row, doc_id, text) that hold a rare seed of an item, found by a join of pairs; with their row."""
+    own = materialise(pairs_of(items, "item", "item_text").withColumnRenamed("row", "item"))
+    counted = pairs_of(texts, "row", "text", _filter(own)).groupBy("pair").count()
+    common = own.join(counted, "pair", "left").groupBy("item", "pos").agg(F.sum(F.coalesce("count", F.lit(0))).alias("n"))
+    need = F.greatest(F.lit(1), F.ceil(F.round(F.lit(leaked_at) * F.col("n_words") - 1, 9)))
+    ranked = common.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("n"), "pos"))).join(items.select("item", need.alias("need")), "item")
+    rare = materialise(own.join(ranked.where("rank >= need").select("item", "pos"), ["item", "pos"]).select("pair", "item").distinct())
+    hits = pairs_of(texts, "row", "text", _filter(rare)).join(rare, "pair")
+    near = materialise(hits.groupBy("row", "item").agg(F.sort_array(F.collect_set("pos")).alias("places")))
+    wanted = near.join(items.select("item", "item_id", "item_text"), "item").select(F.col("row").alias("of"), "item_id", "item_text", "places")
+
+    def score(text: pa.Table, found: pa.Table) -> pa.Table:
+        aligner, out = Aligner(leaked_at), {k: [] for k in ROW_LEAKS.names}
+        for row, doc, t in zip(*(text.column(k).to_pylist() for k in ("row", "doc_id", "text")), strict=True):
+            words = words_of(t)
+            for at in range(found.num_rows):
+                item_id, item_text, places = (found.column(k)[at].as_py() for k in ("item_id", "item_text", "places"))
+                known: dict[bytes, int] = {}
+                item = Item(np.array([known.setdefault(w, len(known)) for w in words_of(item_text)], np.int64), leaked_at)
+                ids = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
+                if got := aligner.best(at, item, places, ids):
+                    for k, v in zip(ROW_LEAKS.names, (row, doc, item_id, *got, len(item.words)), strict=True):
+                        out[k].append(v)
+        return pa.table(out, schema=ROW_LEAKS)
+
+    candidates = only_rows(texts, near.select("row"))
+    return candidates.groupBy("row").cogroup(wanted.groupBy("of")).applyInArrow(score, f"row long, {LEAK_ROWS}")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, leaked_at: float = LEAKED_AT) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item; up to MAX_SENT seeds without a shuffle."""
-    seeds = items_of(benchmark)
-    if seeds.count() > MAX_SENT:
+    """The rows of docs, with all their columns, that hold no item; up to MAX_SENT words of benchmark without a shuffle of texts."""
+    items = items_of(benchmark)
+    if not _few(items):
         row = fresh("row", docs)
         rows = numbered(docs, row)
-        leaked = materialise(_shuffled(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), seeds, leaked_at).select(F.col("row").alias(row)).distinct())
+        leaked = materialise(_shuffled(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"), items, leaked_at).select(F.col("row").alias(row)).distinct())
         return rows.join(leaked, row, "left_anti").select(*docs.columns)
-    held = _held(seeds)
-    discard(seeds)
+    held = _held(docs, items, leaked_at)
+    discard(items)
 
     def run(batches):
-        index, aligner = held.value, Aligner(leaked_at)
+        aligner = Aligner(leaked_at)
         for batch in batches:
             for part in slices(batch, 512):
-                yield part.filter(pa.array([next(_found(index, aligner, t), None) is None for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array([next(_found(held.value, aligner, t), None) is None for t in part.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -395,6 +395,76 @@ def test_decontamination_of_copies(spark):
         assert all(r.score == brute_align(item, edited) / 80 for r in got if 1 <= r.doc_id <= 30)
 
 
+def brute_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def brute_leaks(rows, items):
+    """All items aligned with all texts."""
+    import numpy as np
+
+    out = {}
+    for (d, t), (i, x) in itertools.product(rows, items):
+        a, b = brute_words(t), brute_words(x)
+        if len(a) and len(b) > 2:
+            known = {w: k for k, w in enumerate(dict.fromkeys(b))}
+            score = decontaminate.align(np.array([known[w] for w in b]), np.array([known.get(w, -1) for w in a]))[0] / (2 * len(b))
+            if score >= 0.5:
+                out[d, i] = max(out.get((d, i), 0), round(score, 6))
+    return out
+
+
+def edits(rng, item, word):
+    """Copies of an item that align at half of a perfect score or more, and some that don't."""
+    every = lambda k: [w if j % k else [w, word()] for j, w in enumerate(item)]
+    flat = lambda parts: [w for p in parts for w in (p if isinstance(p, list) else [p])]
+    half = len(item) // 2
+    return [
+        flat([w, word()] if j % 2 else w for j, w in enumerate(item)), [word() if j % 3 == 2 else w for j, w in enumerate(item)],
+        item[half:] + item[:half], flat(every(1)), [w for j, w in enumerate(item) if j % 4], [word() if j % 2 else w for j, w in enumerate(item)],
+        [w if rng.random() > 0.25 else word() for w in item], item[: half + 1], flat(every(3)),
+    ]
+
+
+def test_decontamination_finds_edited_copies(spark):
+    """Every text is aligned with every item: words put in after every second word or replaced, halves reordered, words of few kinds."""
+    rng = random.Random(9)
+    for letters, length in (("abcdefghijkl", 5), ("abc", 2)):
+        word = lambda: "".join(rng.choices(letters, k=length))  # noqa: E731, B023
+        items = [[word() for _ in range(n)] for n in (3, 4, 5, 9, 20, 30, 31, 60)]
+        texts = [[*(word() for _ in range(rng.randint(0, 60))), *copy, *(word() for _ in range(rng.randint(0, 60)))] for item in items for copy in edits(rng, item, word)]
+        texts += [edits(rng, items[5], word)[1]] * 31 + [[word() for _ in range(100)] for _ in range(20)]
+        rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+        bench = [(k, " ".join(x)) for k, x in enumerate(items)]
+        want = brute_leaks(rows, bench)
+        assert len(want) > 80
+        for sent in (decontaminate.MAX_SENT, 0):
+            decontaminate.MAX_SENT, old = sent, decontaminate.MAX_SENT
+            got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+            decontaminate.MAX_SENT = old
+            assert {(r.doc_id, r.item_id): r.score for r in got} == want
+
+
+def test_decontamination_against_aligning_all(spark):
+    """The smallest tables: every document with every item."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    want = brute_leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == want and want
+
+
+def test_decontamination_of_a_long_item(spark):
+    rng = random.Random(10)
+    item = [str(rng.randrange(10**6)) for _ in range(20_000)]
+    rows = [(0, " ".join(item[:12_000])), (1, " ".join(item[:5000])), (2, None)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:7]))], "item_id long, text string")
+    for sent in (decontaminate.MAX_SENT, 0):
+        decontaminate.MAX_SENT, old = sent, decontaminate.MAX_SENT
+        got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+        decontaminate.MAX_SENT = old
+        assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (0, 2), (1, 2)}
+
+
 # 5
 
 
