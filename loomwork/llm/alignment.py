@@ -28,10 +28,12 @@ from loomwork.llm.common import discard, materialise, slices
 
 SPACE = "▁"
 CHUNK = re.compile(rf"[\s{SPACE}]+[^\s{SPACE}]*(?:(?![ \n])[\s{SPACE}]+[^\s{SPACE}]*)*")
-#: Characters of a block, chunks that are looked up together, chunks that a worker remembers.
+LOOSE = re.compile(rf"[\s{SPACE}]")
+#: Characters of a block, new chunks that are written into one text, chunks that are looked up together, chunks that a worker remembers.
 BLOCK = 1 << 20
-TOGETHER = 1 << 16
-CACHE = 300_000
+JOINED = 24
+TOGETHER = 1 << 14
+CACHE = 360_000
 STATS = ("doc_id", "n_a", "n_b", "n_groups", "n_links")
 BLOCK_TYPES = {**{c: "array<bigint>" for c in STATS}, "groups_sha256": "array<string>", "codes": "array<int>", "counts": "array<bigint>", "sizes": "array<int>", "places": "array<int>", "times": "array<int>"}
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -91,54 +93,82 @@ class Aligner:
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         # Older versions of the library count a span's characters, newer ones its bytes.
         self.spans_are_bytes = self.b.encode("é", return_type="proto").pieces[-1].end == 2
-        self.clear()
-
-    def clear(self) -> None:
+        self.blank = self.b.piece_to_id(SPACE)
         self.known: dict[str, int] = {}
         self.groups: list[str] = []
         self.ok = np.zeros(0, bool)
         self.counts = np.zeros((0, 4), np.int64)
         self.codes = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
-
-    def _pieces(self, chunks: list[str]):
-        """For each chunk ids, starts and ends of B in the chunk's bytes. The library puts a blank before a text, which takes the place
-        of the chunk's own; a chunk without one is put behind a line feed, which joins with nothing."""
-        asked = [c[1:] if c[0] == " " else "\n" + c for c in chunks]
-        for c, text, proto in zip(chunks, asked, self.b.encode(asked, return_type="proto", num_threads=1) if asked else [], strict=True):
-            at = None if self.spans_are_bytes else np.cumsum([0, *(len(x.encode()) for x in text)])
-            spans = [(p.id, p.begin, p.end) if at is None else (p.id, int(at[p.begin]), int(at[p.end])) for p in proto.pieces]
-            if c[0] == " ":
-                # What the blank in front adds to the chunk: one byte before all others.
-                yield [(k, lo + 1 if n else 0, hi + 1) for n, (k, lo, hi) in enumerate(spans)] or self._blank()
+        self.hits = np.zeros(0, np.int64)
+
+    def shrink(self, size: int) -> None:
+        """Forgets all but the ``size`` chunks that most blocks had; numbers of chunks change."""
+        order = np.sort(np.argsort(-self.hits, kind="stable")[:size])
+        n = np.diff(self.ends)
+        of = np.zeros(len(n), bool)
+        of[order] = True
+        self.codes, self.ends = self.codes[np.repeat(of, n)], np.concatenate(([0], np.cumsum(n[order])))
+        self.ok, self.counts, self.hits = self.ok[order], self.counts[order], self.hits[order] // 2
+        chunks = list(self.known)
+        self.known = {chunks[k]: at for at, k in enumerate(order.tolist())}
+        self.groups = [self.groups[k] for k in order.tolist()]
+
+    def _pieces(self, texts: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of B of texts that begin with a blank or a line feed, and starts and ends in their bytes; base: where each text begins.
+
+        The library puts a blank before a text, which is the text's own if it has one; else the text is put behind another
+        line feed, which joins with nothing. A blank alone is the empty text, in front of which the library puts nothing."""
+        asked = [t[1:] if t[0] == " " else "\n" + t for t in texts]
+        ids, lo, hi = [], [], []
+        for text, question, proto, at in zip(texts, asked, self.b.encode(asked, return_type="proto", num_threads=1), base.tolist(), strict=True):
+            pieces = proto.pieces
+            found = [p.id for p in pieces], [p.begin for p in pieces], [p.end for p in pieces]
+            if not question:
+                found = [self.blank], [-1], [0]
+            elif not self.spans_are_bytes:
+                byte_at = [0, *itertools.accumulate(len(x.encode()) for x in question)]
+                found = found[0], [byte_at[x] for x in found[1]], [byte_at[x] for x in found[2]]
+            one, two, three = map(np.array, found)
+            if text[0] == " ":
+                two[0] = -1
+                shift = at + 1
             else:
-                yield [(k, lo - 1, hi - 1) for k, lo, hi in spans[2:]]
-
-    def _blank(self):
-        """A blank alone is the empty text to the library, in front of which it puts nothing."""
-        return [(self.b.piece_to_id(SPACE), 0, 1)]
+                one, two, three, shift = one[2:], two[2:], three[2:], at - 1
+            ids.append(one)
+            lo.append(two + shift)
+            hi.append(three + shift)
+        return np.concatenate(ids), np.concatenate(lo), np.concatenate(hi)
+
+    @staticmethod
+    def _same(raw: list[bytes], sizes: np.ndarray, n: np.ndarray, ids: np.ndarray, names: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """Whether the tokens' bytes are each chunk's: all chunks at once, and one by one if some aren't."""
+        upto, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(lengths[ids])))
+        parts = list(map(names.__getitem__, ids.tolist()))
+        if b"".join(parts) == b"".join(raw) and (np.diff(total[upto]) == sizes).all():
+            return np.ones(len(raw), bool)
+        return np.fromiter((b"".join(parts[i:j]) == t for t, (i, j) in zip(raw, itertools.pairwise(upto.tolist()), strict=True)), bool, len(raw))
 
     def learn(self, new: list[str]) -> None:
-        """Aligns chunks that aren't known yet."""
-        m = len(new)
+        """Aligns chunks that aren't known yet, written one after the other: a chunk's tokens don't depend on those around it
+        if it ends with other than white space. The others, at the ends of texts, are aligned one by one."""
+        text = "".join(new)
         raw = [c.encode() for c in new]
-        base = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, m))))
-        encoded = self.a.encode_batch(new, add_special_tokens=False)
-        a_ids = [e.ids for e in encoded]
-        b_rows = list(self._pieces(new))
-        b_ids = [[x[0] for x in r] for r in b_rows]
-        ok = np.fromiter((b"".join(map(self.a_bytes.__getitem__, a)) == t == b"".join(map(self.b_bytes.__getitem__, b)) for a, b, t in zip(a_ids, b_ids, raw, strict=True)), bool, m)
-        flat = lambda rows, kind: np.fromiter(itertools.chain.from_iterable(rows), kind)
-        a_n, b_n = (np.fromiter(map(len, x), np.int64, m) for x in (a_ids, b_ids))
-        a_flat, b_flat = flat(a_ids, np.int64), flat(b_ids, np.int64)
+        m, sizes = len(new), np.fromiter(map(len, raw), np.int64, len(new))
+        base = np.concatenate(([0], np.cumsum(sizes)))
+        texts = ["".join(new[k : k + JOINED]) for k in range(0, m, JOINED)]
+        first_char = np.cumsum([0, *map(len, texts[:-1])])
+        encoded = self.a.encode_batch(texts, add_special_tokens=False)
+        a_flat = np.concatenate([np.array(e.ids, np.int64) for e in encoded])
+        spans = np.concatenate([np.array(e.offsets, np.int64).reshape(-1, 2) + at for e, at in zip(encoded, first_char.tolist(), strict=True)])
         # Characters of all chunks one after the other, and the byte at which each begins.
-        chars = np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         byte_at = np.concatenate(([0], np.cumsum(1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF))))
-        first_char = np.repeat(np.concatenate(([0], np.cumsum(np.fromiter(map(len, new), np.int64, m))))[:-1], a_n)
-        spans = flat((x for e in encoded for x in e.offsets), np.int64).reshape(-1, 2)
-        a_ends = refined(byte_at[first_char + spans[:, 0]], byte_at[first_char + spans[:, 1]], self.a_sizes[a_flat])
-        b_spans = np.array([x[1:] for r in b_rows for x in r], np.int64).reshape(-1, 2) + np.repeat(base[:-1], b_n)[:, None]
-        b_ends = refined(b_spans[:, 0], b_spans[:, 1], self.b_sizes[b_flat])
+        a_lo, a_hi = byte_at[spans[:, 0]], byte_at[spans[:, 1]]
+        b_flat, b_lo, b_hi = self._pieces(texts, byte_at[first_char])
+        a_n, b_n = (np.diff(np.searchsorted(x, base)) for x in (a_lo, b_lo))
+        ok = self._same(raw, sizes, a_n, a_flat, self.a_bytes, self.a_sizes) & self._same(raw, sizes, b_n, b_flat, self.b_bytes, self.b_sizes)
+        a_ends, b_ends = refined(a_lo, a_hi, self.a_sizes[a_flat]), refined(b_lo, b_hi, self.b_sizes[b_flat])
         # Chunks whose bytes differ have no tokens; what is left has all its ends in order.
         a_keep, b_keep = np.repeat(ok, a_n), np.repeat(ok, b_n)
         a_flat, a_ends, b_flat, b_ends = a_flat[a_keep], a_ends[a_keep], b_flat[b_keep], b_ends[b_keep]
@@ -156,15 +186,20 @@ class Aligner:
         self.groups += [";".join(texts[i:j]) for i, j in itertools.pairwise(lines)]
         self.known.update(zip(new, range(len(self.ok), len(self.ok) + m), strict=True))
         self.ok = np.concatenate((self.ok, ok))
+        self.hits = np.concatenate((self.hits, np.zeros(m, np.int64)))
         self.counts = np.concatenate((self.counts, np.stack([np.diff(x) for x in (of_a, of_b, of_common, of_cut)], axis=1)))
         self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.diff(of_cut))))
         self.codes = np.concatenate((self.codes, codes.astype(np.int32)))
 
     def seen(self, lists: list[list[str]]) -> None:
         """Learns what is new in lists of chunks."""
-        new = [c for c in dict.fromkeys(itertools.chain.from_iterable(lists)) if c not in self.known]
-        for at in range(0, len(new), TOGETHER):
-            self.learn(new[at : at + TOGETHER])
+        new = list(set(itertools.chain.from_iterable(lists)).difference(self.known))
+        loose = [c for c in new if LOOSE.match(c[-1])]
+        whole = [c for c in new if not LOOSE.match(c[-1])] if loose else new
+        for at in range(0, len(whole), TOGETHER):
+            self.learn(whole[at : at + TOGETHER])
+        for c in loose:
+            self.learn([c])
 
     def text(self, lists):
         """Of a text's chunks, in lists one after the other: its four numbers, the digest of its groups, its distinct chunks and how
@@ -202,6 +237,7 @@ class Aligner:
         place = np.concatenate([d[0] for d in docs]) if docs else np.zeros(0, np.int64)
         times = np.concatenate([d[1] for d in docs]) if docs else np.zeros(0, np.int64)
         of = np.repeat(np.arange(len(docs)), [len(d[0]) for d in docs])
+        self.hits += np.bincount(place, minlength=len(self.hits))
         n = self.ends[place + 1] - self.ends[place]
         at = np.repeat(self.ends[place] - np.concatenate(([0], np.cumsum(n)[:-1]))[: len(n)], n) + np.arange(n.sum())
         codes, where = np.unique(self.codes[at], return_inverse=True)
@@ -211,13 +247,23 @@ class Aligner:
         return codes, counts, np.bincount(key // max(len(codes), 1), minlength=len(docs)), key % max(len(codes), 1), many
 
 
+#: Aligners of a worker, by their files, with what they know of chunks: tasks of one worker follow each other.
+_ALIGNERS: dict[tuple[str, str], Aligner] = {}
+
+
+def _aligner(a_file: str, b_file: str) -> Aligner:
+    if (a_file, b_file) not in _ALIGNERS:
+        _ALIGNERS[a_file, b_file] = Aligner(a_file, b_file)
+    return _ALIGNERS[a_file, b_file]
+
+
 def blocks(docs: DataFrame, a_file: str, b_file: str, size: int = BLOCK) -> DataFrame:
     """A row for each block of texts: the texts' numbers and digests, and the codes of their links."""
     types = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
     schema = pa.schema([(c, pa.list_(types[t[6:-1]])) for c, t in BLOCK_TYPES.items()])
 
     def run(batches):
-        aligner = Aligner(a_file, b_file)
+        aligner = _aligner(a_file, b_file)
         rows, links, chars = [], [], 0
 
         def block():
@@ -232,7 +278,7 @@ def blocks(docs: DataFrame, a_file: str, b_file: str, size: int = BLOCK) -> Data
                 if len(aligner.known) > CACHE:
                     if rows:
                         yield block()
-                    aligner.clear()
+                    aligner.shrink(CACHE // 3)
                 texts = part.column("text").to_pylist()
                 for doc_id, text, got in zip(part.column("doc_id").to_pylist(), texts, aligner.texts(texts), strict=True):
                     rows.append((doc_id, *(got[0].tolist() if got else (0, 0, 0, 0)), got[1] if got else ""))
