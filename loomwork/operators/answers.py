@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.functions.scores import RELEVANCE, parsed_expansions, parsed_relevance, parsed_score
+from loomwork.functions.scores import parsed_expansions, parsed_relevance, parsed_score
+from loomwork.operators.graph import in_sequence
+from loomwork.plans.store import written
 
 
 def unfenced(answer: Column) -> Column:
@@ -66,40 +68,40 @@ def map_partial(links: DataFrame, results: DataFrame, key: str = "url", order: s
     return df.select(*[F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in ("score", "relevance_type", "expansions") else F.col(c) for c in links.columns])
 
 
-def build_prompts(links: DataFrame, parent: str, topic: Column, instruction: str) -> DataFrame:
-    """One prompt for each node: the topic, the instruction and the links as JSON in their order."""
-    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
-    return links.groupBy(parent).agg(items.alias("links"), F.count("*").alias("n_links")).select(parent, "n_links", F.concat_ws("\n\n", F.concat(F.lit("Topic: "), topic), F.lit(instruction), F.col("links")).alias("prompt"))
+#: Links of one prompt; a node with more gets several.
+PROMPT_LINKS = 50
+#: Stands for the links among the blocks of a prompt.
+LINKS = object()
 
 
-#: The names of the scoring strategies. What each asks of the model is in our own words.
-CONTEXTS = {
-    "TOPICAL": "Judge how close a page's meaning is to the topic itself; menus and indexes count for little.",
-    "PATHFINDING": "Value pages that lead on towards the topic, even if they are only steps on the way.",
-    "EXPLORATION": "Value pages that differ in meaning from each other, so that more ground is covered.",
-    "GOAL_ORIENTED": "Value pages that serve the stated aim at once.",
-    "DENSITY_FOCUSED": "Value pages full of content, such as definitions and explanations.",
-    "UNCERTAINTY_BIASED": "Value pages whose meaning is unclear and that may open new fields.",
-}
-TASK = "TASK:\nGive each candidate a score of its own from 0 to 100 for how much it has to do with target_topic."
-RULES = f"RULES:\n- The candidates don't depend on each other.\n- strategy_context only leans the score.\n- A score is a whole number.\n- relevance_type is one of {', '.join(RELEVANCE)}.\n- Give two to four expansions: ideas, not copied text."
-OUTPUT = 'OUTPUT FORMAT:\n{"results": [{"url": "...", "score": 0, "relevance_type": "...", "expansions": ["...", "..."]}]}'
-LIMITS = "CONSTRAINTS:\n- JSON and nothing else: no markup, no remarks, no further keys."
+def assembled(blocks: list[tuple[str, Column | str]]) -> Column:
+    """Blocks (heading, text) with blank lines between them; a heading has a line of its own, none if it is empty."""
+    text = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.concat_ws("\n\n", *[F.concat(F.lit(f"{head}\n"), text(body)) if head else text(body) for head, body in blocks])
 
 
-def scoring_prompts(links: DataFrame, parent: str, topic: Column, strategy: str = "TOPICAL", system: str = "You score links for a crawler.") -> DataFrame:
-    """(parent, n_links, prompt): seven blocks with blank lines between them: system, task, context, candidates, rules,
-    form of the answer and limits. links: parent, pos, url, anchor, context. An unknown strategy is an error."""
-    if strategy not in CONTEXTS:
-        raise ValueError(f"unknown scoring strategy {strategy!r}")
-    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
-    context = F.concat(F.lit("CONTEXT:\ntarget_topic: "), topic, F.lit(f"\nstrategy: {strategy}\nstrategy_context: {CONTEXTS[strategy]}"))
-    blocks = [F.lit(system), F.lit(TASK), context, F.concat(F.lit("CANDIDATES:\n"), F.col("links")), F.lit(RULES), F.lit(OUTPUT), F.lit(LIMITS)]
-    return links.groupBy(parent).agg(items.alias("links"), F.count("*").alias("n_links")).select(parent, "n_links", F.concat_ws("\n\n", *blocks).alias("prompt"))
+def scoring_prompts(links: DataFrame, parent: str, blocks: list[tuple[str, Column | str | object]], size: int = PROMPT_LINKS) -> DataFrame:
+    """(parent, part, n_links, prompt): the links of each node in their order, ``size`` a prompt, as JSON in the place of LINKS.
+
+    links: parent, pos, url, anchor, context. Sentences are the caller's. Numbers come from sorted ranges, so no task gathers
+    all links of a node; links without a parent are a group of their own."""
+    rows = in_sequence(links.select(parent, "pos", "url", "anchor", "context"), "__n", parent, "pos", "url")
+    first = rows.groupBy(F.col(parent).alias("__p")).agg(F.min("__n").alias("__first"))
+    parts = rows.join(first, F.col(parent).eqNullSafe(F.col("__p"))).withColumn("part", F.floor((F.col("__n") - F.col("__first")) / size))
+    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
+    listed = parts.groupBy(parent, "part").agg(items.alias("__links"), F.count("*").alias("n_links"))
+    return listed.select(parent, "part", "n_links", assembled([(head, F.col("__links") if body is LINKS else body) for head, body in blocks]).alias("prompt"))
+
+
+def build_prompts(links: DataFrame, parent: str, topic: Column, instruction: str, size: int = PROMPT_LINKS) -> DataFrame:
+    """Prompts of the topic, the instruction and the links."""
+    return scoring_prompts(links, parent, [("", F.concat(F.lit("Topic: "), topic)), ("", instruction), ("", LINKS)], size)
 
 
 def ask(prompts: DataFrame, client: Callable[[str], str | None], prompt: str = "prompt") -> DataFrame:
-    """prompts with answer by client(prompt), called by the tasks; a call that fails gives null."""
+    """prompts with answer by client(prompt), called by the tasks; a call that fails gives null.
+
+    The answers are written before they are used, so that a lost executor or a second reader doesn't ask again."""
 
     def run(frames):
         for frame in frames:
@@ -112,16 +114,9 @@ def ask(prompts: DataFrame, client: Callable[[str], str | None], prompt: str = "
             yield frame.assign(answer=out)
 
     columns = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)
-    return prompts.mapInPandas(run, f"{columns}, answer string")
-
-
-#: How much an expansion prompt asks for, by style.
-STYLES = {"concise": "one short sentence each", "balanced": "one or two sentences each", "rich": "a short paragraph each"}
+    return written(prompts.mapInPandas(run, f"{columns}, answer string"))
 
 
-def expansion_prompts(topics: DataFrame, topic: Column, style: str, n: int) -> DataFrame:
-    """One prompt for each topic that asks for n descriptions; an unknown style is an error."""
-    if style not in STYLES:
-        raise ValueError(f"unknown expansion style {style!r}")
-    blocks = [F.concat(F.lit("Topic: "), topic), F.lit(f"Write {n} different descriptions of pages on this topic, {STYLES[style]}."), F.lit('Answer with a JSON list of objects {"description": "..."}.')]
-    return topics.withColumn("prompt", F.concat_ws("\n\n", *blocks))
+def expansion_prompts(topics: DataFrame, blocks: list[tuple[str, Column | str]]) -> DataFrame:
+    """topics with a prompt that asks for descriptions; all its blocks, whatever their number, are the caller's."""
+    return topics.withColumn("prompt", assembled(blocks))

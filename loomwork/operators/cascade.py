@@ -27,7 +27,8 @@ def decisions(links: DataFrame, parent: str, key: str, seed: str, **shares) -> D
 
     Random choices follow the md5 of seed and key, so that they can be repeated anywhere."""
     dice = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
-    df = links.join(budgets(links, parent, **shares), parent)
+    own = budgets(links, parent, **shares).withColumnRenamed(parent, "__parent")
+    df = links.join(own, F.col(parent).eqNullSafe(F.col("__parent")))  # links without a parent are a group of their own
     df = df.withColumn("by_chance", F.row_number().over(Window.partitionBy(parent, "bucket").orderBy(dice, key)))
     picked = (F.col("bucket") == "high") & (F.col("by_chance") <= F.col("random_budget"))
     df = df.withColumn("picked", picked)

@@ -30,24 +30,38 @@ def ddl(name: str, fields: dict[str, str]) -> str:
     return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(columns)}) USING parquet"
 
 
-def python_json(c: Column) -> Column:
-    """Any value as JSON with a blank after each comma and colon, scripts as they are; null stays null."""
+def python_json(c: Column, is_text: bool = False) -> Column:
+    """Any value as JSON with a blank after each comma and colon, scripts as they are; null stays null.
+
+    A text that is JSON stands for its value, and ``null`` for none; other texts become JSON strings."""
+
+    def spaced_one(text: str) -> str | None:
+        value = json.loads(text)[0]
+        if is_text:
+            try:
+                value = json.loads(value)
+            except json.JSONDecodeError:
+                pass
+        return None if value is None else json.dumps(value, ensure_ascii=False)
 
     @F.pandas_udf("string")
     def spaced(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else json.dumps(json.loads(t)[0], ensure_ascii=False) for t in texts])
+        return pd.Series([None if t is None else spaced_one(t) for t in texts], dtype=object)
 
     return spaced(F.when(c.isNotNull(), F.to_json(F.array(c), {"ignoreNullFields": "false"})))
 
 
+#: Types whose values can be cast to numbers.
+SCALARS = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "timestamp")
+
+
 def safe_cast(c: Column, kind: str, data_type: str) -> Column:
-    """Value under an export type; what can't be cast is null, lists and structs become JSON, and texts under json do."""
-    if kind == "real":
-        return c.try_cast("double")
-    if kind == "int":
-        return c.try_cast("bigint")
+    """Value under an export type; what can't be cast is null, lists and structs become JSON, and texts under json are read as such."""
+    if kind in ("real", "int"):
+        target = "double" if kind == "real" else "bigint"
+        return c.try_cast(target) if data_type.startswith(SCALARS) else F.lit(None).cast(target)
     if kind == "json" or data_type.startswith(("array", "struct", "map")):
-        return python_json(c)
+        return python_json(c, kind == "json" and data_type == "string")
     return c.cast("string")
 
 
@@ -58,10 +72,11 @@ def export_rows(items: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last writer of each key, of both tables together."""
+    """The last writer of each key, of both tables together; of equally late rows the last one as JSON text."""
     columns = old.columns
     both = old.unionByName(new)
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in columns if c not in keys]), F.col(order)).alias("r"))
+    row = F.struct(*[c for c in columns if c not in keys])
+    last = both.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(order), F.to_json(row))).alias("r"))
     return last.select(*keys, "r.*").select(*columns)
 
 

@@ -1,12 +1,19 @@
-"""The vector space: neighbours, densities, centroids, clusters and link features.
+"""The vector space: an index of cells, neighbours, densities, centroids, clusters and link features.
 
-Candidates are compared with the space in blocks: both are dealt to blocks of bounded size by a hash of their
-key, and each pair of blocks is one task's work. Nothing of either is collected or broadcast. Rows without a
-vector are left out of a space; vectors must have one length.
+A space is dealt to cells: each vector's home is the nearest of a bounded number of pivots, and a cell has a radius,
+the largest angle between its pivot and a member. A vector at an angle t from a pivot is at least t less the radius
+from all members of its cell. Searches visit cells in the order of that bound until the best found so far close the
+rest, so results are exact; a candidate is sent to the cells that it visits, and a cell's members once for every
+SLOT candidates that visit it. Pivots and one radius and size for each are all that is broadcast.
+
+Rows whose vector is null, has a null or a NaN among its numbers are left out; vectors must have one length. Vectors
+of zeros have no direction: they have a cell that everybody visits, and visit all cells. Candidates' keys are unique.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,13 +21,17 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.scores import composite, cosine, jaccard
 from loomwork.operators.graph import components
-from loomwork.plans.store import written
+from loomwork.plans.store import discard, written
 
-#: Vectors of a block; a task holds two blocks and their products.
-BLOCK = 4096
+#: Members and candidates that a task compares at a time.
+BLOCK, SLOT = 4096, 8192
 TOP = 5
-#: Vectors that dbscan() measures all others against, at most: they and one radius each are all that is broadcast.
-PIVOTS = 256
+#: Pivots of a space, at most; fewer in small ones.
+PIVOTS = 4096
+#: Cells that a candidate visits first, to learn how far it has to look.
+FIRST = 2
+#: What angles are widened by, far more than their rounding.
+SLACK = 1e-9
 
 
 def _unit(column) -> np.ndarray:
@@ -30,55 +41,222 @@ def _unit(column) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _parts(df: DataFrame, block: int) -> int:
-    return max(1, -(-df.count() // block))
+def _angle(sims: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(sims, -1, 1))
 
 
-def by_blocks(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, compare, ddl: str, block: int = BLOCK) -> DataFrame:
-    """compare(candidate block, space block) for each pair of blocks; their columns are k (long) and v."""
-    left = candidates.select(F.col(key).cast("long").alias("k"), F.col(value).alias("v")).where("v is not null")
-    right = space.select(F.col(space_key).cast("long").alias("k"), F.col(value).alias("v")).where("v is not null")
-    n, m = _parts(left, block), _parts(right, block)
-    slot = lambda parts: F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = left.select("k", "v", slot(n).alias("a"), every(m).alias("b"))
-    right = right.select("k", "v", every(n).alias("a"), slot(m).alias("b"))
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(compare, ddl)
+def _vectors(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(k, v) of the rows that have a whole vector."""
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(value).cast("array<double>").alias("v"))
+    return rows.where(F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
 
 
-def neighbours(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, k: int = TOP, threshold: float | None = 0.0, block: int = BLOCK) -> DataFrame:
-    """(key, rank, space_key, similarity): the k most similar space vectors of each candidate, ties by key."""
-    schema = pa.schema([("k", pa.int64()), ("neighbour", pa.int64()), ("similarity", pa.float64())])
+@dataclass
+class Cells:
+    """A space in a written table (k, v, cell), and what is broadcast of it: pivots, radius and size of each cell, and the sum of all unit vectors."""
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        keys, sims = right.column("k").to_numpy(), _unit(left.column("v")) @ _unit(right.column("v")).T
-        order = np.lexsort((np.broadcast_to(keys, sims.shape), -np.round(sims, 12)), axis=1)[:, :k]
-        ids = np.repeat(left.column("k").to_numpy(), order.shape[1])
-        return pa.Table.from_arrays([pa.array(ids), pa.array(keys[order].ravel()), pa.array(np.take_along_axis(sims, order, 1).ravel())], schema=schema)
+    placed: DataFrame
+    pivots: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+    total: np.ndarray
+
+    def held(self):
+        return self.placed.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.sizes, self.total))
 
-    found = by_blocks(candidates, space, key, space_key, value, compare, "k long, neighbour long, similarity double", block)
-    if threshold is not None:
-        found = found.where(F.col("similarity") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.round("similarity", 12)), "neighbour"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select(F.col("k").alias(key), "rank", F.col("neighbour").alias(space_key), "similarity")
 
+def _placing(held):
+    """Batches of (k, v) -> (k, v, cell, far): the home of each vector; the last cell is that of the zeros."""
 
-def space_stats(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, radius: float, block: int = BLOCK) -> DataFrame:
-    """For each candidate: n, similarity_sum, within (vectors no farther than radius) and top (best similarities)."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("similarity_sum", pa.float64()), ("within", pa.int64()), ("top", pa.list_(pa.float64()))])
+    def run(batches):
+        pivots = held.value
+        for b in batches:
+            if b.num_rows:
+                m = _unit(b.column("v"))
+                angle = _angle(m @ pivots.T) if len(pivots) else np.zeros((len(m), 0))
+                zero = ~m.any(axis=1)
+                home = np.where(zero, len(pivots), angle.argmin(axis=1) if len(pivots) else 0)
+                far = np.where(zero, np.pi, angle.min(axis=1) if len(pivots) else 0)
+                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(far)], names=["k", "v", "cell", "far"])
+
+    return run
+
+
+def cells(rows: DataFrame, pivots: int = PIVOTS) -> Cells:
+    """The index of (k, v) rows. Pivots are the first by a hash of their key, about the root of the number of rows."""
+    some = rows.where(F.exists("v", lambda x: x != 0))
+    n = some.count()
+    chosen = some.orderBy(F.xxhash64("k"), "k").limit(min(pivots, int(np.ceil(np.sqrt(n))))).toArrow()
+    unit = _unit(chosen.column("v")) if n else np.zeros((0, 0))
+    held = rows.sparkSession.sparkContext.broadcast(unit)
+    placed = written(rows.mapInArrow(_placing(held), "k long, v array<double>, cell int, far double"))
+    radius, sizes = np.zeros(len(unit) + 1), np.zeros(len(unit) + 1, np.int64)
+    for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each pivot at most
+        radius[r.cell], sizes[r.cell] = r.far, r.n
+
+    def add(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                part = _unit(b.column("v")).sum(axis=0)
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["dim", "x"])
+
+    sums = placed.select("v").mapInArrow(add, "dim long, x double").groupBy("dim").agg(F.sum("x").alias("x")).orderBy("dim").toArrow()  # a row for each dimension
+    return Cells(placed, unit, radius, sizes, sums.column("x").to_numpy())
+
+
+def _bounds(unit: np.ndarray, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest angle to a member of each cell; empty cells are out of reach."""
+    angle = _angle(unit @ pivots.T) if len(pivots) else np.zeros((len(unit), 0))
+    low, high = np.zeros((len(unit), len(sizes))), np.full((len(unit), len(sizes)), np.pi)
+    directed = unit.any(axis=1)
+    low[:, :-1][directed] = np.maximum(0, angle[directed] - radius[:-1])
+    high[:, :-1][directed] = angle[directed] + radius[:-1]
+    low[:, sizes == 0] = 10.0
+    return low, high
+
+
+def _first_cells(low: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Which cells each candidate visits first: the nearest, until they hold k members, and FIRST at least."""
+    order = np.argsort(low, axis=1, kind="stable")
+    before = np.cumsum(sizes[order], axis=1) - sizes[order]
+    take = (before < k) | (np.arange(low.shape[1]) < FIRST)
+    out = np.zeros(low.shape, bool)
+    np.put_along_axis(out, order, take, axis=1)
+    return out & (low < 10)
+
+
+def _best(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[list, list]:
+    """For each row the k largest, those with the smallest keys among equals: keys and values, best first."""
+    rounded = np.round(sims, 12)
+    if sims.shape[1] > k:
+        least = -np.partition(-rounded, k - 1, axis=1)[:, k - 1 : k]
+        row, col = np.nonzero(rounded >= least)
+    else:
+        row, col = np.nonzero(np.ones(sims.shape, bool))
+    order = np.lexsort((keys[col], -rounded[row, col], row))
+    row, col = row[order], col[order]
+    starts = np.searchsorted(row, np.arange(len(sims) + 1))
+    cut = [slice(a, min(b, a + k)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    ids, values = keys[col], sims[row, col]
+    return [ids[c] for c in cut], [values[c] for c in cut]
+
+
+VISITED = "k long, within long, keys array<bigint>, sims array<double>"
+
+
+def _visit(visits: DataFrame, index: Cells, k: int, radius: float) -> DataFrame:
+    """visits(k, v, cell) -> VISITED, a row for each visit of a part of a cell."""
+    visits = written(visits)
+    spark = visits.sparkSession
+    schema = pa.schema([("k", pa.int64()), ("within", pa.int64()), ("keys", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
+    sent = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # a row for each pivot at most
+    shape = [(int(c), int(-(-index.sizes[c] // BLOCK)), int(-(-n // SLOT))) for c, n in sent.items()]
+    parts = F.broadcast(spark.createDataFrame(shape, "cell int, n_parts int, n_slots int"))
+    slot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = visits.join(parts, "cell").select("k", "v", "cell", slot("n_slots").alias("slot"), every("n_parts").alias("part"))
+    right = index.placed.join(parts, "cell").select("k", "v", "cell", every("n_slots").alias("slot"), slot("n_parts").alias("part"))
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
             return schema.empty_table()
-        sims = _unit(left.column("v")) @ _unit(right.column("v")).T if right.num_rows else np.zeros((left.num_rows, 0))
-        top = -np.sort(-sims, axis=1)[:, :TOP]
-        return pa.Table.from_arrays([left.column("k"), pa.array(np.full(len(sims), sims.shape[1])), pa.array(sims.sum(axis=1)), pa.array((1 - sims <= radius).sum(axis=1)), pa.array(top.tolist(), pa.list_(pa.float64()))], schema=schema)
+        members, keys, out = _unit(y.column("v")), y.column("k").to_numpy(), []
+        for at in range(0, x.num_rows, 1024):
+            some = x.slice(at, 1024)
+            sims = _unit(some.column("v")) @ members.T
+            ids, values = _best(sims, keys, k)
+            out.append(pa.Table.from_arrays([some.column("k"), pa.array((1 - sims <= radius).sum(axis=1)), pa.array(ids, schema.field("keys").type), pa.array(values, schema.field("sims").type)], schema=schema))
+        return pa.concat_tables(out)
+
+    by = ["cell", "part", "slot"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, VISITED)
+
+
+def _merged(visited: DataFrame, k: int) -> DataFrame:
+    """(k, within, best): visits of a candidate together; best has the k most similar as structs."""
+    pairs = F.flatten(F.collect_list(F.arrays_zip("sims", "keys")))
+    order = F.transform(F.sort_array(F.transform(pairs, lambda p: F.struct((-F.round(p["sims"], 12)).alias("minus"), p["keys"].alias("key"), p["sims"].alias("sim")))), lambda p: F.struct(p["key"].alias("key"), p["sim"].alias("sim")))
+    return visited.groupBy("k").agg(F.sum("within").alias("within"), F.slice(order, 1, k).alias("best"))
+
+
+def search(candidates: DataFrame, index: Cells, k: int = TOP, radius: float | None = None) -> DataFrame:
+    """candidates(k, v) -> (k, v, within, best): the k most similar members, best first, and how many are no farther than radius.
+
+    The first cells give each candidate the similarity of its k-th best; the second visit goes to all cells whose bound
+    is below that, or that the radius cuts. Cells wholly within the radius are counted by their size."""
+    held, found_radius = index.held(), -1.0 if radius is None else radius
+    limit = None if radius is None else float(_angle(np.array(1 - radius)))
+
+    def first(batches):
+        pivots, far, sizes, _ = held.value
+        for b in batches:
+            if b.num_rows:
+                low, _ = _bounds(_unit(b.column("v")), pivots, far, sizes)
+                at, cell = np.nonzero(_first_cells(low, sizes, k))
+                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["k", "v", "cell"])
+
+    candidates = written(candidates)
+    near = written(_merged(_visit(candidates.mapInArrow(first, "k long, v array<double>, cell int"), index, k, found_radius), k))
+    known = candidates.join(near.select(F.col("k").alias("of"), F.when(F.size("best") >= k, F.element_at("best", k)["sim"]).alias("kth")), F.col("k") == F.col("of"), "left").select("k", "v", "kth")
+
+    def second(batches):
+        pivots, far, sizes, _ = held.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            unit = _unit(b.column("v"))
+            low, high = _bounds(unit, pivots, far, sizes)
+            done = _first_cells(low, sizes, k)
+            kth = b.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
+            open_ = np.where(np.isnan(kth), np.pi, _angle(np.nan_to_num(kth)))[:, None]
+            go = (low <= open_ + SLACK) & ~done
+            whole = np.zeros(len(unit), np.int64)
+            if limit is not None:
+                inside = (high <= limit - SLACK) & ~done & (sizes > 0)
+                go |= (low <= limit + SLACK) & ~done & ~inside
+                whole = ((inside & ~go) * sizes).sum(axis=1)
+            go &= low < 10
+            at, cell = np.nonzero(go)
+            own = np.arange(len(unit))
+            # One row without a cell for each candidate: what it counts without a visit.
+            at, cell, add = np.concatenate((own, at)), np.concatenate((np.full(len(own), -1), cell)), np.concatenate((whole, np.zeros(len(at), np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array(add)], names=["k", "v", "cell", "whole"])
+
+    routed = written(known.mapInArrow(second, "k long, v array<double>, cell int, whole long"))
+    counted = routed.where("cell < 0").select("k", F.col("whole").alias("within"), F.array().cast("array<bigint>").alias("keys"), F.array().cast("array<double>").alias("sims"))
+    before = near.select("k", "within", F.transform("best", lambda b: b["key"]).alias("keys"), F.transform("best", lambda b: b["sim"]).alias("sims"))
+    merged = _merged(_visit(routed.where("cell >= 0").select("k", "v", "cell"), index, k, found_radius).union(before).union(counted), k)
+    return candidates.join(merged, "k", "left").select("k", "v", F.coalesce("within", F.lit(0)).alias("within"), F.coalesce("best", F.array().cast("array<struct<key:bigint,sim:double>>")).alias("best"))
+
+
+def neighbours(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, k: int = TOP, threshold: float | None = 0.0, pivots: int = PIVOTS) -> DataFrame:
+    """(key, rank, space_key, similarity): the k most similar space vectors of each candidate, ties by key."""
+    found = search(_vectors(candidates, key, value), cells(_vectors(space, space_key, value), pivots), k)
+    flat = found.select("k", F.posexplode("best").alias("pos", "b")).select(F.col("k").alias(key), (F.col("pos") + 1).cast("long").alias("rank"), F.col("b.key").alias(space_key), F.col("b.sim").alias("similarity"))
+    return flat if threshold is None else flat.where(F.col("similarity") >= threshold)
+
+
+def space_stats(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, radius: float, pivots: int = PIVOTS) -> DataFrame:
+    """For each candidate: n, similarity_sum, within (vectors no farther than radius) and top (best similarities).
+
+    The sum needs no pairs: it is the product with the sum of the space's unit vectors."""
+    index = cells(_vectors(space, space_key, value), pivots)
+    held, n = index.held(), int(index.sizes.sum())
+    found = search(_vectors(candidates, key, value), index, TOP, radius)
+
+    def add(batches):
+        total = held.value[3]
+        for b in batches:
+            if b.num_rows:
+                sums = _unit(b.column("v")) @ total if len(total) else np.zeros(b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sums), b.column("within"), b.column("top")], names=["k", "similarity_sum", "within", "top"])
 
-    found = by_blocks(candidates, space, key, space_key, value, compare, "k long, n long, similarity_sum double, within long, top array<double>", block)
-    best = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, TOP)
-    return found.groupBy(F.col("k").alias(key)).agg(F.sum("n").alias("n"), F.sum("similarity_sum").alias("similarity_sum"), F.sum("within").alias("within"), best.alias("top"))
+    rows = found.select("k", "v", "within", F.transform("best", lambda b: b["sim"]).alias("top"))
+    out = rows.mapInArrow(add, "k long, similarity_sum double, within long, top array<double>")
+    return out.select(F.col("k").alias(key), F.lit(n).cast("long").alias("n"), "similarity_sum", "within", "top")
 
 
 def _mean(values):
@@ -108,9 +286,14 @@ def space_novelty():
     return F.when(best >= 0, 1 - best).otherwise(1.0)
 
 
+#: Fixed value: entries below which a space has no centroids.
+LEAST_ENTRIES = 3
+
+
 def centroids(members: DataFrame, label: str, value: str) -> DataFrame:
-    """(label, centroid): element-wise means of clusters; noise (-1) has none."""
-    flat = members.where(F.col(label) >= 0).select(label, F.posexplode(value).alias("dim", "x"))
+    """(label, centroid): element-wise means of clusters; noise (-1) has none, and a space of fewer than three entries has no centroids."""
+    enough = members.limit(LEAST_ENTRIES).agg((F.count("*") >= LEAST_ENTRIES).alias("enough"))
+    flat = members.where(F.col(label) >= 0).join(F.broadcast(enough)).where("enough").select(label, F.posexplode(value).alias("dim", "x"))
     means = flat.groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy(label).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s.x).alias("centroid"))
 
@@ -152,69 +335,108 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows or [np.zeros(0, int)]), np.concatenate(cols or [np.zeros(0, int)])
 
 
-def dbscan(vectors: DataFrame, key: str, value: str, eps: float, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """(key, cluster): with two members enough for a core, clusters are the components of the eps-graph.
-
-    A cluster is named by its smallest key, noise by -1. Equal vectors enter once. Each vector has a home, the cell
-    of the nearest of at most ``pivots`` vectors, and is copied to all cells whose members it may reach: those with
-    a pivot no farther than eps (as an angle) and the cell's radius together, which loses no pair. A cell is
-    compared in pairs of blocks, and each pair gives the edges of a spanning forest, not all its pairs. Rows
-    without a vector are noise."""
-    spark = vectors.sparkSession
-    rows = written(vectors.select(F.col(key).cast("long").alias("k"), F.col(value).cast("array<double>").alias("v")))
-    once = written(rows.where("v is not null").groupBy("v").agg(F.min("k").alias("k"), F.count("*").alias("n")))
-    n = once.count()
-    if not n:
-        return rows.select(F.col("k").alias(key), F.lit(-1).cast("long").alias("cluster"))
-    reach = float(np.arccos(np.clip(1 - eps, -1, 1))) + 1e-9
-    chosen = once.orderBy(F.xxhash64("k"), "k").limit(min(pivots, int(np.ceil(np.sqrt(n))))).toArrow()
-    held = spark.sparkContext.broadcast(_unit(chosen.column("v")))
-
-    def homes(batches):
-        for b in batches:
-            if b.num_rows:
-                angle = np.arccos(np.clip(_unit(b.column("v")) @ held.value.T, -1, 1))
-                home = angle.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("k"), b.column("v"), pa.array(home.astype(np.int32)), pa.array(angle.min(axis=1))], names=["k", "v", "home", "far"])
+def dbscan(vectors: DataFrame, key: str, value: str, eps: float, min_samples: int = 2, block: int = BLOCK, pivots: int = 256) -> DataFrame:
+    """(key, cluster): density clusters under cosine distance; a cluster is named by the smallest key of its cores, noise by -1.
 
-    placed = written(once.select("k", "v").mapInArrow(homes, "k long, v array<double>, home int, far double"))
-    radius = np.zeros(len(held.value))
-    sizes = np.zeros(len(held.value), np.int64)
-    for r in placed.groupBy("home").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # at most ``pivots`` rows
-        radius[r.home], sizes[r.home] = r.far, r.n
-    limit = spark.sparkContext.broadcast(np.where(sizes > 0, radius + reach, -1.0))
+    A core has min_samples vectors within eps, itself and its equals included. Cores within eps of each other are one
+    cluster; a vector that is no core goes to its nearest core within eps, the smallest key of equally near ones, and
+    without one it is noise, as are rows without a whole vector. Equal vectors enter once, with their number.
+
+    Each vector has a home among the cells of ``pivots`` pivots and is copied to all cells whose members it may
+    reach, which loses no pair. Cells are compared in pairs of blocks. A first pass counts neighbours, which two
+    as a number of samples don't need; a second gives the edges of spanning forests of cores, not all pairs, and each
+    other vector's nearest core of a block."""
+    rows = written(_vectors(vectors, key, value))
+    # Vectors of zeros, which have no direction, are 1 apart from each other.
+    lone = F.when(F.lit(eps < 1) & ~F.exists("v", lambda x: x != 0), F.col("k"))
+    once = written(rows.groupBy("v", lone.alias("lone")).agg(F.min("k").alias("k"), F.count("*").alias("n")))
+    index = cells(once.select("k", "v"), pivots)
+    reach = float(_angle(np.array(1 - eps))) + SLACK
+    held = index.held()
 
     def copies(batches):
+        centres, radius, sizes, _ = held.value
         for b in batches:
             if b.num_rows:
-                m, home = _unit(b.column("v")), b.column("home").to_numpy()
-                near = np.arccos(np.clip(m @ held.value.T, -1, 1)) <= limit.value
+                low, _ = _bounds(_unit(b.column("v")), centres, radius, sizes)
                 # A pair is found in the later one of its two homes.
-                at, cell = np.nonzero(near & (np.arange(near.shape[1]) >= home[:, None]))
-                yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["k", "v", "cell"])
+                home = b.column("cell").to_numpy()
+                at, cell = np.nonzero((low <= reach) & (np.arange(low.shape[1]) >= home[:, None]))
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("v").take(take), b.column("n").take(take), b.column("core").take(take), pa.array(home[at]), pa.array(cell.astype(np.int32))], names=["k", "v", "n", "core", "home", "cell"])
+
+    def paired(flags: DataFrame, compare, ddl: str) -> DataFrame:
+        """compare(home block, block of copies) over all cells; flags: k, v, n, core, cell."""
+        copied = written(flags.mapInArrow(copies, "k long, v array<double>, n long, core boolean, home int, cell int"))
+        counts = {r.cell: r["count"] for r in copied.groupBy("cell").count().collect()}  # a row for each pivot at most
+        shape = [(int(c), max(1, int(-(-index.sizes[c] // block))), int(-(-n // block))) for c, n in counts.items()]
+        parts = F.broadcast(flags.sparkSession.createDataFrame(shape, "cell int, n_a int, n_b int"))
+        slot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = flags.join(parts, "cell").select("k", "v", "n", "core", "cell", slot("n_a").alias("a"), every("n_b").alias("b"))
+        right = copied.join(parts, "cell").select("k", "v", "n", "core", "home", "cell", every("n_a").alias("a"), slot("n_b").alias("b"))
+        by = ["cell", "a", "b"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, ddl)
+
+    def near_of(x: pa.Table, y: pa.Table) -> np.ndarray:
+        return 1 - _unit(x.column("v")) @ _unit(y.column("v")).T <= eps
+
+    counted = pa.schema([("k", pa.int64()), ("n", pa.int64())])
+
+    def count(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return counted.empty_table()
+        near, a, b = near_of(x, y), x.column("k").to_numpy(), y.column("k").to_numpy()
+        near &= a[:, None] != b
+        away = y.column("home").to_numpy() != y.column("cell").to_numpy()
+        back = near[:, away].T @ x.column("n").to_numpy()
+        return pa.Table.from_arrays([pa.array(np.concatenate((a, b[away]))), pa.array(np.concatenate((near @ y.column("n").to_numpy(), back)))], schema=counted)
 
-    copied = written(placed.select("k", "v", "home").mapInArrow(copies, "k long, v array<double>, cell int"))
-    counts = copied.groupBy("cell").count().select("cell", F.ceil(F.col("count") / block).cast("int").alias("n_b")).join(spark.createDataFrame([(c, int(-(-x // block))) for c, x in enumerate(sizes) if x], "cell int, n_a int"), "cell")
-    counts = F.broadcast(counts)  # one row for each cell
-    slot = lambda parts: F.pmod(F.xxhash64("k"), F.col(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    left = placed.select("k", "v", F.col("home").alias("cell")).join(counts, "cell").select("k", "v", "cell", slot("n_a").alias("a"), every("n_b").alias("b"))
-    right = copied.join(counts, "cell").select("k", "v", "cell", every("n_a").alias("a"), slot("n_b").alias("b"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    linked = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
-    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+    def link(x: pa.Table, y: pa.Table) -> pa.Table:
+        """Core edges without a similarity; with one, a vector that is no core and the nearest core of the block."""
         if not x.num_rows or not y.num_rows:
-            return schema.empty_table()
-        one, two = _spanning(1 - _unit(x.column("v")) @ _unit(y.column("v")).T <= eps)
-        a, b = x.column("k").to_numpy()[one], y.column("k").to_numpy()[two]
-        return pa.Table.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], schema=schema)
-
-    by = ["cell", "a", "b"]
-    labels = components(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a long, b long"))
-    # Equal vectors are a cluster of their own, but those of zeros, which have no direction, are 1 apart.
-    alike = (F.col("n") > 1) & (F.exists("v", lambda x: x != 0) | F.lit(eps >= 1))
-    named = once.join(labels, F.col("k") == F.col("node"), "left").select("v", F.coalesce("label", F.when(alike, F.col("k"))).alias("cluster"))
-    return rows.join(named, "v", "left").select(F.col("k").alias(key), F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
+            return linked.empty_table()
+        sims = _unit(x.column("v")) @ _unit(y.column("v")).T
+        near = 1 - sims <= eps
+        a, b = x.column("k").to_numpy(), y.column("k").to_numpy()
+        core_a, core_b = (t.column("core").to_numpy(zero_copy_only=False) for t in (x, y))
+        one, two = _spanning(near[np.ix_(core_a, core_b)])
+        edge_a, edge_b = a[core_a][one], b[core_b][two]
+        keep = edge_a != edge_b
+        out = [(edge_a[keep], edge_b[keep], np.full(keep.sum(), np.nan))]
+        away = ~core_b & (y.column("home").to_numpy() != y.column("cell").to_numpy())
+        for rows_, cols_, own, other, grid in ((~core_a, core_b, a, b, sims), (away, core_a, b, a, sims.T)):
+            if rows_.any() and cols_.any():
+                value_ = np.where((1 - grid <= eps)[np.ix_(rows_, cols_)], grid[np.ix_(rows_, cols_)], -2)
+                ids, best = _best(value_, other[cols_], 1)
+                best = np.concatenate(best)
+                out.append((own[rows_][best > -2], np.concatenate(ids)[best > -2], best[best > -2]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.Table.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], from_pandas=True)], schema=linked)
+
+    weight = once.select(F.col("k").alias("of"), "n")
+    placed = written(index.placed.join(weight, F.col("k") == F.col("of")).select("k", "v", "n", "cell"))
+    if min_samples > 2:
+        others = paired(placed.withColumn("core", F.lit(True)), count, "k long, n long").groupBy(F.col("k").alias("of")).agg(F.sum("n").alias("others"))
+        flags = placed.join(others, F.col("k") == F.col("of"), "left").withColumn("core", F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples)
+    else:
+        flags = placed.withColumn("core", F.lit(True))
+    flags = written(flags.select("k", "v", "n", "core", "cell"))
+    found = written(paired(flags, link, "a long, b long, sim double"))
+    labels = components(found.where("sim is null").select("a", "b"))
+    # A core without another is a cluster of its own; without a first pass only one that stands for enough equals is a core.
+    alone = F.col("k") if min_samples > 2 else F.when(F.col("n") >= min_samples, F.col("k"))
+    cores = flags.where("core").join(labels, F.col("k") == F.col("node"), "left").select("k", F.coalesce("label", alone).alias("cluster"))
+    offers = found.where("sim is not null").groupBy("a").agg(F.min(F.struct((-F.round("sim", 12)).alias("minus"), F.col("b").alias("core"))).alias("best")).select("a", F.col("best.core").alias("to"))
+    border = offers.join(cores, F.col("to") == F.col("k")).select(F.col("a"), "cluster")
+    named = written(cores.where("cluster is not null").union(border))
+    discard(found, flags, placed, index.placed, labels)
+    of_equals = once.select("v", "lone", F.col("k").alias("first")).join(named, F.col("first") == F.col("k")).select(F.col("v").alias("w"), "lone", "cluster")
+    whole = written(rows.join(of_equals, (F.col("v") == F.col("w")) & lone.eqNullSafe(F.col("lone"))).select(F.col("k").alias("__k"), "cluster"))
+    discard(rows, once, named)
+    return vectors.select(F.col(key).cast("long").alias(key)).join(whole, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
 def link_features(links: DataFrame, space: DataFrame, centers: DataFrame, key: str, value: str, parent: str, radius: float) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import export, graph, lifecycle, reports, telemetry
+from loomwork.operators import answers, export, graph, lifecycle, reports, telemetry
 from loomwork.plans.crawl import crawl
 from loomwork.plans.scoring import judged
 from loomwork.plans.store import shared_dir
@@ -218,9 +218,13 @@ def q_crawl_loop(spark, sf_dir):
     return crawl(named.where("url in ('p0', 'p1')").select("url"), named, 60, 6, 10, lambda: F.col("depth") + F.length("anchor") / 100.0, route)
 
 
+#: What the test model is told; it reads the links only.
+BLOCKS = [("Subject", "health"), ("Links", answers.LINKS), ("Wanted", "A number and a kind for each url, as JSON.")]
+
+
 def _client(prompt):
     """Test adapter of a model: a link's score is the length of its anchor, times ten; it forgets links that end in 7."""
-    links = json.loads(prompt.split("CANDIDATES:\n")[1].split("\n\n")[0])
+    links = json.loads(prompt.split("Links\n")[1].split("\n\n")[0])
     return json.dumps({"results": [{"url": x["url"], "score": 10 * len(x["anchor"]), "relevance_type": "direct", "expansions": [x["anchor"]]} for x in links if not x["url"].endswith("7")]})
 
 
@@ -231,7 +235,7 @@ def q_crawl_cascade(spark, sf_dir):
     named = graph.in_sequence(pages, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
     part = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     route = lambda url: F.concat(F.lit("p"), F.pmod(part(url), F.lit(n)).cast("string"))
-    judge = lambda rows: judged(rows, F.pmod(part(F.col("url")), F.lit(100)) / 100, 0.3, 0.7, _client, F.lit("health"), low_share=0.5, high_share=0.5, random_share=0.5)
+    judge = lambda rows: judged(rows, F.pmod(part(F.col("url")), F.lit(100)) / 100, 0.3, 0.7, _client, BLOCKS, low_share=0.5, high_share=0.5, random_share=0.5)
     return crawl(named.where("url in ('p0', 'p1')").select("url"), named, 60, 6, 10, lambda: 100.0 - F.coalesce("score", F.lit(0)) + F.col("depth"), route, judge=judge)
 
 

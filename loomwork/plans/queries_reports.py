@@ -172,12 +172,16 @@ def q_valid_messages(spark, sf_dir):
 
 
 def q_expansion_prompts(spark, sf_dir):
-    return answers.expansion_prompts(t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("topic")), F.col("topic"), "rich", 5).select("item_id", "prompt")
+    """Six blocks: who answers, the topic, how many, how long, what about, and the form."""
+    topics = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("topic"))
+    blocks = [("", "A catalogue clerk fills in cards."), ("Card", F.col("topic")), ("Lines", "5"), ("Length", "twelve words"), ("Sides", "use, origin, price"), ("Form", '["...", "..."]')]
+    return answers.expansion_prompts(topics, blocks).select("item_id", "prompt")
+
 
 
 def q_export_json(spark, sf_dir):
-    rows = t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), "props", F.array("event_type", F.lit("é")).alias("kinds"))
-    return export.export_rows(rows, {"props": "json", "kinds": "text"})
+    rows = t(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), "props", F.array("event_type", F.lit("é")).alias("kinds"), F.array("value").alias("list"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("{"), "event_type")).otherwise("null").alias("note"))
+    return export.export_rows(rows, {"props": "json", "kinds": "text", "list": "int", "note": "json"})
 
 
 def q_cluster_entries(spark, sf_dir):
@@ -232,8 +236,8 @@ ORACLE_SQL = {
     "stream_upsert": "SELECT user_id, event_type, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1, 2",
     "debug_lines": "SELECT event_id, '[SCORING] ' || event_type || ' value=' || floor(value)::BIGINT || '.0000 url=a b+' || user_id AS line FROM events",
     "valid_messages": "SELECT event_id, event_type AS type FROM events WHERE event_id % 3 = 0",
-    "expansion_prompts": """SELECT item_id, 'Topic: ' || text || chr(10) || chr(10) || 'Write 5 different descriptions of pages on this topic, a short paragraph each.' || chr(10) || chr(10) || 'Answer with a JSON list of objects {"description": "..."}.' AS prompt FROM benchmark""",
-    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, to_json(props)::VARCHAR AS props, '["' || event_type || '", "é"]' AS kinds FROM events""",
+    "expansion_prompts": """SELECT item_id, 'A catalogue clerk fills in cards.' || chr(10) || chr(10) || 'Card' || chr(10) || text || chr(10) || chr(10) || 'Lines' || chr(10) || '5' || chr(10) || chr(10) || 'Length' || chr(10) || 'twelve words' || chr(10) || chr(10) || 'Sides' || chr(10) || 'use, origin, price' || chr(10) || chr(10) || 'Form' || chr(10) || '["...", "..."]' AS prompt FROM benchmark""",
+    "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, props, '["' || event_type || '", "é"]' AS kinds, NULL::BIGINT AS list, CASE WHEN event_id % 2 = 0 THEN '"{' || event_type || '"' END AS note FROM events""",
     "cluster_entries": "SELECT vec_id, label AS cluster FROM embeddings WHERE label >= 3",
     "edges": "SELECT DISTINCT c_custkey % 10 AS a, c_custkey % 200 AS b FROM customer WHERE c_custkey > 1",
     "stream_stop": """WITH r AS (SELECT user_id % 5 AS crawl_id, event_id, event_type, user_id, lag(event_id) OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS prev,

@@ -84,7 +84,7 @@ def q_dbscan_shared(spark, sf_dir):
     """Every vector three times, in several blocks: copies are one cluster whatever else is near."""
     e = t(spark, sf_dir, "embeddings")
     rows = e.select(F.explode(F.array(*[F.col("vec_id") * 3 + k for k in range(3)])).alias("vec_id"), "embedding")
-    return space.dbscan(rows, "vec_id", "embedding", 0.3, 64)
+    return space.dbscan(rows, "vec_id", "embedding", 0.3, block=64)
 
 
 def q_dbscan_members(spark, sf_dir):
@@ -92,6 +92,11 @@ def q_dbscan_members(spark, sf_dir):
     return labels.groupBy("cluster").agg(F.count("*").alias("n"), F.max("vec_id").alias("last"))
 
 
+def q_dbscan_dense(spark, sf_dir):
+    """Cores have five vectors within eps; border vectors go to the nearest core."""
+    return space.dbscan(t(spark, sf_dir, "embeddings"), "vec_id", "embedding", EPS, 5)
+
+
 def _links(spark, sf_dir):
     """Candidates with their parent's vector, an anchor and the parent's text."""
     links, basis = _vectors(spark, sf_dir)
@@ -195,6 +200,11 @@ ORACLE_SQL = {
     "centroids": "SELECT label::BIGINT AS label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, dim",
     "cluster_distance": f"{_SIMS}{_FEATS} SELECT vec_id, round(cluster_distance, 6) AS value FROM far",
     "dbscan": f"{_SIMS}{_DB} SELECT vec_id, coalesce(cluster, -1)::BIGINT AS cluster FROM allv LEFT JOIN lab ON node = vec_id",
+    "dbscan_dense": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), pair AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE 1 - list_cosine_similarity(a.e, b.e) <= {EPS}),
+      core AS (SELECT a AS k FROM pair GROUP BY a HAVING count(*) >= 5), edge AS (SELECT a, b FROM pair WHERE a IN (FROM core) AND b IN (FROM core)),
+      reach AS (SELECT k AS node, k AS root FROM core UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node), lab AS (SELECT node, min(root) AS cluster FROM reach GROUP BY node),
+      border AS (SELECT a, arg_min(b, (-round(s, 12), b)) AS b FROM pair WHERE a NOT IN (FROM core) AND b IN (FROM core) GROUP BY a)
+      SELECT v.vec_id, coalesce(l.cluster, m.cluster, -1)::BIGINT AS cluster FROM v LEFT JOIN lab l ON l.node = v.vec_id LEFT JOIN border ON border.a = v.vec_id LEFT JOIN lab m ON m.node = border.b""",
     "dbscan_shared": f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), edge AS (SELECT a.vec_id AS a, min(b.vec_id) AS b FROM v a, v b WHERE 1 - list_cosine_similarity(a.e, b.e) <= 0.3 GROUP BY 1)
       SELECT a * 3 + unnest([0, 1, 2]) AS vec_id, b * 3 AS cluster FROM edge""",
     "dbscan_members": f"{_SIMS}{_DB} SELECT cluster, count(*) AS n, max(node) AS last FROM lab GROUP BY cluster",

@@ -111,13 +111,14 @@ def q_flat_objects(spark, sf_dir):
 def q_build_prompt(spark, sf_dir):
     talk = t(spark, sf_dir, "conversations")
     links = talk.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("url"), F.regexp_replace("text", r'[\n"\\/]', " ").alias("anchor"), F.lit("c").alias("context"))
-    return answers.build_prompts(links, "conv_id", F.lit("health"), "Score every link.")
+    return answers.build_prompts(links, "conv_id", F.lit("health"), "Score every link.", 3)
 
 
 def q_scoring_prompts(spark, sf_dir):
     talk = t(spark, sf_dir, "conversations")
     links = talk.select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("url"), F.regexp_replace("text", r'[\n"\\/]', " ").alias("anchor"), F.lit("c").alias("context"))
-    return answers.scoring_prompts(links, "conv_id", F.lit("health"), "PATHFINDING").select("conv_id", "n_links", "prompt")
+    blocks = [("Reader", "a nurse"), ("Links", answers.LINKS), ("Form", '{"<url>": {"score": 1}}')]
+    return answers.scoring_prompts(links, "conv_id", blocks, 2).select("conv_id", "part", "n_links", "prompt")
 
 
 def q_model_answers(spark, sf_dir):
@@ -229,15 +230,14 @@ ORACLE_SQL = {
     "map_results": f"WITH {_ANS}, {_LNK} SELECT l.url, CASE WHEN a.url IS NOT NULL THEN a.score ELSE coalesce(l.score, 0) END::BIGINT AS score, coalesce(a.relevance_type, 'irrelevant') AS relevance_type, coalesce(a.expansions, '') AS expansions FROM lnk l LEFT JOIN ans a USING (url)",
     "map_partial": f"WITH {_ANS}, {_LNK} SELECT url, pos, score::BIGINT AS score, NULL::VARCHAR AS relevance_type FROM lnk UNION ALL SELECT l.url, l.pos + 100000000, CASE WHEN a.url IS NOT NULL THEN a.score ELSE l.score END::BIGINT, a.relevance_type FROM lnk l LEFT JOIN ans a USING (url)",
     "flat_objects": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 4 END::BIGINT AS n, CASE WHEN event_id % 5 <> 0 AND event_id % 4 > 0 THEN (props->>'$.k')::BIGINT END AS k FROM events",
-    "scoring_prompts": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
-      SELECT conv_id, count(*) AS n_links, 'You score links for a crawler.' || chr(10) || chr(10) || '%s' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || 'target_topic: health' || chr(10) || 'strategy: PATHFINDING' || chr(10) || 'strategy_context: %s' || chr(10) || chr(10) || 'CANDIDATES:' || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' || chr(10) || chr(10) || '%s' AS prompt FROM l GROUP BY conv_id"""
-    % (answers.TASK, answers.CONTEXTS["PATHFINDING"].replace("'", "''"), "\n\n".join((answers.RULES, answers.OUTPUT, answers.LIMITS)).replace("'", "''")),
+    "scoring_prompts": r"""WITH l AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1) // 2 AS part, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j, role FROM conversations)
+      SELECT conv_id, part, count(*) AS n_links, 'Reader' || chr(10) || 'a nurse' || chr(10) || chr(10) || 'Links' || chr(10) || '[' || string_agg(j, ',' ORDER BY turn, role) || ']' || chr(10) || chr(10) || 'Form' || chr(10) || '{"<url>": {"score": 1}}' AS prompt FROM l GROUP BY conv_id, part""",
     "model_answers": """SELECT item_id, CASE WHEN NOT regexp_matches(text, '[0-9]') THEN '{"n": ' || length(text) || '}' END AS answer FROM benchmark""",
     "link_text": "SELECT page_id, '[URL]' || url || ' [ANCHOR]' || CASE WHEN page_id % 3 > 0 THEN page_id::VARCHAR ELSE '' END || ' [CTX]c' AS text FROM pages",
     "crawl_ids": "SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%d_%H:%M:%S') AS crawl_id FROM events",
     "dotted_paths": "SELECT event_id, props->>'$.k' AS k, NULL::VARCHAR AS none, NULL::VARCHAR AS broken FROM events",
     "json_lines": "SELECT event_id, unnest([1, 3, 4, 5])::BIGINT AS line_no, unnest([true, false, true, true]) AS ok FROM events WHERE event_id % 3 < 2",
     "spec_checks": f"SELECT item_id, p.problem, CASE WHEN p.problem IS NULL THEN 'balanced' END AS priority, CASE WHEN p.problem IS NULL THEN regexp_replace(text, '[^A-Za-z .,]', '', 'g') END AS topic, CASE WHEN p.k = 0 THEN 300 END::BIGINT AS max_len, CASE WHEN p.problem IS NULL THEN CASE p.k WHEN 0 THEN 'f' ELSE 't' END END AS fields FROM benchmark JOIN (VALUES {', '.join('(%d, %s)' % (k, 'NULL::VARCHAR' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)) for k, (_, _, x) in enumerate(SPEC_CASES))}) p(k, problem) ON item_id % {len(SPEC_CASES)} = p.k",
-    "build_prompt": r"""WITH l AS (SELECT conv_id, turn, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j FROM conversations)
-      SELECT conv_id, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn) || ']' AS prompt FROM l GROUP BY conv_id""",
+    "build_prompt": r"""WITH l AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1) // 3 AS part, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j, role FROM conversations)
+      SELECT conv_id, part, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn, role) || ']' AS prompt FROM l GROUP BY conv_id, part""",
 }

@@ -8,26 +8,28 @@ from loomwork.functions.transforms import chain
 from loomwork.operators import answers, dedup, extract, graph, lifecycle, telemetry
 from loomwork.sources import blueprint
 
-PAGE = '<html><body><h1> Tide tables </h1><span class="depth">7 m</span><a class="port" href="/x">harbour</a><a class="port" href="b/c-d"></a><div class="berth"><h2>North quay</h2><p>one<p>two</div><div class="berth"><h2>South quay B</h2></div></body></html>'
+PAGE = """<table id="stock"><caption>Seeds\n 2031</caption><tr data-row="1"><td>Dill</td><td class="n low">3<sup>*</sup></td><td><a rel="order" href="/o/dill">order</a></td></tr>
+<tr data-row="2"><td>Leek</td><td class="n">40</td><td><a rel="order" href="leek-seed">&nbsp;</a><em>new</em></td></tr><tr data-row="3"><td>Rue</td></tr></table><ol><li>sow<li>water</ol>"""
 
 
 @pytest.mark.parametrize(
     ("path", "want"),
     [
-        ("//h1", [" Tide tables "]),
-        ("//a[@class='port']/text()", ["harbour"]),
-        ("//a/@href", ["/x", "b/c-d"]),
-        ("//div[contains(@class,'berth')]/h2", ["North quay", "South quay B"]),
-        ("//div[@class='berth'][2]/h2", ["South quay B"]),
-        ("//p", ["one", "two"]),
-        ("//h2 | //h1", [" Tide tables ", "North quay", "South quay B"]),
-        ("count(//a)", ["2.0"]),
-        ("//div[not(p)]/h2", ["South quay B"]),
-        ("//h1/following-sibling::span", ["7 m"]),
-        ("//*[starts-with(@href,'/')]", ["harbour"]),
-        ("//h2[normalize-space()='North quay']/ancestor::div[1]/@class", ["berth"]),
-        ("//h2[contains(text(),'B') and not(@id)]", ["South quay B"]),
-        ("//table", []),
+        ("//caption", ["Seeds\n 2031"]),
+        ("//tr/td[1]/text()", ["Dill", "Leek", "Rue"]),
+        ("//tr[3]/td", ["Rue"]),
+        ("//td[@class='n']", ["40"]),
+        ("//td[contains(@class,'n')]", ["3*", "40"]),
+        ("//tr[@data-row='2']//em", ["new"]),
+        ("//tr[td/a]/@data-row", ["1", "2"]),
+        ("//tr[not(td/a)]/@data-row", ["3"]),
+        ("//li", ["sow", "water"]),
+        ("//em | //sup", ["*", "new"]),
+        ("count(//td)", ["7.0"]),
+        ("//sup/ancestor::td[1]/following-sibling::td/a/@href", ["/o/dill"]),
+        ("//td[normalize-space()='Leek']/ancestor::tr[1]/@data-row", ["2"]),
+        ("//a[starts-with(@href,'/o')]/@rel", ["order"]),
+        ("//form//input", []),
     ],
 )
 def test_xpath(path, want):
@@ -42,7 +44,7 @@ def test_empty_page_is_an_error():
 def test_links(spark):
     pages = spark.createDataFrame([(1, "http://h.org/a/b", PAGE), (2, "http://h.org", None)], "page_id long, url string, html string")
     got = [(r.url, r.anchor) for r in extract.extract_links(pages).orderBy("pos").collect()]
-    assert got == [("http://h.org/x", "harbour"), ("http://h.org/a/b/c-d", "c d")]
+    assert got == [("http://h.org/o/dill", "order"), ("http://h.org/a/leek-seed", "leek seed")]
 
 
 def test_item_errors(spark):
@@ -50,8 +52,8 @@ def test_item_errors(spark):
     for spec in ({"mode": "odd"}, {"mode": "container"}, {"fields": {"a": {"selector": "//a", "type": "odd"}}}):
         with pytest.raises(ValueError):
             extract.extract_items(pages, spec)
-    items = extract.extract_items(pages, {"mode": "container", "container": "//div[@class='berth']", "fields": {"t": {"selector": ".//h2", "type": "scalar"}, "n": {"type": "list"}}})
-    assert [(r["item"].t, r["item"].n) for r in items.orderBy("pos").collect()] == [("North quay", []), ("South quay B", [])]
+    items = extract.extract_items(pages, {"mode": "container", "container": "//tr[td/a]", "fields": {"t": {"selector": "./td", "type": "scalar"}, "n": {"type": "list"}}})
+    assert [(r["item"].t, r["item"].n) for r in items.orderBy("pos").collect()] == [("Dill", []), ("Leek", [])]
 
 
 def test_transforms(spark):
@@ -155,37 +157,6 @@ def test_item_hash_of_null(spark):
     assert got[2] is None and len(got[1]) == 64
 
 
-def test_dbscan_against_brute_force(spark):
-    import random
-
-    import numpy as np
-
-    from loomwork.operators import space
-
-    rng = np.random.default_rng(5)
-    centers = rng.normal(size=(6, 8))
-    vectors = [(centers[k % 6] + rng.normal(size=8) * (0.05 + 0.2 * (k % 3))).tolist() for k in range(150)]
-    vectors += [vectors[0]] * 3 + [[0.0] * 8] * 2 + [rng.normal(size=8).tolist() for _ in range(20)]
-    keys = random.Random(1).sample(range(1000), len(vectors))
-    df = spark.createDataFrame([*zip(keys, vectors, strict=True), (5000, None)], "k long, v array<double>")
-    m = np.array(vectors)
-    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    for eps in (0.05, 0.2, 0.7):
-        near = 1 - unit @ unit.T <= eps
-        np.fill_diagonal(near, False)
-        label = dict(enumerate(keys))
-        changed = True
-        while changed:
-            changed = False
-            for a, b in zip(*np.nonzero(near), strict=True):
-                if label[b] < label[a]:
-                    label[a], changed = label[b], True
-        want = {keys[k]: (label[k] if near[k].any() else -1) for k in range(len(keys))} | {5000: -1}
-        for block, pivots in ((4096, 256), (16, 4)):
-            assert {r.k: r.cluster for r in space.dbscan(df, "k", "v", eps, block, pivots).collect()} == want
-    assert space.dbscan(df.where("false"), "k", "v", 0.1).count() == 0
-
-
 def test_upserts_touch_their_buckets_only(spark, tmp_path):
     from loomwork.operators import export
 
@@ -238,3 +209,37 @@ def test_numbers_in_sequence(spark):
     got = graph.in_sequence(df, "n", "x", first=5).collect()
     assert sorted((r.x, r.n) for r in got) == [(k, k + 5) for k in range(1000)]
     assert graph.in_sequence(df.where("false"), "n", "x").count() == 0
+
+
+def test_exported_values(spark):
+    from loomwork.operators import export
+
+    rows = [("i", "c", "u", "t", '{"k":1}', '[1, "é"]', "plain", [1.5], '{"a": 1}'), ("j", "c", "u", "t", None, "null", '"q"', None, "7")]
+    items = spark.createDataFrame(rows, "id string, crawl_id string, url string, created_at string, a string, b string, c string, d array<double>, e string")
+    got = export.export_rows(items.withColumn("s", F.struct("e")), {"a": "json", "b": "json", "c": "json", "d": "int", "e": "real", "s": "real"}).collect()
+    assert [tuple(r)[4:] for r in got] == [('{"k": 1}', '[1, "é"]', '"plain"', None, None, None), (None, None, '"q"', None, 7.0, None)]
+
+
+def test_equally_late_rows_are_settled_alike(spark):
+    from loomwork.operators import export
+
+    rows = [(1, 5, "b"), (1, 5, "a"), (1, 4, "z"), (2, None, "x")]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "id long, seq long, v string")
+        got = export.upsert_latest(df.limit(0), df, ["id"], "seq").collect()
+        assert {r.id: r.v for r in got} == {1: "b", 2: "x"}
+
+
+def test_links_without_a_parent_are_decided(spark):
+    from loomwork.operators import cascade
+
+    links = spark.createDataFrame([(None, k, 0.9, "mid") for k in range(3)] + [(1, 9, 0.1, "low")], "parent long, key long, nlp_score double, bucket string")
+    got = cascade.decisions(links, "parent", "key", "s").collect()
+    assert sorted((r.key, r.decision) for r in got) == [(0, "llm"), (1, "llm"), (2, "llm"), (9, "dropped")]
+
+
+def test_prompts_of_many_links(spark):
+    links = spark.createDataFrame([(p, k, f"u{k}", "a", "c") for p in (None, 1) for k in range(7)], "p long, pos long, url string, anchor string, context string")
+    got = answers.scoring_prompts(links, "p", [("", "x"), ("L", answers.LINKS)], 3).collect()
+    assert sorted((r.p or 0, r.part, r.n_links) for r in got) == [(p, k, n) for p in (0, 1) for k, n in ((0, 3), (1, 3), (2, 1))]
+    assert all(r.prompt.startswith("x\n\nL\n[{") for r in got)
