@@ -2,7 +2,7 @@
 
 Null texts count as empty; an empty text has no words and fails the base rule. Rows with the same
 doc_id are judged one by one. Further columns of the input are ignored. Without labelled rows of both
-classes there is no model: the probability is null and only the base rule decides. Texts are hashed STRETCH
+classes there is no model (an empty table has none either): the probability is null and only the base rule decides. Texts are hashed STRETCH
 bytes at a time, so a text of many megabytes takes some ten times its size.
 """
 
@@ -20,7 +20,7 @@ from loomwork.llm.common import arrow_rows, discard, in_class_sample, materialis
 #: Buckets of each of the two blocks (words, characters) and how many labelled rows train the model at most (about).
 DIMS = 1 << 14
 TRAIN_ROWS = 2000
-#: Bytes of features that reach the driver at most (about); longer texts make for fewer rows.
+#: Bytes of features that reach the driver at most; longer texts make for fewer rows.
 TRAIN_BYTES = 64 << 20
 #: Bytes, or words, of a text that are hashed at a time.
 STRETCH = 1 << 20
@@ -118,31 +118,41 @@ def margin_of(m: logistic.LogisticModel, data: bytes, ids: np.ndarray, seen: dic
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> logistic.LogisticModel | None:
-    """Fit on about ``rows`` labelled documents, or fewer long ones, chosen by a hash of doc_id; their features come to the driver."""
+    """Fit on about ``rows`` labelled documents, chosen by a hash; their features come to the driver.
+
+    A document with several texts counts once for each different one. Of each class the texts with the smallest hashes
+    are taken, ``rows`` of them at most, as far as half of TRAIN_BYTES holds their features, which are bounded for any text."""
     good = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("good", F.col("quality") > 0)
     counts = {r.good: r["count"] for r in good.groupBy("good").count().collect()}
     few = good.where(in_class_sample("doc_id", "good", counts, rows))
-    schema = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("at", pa.binary()), ("value", pa.binary())])
+    text = F.coalesce("text", F.lit(""))
+    sample = docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("h")).join(F.broadcast(few.select("doc_id", "good")), "doc_id")
+    keys = materialise(sample.select("good", "h").distinct())
+    chosen = [(r.h,) for c in sorted(counts) for r in keys.where(F.col("good") == c).orderBy(F.xxhash64("h"), "h").limit(rows).collect()]
+    discard(keys)
+    schema = pa.schema([("good", pa.bool_()), ("h", pa.int64()), ("at", pa.binary()), ("value", pa.binary())])
 
     def of(batch: pa.RecordBatch) -> dict:
-        found = [features((t or "").encode()) for t in batch.column("text").to_pylist()]
-        return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "at": [a.astype(np.int32).tobytes() for a, _ in found], "value": [v.astype(np.float32).tobytes() for _, v in found]}
+        found = [features(t.encode()) for t in batch.column("text").to_pylist()]
+        return {"good": batch.column("good"), "h": batch.column("h"), "at": [a.astype(np.int32).tobytes() for a, _ in found], "value": [v.astype(np.float32).tobytes() for _, v in found]}
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(few.select("doc_id", F.col("quality").cast("int"))), "doc_id")
     def parts(batches):
         for batch in batches:
             yield from arrow_rows(schema, of)(slices(batch, 64))
 
-    found = sample.select("doc_id", "quality", "text").mapInArrow(parts, "doc_id long, quality int, at binary, value binary")
-    size = F.octet_length("at") + F.octet_length("value")
-    found = materialise(found)
-    total = found.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    share = min(1.0, TRAIN_BYTES / max(1, total))
-    got = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * share))).collect()
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "h long"))  # at most ``rows`` of each class
+    once = sample.join(wanted, "h").groupBy("h").agg(F.max("good").alias("good"), F.max("text").alias("text"))
+    found = materialise(once.select("good", "h", "text").mapInArrow(parts, "good boolean, h long, at binary, value binary"))
+    left, picked = dict.fromkeys(counts, TRAIN_BYTES // 2), []
+    for r in found.select("good", "h", (F.octet_length("at") + F.octet_length("value")).alias("size")).orderBy(F.xxhash64("h"), "h").collect():
+        left[r.good] -= r.size
+        if left[r.good] >= 0:
+            picked.append((r.h,))
+    got = found.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "h long")), "h").collect()
     discard(found)
-    got.sort(key=lambda r: (r.doc_id, bytes(r.at), bytes(r.value)))
+    got.sort(key=lambda r: r.h)
     got = [r for r in got if len(r.at)]
-    return logistic.fit([(int(r.quality > 0), np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in got], 2 * DIMS) if got else None
+    return logistic.fit([(int(r.good), np.frombuffer(r.at, np.int32), np.frombuffer(r.value, np.float32)) for r in got], 2 * DIMS) if got else None
 
 
 def _rows(batch: pa.RecordBatch, m: logistic.LogisticModel | None, keep_at: float) -> dict[str, list]:
