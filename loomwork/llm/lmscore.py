@@ -19,6 +19,8 @@ further columns are ignored. Without target documents the target knows no words
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,8 +33,8 @@ from loomwork.llm.common import materialise, mix64, split_words
 BIGRAM, UNSEEN, FLOOR = 0.7, 0.01, 1e-6
 #: Text of one block. A task holds one block and about 30 times its bytes.
 BLOCK_BYTES = 8 << 20
-#: Rows equal in doc_id and text up to this number share a block.
-REPEATS = 5_000
+#: Rows equal in doc_id and text share a block, where they are worked on once, up to so many bytes of text together.
+REPEAT_BYTES = 64 << 20
 #: What stands before a text's first word.
 BEGIN = np.uint64(1)
 #: Words whose hashes a block remembers.
@@ -64,9 +66,19 @@ class Block:
     def __init__(self, table: pa.Table, buckets: int):
         marks = table.column("is_target").to_numpy(zero_copy_only=False)
         rows = table.filter(pa.array(~marks))
-        self.doc_ids = rows.column("doc_id").to_pylist()
         target = set(table.filter(pa.array(marks)).column("doc_id").to_pylist())
-        self.target = np.array([d in target for d in self.doc_ids], bool)
+        # Rows with one text are worked on once for each model; each row knows which, and each of those how many rows it is.
+        firsts: dict[tuple[bytes, bool], int] = {}
+        self.doc_ids, self.of, distinct = rows.column("doc_id").to_pylist(), [], []
+        for k, d in enumerate(self.doc_ids):
+            key = hashlib.blake2b(rows.column("text")[k].as_buffer() or b"", digest_size=16).digest(), d in target
+            if key not in firsts:
+                firsts[key] = len(distinct)
+                distinct.append(k)
+            self.of.append(firsts[key])
+        self.target = np.array([t for _, t in firsts], bool)
+        self.copies = np.bincount(np.array(self.of, np.int64), minlength=len(distinct))
+        rows = rows.take(distinct) if len(distinct) < len(self.doc_ids) else rows
         known: dict[bytes, int] = {}
         hashed, texts = [np.zeros(0, np.uint64)], rows.column("text")
         for k in range(len(texts)):
@@ -93,9 +105,11 @@ class Block:
 
     def counts(self, of: np.ndarray) -> np.ndarray:
         """How often each key stands in the rows that of marks."""
-        mine = of[self.row]
-        places = np.concatenate((self.word[mine], self.pair[mine], self.begin[of[self.sizes > 0]]))
-        return np.bincount(places, minlength=len(self.keys)).astype(np.int32)
+        mine, full = of[self.row], self.sizes > 0
+        places = np.concatenate((self.word[mine], self.pair[mine], self.begin[of[full]]))
+        times = self.copies[self.row][mine]
+        times = np.concatenate((times, times, self.copies[full & of]))
+        return np.bincount(places, times if times.size and times.max() > 1 else None, minlength=len(self.keys)).astype(np.int32)
 
     def own(self, places: np.ndarray) -> np.ndarray:
         """How often the key at each place of a row stands in that row."""
@@ -174,11 +188,12 @@ def score_block(table: pa.Table, answers: pa.Table, buckets: int, total: int, to
     answers = answers.sort_by("bucket")
     n, n_target = (np.concatenate([np.zeros(0, np.float32), *(c.flatten().to_numpy() for c in answers.column(k).chunks)]).astype(float) for k in ("n", "n_target"))
     target, background = block.losses(n_target, total_target, block.target), block.losses(n, total, ~block.target)
-    none = block.sizes == 0
-    return pa.Table.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(block.sizes), *(pa.array(x, mask=none) for x in (target, background, target - background))], schema=SCORES)
+    at = np.array(block.of, np.int64)
+    sizes, target, background = block.sizes[at], target[at], background[at]
+    return pa.Table.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(sizes), *(pa.array(x, mask=sizes == 0) for x in (target, background, target - background))], schema=SCORES)
 
 
-def differences(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, repeats: int = REPEATS) -> DataFrame:
+def differences(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYTES, repeat_bytes: int = REPEAT_BYTES) -> DataFrame:
     """doc_id, n_words, mean losses under both models and their difference, one row for each row of docs."""
     n_words = F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r\\x0B\\f]+")), F.lit(0)).cast("long")
 
@@ -187,7 +202,8 @@ def differences(docs: DataFrame, labels: DataFrame, block_bytes: int = BLOCK_BYT
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("part", F.xxhash64("doc_id", "text"))
     sizes = sizes_of(rows)
-    if (sizes.groupBy("part").count().agg(F.max("count")).first()[0] or 0) > repeats:  # equal rows go to several blocks
+    equal = sizes.groupBy("part").agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n")).where("n > 1")
+    if (equal.agg(F.max("n_bytes")).first()[0] or 0) > repeat_bytes:  # equal rows go to several blocks
         rows = materialise(rows.withColumn("part", F.xxhash64("part", F.monotonically_increasing_id())))
         sizes = sizes_of(rows)
     good = labels.where("quality > 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
