@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,16 @@ def test_quality_of_a_very_long_text():
     assert peak < 50 * len(text)
 
 
+def test_quality_training_on_one_repeated_document(spark):
+    """Many rows of one doc_id, different or equal, neither crowd the driver nor drop a class."""
+    spam = spark.range(20_000).selectExpr("7 as doc_id", "concat('buy now ', cast(id % 15000 as string)) as text")
+    rest = spark.createDataFrame([(k, f"a quiet walk along the river number {k}") for k in range(100, 140)], "doc_id int, text string")
+    marks = spark.createDataFrame([(7, 0)] + [(k, 1) for k in range(100, 140)], "doc_id int, quality int")
+    model = quality.train(spam.unionByName(rest), marks, rows=300)
+    p = {r.doc_id: r.quality_prob for r in quality.judge(spam.limit(1).unionByName(rest), model).collect()}
+    assert p[7] < 0.5 < min(v for k, v in p.items() if k != 7)
+
+
 def test_quality_training_is_bounded_in_bytes(docs, labels, monkeypatch):
     monkeypatch.setattr(quality, "TRAIN_BYTES", 1 << 20)
     seen = []
@@ -517,8 +528,8 @@ def test_url_classifier_against_brute_force(spark):
 def test_url_classifier_on_hosts_it_has_not_seen():
     rows = urls.labelled_urls()
     assert {h for h, _, _, t in rows if t < urls.FIT} & {h for h, _, _, t in rows if t >= urls.FIT} == set()
-    model = urls.train(rows)
-    for lo, hi, most in ((urls.FIT, urls.FIT + urls.CALIBRATE, 0.015), (urls.FIT + urls.CALIBRATE, 10, 0.03)):
+    model = urls.train()
+    for lo, hi, most in ((urls.FIT, urls.FIT + urls.CALIBRATE, 0.03), (urls.FIT + urls.CALIBRATE, 10, 0.03)):
         blocked = {0: [], 1: []}
         for h, p, label, tenth in rows:
             if lo <= tenth < hi:
@@ -534,6 +545,17 @@ def test_url_classifier_decides_on_pages(spark):
     assert sum(r.verdict == "allow" for r in plain) >= 0.95 * len(plain)
 
 
+def test_url_model_on_hosts_written_by_hand():
+    """Hosts by hand that took no part in the fit: better than chance, and that is what the README says."""
+    model, found = urls.train(), {0: [], 1: []}
+    rows = [r for r in urls.written_urls() if r[3] >= urls.FIT + urls.CALIBRATE]
+    for h, p, label, _ in rows:
+        found[label].append(model.probability(urls.margin_of(model, h, p)) >= urls.BLOCK_AT)
+    assert len({h for h, _, _, _ in urls.written_urls()}) > 300
+    print({k: round(float(np.mean(v)), 3) for k, v in found.items()})
+    assert np.mean(found[1]) > 1.5 * np.mean(found[0])
+
+
 # 6
 
 
@@ -618,14 +640,14 @@ def brute_differences(rows, good):
     return [(d, len(texts[k]), *((loss(k, target), loss(k, background)) if texts[k] else (None, None))) for k, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("repeats", [5000, 1])
-def test_lm_differences(spark, docs, labels, odd, empty, repeats):
+@pytest.mark.parametrize("repeat_bytes", [64 << 20, 1])
+def test_lm_differences(spark, docs, labels, odd, empty, repeat_bytes):
     rows = [(r.doc_id, r.text) for r in docs.limit(60).collect()] + [(r.doc_id, r.text) for r in odd.collect()] + [(900001, "rare0 " * 3 + "rare1"), (900001, "rare2"), (None, "rare1 rare0"), (None, "rare1 rare0")]
     good = {r.doc_id for r in labels.where("quality > 0").collect()} | {900001}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     marked = spark.createDataFrame([(d, 1) for d in good], "doc_id long, quality int")
     key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
-    got = sorted((tuple(r) for r in lmscore.differences(df, marked, block_bytes=20_000, repeats=repeats).collect()), key=key)
+    got = sorted((tuple(r) for r in lmscore.differences(df, marked, block_bytes=20_000, repeat_bytes=repeat_bytes).collect()), key=key)
     want = sorted(brute_differences(rows, good), key=key)
     assert len(got) == len(want)
     for g, w in zip(got, want, strict=True):
@@ -663,6 +685,23 @@ def test_lm_table_of_sums_grows(spark):
         assert len(block.keys) == len({w for t in texts for w in t}) + len({x for t in texts for x in zip([None, *t], t, strict=False)}) + 1
 
 
+def test_lm_block_works_on_equal_rows_once(spark):
+    """5000 equal rows of 20 kB are one text of the block."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{k % 700}" for k in range(4000))
+    table = pa.table({"block": pa.array([0] * 5001, pa.int32()), "doc_id": list(range(5001)), "text": [text] * 5000 + ["w1 w2"], "is_target": [False] * 5001})
+    tracemalloc.start()
+    block = lmscore.Block(table, 7)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert len(block.sizes) == 2 and block.copies.tolist() == [5000, 1] and len(block.of) == 5001
+    n = block.counts(np.ones(2, bool))
+    assert n[block.word[0]] == 5000 * (4000 // 700 + 1) and n.sum() == 5000 * (2 * 4000 + 1) + 2 * 2 + 1
+
+
 # 8
 
 
