@@ -25,9 +25,10 @@ def table_name(base_url: Column, blueprint_id: Column) -> Column:
     return F.regexp_replace(F.concat(host, F.lit("_"), blueprint_id), r"[^A-Za-z0-9_]", "_")
 
 
-def ddl(name: str, fields: dict[str, str]) -> str:
+def ddl(name: str, fields: dict[str, str], location: str | None = None) -> str:
+    """The statement that makes a table for exported rows, at a location or else in the warehouse."""
     columns = ["id STRING", "crawl_id STRING", "url STRING", "created_at STRING", *(f"`{n}` {TYPES.get(t, 'string')}" for n, t in fields.items())]
-    return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(columns)}) USING parquet"
+    return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(columns)}) USING parquet{f" LOCATION '{location}'" if location else ""}"
 
 
 def python_json(c: Column, is_text: bool = False) -> Column:

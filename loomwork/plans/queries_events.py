@@ -5,14 +5,19 @@ Test adapter: user_id is the node; signup adds it, view enqueues, click starts,
 from __future__ import annotations
 
 import json
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators import answers, export, graph, lifecycle, reports, telemetry
+from loomwork.operators import answers, export, graph, lifecycle, replay, reports, telemetry
+from loomwork.operators.seen import SeenSet
 from loomwork.plans.crawl import crawl
 from loomwork.plans.scoring import judged
-from loomwork.plans.store import shared_dir
+from loomwork.plans.store import shared_dir, written
 from loomwork.plans.tables import r6, t
+from loomwork.sources import pages
+from loomwork.streaming import details
 from loomwork.streaming import events as S
 
 PHASES = {"view": "enqueued", "click": "started", "purchase": "completed", "error": "failed"}
@@ -72,6 +77,55 @@ def q_checkpoint_seek(spark, sf_dir):
     return telemetry.seek(telemetry.checkpoints(e, "node_id"), e, "node_id", SEEK)
 
 
+def q_replay_seek(spark, sf_dir):
+    """The replay's tables, and the state out of one snapshot, one delta and less than a range of events."""
+    path = shared_dir(spark)
+    replay.write_replay(_events(spark, sf_dir), "node_id", path, 1000, 4)
+    return replay.seek(spark, path, "node_id", SEEK, "node_id long, state string", 1000, 4)
+
+
+def q_stream_details(spark, sf_dir):
+    """Details and nodes as a stream, one crawl for each remainder of the user; fewer urls wait than a crawl may hold."""
+    e, out = t(spark, sf_dir, "events"), shared_dir(spark)
+    url, is_node = F.col("user_id").cast("string"), F.col("event_type") == "signup"
+    stream = S.read_events(spark, f"{sf_dir}/events.parquet*", e.schema).where("event_type in ('signup', 'view')")
+    rows = stream.select((F.col("user_id") % 5).alias("crawl_id"), F.col("event_id").alias("seq"), url.alias("url"), F.when(~is_node, F.concat(F.lit("d"), F.col("event_id").cast("string"))).alias("detail"), is_node.alias("is_node"))
+    name, provider = details.PROVIDER
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        S.run_to(details.one_shot_details(rows), out, f"{out}-state")
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(details.ROWS).parquet(out)
+
+
+def q_seen_increments(spark, sf_dir):
+    """Orders in three waves by their number; an order counts as new if no earlier wave had its customer."""
+    o, seen, new = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("url")), SeenSet(spark), []
+    for k in range(3):
+        rows = written(seen.unseen(o.where(F.col("o_orderkey") % 3 == k)))
+        seen.add(rows.select("url"))
+        new.append(rows.withColumn("wave", F.lit(k).cast("long")))
+    return reduce(DataFrame.unionByName, new)
+
+
+def q_paced_fetch(spark, sf_dir):
+    """Test adapter of a client: the length of a url says whether the host is busy, the page is slow, or there."""
+
+    def fetch(url):
+        if len(url) % 3 == 0:
+            raise OSError("status 429")
+        if len(url) % 3 == 1:
+            raise TimeoutError
+        return url
+
+    front = t(spark, sf_dir, "pages").select(F.col("page_id").alias("node_id"), "url", (F.col("page_id") % 7).cast("double").alias("priority"), F.lit(0).alias("attempt"))
+    pace = pages.Pace(least=0.0, jitter=0.0, clock=lambda: 0.0, sleep=lambda _: None)
+    got = pages.fetch_wave(front, pages.no_hosts(spark), fetch, pace)
+    return got.select("node_id", "host", "place", F.coalesce(F.substring_index("error", ":", 1), F.lit("")).alias("kind"), r6(F.col("delay")).alias("delay"), r6(F.col("backoff")).alias("backoff"))
+
+
 def q_late_reader(spark, sf_dir):
     """A snapshot at an event, and what follows it: together the state at the end."""
     e = _events(spark, sf_dir)
@@ -199,8 +253,9 @@ def q_stream_first_seen(spark, sf_dir):
 
 
 def q_windowed_counts(spark, sf_dir):
-    """An extension: counts by day."""
-    return t(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    """An extension: counts by day, the streaming operator over a table."""
+    days = S.windowed_counts(t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return days.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 def q_dropped_after_stop(spark, sf_dir):
@@ -211,9 +266,9 @@ def q_dropped_after_stop(spark, sf_dir):
 
 def q_crawl_loop(spark, sf_dir):
     """Test adapter: a link leads to the page whose number is its md5 modulo the number of pages."""
-    pages = t(spark, sf_dir, "pages")
-    n = pages.count()
-    named = graph.in_sequence(pages, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
+    table = t(spark, sf_dir, "pages")
+    n = table.count()
+    named = graph.in_sequence(table, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
     route = lambda url: F.concat(F.lit("p"), F.pmod(F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("long"), F.lit(n)).cast("string"))
     return crawl(named.where("url in ('p0', 'p1')").select("url"), named, 60, 6, 10, lambda: F.col("depth") + F.length("anchor") / 100.0, route)
 
@@ -230,9 +285,9 @@ def _client(prompt):
 
 def q_crawl_cascade(spark, sf_dir):
     """The crawl with the whole cascade in each wave; adapters of q_crawl_loop, a link's first score from its url's md5."""
-    pages = t(spark, sf_dir, "pages")
-    n = pages.count()
-    named = graph.in_sequence(pages, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
+    table = t(spark, sf_dir, "pages")
+    n = table.count()
+    named = graph.in_sequence(table, "k", "page_id").select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("url"), "html")
     part = lambda c: F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("long")
     route = lambda url: F.concat(F.lit("p"), F.pmod(part(url), F.lit(n)).cast("string"))
     judge = lambda rows: judged(rows, F.pmod(part(F.col("url")), F.lit(100)) / 100, 0.3, 0.7, _client, BLOCKS, low_share=0.5, high_share=0.5, random_share=0.5)
@@ -255,6 +310,15 @@ ORACLE_SQL = {
     "funnel": f"WITH {_E}, s AS (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id), k AS (SELECT unnest(['CREATED', 'FETCHED', 'FILTERED', 'SCORED', 'EXPANDED']) AS state, unnest([1, 2, 3, 4, 5]) AS step) SELECT step::BIGINT AS step, state, (SELECT count(*) FROM s JOIN k j USING (state) WHERE j.step >= k.step) AS reached FROM k",
     "state_at": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
     "checkpoint_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
+    "replay_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
+    "stream_details": f"""WITH {_E}, n AS (SELECT seq, node_id, coalesce(lag(seq) OVER (PARTITION BY node_id ORDER BY seq), -1) AS prev FROM e WHERE event_type = 'signup')
+      SELECT n.node_id % 5 AS crawl_id, n.seq, n.node_id::VARCHAR AS url, (SELECT 'd' || max(v.seq) FROM e v WHERE v.event_type = 'view' AND v.node_id = n.node_id AND v.seq < n.seq AND v.seq > n.prev) AS detail, 0::BIGINT AS lost FROM n""",
+    "seen_increments": "SELECT o_orderkey, o_custkey::VARCHAR AS url, o_orderkey % 3 AS wave FROM orders WHERE o_orderkey % 3 = (SELECT min(p.o_orderkey % 3) FROM orders p WHERE p.o_custkey = orders.o_custkey)",
+    "paced_fetch": """WITH RECURSIVE p AS (SELECT page_id AS node_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, length(url) % 3 AS r, page_id % 7 AS priority FROM pages),
+      k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY priority, node_id) AS place FROM p),
+      b AS (SELECT node_id, host, r, place, 0.0::DOUBLE AS delay, CASE WHEN r = 0 THEN 1.0::DOUBLE ELSE 0 END AS backoff FROM k WHERE place = 1
+            UNION ALL SELECT k.node_id, k.host, k.r, k.place, b.backoff, CASE WHEN k.r = 0 THEN CASE WHEN b.backoff = 0 THEN 1 ELSE least(2 * b.backoff, 10) END ELSE b.backoff / 2 END FROM b JOIN k ON k.host = b.host AND k.place = b.place + 1)
+      SELECT node_id, host, place, CASE r WHEN 0 THEN 'OSError' WHEN 1 THEN 'TimeoutError' ELSE '' END AS kind, round(delay, 6) AS delay, round(backoff, 6) AS backoff FROM b""",
     "late_reader": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq FROM e GROUP BY node_id",
     "checkpoints": f"WITH {_E} SELECT seq // 1000 AS range, node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e GROUP BY 1, 2",
     "recent_ticks": f"WITH {_E} SELECT seq, stage, phase FROM e WHERE phase IS NOT NULL ORDER BY seq DESC LIMIT 40",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from loomwork.functions import format as fmt
 from loomwork.operators import answers, cascade, dedup, export, reports, space, telemetry
 from loomwork.plans.queries_events import _E, _events
-from loomwork.plans.store import shared_dir
+from loomwork.plans.store import shared_dir, written
 from loomwork.plans.tables import r6, t
-from loomwork.sources import space_store
+from loomwork.sources import growth, space_store
 from loomwork.streaming import events as S
 
 
@@ -110,12 +110,18 @@ def q_running_depth(spark, sf_dir):
 
 
 def q_table_ddl(spark, sf_dir):
-    """The table is made and described by the catalogue, then dropped."""
+    """A table of the catalogue in the shared folder, made with the kinds of a table's columns and filled by export_rows."""
+    p = t(spark, sf_dir, "part")
     name = f"site_{uuid.uuid4().hex}"
-    spark.sql(export.ddl(name, {"price": "real", "n": "int", "tags": "json", "name": "text"}))
-    found = [(c.name, c.dataType) for c in spark.catalog.listColumns(name)]
+    fields = {"p_retailprice": "real", "p_size": "int", "p_type": "json", "p_name": "text"}
+    spark.sql(export.ddl(name, fields, shared_dir(spark)))
+    rows = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("c").alias("crawl_id"), F.lit("u").alias("url"), F.lit("2024").alias("created_at"), *fields)
+    export.export_rows(rows, fields).write.insertInto(name)
+    found = spark.createDataFrame([(c.name, c.dataType, c.name in export.MANDATORY) for c in spark.catalog.listColumns(name)], "name string, type string, mandatory boolean")
+    listed = export.list_tables(spark).where(F.col("table_name") == name).select(F.lit(True).alias("listed"))
+    sums = written(spark.table(name).agg(F.count("*").alias("n"), F.sum("p_size").alias("size")).crossJoin(listed))
     spark.sql(f"DROP TABLE {name}")
-    return spark.createDataFrame(found, "name string, type string")
+    return found.join(F.broadcast(sums))
 
 
 def q_space_store(spark, sf_dir):
@@ -138,6 +144,19 @@ def q_space_growth(spark, sf_dir):
     return space_store.grown(none, items).select("key", "type", "text", "source_url", F.size("vector").cast("long").alias("dim"))
 
 
+CAPACITY = 25
+
+
+def q_space_flushes(spark, sf_dir):
+    """Two batches of topics with their sentences into a buffer that holds 25; a full buffer makes a version."""
+    items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.concat(F.lit("u"), F.col("item_id").cast("string")).alias("url"), F.split("text", " ").alias("expansions"))
+    source, path = shared_dir(spark), shared_dir(spark)
+    for part in (0, 1):
+        items.where(F.col("seq") % 2 == part).write.mode("append").parquet(source)
+        growth.grow_stream(spark.readStream.schema(growth.LINKS).parquet(source), path, "bp", f"{path}-state", capacity=CAPACITY, every=1e9, clock=lambda: 0.0)
+    return growth.buffer_totals(spark, path).select("batches", "added", "kept", "lost", "flushes", "version", "waiting")
+
+
 def q_item_hash_exact(spark, sf_dir):
     docs = t(spark, sf_dir, "documents")
     items = docs.select("doc_id", F.struct(F.col("source").alias("b"), F.array("lang", F.lit("é")).alias("a")).alias("item"))
@@ -228,9 +247,12 @@ ORACLE_SQL = {
       h AS (SELECT *, floor(n * 0.5::DOUBLE) AS h, floor(floor(n * 0.5::DOUBLE) * 0.5::DOUBLE) AS rnd FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, bucket, k <= rnd ORDER BY o_totalprice DESC, o_orderkey) AS r FROM h)
       SELECT o_orderkey, CASE bucket WHEN 'mid' THEN 'mid' ELSE bucket || '_sample' END AS part FROM r WHERE bucket = 'mid' OR bucket = 'low' AND k <= floor(n * 0.3::DOUBLE) OR bucket = 'high' AND (k <= rnd OR r <= h - rnd)""",
     "running_depth": "SELECT event_id AS seq, user_id % 40 AS depth, count(*) OVER (ORDER BY event_id) AS nodes, max(user_id % 40) OVER (ORDER BY event_id) AS top_depth FROM events WHERE event_type = 'signup'",
-    "table_ddl": "SELECT unnest(['id', 'crawl_id', 'url', 'created_at', 'price', 'n', 'tags', 'name']) AS name, unnest(['string', 'string', 'string', 'string', 'double', 'bigint', 'string', 'string']) AS type",
+    "table_ddl": "SELECT unnest(['id', 'crawl_id', 'url', 'created_at', 'p_retailprice', 'p_size', 'p_type', 'p_name']) AS name, unnest(['string', 'string', 'string', 'string', 'double', 'bigint', 'string', 'string']) AS type, unnest([true, true, true, true, false, false, false, false]) AS mandatory, n, size, true AS listed FROM (SELECT count(*) AS n, sum(p_size)::BIGINT AS size FROM part)",
     "space_store": r"WITH e AS (SELECT count(*) AS n, min(md5(array_to_string(list_transform(embedding, lambda x: printf('%.4f', x::DOUBLE)), ','))) AS least, max(vec_id::VARCHAR) AS last FROM embeddings) SELECT 'bp' AS blueprint_id, 1::BIGINT AS version, n AS n_vectors, NULL::VARCHAR AS least, NULL::VARCHAR AS last FROM e UNION ALL SELECT 'bp', 2, n + (SELECT sum(len(regexp_split_to_array(text, '\.\s*'))) FROM benchmark)::BIGINT, least, last FROM e",
     "space_growth": "SELECT 'u' || item_id || '::exp::' || k AS key, 'expansion' AS type, w AS text, 'u' || item_id AS source_url, 64::BIGINT AS dim FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS k FROM benchmark)",
+    "space_flushes": f"""WITH n AS (SELECT count(*) FILTER (WHERE item_id % 2 = 0) AS a, count(*) FILTER (WHERE item_id % 2 = 1) AS b FROM benchmark), k AS (SELECT *, least(a, {CAPACITY}) AS k1, a >= {CAPACITY} AS f1 FROM n),
+      m AS (SELECT *, CASE WHEN f1 THEN 0 ELSE k1 END AS held, least(b, {CAPACITY} - CASE WHEN f1 THEN 0 ELSE k1 END) AS k2 FROM k), f AS (SELECT *, held + k2 >= {CAPACITY} AS f2 FROM m)
+      SELECT 2::BIGINT AS batches, a + b AS added, k1 + k2 AS kept, a + b - k1 - k2 AS lost, f1::BIGINT + f2::BIGINT AS flushes, f1::BIGINT + f2::BIGINT AS version, CASE WHEN f2 THEN 0 ELSE held + k2 END AS waiting FROM f""",
     "item_hash_exact": """SELECT doc_id, sha256('{"a": ["' || lang || '", "\\u00e9"], "b": "' || source || '"}') AS item_hash FROM documents""",
     "traced_minimal": "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
     "stream_upsert": "SELECT user_id, event_type, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1, 2",
