@@ -42,6 +42,17 @@ def _page_links(page: str | None, base: str | None, selector: str) -> list[dict]
     return out
 
 
+def page_links(page: str | None, base: str | None, selector: str = "//a") -> list[dict]:
+    """pos, href, anchor and context of one page's links, with what stands for empty anchors and the sentence around each."""
+    out = _page_links(page, base, selector)
+    for link in out:
+        link["anchor"] = link["anchor"] or link["href"].rsplit("/", 1)[-1].replace("-", " ")
+        if link["context"] and link["anchor"]:
+            sentence = next((x for x in link["context"].split(".") if link["anchor"].lower() in x.lower()), None)
+            link["context"] = link["context"] if sentence is None else sentence.strip()
+    return out
+
+
 def extract_links(pages: DataFrame, selector: str | Column = "//a", key: str = "page_id", base: str = "url") -> DataFrame:
     """(key, page_url, pos, url, anchor, context) for each link with an address.
 
@@ -83,11 +94,8 @@ def _field(context, spec: dict):
     return values
 
 
-def extract_items(pages: DataFrame, spec: dict, key: str = "page_id") -> DataFrame:
-    """(key, pos, item) by an extraction spec; item is a struct made from the spec's fields.
-
-    mode document gives one item for a page, mode container one for each container. Unknown modes and field
-    types, and container mode without a selector, are errors when the plan is made."""
+def checked_spec(spec: dict) -> dict:
+    """The spec with its mode and fields; unknown modes and field types, and container mode without a selector, are errors."""
     mode, fields = spec.get("mode", "document"), spec.get("fields", {})
     if mode not in ("document", "container"):
         raise ValueError(f"extraction mode {mode!r} is neither document nor container")
@@ -96,20 +104,32 @@ def extract_items(pages: DataFrame, spec: dict, key: str = "page_id") -> DataFra
     for f in fields.values():
         if f.get("type", "list") not in ("scalar", "list"):
             raise ValueError(f"field type {f['type']!r} is neither scalar nor list")
+    return spec | {"mode": mode, "fields": fields}
+
+
+def page_items(page: str | None, spec: dict) -> list[dict]:
+    """One page's items by a spec; a page that can't be read has none."""
+    try:
+        tree = H.parse(page or "")
+    except ValueError:
+        return []
+    contexts = [tree] if spec.get("mode", "document") == "document" else H.select(tree, spec["container"])
+    return [{n: _field(c, f) for n, f in spec.get("fields", {}).items()} for c in contexts]
+
+
+def extract_items(pages: DataFrame, spec: dict, key: str = "page_id") -> DataFrame:
+    """(key, pos, item) by an extraction spec; item is a struct made from the spec's fields.
+
+    mode document gives one item for a page, mode container one for each container. Unknown modes and field
+    types, and container mode without a selector, are errors when the plan is made."""
+    spec = checked_spec(spec)
+    fields = spec["fields"]
     item = pa.struct([(n, pa.string() if f.get("type", "list") == "scalar" else pa.list_(pa.string())) for n, f in fields.items()])
     schema = pa.schema([(key, pa.int64()), ("items", pa.list_(item))])
 
-    def of(page: str | None) -> list[dict]:
-        try:
-            tree = H.parse(page or "")
-        except ValueError:
-            return []
-        contexts = [tree] if mode == "document" else H.select(tree, spec["container"])
-        return [{n: _field(c, f) for n, f in fields.items()} for c in contexts]
-
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([of(h) for h in b.column("html").to_pylist()], pa.list_(item))], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([page_items(h, spec) for h in b.column("html").to_pylist()], pa.list_(item))], schema=schema)
 
     rows = pages.select(F.col(key).cast("long").alias(key), "html").mapInArrow(run, f"{key} long, items array<{_spec_type(fields)}>")
     return rows.select(key, F.posexplode("items").alias("pos", "item"))

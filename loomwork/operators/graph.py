@@ -33,16 +33,48 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+class Lineage:
+    """Ancestors of nodes(node_id, parent_id) by doubling: level k leads from a node to the one 2^k steps up.
+
+    Levels are written as they are needed and stay until close(), so that further paths take joins only. Levels and
+    rounds grow with the logarithm of the longest path. A parent that isn't a node is still an ancestor; a cycle ends
+    where it brings nothing new; a node of several parents has the ancestors of all."""
+
+    def __init__(self, nodes: DataFrame):
+        self.levels = [written(nodes.where("parent_id is not null").select(F.col("node_id").alias("child"), F.col("parent_id").alias("up")).distinct())]
+
+    def level(self, k: int) -> DataFrame:
+        while len(self.levels) <= k:
+            last = self.levels[-1]
+            onward = last.select(F.col("child").alias("up"), F.col("up").alias("next"))
+            self.levels.append(written(last.join(onward, "up").select("child", F.col("next").alias("up")).distinct()))
+        return self.levels[k]
+
+    def ancestors_of(self, ids: DataFrame) -> DataFrame:
+        """ids(node_id) and all nodes on the way to their roots, in a written table."""
+        found, k = written(ids.select("node_id").distinct()), 0
+        while True:
+            # found holds all that is less than 2^k steps up, so this step brings what is less than twice as far
+            step = self.level(k).join(found, F.col("child") == F.col("node_id")).select(F.col("up").alias("node_id")).distinct()
+            more = written(step.join(found, "node_id", "left_anti"))
+            if more.isEmpty():
+                discard(more)
+                return found
+            both = written(found.union(more))
+            discard(found, more)
+            found, k = both, k + 1
+
+    def close(self) -> None:
+        discard(*self.levels)
+        self.levels = []
+
+
 def ancestors(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """nodes(node_id, parent_id), ids(node_id) -> the nodes on the way from ids to their roots, themselves included."""
-    parents = nodes.select(F.col("node_id").alias("child"), "parent_id")
-    found = front = written(ids.select("node_id").distinct())
-    while True:
-        step = front.join(parents, F.col("node_id") == F.col("child")).where("parent_id is not null").select(F.col("parent_id").alias("node_id")).distinct()
-        front = written(step.join(found, "node_id", "left_anti"))
-        if front.isEmpty():
-            return found
-        found = written(found.union(front))
+    lineage = Lineage(nodes)
+    found = lineage.ancestors_of(ids)
+    lineage.close()
+    return found
 
 
 def neighbourhood(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.operators import answers, export, graph, lifecycle, replay, reports, telemetry
+from loomwork.operators import answers, export, graph, lifecycle, live, replay, reports, telemetry
 from loomwork.operators.seen import SeenSet
 from loomwork.plans.crawl import crawl
 from loomwork.plans.scoring import judged
@@ -84,6 +84,17 @@ def q_replay_seek(spark, sf_dir):
     return replay.seek(spark, path, "node_id", SEEK, "node_id long, state string", 1000, 4)
 
 
+def q_live_counters(spark, sf_dir):
+    """Three versions of a live view, and a reader that joins after the second and takes what follows."""
+    value = F.floor("value").cast("long")
+    e = _events(spark, sf_dir).select("seq", "stage", "phase", F.when(F.col("event_type") == "view", value).alias("links"), F.when(F.col("event_type") == "purchase", value).alias("items"), F.when(F.col("event_type") == "view", F.col("node_id")).alias("queue"))
+    path = shared_dir(spark)
+    for upto in (2_000, 5_000):
+        live.publish(e, path, upto)
+    now, rest = live.hand_over(e, path)
+    return live.merged(now, live.counters(rest))
+
+
 def q_stream_details(spark, sf_dir):
     """Details and nodes as a stream, one crawl for each remainder of the user; fewer urls wait than a crawl may hold."""
     e, out = t(spark, sf_dir, "events"), shared_dir(spark)
@@ -311,6 +322,9 @@ ORACLE_SQL = {
     "state_at": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
     "checkpoint_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
     "replay_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
+    "live_counters": f"""WITH {_E} SELECT stage, count(*) FILTER (WHERE phase = 'started') AS started, count(*) FILTER (WHERE phase = 'completed') AS completed, count(*) FILTER (WHERE phase = 'failed') AS failed,
+      (coalesce(sum(floor(value)) FILTER (WHERE event_type = 'view'), 0))::BIGINT AS links, (coalesce(sum(floor(value)) FILTER (WHERE event_type = 'purchase'), 0))::BIGINT AS items, max(seq) FILTER (WHERE event_type = 'view') AS queue_seq,
+      max_by(node_id, seq) FILTER (WHERE event_type = 'view') AS queue_size, max(seq) AS last_seq FROM e GROUP BY stage""",
     "stream_details": f"""WITH {_E}, n AS (SELECT seq, node_id, coalesce(lag(seq) OVER (PARTITION BY node_id ORDER BY seq), -1) AS prev FROM e WHERE event_type = 'signup')
       SELECT n.node_id % 5 AS crawl_id, n.seq, n.node_id::VARCHAR AS url, (SELECT 'd' || max(v.seq) FROM e v WHERE v.event_type = 'view' AND v.node_id = n.node_id AND v.seq < n.seq AND v.seq > n.prev) AS detail, 0::BIGINT AS lost FROM n""",
     "seen_increments": "SELECT o_orderkey, o_custkey::VARCHAR AS url, o_orderkey % 3 AS wave FROM orders WHERE o_orderkey % 3 = (SELECT min(p.o_orderkey % 3) FROM orders p WHERE p.o_custkey = orders.o_custkey)",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomwork.functions import sql
 from loomwork.functions import urls as U
 from loomwork.functions.scores import shared_part, tokens
 from loomwork.operators import dedup, export
@@ -59,6 +62,19 @@ def q_items_container(spark, sf_dir):
     return extract_items(t(spark, sf_dir, "pages"), CONTAINER_SPEC).select("page_id", F.col("pos").cast("long").alias("pos"), "item.label", "item.href")
 
 
+def q_sql_links(spark, sf_dir):
+    """Links by the table function of plain SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT page_id, l.* FROM {pages}, LATERAL page_links(html, url) AS l", pages=t(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def q_sql_items(spark, sf_dir):
+    """Items by the table function, whose spec gives the columns."""
+    sql.register(spark)
+    text = "SELECT page_id, i.* FROM {pages}, LATERAL page_items(html, :spec) AS i"
+    return spark.sql(text, {"spec": json.dumps(CONTAINER_SPEC)}, pages=t(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def q_field_scalar_list(spark, sf_dir):
     items = extract_items(t(spark, sf_dir, "pages"), LIST_SPEC)
     return items.select("page_id", F.array_join("item.labels", "|").alias("labels"), F.col("item.n").cast("double").alias("n"), F.size("item.none").cast("long").alias("n_none"))
@@ -151,6 +167,8 @@ TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 PLAIN = "replace(replace(replace(replace(regexp_extract(html, '<{}>([^<]*)<', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 ORACLE_SQL = {
     "extract_links": f"WITH {LINKS_SQL} SELECT page_id, pos, url, anchor, anchor AS context FROM links",
+    "sql_links": f"WITH {LINKS_SQL} SELECT page_id, pos, url, anchor, anchor AS context FROM links",
+    "sql_items": f"WITH {LINKS_SQL} SELECT page_id, pos, anchor AS label, href FROM links",
     "resolve_urls": f"WITH {LINKS_SQL} SELECT page_id, pos, url, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, CASE WHEN regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) END AS path, regexp_matches(url, '^[a-z]+://') AS absolute FROM links",
     "top_links_per_host": f"""WITH {LINKS_SQL}, {SEEN_SQL}, s AS (SELECT l.page_id, l.pos, l.url, regexp_replace(regexp_extract(l.url, '^[a-z]+://([^/?#]*)', 1), '^www\\.', '') AS host, {TOKENS.format('l.anchor')} AS x, {TOKENS.format('p.html')} AS y FROM links l JOIN pages p USING (page_id) WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.url = l.url)),
       o AS (SELECT *, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM s)

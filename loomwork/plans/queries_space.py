@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomwork.functions import scores
+from loomwork.functions import scores, sql
 from loomwork.operators import cascade, graph, space
 from loomwork.plans.store import written
 from loomwork.plans.tables import r6, t
@@ -70,6 +70,13 @@ def q_centroids(spark, sf_dir):
     return c.select(F.col("label").cast("long").alias("label"), F.posexplode("centroid").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x"))
 
 
+def q_sql_centroids(spark, sf_dir):
+    """Centroids by the aggregate of plain SQL."""
+    sql.register(spark)
+    got = spark.sql("SELECT label, vector_mean(embedding) AS centroid FROM {e} GROUP BY label", e=t(spark, sf_dir, "embeddings"))
+    return got.select(F.col("label").cast("long").alias("label"), F.posexplode("centroid").alias("dim", "x")).select("label", F.col("dim").cast("long").alias("dim"), r6(F.col("x")).alias("x"))
+
+
 def q_cluster_distance(spark, sf_dir):
     links, basis = _vectors(spark, sf_dir)
     c = written(space.centroids(basis, "label", "embedding"))
@@ -198,6 +205,7 @@ ORACLE_SQL = {
     "space_density": f"{_SIMS} SELECT vec_id, round(avg(CASE WHEN 1 - s <= {RADIUS} THEN 1.0::DOUBLE ELSE 0 END), 6) AS density, round(1 - avg(CASE WHEN 1 - s <= {RADIUS} THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage_gap FROM ranked GROUP BY vec_id",
     "coverage_gap": f"{_SIMS}{_FEATS} SELECT vec_id, round(coverage_gap, 6) AS value FROM f",
     "centroids": "SELECT label::BIGINT AS label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, dim",
+    "sql_centroids": "SELECT label::BIGINT AS label, dim, round(avg(x), 6) AS x FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, dim",
     "cluster_distance": f"{_SIMS}{_FEATS} SELECT vec_id, round(cluster_distance, 6) AS value FROM far",
     "dbscan": f"{_SIMS}{_DB} SELECT vec_id, coalesce(cluster, -1)::BIGINT AS cluster FROM allv LEFT JOIN lab ON node = vec_id",
     "dbscan_dense": f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] e FROM embeddings), pair AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE 1 - list_cosine_similarity(a.e, b.e) <= {EPS}),

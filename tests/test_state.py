@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomwork.operators import replay, seen, telemetry
+from loomwork.operators import graph, live, replay, seen, telemetry
 from loomwork.plans.crawl import crawl
 from loomwork.sources import growth, pages
 from loomwork.streaming import details
@@ -242,3 +242,34 @@ def test_pages_in_buckets(spark, tmp_path):
     front = spark.createDataFrame([("u3", 1), ("u7", 2), ("none", 3), ("u3", 4)], "url string, k long")
     assert {r.k: r.html for r in table.of(front).collect()} == {1: "h3", 2: "h7", 3: None, 4: "h3"}
     assert len(table.of(front.where("k = 1")).inputFiles()) < 8
+
+
+# The live view and lineage
+
+
+def test_late_readers_see_the_whole_log(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice(["started", "completed", "failed", None]), rng.choice([None, k]), rng.choice([None, 1]), rng.choice([None, k % 7])) for k in range(60)]
+    df = spark.createDataFrame(rows, "seq long, stage string, phase string, links long, items long, queue long")
+    want = sorted(map(repr, live.counters(df).collect()))
+    path = str(tmp_path / "view")
+    assert live.latest(spark, path)[1:] == (0, -1)
+    for n, upto in enumerate((0, 10, 31, 59), 1):
+        assert live.publish(df, path, upto) == n
+        now, rest = live.hand_over(df, path)
+        assert rest.count() == 59 - upto
+        assert sorted(map(repr, live.merged(now, live.counters(rest)).collect())) == want
+    assert live.publish(df, path) == 4
+    assert live.counters(df.where("false")).count() == 0
+
+
+def test_lineage_takes_few_rounds(spark):
+    chain = spark.range(10_000).select(F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"))
+    lineage = graph.Lineage(chain)
+    got = lineage.ancestors_of(spark.createDataFrame([(9_999,)], "node_id long"))
+    assert got.count() == 10_000 and len(lineage.levels) <= 15
+    assert sorted(r.node_id for r in lineage.ancestors_of(spark.createDataFrame([(3,), (1,), (3,)], "node_id long")).collect()) == [0, 1, 2, 3]
+    lineage.close()
+    odd = spark.createDataFrame([(1, 2), (2, 1), (3, None), (4, 77), (None, 1)], "node_id long, parent_id long")
+    assert sorted(r.node_id for r in graph.ancestors(odd, spark.createDataFrame([(1,), (4,)], "node_id long")).collect()) == [1, 2, 4, 77]
+    assert graph.ancestors(odd, odd.where("false").select("node_id")).count() == 0
