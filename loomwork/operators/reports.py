@@ -16,10 +16,12 @@ def _rate(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
 
 
-def crawl_metrics(events: DataFrame, key: str = "node_id") -> DataFrame:
-    """events(ts, state, key) -> one row: events by state, nodes, seconds from first to last, nodes a second (0 without time)."""
+def crawl_metrics(events: DataFrame, key: str = "node_id", sums: tuple[str, ...] = ()) -> DataFrame:
+    """events(ts, state, key) -> one row: events by state, nodes, seconds from first to last, nodes a second (0 without time),
+    and the sums of further columns, such as accepted links and stored items."""
     nodes, seconds = F.countDistinct(key), F.max("ts").cast("double") - F.min("ts").cast("double")
-    return events.agg(*[F.count_if(F.col("state") == s).alias(s.lower()) for s in STATES], nodes.alias("nodes"), seconds.alias("seconds"), _rate(nodes, seconds).alias("rate"))
+    totals = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]
+    return events.agg(*[F.count_if(F.col("state") == s).alias(s.lower()) for s in STATES], nodes.alias("nodes"), seconds.alias("seconds"), _rate(nodes, seconds).alias("rate"), *totals)
 
 
 def state_histogram(states: DataFrame) -> DataFrame:

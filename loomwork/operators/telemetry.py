@@ -26,9 +26,11 @@ def stage_durations(ticks: DataFrame) -> DataFrame:
     return run.withColumn("duration_ms", ms).where(ends).select("stage", "node_id", "seq", "phase", "duration_ms")
 
 
-def stage_stats(ticks: DataFrame, durations: DataFrame) -> DataFrame:
-    """Counts by phase, last and mean duration of timed completions, and what is in flight."""
-    n = ticks.groupBy("stage").agg(*[F.count_if(F.col("phase") == p).alias(p) for p in ("enqueued", "started", "completed", "failed")])
+def stage_stats(ticks: DataFrame, durations: DataFrame, queue: str | None = None) -> DataFrame:
+    """Counts by phase, last and mean duration of timed completions, what is in flight, and, given a column with the
+    number that waited at an event, the last such number as queue_size."""
+    last = [] if queue is None else [F.max_by(queue, F.when(F.col(queue).isNotNull(), F.col("seq"))).alias("queue_size")]
+    n = ticks.groupBy("stage").agg(*[F.count_if(F.col("phase") == p).alias(p) for p in ("enqueued", "started", "completed", "failed")], *last)
     timed = durations.where("phase = 'completed' and duration_ms is not null")
     d = timed.groupBy("stage").agg(F.max_by("duration_ms", "seq").alias("last_ms"), F.avg("duration_ms").alias("avg_ms"))
     return n.join(d, "stage", "left").withColumn("in_flight", F.greatest(F.lit(0).cast("long"), F.col("started") - F.col("completed") - F.col("failed")))

@@ -48,11 +48,11 @@ def q_stage_durations(spark, sf_dir):
 
 def _stats(spark, sf_dir):
     ticks = _ticks(spark, sf_dir)
-    return telemetry.stage_stats(ticks, telemetry.stage_durations(ticks))
+    return telemetry.stage_stats(ticks.withColumn("queue", F.when(F.col("phase") == "enqueued", F.col("node_id"))), telemetry.stage_durations(ticks), "queue")
 
 
 def q_stage_stats(spark, sf_dir):
-    return _stats(spark, sf_dir).select("stage", "enqueued", "started", "completed", "failed", "in_flight", F.round("last_ms", 3).alias("last_ms"), F.round("avg_ms", 2).alias("avg_ms"))
+    return _stats(spark, sf_dir).select("stage", "enqueued", "started", "completed", "failed", "in_flight", "queue_size", F.round("last_ms", 3).alias("last_ms"), F.round("avg_ms", 2).alias("avg_ms"))
 
 
 def q_bottleneck(spark, sf_dir):
@@ -60,7 +60,9 @@ def q_bottleneck(spark, sf_dir):
 
 
 def q_crawl_metrics(spark, sf_dir):
-    m = reports.crawl_metrics(_events(spark, sf_dir))
+    value = F.floor("value").cast("long")
+    e = _events(spark, sf_dir).withColumns({"links": F.when(F.col("event_type") == "view", value), "items": F.when(F.col("event_type") == "purchase", value)})
+    m = reports.crawl_metrics(e, sums=("links", "items"))
     return m.withColumns({"seconds": F.round("seconds", 3), "rate": r6(F.col("rate"))})
 
 
@@ -312,12 +314,12 @@ _D = f"""WITH {_E}, t AS (SELECT *, coalesce(sum(CASE WHEN phase IN ('completed'
   o AS (SELECT *, max(CASE WHEN phase = 'started' THEN ts END) OVER (PARTITION BY stage, node_id, run) AS s FROM t),
   d AS (SELECT stage, node_id, seq, phase, round((epoch_us(ts) - epoch_us(s)) / 1000.0::DOUBLE, 3) AS duration_ms FROM o WHERE phase IN ('completed', 'failed'))"""
 _X = "x AS (SELECT o_custkey::VARCHAR AS id, 'crawl' || (o_orderkey % 5) AS crawl_id, o_orderpriority AS url, strftime(o_orderdate, '%Y-%m-%d') AS created_at, o_orderstatus AS status, o_totalprice AS price, o_orderkey AS seq FROM orders)"
-_ST = f"{_D}, n AS (SELECT stage, count(*) FILTER (WHERE phase = 'enqueued') AS enqueued, count(*) FILTER (WHERE phase = 'started') AS started, count(*) FILTER (WHERE phase = 'completed') AS completed, count(*) FILTER (WHERE phase = 'failed') AS failed FROM t GROUP BY stage), m AS (SELECT stage, max_by(duration_ms, seq) AS last_ms, round(avg(duration_ms), 2) AS avg_ms FROM d WHERE phase = 'completed' AND duration_ms IS NOT NULL GROUP BY stage)"
+_ST = f"{_D}, n AS (SELECT stage, count(*) FILTER (WHERE phase = 'enqueued') AS enqueued, count(*) FILTER (WHERE phase = 'started') AS started, count(*) FILTER (WHERE phase = 'completed') AS completed, count(*) FILTER (WHERE phase = 'failed') AS failed, max_by(node_id, seq) FILTER (WHERE phase = 'enqueued') AS queue_size FROM t GROUP BY stage), m AS (SELECT stage, max_by(duration_ms, seq) AS last_ms, round(avg(duration_ms), 2) AS avg_ms FROM d WHERE phase = 'completed' AND duration_ms IS NOT NULL GROUP BY stage)"
 ORACLE_SQL = {
     "stage_durations": f"{_D} SELECT * FROM d",
-    "stage_stats": f"{_ST} SELECT stage, enqueued, started, completed, failed, greatest(0, started - completed - failed) AS in_flight, last_ms, avg_ms FROM n LEFT JOIN m USING (stage)",
+    "stage_stats": f"{_ST} SELECT stage, enqueued, started, completed, failed, greatest(0, started - completed - failed) AS in_flight, queue_size, last_ms, avg_ms FROM n LEFT JOIN m USING (stage)",
     "bottleneck": f"{_ST} SELECT stage, avg_ms FROM m ORDER BY avg_ms DESC, stage LIMIT 1",
-    "crawl_metrics": f"WITH {_E}, a AS (SELECT count(*) FILTER (WHERE state = 'CREATED') AS created, count(*) FILTER (WHERE state = 'FETCHED') AS fetched, count(*) FILTER (WHERE state = 'FILTERED') AS filtered, count(*) FILTER (WHERE state = 'SCORED') AS scored, count(*) FILTER (WHERE state = 'EXPANDED') AS expanded, count(DISTINCT node_id) AS nodes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS span FROM e) SELECT created, fetched, filtered, scored, expanded, nodes, round(span, 3) AS seconds, round(nodes / span, 6) AS rate FROM a",
+    "crawl_metrics": f"WITH {_E}, a AS (SELECT count(*) FILTER (WHERE state = 'CREATED') AS created, count(*) FILTER (WHERE state = 'FETCHED') AS fetched, count(*) FILTER (WHERE state = 'FILTERED') AS filtered, count(*) FILTER (WHERE state = 'SCORED') AS scored, count(*) FILTER (WHERE state = 'EXPANDED') AS expanded, count(DISTINCT node_id) AS nodes, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS span, coalesce(sum(floor(value)) FILTER (WHERE event_type = 'view'), 0)::BIGINT AS links, coalesce(sum(floor(value)) FILTER (WHERE event_type = 'purchase'), 0)::BIGINT AS items FROM e) SELECT links, items, created, fetched, filtered, scored, expanded, nodes, round(span, 3) AS seconds, round(nodes / span, 6) AS rate FROM a",
     "funnel": f"WITH {_E}, s AS (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id), k AS (SELECT unnest(['CREATED', 'FETCHED', 'FILTERED', 'SCORED', 'EXPANDED']) AS state, unnest([1, 2, 3, 4, 5]) AS step) SELECT step::BIGINT AS step, state, (SELECT count(*) FROM s JOIN k j USING (state) WHERE j.step >= k.step) AS reached FROM k",
     "state_at": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",
     "checkpoint_seek": f"WITH {_E} SELECT node_id, max_by(state, seq) AS state, max(seq) AS last_seq, count(*) AS n_events FROM e WHERE seq <= {SEEK} GROUP BY node_id",

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from loomwork.functions import format as fmt
+from loomwork.functions import lines
 from loomwork.operators import answers, cascade, dedup, export, reports, space, telemetry
 from loomwork.plans.queries_events import _E, _events
 from loomwork.plans.store import shared_dir, written
@@ -184,6 +185,25 @@ def q_debug_lines(spark, sf_dir):
     return telemetry.debug_lines(e, F.lit("scoring"), F.col("event_type"), {"value": F.floor("value")}, {"url": F.concat(F.lit("a%20b+"), F.col("user_id").cast("string"))}, "event_id")
 
 
+def _typed(spark, sf_dir, types):
+    """Events with a type out of a list by their number, and made-up fields."""
+    e = t(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, types)), (F.col("event_id") % len(types) + 1).cast("int"))
+    some = lambda n: F.sequence(F.lit(1), (F.col("user_id") % n + 1).cast("int"))
+    url = F.concat(F.lit("http://h/a%20b/"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(""))
+    return e.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).alias("worker"), kind.alias("type"), F.col("user_id").alias("node_id"), (F.col("user_id") + 1_000_000).alias("parent_id"), url.alias("url"), F.lit(2).alias("depth"), some(5).alias("links"), some(3).alias("items"), some(4).alias("nodes"), some(2).alias("candidates"),
+                    F.lit("t").alias("table"), F.lit(7).alias("n"), (F.floor("value") / 4).alias("duration"), (F.floor("value") / 4).alias("priority"), F.lit("IDLE").alias("reason"), F.lit("S").alias("state"), F.lit("scoring").alias("stage"), F.col("event_type").alias("phase"), F.when(F.col("event_id") % 4 == 0, F.col("event_type")).alias("detail"), F.when(F.col("user_id") % 2 == 0, "dropped").alias("decision"), F.lit("boom").alias("error"))
+
+
+def q_narrative(spark, sf_dir):
+    return lines.narrative(_typed(spark, sf_dir, [*lines.NARRATIVE, "OTHER"]))
+
+
+def q_event_summaries(spark, sf_dir):
+    e = _typed(spark, sf_dir, [*lines.SUMMARY, "CANDIDATE_EVALUATED", "OTHER"])
+    return e.select("seq", lines.clock_time(F.col("ts")).alias("at"), lines.summary(e).alias("summary"))
+
+
 def q_valid_messages(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     line = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"type": "'), F.col("event_type"), F.lit('"}'))).when(F.col("event_id") % 3 == 1, F.col("props")).otherwise(F.lit("{broken"))
@@ -257,6 +277,15 @@ ORACLE_SQL = {
     "traced_minimal": "SELECT event_id, event_type FROM events WHERE event_type IN ('signup', 'error')",
     "stream_upsert": "SELECT user_id, event_type, max(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY 1, 2",
     "debug_lines": "SELECT event_id, '[SCORING] ' || event_type || ' value=' || floor(value)::BIGINT || '.0000 url=a b+' || user_id AS line FROM events",
+    "narrative": r"""WITH e AS (SELECT *, event_id % 10 AS k, '[' || strftime(ts, '%Y-%m-%d %H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') || '][W' || event_id % 3 || '] ' AS p, regexp_replace(printf('%.2f', floor(value) / 4), '\.?0+$', '') AS d, user_id % 5 + 1 AS l, user_id % 3 + 1 AS i FROM events)
+      SELECT event_id AS seq, p || CASE k WHEN 0 THEN '[NODE] id=' || user_id || ' → CREATED url=http://h/a b/' || CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR ELSE '' END || ' depth=2' WHEN 1 THEN '[NODE] id=' || user_id || ' → FETCHED'
+        WHEN 2 THEN '[NODE] id=' || user_id || ' → FILTERED (links=' || l || ', items=' || i || ')' WHEN 3 THEN '[NODE] id=' || user_id || ' → TRANSFORMED (items=' || i || ')' WHEN 4 THEN '[NODE] id=' || user_id || ' → SCORED (links=' || l || ')'
+        WHEN 5 THEN '[NODE] id=' || user_id || ' → EXPANDED (children=' || l || ')' WHEN 6 THEN '[EXPORT] COMPLETED table=t inserted=7 duration_ms=' || d WHEN 7 THEN '[SCORE_RESCHEDULE] [NODE] id=' || user_id || ' new_priority=' || (floor(value) / 4)::DOUBLE
+        ELSE '[CRAWL] STOPPED reason=IDLE nodes=7 depth=2 duration=' || d || 's' END AS line FROM e WHERE k < 9""",
+    "event_summaries": """WITH e AS (SELECT *, event_id % 10 AS k FROM events)
+      SELECT event_id AS seq, strftime(ts, '%H:%M:%S.') || lpad(((epoch_us(ts) // 1000) % 1000)::VARCHAR, 3, '0') AS at, CASE k WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN left(user_id::VARCHAR, 6) || '… → S' WHEN 2 THEN left((user_id + 1000000)::VARCHAR, 6) || '… → 7 children'
+        WHEN 3 THEN (user_id % 4 + 1) || ' nodes' WHEN 4 THEN 'IDLE' WHEN 5 THEN 'scoring ' || event_type || CASE WHEN event_id % 4 = 0 THEN ' — ' || event_type ELSE '' END WHEN 6 THEN left(user_id::VARCHAR, 6) || '… priority=' || printf('%.2f', floor(value) / 4) WHEN 7 THEN 'scoring: boom'
+        WHEN 8 THEN CASE WHEN user_id % 2 = 0 THEN '1 link dropped' ELSE '2 links trusted' END ELSE '' END AS summary FROM e""",
     "valid_messages": "SELECT event_id, event_type AS type FROM events WHERE event_id % 3 = 0",
     "expansion_prompts": """SELECT item_id, 'A catalogue clerk fills in cards.' || chr(10) || chr(10) || 'Card' || chr(10) || text || chr(10) || chr(10) || 'Lines' || chr(10) || '5' || chr(10) || chr(10) || 'Length' || chr(10) || 'twelve words' || chr(10) || chr(10) || 'Sides' || chr(10) || 'use, origin, price' || chr(10) || chr(10) || 'Form' || chr(10) || '["...", "..."]' AS prompt FROM benchmark""",
     "export_json": """SELECT event_id::VARCHAR AS id, 'c' AS crawl_id, 'u' AS url, '2024' AS created_at, props, '["' || event_type || '", "é"]' AS kinds, NULL::BIGINT AS list, CASE WHEN event_id % 2 = 0 THEN '"{' || event_type || '"' END AS note FROM events""",

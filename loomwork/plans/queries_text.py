@@ -65,8 +65,9 @@ def q_lexical_overlap(spark, sf_dir):
 
 def q_url_unquote(spark, sf_dir):
     pages = t(spark, sf_dir, "pages")
-    coded = F.concat("url", F.lit("%20a+b%C3%A9"), F.replace("html", F.lit(" "), F.lit("%20")), F.when(F.col("page_id") % 4 == 0, "%zz").otherwise(""))
-    return pages.where(~F.contains("html", F.lit("%"))).select("page_id", F.md5(unquoted(coded)).alias("url"))
+    html = F.replace(F.replace("html", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    coded = F.concat("url", F.lit("%20a+b%C3%A9"), html, F.when(F.col("page_id") % 4 == 0, "%zz").otherwise(""))
+    return pages.select("page_id", F.md5(unquoted(coded)).alias("url"))
 
 
 def _answers(spark, sf_dir):
@@ -149,7 +150,7 @@ def q_dotted_paths(spark, sf_dir):
 
 
 def q_json_lines(spark, sf_dir):
-    e = t(spark, sf_dir, "events").where("event_id % 3 < 2")
+    e = t(spark, sf_dir, "events")
     text = F.concat_ws("\n", "props", F.lit("  "), F.lit("{broken"), F.concat("props", F.lit("\r")), F.lit("7"))
     return fmt.json_lines(e.select("event_id", text.alias("text")), "text").select("event_id", F.col("line_no").cast("long").alias("line_no"), F.col("payload").isNotNull().alias("ok"))
 
@@ -225,7 +226,7 @@ ORACLE_SQL = {
     "tf_chain": "SELECT doc_id, left(lower(array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')), 40) AS value FROM documents",
     "lexical_overlap": f"""WITH s AS (SELECT d.doc_id, b.item_id, {TOKENS.format('d.text')} AS x, {TOKENS.format('b.text')} AS y FROM documents d JOIN benchmark b ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id)
       SELECT doc_id, item_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM s""",
-    "url_unquote": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN md5(url || ' a+bé' || html) END AS url FROM pages WHERE NOT contains(html, '%')",
+    "url_unquote": "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN md5(url || ' a+bé' || html) END AS url FROM pages",
     "llm_parse": f"WITH {_ANS} SELECT doc_id, url, score::BIGINT AS score, relevance_type, expansions FROM ans",
     "map_results": f"WITH {_ANS}, {_LNK} SELECT l.url, CASE WHEN a.url IS NOT NULL THEN a.score ELSE coalesce(l.score, 0) END::BIGINT AS score, coalesce(a.relevance_type, 'irrelevant') AS relevance_type, coalesce(a.expansions, '') AS expansions FROM lnk l LEFT JOIN ans a USING (url)",
     "map_partial": f"WITH {_ANS}, {_LNK} SELECT url, pos, score::BIGINT AS score, NULL::VARCHAR AS relevance_type FROM lnk UNION ALL SELECT l.url, l.pos + 100000000, CASE WHEN a.url IS NOT NULL THEN a.score ELSE l.score END::BIGINT, a.relevance_type FROM lnk l LEFT JOIN ans a USING (url)",
@@ -236,7 +237,7 @@ ORACLE_SQL = {
     "link_text": "SELECT page_id, '[URL]' || url || ' [ANCHOR]' || CASE WHEN page_id % 3 > 0 THEN page_id::VARCHAR ELSE '' END || ' [CTX]c' AS text FROM pages",
     "crawl_ids": "SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%d_%H:%M:%S') AS crawl_id FROM events",
     "dotted_paths": "SELECT event_id, props->>'$.k' AS k, NULL::VARCHAR AS none, NULL::VARCHAR AS broken FROM events",
-    "json_lines": "SELECT event_id, unnest([1, 3, 4, 5])::BIGINT AS line_no, unnest([true, false, true, true]) AS ok FROM events WHERE event_id % 3 < 2",
+    "json_lines": "SELECT event_id, unnest([1, 3, 4, 5])::BIGINT AS line_no, unnest([true, false, true, true]) AS ok FROM events",
     "spec_checks": f"SELECT item_id, p.problem, CASE WHEN p.problem IS NULL THEN 'balanced' END AS priority, CASE WHEN p.problem IS NULL THEN regexp_replace(text, '[^A-Za-z .,]', '', 'g') END AS topic, CASE WHEN p.k = 0 THEN 300 END::BIGINT AS max_len, CASE WHEN p.problem IS NULL THEN CASE p.k WHEN 0 THEN 'f' ELSE 't' END END AS fields FROM benchmark JOIN (VALUES {', '.join('(%d, %s)' % (k, 'NULL::VARCHAR' if x is None else chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39)) for k, (_, _, x) in enumerate(SPEC_CASES))}) p(k, problem) ON item_id % {len(SPEC_CASES)} = p.k",
     "build_prompt": r"""WITH l AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1) // 3 AS part, '{"url":"' || role || '","anchor":"' || regexp_replace(text, '[\n"\\/]', ' ', 'g') || '","context":"c"}' AS j, role FROM conversations)
       SELECT conv_id, part, count(*) AS n_links, 'Topic: health' || chr(10) || chr(10) || 'Score every link.' || chr(10) || chr(10) || '[' || string_agg(j, ',' ORDER BY turn, role) || ']' AS prompt FROM l GROUP BY conv_id, part""",
