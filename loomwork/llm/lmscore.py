@@ -20,6 +20,7 @@ further columns are ignored. Without target documents the target knows no words
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,15 @@ from loomwork.llm.common import materialise, mix64, split_words
 
 #: Weight of the bigram against the word's own frequency; share and size of the probability of words not counted.
 BIGRAM, UNSEEN, FLOOR = 0.7, 0.01, 1e-6
-#: Text of one block. A task holds one block and about 30 times its bytes.
+#: Text of one block. A task holds one block and about 30 times its bytes, or what a longer text's distinct pairs take.
 BLOCK_BYTES = 8 << 20
 #: Rows equal in doc_id and text share a block, where they are worked on once, up to so many bytes of text together.
 REPEAT_BYTES = 64 << 20
 #: What stands before a text's first word.
 BEGIN = np.uint64(1)
+#: Words that are hashed at a time, pairs that are merged at a time, and bytes of a long text that are cut off at a time.
+STRETCH, MERGE, CUT = 1 << 20, 1 << 22, 4 << 20
+SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Words whose hashes a block remembers.
 KNOWN = 500_000
 
@@ -61,7 +65,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Rows as keys: words, what stands before each, and pairs of both, as places in the sorted distinct keys."""
+    """Rows as their distinct word pairs: the word, what stands before it, and how often the row has the pair.
+
+    All occurrences of a pair in a row have one loss, so nothing is kept for each of them. Texts are hashed STRETCH words at
+    a time, and what they give is merged MERGE pairs at a time, so a very long text takes memory for its distinct pairs."""
 
     def __init__(self, table: pa.Table, buckets: int):
         marks = table.column("is_target").to_numpy(zero_copy_only=False)
@@ -78,57 +85,109 @@ class Block:
             self.of.append(firsts[key])
         self.target = np.array([t for _, t in firsts], bool)
         self.copies = np.bincount(np.array(self.of, np.int64), minlength=len(distinct))
-        rows = rows.take(distinct) if len(distinct) < len(self.doc_ids) else rows
-        known: dict[bytes, int] = {}
-        hashed, texts = [np.zeros(0, np.uint64)], rows.column("text")
-        for k in range(len(texts)):
-            words = words_of(texts[k].as_py())
-            if len(known) > KNOWN:
-                known = {}
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            hashed.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        self.sizes = np.array([len(h) for h in hashed[1:]], np.int64)
-        word = mix64(np.concatenate(hashed))
-        self.first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.first] = BEGIN
-        pair = mix64(before * np.uint64(3) + word)
-        self.row = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
-        keys = np.concatenate((word, pair, np.full(len(self.first), BEGIN)))
+        self.sizes = np.zeros(len(distinct), np.int64)
+        self.row, word, before, pair, self.times = self._pairs(rows.column("text"), distinct)
+        self.begins = before == BEGIN
+        keys = np.concatenate((word, before, pair))
         n = len(word)
-        del hashed, known, word, pair, before
+        del word, before, pair
         self.bucket, self.keys, at = dealt(keys, buckets)
-        self.word, self.pair, self.begin = at[:n], at[n : 2 * n], at[2 * n :]
+        del keys
+        self.word, self.before, self.pair = at[:n], at[n : 2 * n], at[2 * n :]
+        # How often each row has each of its words; the begin of a text, which is no word of it, stands once.
+        mark = self.row * np.int64(max(1, len(self.keys)))
+        known, place = np.unique(mark + self.word, return_inverse=True)
+        own = np.bincount(place, self.times, len(known)).astype(np.int64)
+        self.own_word = own[place]
+        where = np.minimum(np.searchsorted(known, mark + self.before), max(0, len(known) - 1))
+        self.own_before = np.where(self.begins, 1, own[where]) if n else own
+
+    def _pairs(self, texts, distinct: list[int]):
+        """row, word, before, pair and times of the distinct pairs of each row; words and pairs are hashes."""
+        known: dict[bytes, int] = {}
+        done, open_ = [], 0
+        parts: list[tuple[int, np.uint64, np.ndarray]] = []
+        n_words = 0
+
+        def close() -> None:
+            nonlocal parts, n_words, done, open_
+            if not parts:
+                return
+            row = np.repeat(np.array([r for r, _, _ in parts], np.int32), [len(h) for _, _, h in parts])
+            word = np.concatenate([h for _, _, h in parts])
+            before = np.empty_like(word)
+            before[1:] = word[:-1]
+            at = np.cumsum([0, *(len(h) for _, _, h in parts[:-1])])
+            before[at] = [b for _, b, _ in parts]
+            done.append(_merged(row, word, before, mix64(before * np.uint64(3) + word), np.ones(len(word), np.int64)))
+            parts, n_words, open_ = [], 0, open_ + len(done[-1][0])
+            if open_ > MERGE and len(done) > 1:
+                done = [_merged(*(np.concatenate(c) for c in zip(*done, strict=True)))]
+                open_ = -len(done[0][0])  # what is merged counts again when as much has been added
+
+        for r, k in enumerate(distinct):
+            last = BEGIN
+            for words in _stretches(texts[k].as_py()):
+                if len(known) > KNOWN:
+                    known = {}
+                for w in words:
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w)
+                hashed = mix64(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                parts.append((r, last, hashed))
+                last, n_words = hashed[-1], n_words + len(hashed)
+                self.sizes[r] += len(hashed)
+                if n_words > STRETCH:
+                    close()
+        close()
+        if not done:
+            none = np.zeros(0, np.uint64)
+            return np.zeros(0, np.int32), none, none, none, np.zeros(0, np.int64)
+        return done[0] if len(done) == 1 else _merged(*(np.concatenate(c) for c in zip(*done, strict=True)))
 
     def counts(self, of: np.ndarray) -> np.ndarray:
         """How often each key stands in the rows that of marks."""
-        mine, full = of[self.row], self.sizes > 0
-        places = np.concatenate((self.word[mine], self.pair[mine], self.begin[of[full]]))
-        times = self.copies[self.row][mine]
-        times = np.concatenate((times, times, self.copies[full & of]))
-        return np.bincount(places, times if times.size and times.max() > 1 else None, minlength=len(self.keys)).astype(np.int32)
-
-    def own(self, places: np.ndarray) -> np.ndarray:
-        """How often the key at each place of a row stands in that row."""
-        _, at, n = np.unique(self.row * np.int64(max(1, len(self.keys))) + places, return_inverse=True, return_counts=True)
-        return n[at]
+        mine = of[self.row]
+        times = self.times[mine] * self.copies[self.row[mine]]
+        n = np.bincount(self.word[mine], times, len(self.keys)) + np.bincount(self.pair[mine], times, len(self.keys))
+        begin = np.flatnonzero(mine & self.begins)
+        return (n + np.bincount(self.before[begin], self.copies[self.row[begin]], len(self.keys))).astype(np.int32)
 
     def losses(self, n: np.ndarray, total: int, holds: np.ndarray) -> np.ndarray:
         """Each row's mean loss under the model with these sums; rows that it holds are left out of them."""
         mine = holds[self.row]
-        own_word, own_pair = np.where(mine, self.own(self.word), 0), np.where(mine, self.own(self.pair), 0)
-        word = n[self.word] - own_word
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.first] = n[self.begin] - mine[self.first]
-        pair = n[self.pair] - own_pair
+        word = n[self.word] - np.where(mine, self.own_word, 0)
+        before = n[self.before] - np.where(mine, self.own_before, 0)
+        pair = n[self.pair] - np.where(mine, self.times, 0)
         left = total - np.where(holds, self.sizes, 0)[self.row]
         alone = np.where(left > 0, (1 - UNSEEN) * word / np.maximum(left, 1), 0.0) + UNSEEN * FLOOR
         p = np.where(before > 0, BIGRAM * pair / np.maximum(before, 1) + (1 - BIGRAM) * alone, alone)
-        return np.bincount(self.row, weights=-np.log(p), minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
+        return np.bincount(self.row, weights=-np.log(p) * self.times, minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
+
+
+def _stretches(text: str):
+    """Words of a text, in lists of about STRETCH; a long text is cut at white space."""
+    data = (text or "").encode().lower()
+    if len(data) <= CUT:
+        words = split_words(data)
+        if words:
+            yield words
+        return
+    at = 0
+    while at < len(data):
+        end = SPACE.search(data, at + CUT)
+        stop = end.start() if end else len(data)
+        words = split_words(data[at:stop])
+        if words:
+            yield words
+        at = stop
+
+
+def _merged(row, word, before, pair, times):
+    """The distinct (row, pair), with their times added up."""
+    _, place = np.unique(pair, return_inverse=True)
+    _, first, at = np.unique(row * np.int64(len(pair)) + place, return_index=True, return_inverse=True)
+    return row[first], word[first], before[first], pair[first], np.bincount(at, times, len(first)).astype(np.int64)
 
 
 def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

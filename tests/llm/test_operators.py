@@ -692,14 +692,37 @@ def test_lm_block_works_on_equal_rows_once(spark):
     import pyarrow as pa
 
     text = " ".join(f"w{k % 700}" for k in range(4000))
-    table = pa.table({"block": pa.array([0] * 5001, pa.int32()), "doc_id": list(range(5001)), "text": [text] * 5000 + ["w1 w2"], "is_target": [False] * 5001})
+    table = pa.table({"block": pa.array([0] * 5001, pa.int32()), "doc_id": list(range(5001)), "text": [text] * 5000 + ["x y"], "is_target": [False] * 5001})
     tracemalloc.start()
     block = lmscore.Block(table, 7)
     assert tracemalloc.get_traced_memory()[1] < 50 << 20
     tracemalloc.stop()
     assert len(block.sizes) == 2 and block.copies.tolist() == [5000, 1] and len(block.of) == 5001
     n = block.counts(np.ones(2, bool))
-    assert n[block.word[0]] == 5000 * (4000 // 700 + 1) and n.sum() == 5000 * (2 * 4000 + 1) + 2 * 2 + 1
+    assert n[block.word[block.row == 0]].max() == 5000 * (4000 // 700 + 1) and n.sum() == 5000 * (2 * 4000 + 1) + 2 * 2 + 1
+
+
+def test_lm_block_of_a_long_text(monkeypatch):
+    """A long text is cut and merged: the same pairs, in memory for its distinct ones."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    text = " \n".join(rng.choices([f"w{k}" for k in range(300)], k=1_500_000))
+    table = pa.table({"block": pa.array([0] * 3, pa.int32()), "doc_id": [1, 2, 3], "text": [text, "", "w1 w2 w1"], "is_target": [False] * 3})
+    tracemalloc.start()
+    block = lmscore.Block(table, 7)
+    assert tracemalloc.get_traced_memory()[1] < 40 * len(text)
+    tracemalloc.stop()
+    assert block.sizes.tolist() == [1_500_000, 0, 3] and block.times.sum() == 1_500_003
+    small = pa.table({"block": pa.array([0] * 2, pa.int32()), "doc_id": [1, 2], "text": [text[:9000], "w1  w2\tw1"], "is_target": [False] * 2})
+    whole = lmscore.Block(small, 7)
+    for name, value in (("STRETCH", 50), ("MERGE", 100), ("CUT", 64)):
+        monkeypatch.setattr(lmscore, name, value)
+    parts = lmscore.Block(small, 7)
+    assert sorted(zip(whole.row, whole.keys[whole.pair], whole.times, whole.own_word, whole.own_before)) == sorted(zip(parts.row, parts.keys[parts.pair], parts.times, parts.own_word, parts.own_before))
+    assert (whole.counts(np.ones(2, bool)) == parts.counts(np.ones(2, bool))).all()
 
 
 # 8
