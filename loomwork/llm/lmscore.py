@@ -39,7 +39,7 @@ REPEAT_BYTES = 64 << 20
 #: What stands before a text's first word.
 BEGIN = np.uint64(1)
 #: Words that are hashed at a time, pairs that are merged at a time, and bytes of a long text that are cut off at a time.
-STRETCH, MERGE, CUT = 1 << 20, 1 << 22, 4 << 20
+STRETCH, MERGE, CUT = 1 << 20, 1 << 21, 4 << 20
 SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
 #: Words whose hashes a block remembers.
 KNOWN = 500_000
@@ -127,7 +127,7 @@ class Block:
 
         for r, k in enumerate(distinct):
             last = BEGIN
-            for words in _stretches(texts[k].as_py()):
+            for words in _stretches(texts[k]):
                 if len(known) > KNOWN:
                     known = {}
                 for w in words:
@@ -165,20 +165,14 @@ class Block:
         return np.bincount(self.row, weights=-np.log(p) * self.times, minlength=len(self.sizes)) / np.maximum(self.sizes, 1)
 
 
-def _stretches(text: str):
-    """Words of a text, in lists of about STRETCH; a long text is cut at white space."""
-    data = (text or "").encode().lower()
-    if len(data) <= CUT:
-        words = split_words(data)
-        if words:
-            yield words
-        return
+def _stretches(text: pa.StringScalar):
+    """Words of a text, in lists; a long text is cut at white space, and only what is cut off is copied."""
+    data = memoryview(text.as_buffer() or b"")
     at = 0
     while at < len(data):
         end = SPACE.search(data, at + CUT)
         stop = end.start() if end else len(data)
-        words = split_words(data[at:stop])
-        if words:
+        if words := split_words(bytes(data[at:stop]).lower()):
             yield words
         at = stop
 
