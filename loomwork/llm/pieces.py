@@ -26,7 +26,7 @@ SPACE = "▁"
 CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 BIG = np.int32(2**30)
 WIDTHS = (6, 9, 12, 16, 24, 40)
-CACHE = 700_000
+CACHE = 450_000
 SLOT_BITS = 20
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_mismatches", pa.int64())])
