@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomwork.plans.store import discard, written
+from loomwork.plans.store import discard, remove, size_of, written
 
 MANDATORY = ("id", "crawl_id", "url", "created_at")
 NAME = r"^[a-zA-Z0-9][a-zA-Z0-9_]{1,127}$"
@@ -81,45 +81,60 @@ def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str) -
     return last.select(*keys, "r.*").select(*columns)
 
 
-#: Parts of an upserted table: a batch rewrites those that it touches.
-BUCKETS = 64
+#: Parts of an upserted table at first, and bytes of a part beyond which the table gets four times as many.
+BUCKETS, PART_BYTES = 64, 256 << 20
+MANIFEST = "version long, bucket int, folder string, n_buckets int"
 
 
-def _manifest(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
-    """Number and folders (by bucket) of the latest version of an upserted table; at most BUCKETS rows."""
+def _manifest(spark: SparkSession, path: str, back: int = 0) -> tuple[int, dict[int, str], int]:
+    """Number, folders (by bucket) and number of buckets of the latest version of an upserted table, or of one before it."""
     try:
-        rows = spark.read.parquet(f"{path}/manifest")
+        rows = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        last = rows.agg(F.max("version")).first()[0] - back
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return -1, {}
-    last = rows.agg(F.max("version")).first()[0]
-    return last, {r.bucket: r.folder for r in rows.where(F.col("version") == last).collect()}
+        return -1, {}, 0
+    own = rows.where(F.col("version") == last).collect()  # a row for each bucket
+    return last, {r.bucket: r.folder for r in own}, own[0].n_buckets if own else 0
 
 
 def upserted(spark: SparkSession, path: str, schema, buckets: list[int] | None = None) -> DataFrame:
     """The latest version of an upserted table, or some of its buckets."""
-    _, folders = _manifest(spark, path)
+    _, folders, _ = _manifest(spark, path)
     places = [f"{folder}/bucket={b}" for b, folder in folders.items() if buckets is None or b in buckets]
     return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
 
 
-def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, buckets: int = BUCKETS) -> None:
+def upsert_into(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, buckets: int = BUCKETS, part_bytes: int = PART_BYTES) -> None:
     """Upsert into a table of files: only the buckets that hold a key of ``new`` are written again, in a new folder.
 
-    A manifest of all buckets' folders makes the version; until it is whole, readers see the version before."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    A manifest of all buckets' folders makes the version; until it is whole, readers see the version before. When buckets hold
+    more than ``part_bytes`` on average, the batch writes the whole table into four times as many. Folders that neither this
+    version nor the one before it names are removed."""
+    version, folders, n = _manifest(spark, path)
+    n = n or buckets
+    grow = bool(folders) and size_of(spark, set(folders.values())) > n * part_bytes
+    n = 4 * n if grow else n
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("bucket")
     new = written(new.select("*", bucket))
     touched = [r.bucket for r in new.select("bucket").distinct().collect()]
     if not touched:
+        discard(new)
         return
-    version, folders = _manifest(spark, path)
-    old = upserted(spark, path, new.drop("bucket").schema, touched)
+    old = upserted(spark, path, new.drop("bucket").schema, None if grow else touched)
     folder = f"{path}/data/{version + 1:09d}-{uuid.uuid4().hex}"
-    upsert_latest(old, new.drop("bucket"), keys, order).select("*", bucket).write.partitionBy("bucket").parquet(folder)
+    upsert_latest(old, new.drop("bucket"), keys, order).select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(folder)
     discard(new)
-    rows = [(version + 1, b, f) for b, f in (folders | dict.fromkeys(touched, folder)).items()]
-    spark.createDataFrame(rows, "version long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    if grow:
+        kept, touched = {}, [r.bucket for r in spark.read.parquet(folder).select("bucket").distinct().collect()]
+    else:
+        kept = folders
+    now = kept | dict.fromkeys(touched, folder)
+    spark.createDataFrame([(version + 1, b, f, n) for b, f in now.items()], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    before = _manifest(spark, path, 2)[1] if version > 0 else {}
+    for gone in set(before.values()) - set(folders.values()) - set(now.values()):
+        remove(spark, gone)
 
 
 def crawls_per_table(rows: DataFrame) -> DataFrame:

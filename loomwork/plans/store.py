@@ -19,14 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a new table; it survives lost executors. discard() removes the table."""
+    """The same rows, read back from a new table; it survives lost executors.
+
+    discard() removes the table; what is behind a result that is still lazy goes when the session's machine ends."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
+    _goes_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
 
 
+def _goes_at_exit(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def kept(view: DataFrame, table: DataFrame) -> DataFrame:
     """A view of a written table that discard() takes for it."""
     view.written_path = table.written_path
@@ -40,6 +49,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def size_of(spark: SparkSession, paths) -> int:
+    """Bytes of folders on any file system that Spark reaches."""
+    sc, total = spark.sparkContext, 0
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        total += at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return total
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes the tables behind results of written(), which nothing may read any more."""
     for t in tables:

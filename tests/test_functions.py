@@ -173,6 +173,12 @@ def test_upserts_touch_their_buckets_only(spark, tmp_path):
     assert 1 <= sum(before[b] != f for b, f in after.items()) <= 2
     export.upsert_into(spark, path, rows([]), ["id"], "seq")
     assert len(read()) == 200
+    folders = {f.name for f in (tmp_path / "t" / "data").iterdir()}
+    assert len(folders) == 3  # the first batch, and the last two of the touched buckets
+    export.upsert_into(spark, path, rows([(7, 9, "d")]), ["id"], "seq", part_bytes=1)  # too large: four times as many buckets
+    assert export._manifest(spark, path)[2] == 4 * export.BUCKETS and (7, 9, "d") in read() and len(read()) == 200
+    export.upsert_into(spark, path, rows([(8, 9, "e")]), ["id"], "seq")
+    assert len(read()) == 200 and {(7, 9, "d"), (8, 9, "e")} <= read() and len(list((tmp_path / "t" / "data").iterdir())) == 2
 
 
 def test_idle_crawls_stop_by_a_timer(spark, tmp_path):
