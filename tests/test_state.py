@@ -273,3 +273,59 @@ def test_lineage_takes_few_rounds(spark):
     odd = spark.createDataFrame([(1, 2), (2, 1), (3, None), (4, 77), (None, 1)], "node_id long, parent_id long")
     assert sorted(r.node_id for r in graph.ancestors(odd, spark.createDataFrame([(1,), (4,)], "node_id long")).collect()) == [1, 2, 4, 77]
     assert graph.ancestors(odd, odd.where("false").select("node_id")).count() == 0
+
+
+# The event source
+
+
+def test_event_source_gives_each_line_once(spark, tmp_path):
+    from loomwork.sources import event_source as source
+
+    class Flaky:
+        """Lines of a file; every other call finds the connection gone. Tasks and driver share the file only."""
+
+        def __init__(self, path):
+            self.path, self.calls = path, 0
+
+        def _all(self):
+            self.calls += 1
+            if self.calls % 2:
+                raise ConnectionError("gone")
+            with open(self.path) as f:
+                return f.read().split("\n")[:-1]
+
+        def size(self):
+            return len(self._all())
+
+        def lines(self, lo, hi):
+            return self._all()[lo:hi]
+
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    source.event_source(spark, "test_events", Flaky(path), sleep=lambda s: None, width=7)
+    lines = [f'{{"type": "t{k % 3}", "k": {k}}}' if k % 5 else ["{broken", "[1]", '{"type": 4}', "plain"][k // 5 % 4] for k in range(50)]
+    for lo, hi in ((0, 20), (20, 20), (20, 50)):
+        with open(path, "a") as f:
+            f.writelines(x + "\n" for x in lines[lo:hi])
+        stream = spark.readStream.format("test_events").load()
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start(out).awaitTermination()
+    got = sorted(spark.read.parquet(out).collect())
+    assert [(r.line, r.payload) for r in got] == list(enumerate(lines))
+    assert [r.type for r in got] == [f"t{k % 3}" if k % 5 else None for k in range(50)]
+    batch = spark.read.format("test_events").load()
+    assert tuple(source.line_counts(batch).first()) == (50, 10)
+
+
+def test_waits_double():
+    from loomwork.sources import event_source as source
+
+    waits, left = [], [6]
+
+    def call():
+        left[0] -= 1
+        if left[0]:
+            raise OSError
+        return "there"
+
+    assert source.patient(call, waits.append) == "there" and waits == [1, 2, 4, 8, 15]
+    with pytest.raises(ZeroDivisionError):
+        source.patient(lambda: 1 / 0, waits.append, 2)
