@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from loomwork.plans.store import discard, kept, written
 
 
-#: Parents whose children one task numbers.
-PARENTS = 10_000
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (node, label): the smallest node that can be reached.
 
@@ -104,17 +100,12 @@ def seed_nodes(seeds: DataFrame, domains: DataFrame, first_priority: float = 0.0
 def child_nodes(links: DataFrame, parents: DataFrame, first_id: int = 0) -> DataFrame:
     """links(parent_id, pos, url, score, priority) -> new nodes, one for each (parent, url), numbered in order.
 
-    Depth is the parent's plus one, the domain is inherited. Numbers come from a count for each parent, running
-    sums within ranges of parents, and a running sum over the ranges, so no task sees all links or parents."""
+    Depth is the parent's plus one, the domain is inherited. Numbers run through sorted ranges of (parent, pos, url), so no
+    task sees all links of a parent. Links of parents that aren't nodes take numbers but give no node."""
     once = links.groupBy("parent_id", "url").agg(F.min(F.struct("pos", "score", "priority")).alias("l")).select("parent_id", "url", "l.*")
-    within = once.withColumn("k", F.row_number().over(Window.partitionBy("parent_id").orderBy("pos", "url")))
-    sizes = once.groupBy("parent_id").count().withColumn("part", F.floor(F.col("parent_id") / PARENTS))
-    parts = sizes.groupBy("part").agg(F.sum("count").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    inner = F.coalesce(F.sum("count").over(Window.partitionBy("part").orderBy("parent_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = sizes.withColumn("inner", inner).join(parts, "part").select("parent_id", (F.col("inner") + F.col("n0")).alias("before"))
+    numbered = in_sequence(once, "node_id", "parent_id", "pos", "url", first=first_id)
     p = parents.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("parent_depth"), "domain")
-    return within.join(before, "parent_id").join(p, "parent_id").select((F.col("before") + F.col("k") - 1 + first_id).cast("long").alias("node_id"), "url", "parent_id", "domain", (F.col("parent_depth") + 1).cast("int").alias("depth"), "score", "priority")
+    return numbered.join(p, "parent_id").select("node_id", "url", "parent_id", "domain", (F.col("parent_depth") + 1).cast("int").alias("depth"), "score", "priority")
 
 
 def frontier(nodes: DataFrame, wave: int, order: str = "asc") -> DataFrame:

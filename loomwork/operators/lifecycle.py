@@ -11,17 +11,17 @@ FETCH_PENALTY, EMPTY_PENALTY = 2.0, 5.0
 BACKOFF_FIRST, BACKOFF_MAX = 1.0, 10.0
 
 
-def first_stop(events: DataFrame, max_nodes: int, max_depth: int, target: str | None, max_seconds: float) -> DataFrame:
+def first_stop(events: DataFrame, max_nodes: int, max_depth: int, target: str | None, max_seconds: float, idle: float | None = None) -> DataFrame:
     """events(seq, ts, type, depth, url) in order of seq -> the first event that ends the crawl, and why.
 
-    Running counts come from totals of ranges of seq and a running sum over those, so no task sees all events."""
+    ``idle`` seconds without an event, as a later event shows, end it at the event before the gap. Running counts come from totals of ranges of seq and a running sum over those, so no task sees all events."""
     width = 10_000
     df = events.withColumn("__b", F.floor(F.col("seq") / width))
     added = F.col("type") == "node_added"
-    sums = df.groupBy("__b").agg(F.count_if(added).alias("n"), F.max(F.when(added, F.col("depth"))).alias("d"))
+    sums = df.groupBy("__b").agg(F.count_if(added).alias("n"), F.max(F.when(added, F.col("depth"))).alias("d"), F.max("ts").alias("t"), F.max("seq").alias("s"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     start = df.agg(F.min_by("ts", "seq").alias("begun"))
-    sums = sums.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.max("d").over(before), F.lit(-1)).alias("d0"))
+    sums = sums.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.max("d").over(before), F.lit(-1)).alias("d0"), F.max("t").over(before).alias("t0"), F.max("s").over(before).alias("s0"))
     inner = Window.partitionBy("__b").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = df.join(sums, "__b").join(F.broadcast(start)).withColumns({"nodes": F.col("n0") + F.sum(F.when(added, 1).otherwise(0)).over(inner), "top_depth": F.greatest("d0", F.max(F.when(added, F.col("depth"))).over(inner))})
     elapsed = F.col("ts").cast("double") - F.col("begun").cast("double")
@@ -29,8 +29,14 @@ def first_stop(events: DataFrame, max_nodes: int, max_depth: int, target: str |
     if target is not None:
         why = why.when(added & F.contains("url", F.lit(target)), "TARGET_REACHED")
     why = why.when(elapsed >= max_seconds, "MAX_TIME")
+    run = run.withColumn("stop", F.col("seq"))
+    if idle is not None:
+        earlier = Window.partitionBy("__b").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        run = run.withColumns({"latest": F.greatest("t0", F.max("ts").over(earlier)), "last_seq": F.greatest("s0", F.max("seq").over(earlier))})
+        gap = F.col("ts").cast("double") - F.col("latest").cast("double") >= idle
+        why, run = F.when(gap, "NO_PROGRESS").otherwise(why), run.withColumn("stop", F.when(gap, F.col("last_seq")).otherwise(F.col("seq")))
     stops = run.withColumn("reason", why).where("reason is not null")
-    return stops.agg(F.min("seq").alias("stop_seq"), F.min_by("reason", "seq").alias("reason"), F.min_by("nodes", "seq").alias("nodes")).where("stop_seq is not null")
+    return stops.agg(F.min_by("stop", "seq").alias("stop_seq"), F.min_by("reason", "seq").alias("reason"), F.min_by("nodes", "seq").alias("nodes")).where("stop_seq is not null")
 
 
 def after_stop_dropped(events: DataFrame, stop: DataFrame) -> DataFrame:

@@ -20,9 +20,12 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "1 hour
     return events.withWatermark("ts", late).groupBy(by, "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Stateful dedup: the first event of each key."""
-    return events.dropDuplicates(keys)
+def first_seen(events: DataFrame, keys: list[str], late: str | None = None, time: str = "ts") -> DataFrame:
+    """Stateful dedup: the first event of each key. Without ``late`` all keys are kept for ever; with it, such as "1 day", a key
+    is kept until event time has gone on by that, and bounds the state, so that repeats are known if they come within it."""
+    if late is None:
+        return events.dropDuplicates(keys)
+    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

@@ -329,3 +329,62 @@ def test_waits_double():
     assert source.patient(call, waits.append) == "there" and waits == [1, 2, 4, 8, 15]
     with pytest.raises(ZeroDivisionError):
         source.patient(lambda: 1 / 0, waits.append, 2)
+
+
+# Stops and bounded dedup
+
+
+@pytest.mark.parametrize("idle", [None, 4.0, 9.0])
+def test_first_stop_against_plain_python(spark, idle):
+    from loomwork.operators import lifecycle
+
+    rng = random.Random(4)
+    for width in (1, 9000):
+        t, rows = 0.0, []
+        for k in range(40):
+            t += rng.choice([0.5, 1.0, 2.0, 5.0 if k > 12 else 1.0])
+            rows.append((k * width, t, rng.choice(["node_added", "other"]), rng.randrange(4), f"u{k}"))
+        df = spark.createDataFrame(rows, "seq long, t double, type string, depth int, url string").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+        for limits in ((15, 9, None, 1e9), (99, 9, "u3", 1e9), (99, 9, None, 20.0), (99, 3, None, 1e9)):
+            want, nodes, latest, last = None, 0, None, None
+            for seq, at, kind, depth, url in rows:
+                added = kind == "node_added"
+                nodes += added
+                if idle is not None and latest is not None and at - latest >= idle:
+                    want = (last, "NO_PROGRESS")
+                elif added and nodes >= limits[0]:
+                    want = (seq, "MAX_NODES")
+                elif added and depth >= limits[1]:
+                    want = (seq, "MAX_DEPTH")
+                elif added and limits[2] and limits[2] in url:
+                    want = (seq, "TARGET_REACHED")
+                elif at - rows[0][1] >= limits[3]:
+                    want = (seq, "MAX_TIME")
+                latest, last = at, seq
+                if want:
+                    break
+            got = [(r.stop_seq, r.reason) for r in lifecycle.first_stop(df, *limits, idle=idle).collect()]
+            assert got == ([want] if want else [])
+
+
+def test_first_seen_with_bounded_state(spark, tmp_path):
+    from loomwork.streaming import events as S
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k string, ts timestamp"
+    for rows in ([("a", 0), ("a", 10), ("b", 20)], [("a", 30), ("c", 9000)], [("c", 9010), ("d", 9020)]):
+        spark.createDataFrame(rows, "k string, t long").select("k", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.mode("append").parquet(source)
+        S.run_to(S.first_seen(spark.readStream.schema(schema).parquet(source), ["k"], "1 hour"), out, f"{out}-state")
+    assert sorted(r.k for r in spark.read.schema(schema).parquet(out).collect()) == ["a", "b", "c", "d"]
+
+
+def test_thresholds_in_order():
+    from loomwork.sources import blueprint
+    from test_functions import spec
+
+    given = spec()
+    given["scoring"]["params"] |= {"low_threshold": 0.4, "high_threshold": 0.7}
+    assert blueprint.translate(given)["scoring"]["params"]["low_threshold"] == 0.4
+    given["scoring"]["params"]["high_threshold"] = 0.4
+    with pytest.raises(blueprint.SpecError):
+        blueprint.translate(given)
