@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from loomwork.llm import decontaminate, pieces, pii, quality, simhash
-from loomwork.llm.common import materialise, table
+from loomwork.llm.common import discard, materialise, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -37,10 +37,13 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The rows of the last stage; each stage is written to the shared folder before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage is written to the shared folder before the next one reads it, and removed after that."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs)
-    return docs
+        out = stage(spark, docs, sf_dir)
+        if k == len(STAGES) - 1:
+            return out
+        docs = materialise(out)
+        if before is not None:
+            discard(before)
+        before = docs

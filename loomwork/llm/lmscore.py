@@ -13,8 +13,9 @@ tasks, grows with the corpus, and nothing of it reaches the driver. Words and pa
 and 48 bits of a hash, so they get longer with the corpus. A message holds keys as differences in order, and
 counts as one byte a key, with a list of those that don't fit.
 
-Null and empty texts have no words: their losses are null. Rows with equal doc_id are scored one by one;
-further columns are ignored. Without target documents the target knows no words and gives each the same loss.
+Null and empty texts have no words: their losses are null. Rows with equal doc_id are scored one by one, and
+rows of equal text are worked on once; a very long text takes memory for its distinct pairs, some nine times its bytes;
+an empty table gives an empty one; further columns are ignored. Without target documents the target knows no words and gives each the same loss.
 """
 
 from __future__ import annotations

@@ -4,7 +4,8 @@ Only DataFrame functions are used. A null text is an empty one; it has no spans.
 are treated one by one, further columns are ignored by find() and kept by redact(). The patterns are
 possessive and start at the beginning of a run, so their time is linear in the text's length; what they
 match is the leftmost, greedy match of the plain patterns. Matches are placed in chunks, so that a text with
-very many of them takes time in proportion too. Context words count before and after a span, as far as the
+very many of them takes time in proportion too. An account number takes as many groups as follow it, so one before a word in
+capitals is read with it and dropped, if the whole has no valid check digits. An empty table gives an empty one. Context words count before and after a span, as far as the
 next match of the same kind.
 """
 
