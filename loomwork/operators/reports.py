@@ -29,10 +29,11 @@ def state_histogram(states: DataFrame) -> DataFrame:
     return states.groupBy("state").agg(F.count("*").alias("n"))
 
 
-def drop_rate(decisions: DataFrame, by: str) -> DataFrame:
-    """decisions(by, decision) -> dropped, trusted and the share of dropped ones among both, for each value of by."""
+def drop_rate(decisions: DataFrame, by: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """decisions(by, decision) -> dropped, trusted and the share of dropped ones among both, for each value of by, and the
+    sums of further columns, such as numbers of accepted and rejected links."""
     dropped, trusted = F.count_if(F.col("decision") == "dropped"), F.count_if(F.col("decision") == "trusted")
-    return decisions.groupBy(by).agg(dropped.alias("dropped"), trusted.alias("trusted"), _rate(dropped, dropped + trusted).alias("rate"))
+    return decisions.groupBy(by).agg(dropped.alias("dropped"), trusted.alias("trusted"), _rate(dropped, dropped + trusted).alias("rate"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
 
 
 def candidates_by_parent(candidates: DataFrame, parent: str, order: str) -> DataFrame:

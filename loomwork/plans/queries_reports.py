@@ -61,8 +61,8 @@ def q_state_histogram(spark, sf_dir):
 
 def q_drop_rate(spark, sf_dir):
     o = t(spark, sf_dir, "orders")
-    decided = o.select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "dropped").when(F.col("o_orderstatus") == "O", "trusted").otherwise("llm").alias("decision"))
-    return reports.drop_rate(decided, "o_orderpriority").withColumn("rate", r6(F.col("rate")))
+    decided = o.select("o_orderpriority", F.when(F.col("o_orderstatus") == "F", "dropped").when(F.col("o_orderstatus") == "O", "trusted").otherwise("llm").alias("decision"), (F.col("o_custkey") % 10).alias("accepted"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 7).alias("rejected"))
+    return reports.drop_rate(decided, "o_orderpriority", ("accepted", "rejected")).withColumn("rate", r6(F.col("rate")))
 
 
 def q_candidates_by_parent(spark, sf_dir):
@@ -255,7 +255,7 @@ ORACLE_SQL = {
     "node_errors": "SELECT event_id AS seq, value FROM events WHERE user_id = 7 AND event_type = 'error'",
     "children": "SELECT c_custkey AS node_id, c_custkey // 2 AS parent_id FROM customer WHERE c_custkey // 2 = 33",
     "state_histogram": f"WITH {_E} SELECT state, count(*) AS n FROM (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id) GROUP BY state",
-    "drop_rate": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS dropped, count(*) FILTER (WHERE o_orderstatus = 'O') AS trusted, round(coalesce(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / nullif(count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 0), 0), 6) AS rate FROM orders GROUP BY 1",
+    "drop_rate": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS dropped, count(*) FILTER (WHERE o_orderstatus = 'O') AS trusted, round(coalesce(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / nullif(count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 0), 0), 6) AS rate, sum(o_custkey % 10)::BIGINT AS accepted, (sum(o_custkey % 7) FILTER (WHERE o_custkey % 3 > 0))::BIGINT AS rejected FROM orders GROUP BY 1",
     "candidates_by_parent": "SELECT l_orderkey AS parent_id, count(*) AS n, string_agg(printf('%d:%d', l_linenumber, l_partkey), '|' ORDER BY l_linenumber, l_partkey) AS candidates FROM lineitem GROUP BY 1",
     "max_abs_signal": "SELECT l_orderkey, greatest(0.001::DOUBLE, max(greatest(abs(l_discount - 0.05::DOUBLE), abs(l_tax)))) AS scale FROM lineitem GROUP BY 1",
     "retry_attempts": "SELECT user_id AS node_id, count(*) AS attempts, least(count(*), 3) AS retried FROM events WHERE event_type = 'error' GROUP BY 1",

@@ -13,6 +13,8 @@ from loomwork.plans.store import written
 from loomwork.plans.tables import r6, t
 
 QUERY, NODES = 20, 10
+#: Documents that are parents of links where features are asked for; the smallest table has as many.
+PARENTS = 200
 RADIUS = 0.65
 EPS = 0.62
 LOW, HIGH, NEAR = 0.675, 0.69, 0.35
@@ -111,7 +113,7 @@ def _links(spark, sf_dir):
     parents = basis.select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("parent")).join(docs, "node_id")
     topics = t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("anchor"))
     n = topics.agg(F.count("*").alias("n"))
-    return links.withColumn("node_id", _node()).join(parents, "node_id").join(F.broadcast(n)).join(topics, F.expr("vec_id % n = item_id")).select("vec_id", "node_id", "label", "embedding", "parent", "anchor", "parent_text")
+    return links.withColumn("node_id", F.floor(F.col("vec_id") / QUERY) % PARENTS).join(parents, "node_id").join(F.broadcast(n)).join(topics, F.expr("vec_id % n = item_id")).select("vec_id", "node_id", "label", "embedding", "parent", "anchor", "parent_text")
 
 
 def _features(spark, sf_dir):
@@ -181,7 +183,7 @@ _FEATS = f""", cen AS (SELECT label, list(x ORDER BY dim) AS e FROM (SELECT labe
   far AS (SELECT c.vec_id, min(1 - list_cosine_similarity(c.e, k.e)) AS cluster_distance FROM cand c, cen k GROUP BY c.vec_id),
   near AS (SELECT vec_id, coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0) AS target_similarity, avg(CASE WHEN 1 - s <= {RADIUS} THEN 1.0::DOUBLE ELSE 0 END) AS region_density, 1 - avg(s) FILTER (WHERE rank <= 5) AS novelty_injection FROM ranked GROUP BY vec_id),
   own AS (SELECT c.vec_id, c.label, list_cosine_similarity(c.e, b.e) AS s, list_distinct(regexp_extract_all(lower(t.text), '[\\p{{L}}\\p{{N}}_]+')) AS x, list_distinct(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}_]+')) AS y
-          FROM cand c JOIN basis b ON b.bid = c.vec_id // {QUERY} % {NODES} JOIN documents d ON d.doc_id = b.bid JOIN benchmark t ON t.item_id = c.vec_id % (SELECT count(*) FROM benchmark)),
+          FROM cand c JOIN basis b ON b.bid = c.vec_id // {QUERY} % {PARENTS} JOIN documents d ON d.doc_id = b.bid JOIN benchmark t ON t.item_id = c.vec_id % (SELECT count(*) FROM benchmark)),
   f AS (SELECT *, target_similarity * (1 - region_density) AS coverage_gap, 1 - s AS semantic_delta, greatest(0, s) AS contextual_consistency,
           CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END AS lexical_overlap FROM near JOIN far USING (vec_id) JOIN own USING (vec_id))"""
 _B = f", b AS (SELECT vec_id, vec_id // {QUERY} % {NODES} AS node_id, round(target_similarity, 6) AS nlp_score, CASE WHEN round(target_similarity, 6) < {LOW} THEN 'low' WHEN round(target_similarity, 6) > {HIGH} THEN 'high' ELSE 'mid' END AS bucket FROM (SELECT vec_id, coalesce(avg(s) FILTER (WHERE rank <= 2 AND s >= 0), 0) AS target_similarity FROM ranked GROUP BY vec_id))"
