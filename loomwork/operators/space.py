@@ -53,16 +53,27 @@ def _vectors(df: DataFrame, key: str, value: str) -> DataFrame:
 
 @dataclass
 class Cells:
-    """A space in a written table (k, v, cell), and what is broadcast of it: pivots, radius and size of each cell, and the sum of all unit vectors."""
+    """A space in a written table (k, v, cell), and what is broadcast of it: pivots, radius and size of each cell."""
 
     placed: DataFrame
     pivots: np.ndarray
     radius: np.ndarray
     sizes: np.ndarray
-    total: np.ndarray
 
-    def held(self):
-        return self.placed.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.sizes, self.total))
+    def total(self) -> np.ndarray:
+        """The sum of all unit vectors."""
+
+        def add(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    part = _unit(b.column("v")).sum(axis=0)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["dim", "x"])
+
+        sums = self.placed.select("v").mapInArrow(add, "dim long, x double").groupBy("dim").agg(F.sum("x").alias("x")).toArrow()  # a row for each dimension
+        return sums.sort_by("dim").column("x").to_numpy()
 
 
 def _placing(held):
@@ -85,26 +96,16 @@ def _placing(held):
 def cells(rows: DataFrame, pivots: int = PIVOTS) -> Cells:
     """The index of (k, v) rows. Pivots are the first by a hash of their key, about the root of the number of rows."""
     some = rows.where(F.exists("v", lambda x: x != 0))
-    n = some.count()
-    chosen = some.orderBy(F.xxhash64("k"), "k").limit(min(pivots, int(np.ceil(np.sqrt(n))))).toArrow()
-    unit = _unit(chosen.column("v")) if n else np.zeros((0, 0))
+    chosen = some.orderBy(F.xxhash64("k"), "k").limit(pivots).toArrow()
+    n = len(chosen) if len(chosen) < pivots else some.count()
+    unit = _unit(chosen.column("v").slice(0, int(np.ceil(np.sqrt(n))))) if n else np.zeros((0, 0))
     held = rows.sparkSession.sparkContext.broadcast(unit)
     placed = written(rows.mapInArrow(_placing(held), "k long, v array<double>, cell int, far double"))
     radius, sizes = np.zeros(len(unit) + 1), np.zeros(len(unit) + 1, np.int64)
     for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():  # a row for each pivot at most
         radius[r.cell], sizes[r.cell] = r.far, r.n
 
-    def add(batches):
-        total = None
-        for b in batches:
-            if b.num_rows:
-                part = _unit(b.column("v")).sum(axis=0)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["dim", "x"])
-
-    sums = placed.select("v").mapInArrow(add, "dim long, x double").groupBy("dim").agg(F.sum("x").alias("x")).orderBy("dim").toArrow()  # a row for each dimension
-    return Cells(placed, unit, radius, sizes, sums.column("x").to_numpy())
+    return Cells(placed, unit, radius, sizes)
 
 
 def _bounds(unit: np.ndarray, pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,12 +148,12 @@ def _best(sims: np.ndarray, keys: np.ndarray, k: int) -> tuple[list, list]:
 VISITED = "k long, within long, keys array<bigint>, sims array<double>"
 
 
-def _visit(visits: DataFrame, index: Cells, k: int, radius: float) -> DataFrame:
-    """visits(k, v, cell) -> VISITED, a row for each visit of a part of a cell."""
-    visits = written(visits)
+def _visit(visits: DataFrame, index: Cells, k: int, radius: float, few: bool) -> DataFrame:
+    """visits(k, v, cell) -> VISITED, a row for each visit of a part of a cell; few: no cell has more than SLOT visitors."""
+    visits = visits if few else written(visits)
     spark = visits.sparkSession
     schema = pa.schema([("k", pa.int64()), ("within", pa.int64()), ("keys", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
-    sent = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # a row for each pivot at most
+    sent = dict.fromkeys(np.flatnonzero(index.sizes).tolist(), 1) if few else {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}  # a row for each pivot at most
     shape = [(int(c), int(-(-index.sizes[c] // BLOCK)), int(-(-n // SLOT))) for c, n in sent.items()]
     parts = F.broadcast(spark.createDataFrame(shape, "cell int, n_parts int, n_slots int"))
     slot = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
@@ -179,16 +180,21 @@ def _merged(visited: DataFrame, k: int) -> DataFrame:
     """(k, within, best): visits of a candidate together; best has the k most similar as structs."""
     pairs = F.flatten(F.collect_list(F.arrays_zip("sims", "keys")))
     order = F.transform(F.sort_array(F.transform(pairs, lambda p: F.struct((-F.round(p["sims"], 12)).alias("minus"), p["keys"].alias("key"), p["sims"].alias("sim")))), lambda p: F.struct(p["key"].alias("key"), p["sim"].alias("sim")))
-    return visited.groupBy("k").agg(F.sum("within").alias("within"), F.slice(order, 1, k).alias("best"))
+    sums = [F.sum("similarity_sum").alias("similarity_sum")] if "similarity_sum" in visited.columns else []
+    return visited.groupBy("k").agg(F.sum("within").alias("within"), F.slice(order, 1, k).alias("best"), *sums)
 
 
-def search(candidates: DataFrame, index: Cells, k: int = TOP, radius: float | None = None) -> DataFrame:
-    """candidates(k, v) -> (k, v, within, best): the k most similar members, best first, and how many are no farther than radius.
+def search(candidates: DataFrame, index: Cells, k: int = TOP, radius: float | None = None, summed: bool = False) -> DataFrame:
+    """candidates(k, v) -> (k, within, best, similarity_sum): the k most similar members, best first, how many are no farther
+    than radius, and, if ``summed``, the sum of all similarities, which is the product with the sum of the space's unit vectors.
 
     The first cells give each candidate the similarity of its k-th best; the second visit goes to all cells whose bound
-    is below that, or that the radius cuts. Cells wholly within the radius are counted by their size."""
-    held, found_radius = index.held(), -1.0 if radius is None else radius
+    is below that, or that the radius cuts. Cells wholly within the radius are counted by their size. The candidates are
+    read three times, so they should be a table."""
+    found_radius = -1.0 if radius is None else radius
     limit = None if radius is None else float(_angle(np.array(1 - radius)))
+    held = candidates.sparkSession.sparkContext.broadcast((index.pivots, index.radius, index.sizes, index.total() if summed else np.zeros(0)))
+    few = candidates.count() <= SLOT
 
     def first(batches):
         pivots, far, sizes, _ = held.value
@@ -198,12 +204,11 @@ def search(candidates: DataFrame, index: Cells, k: int = TOP, radius: float | No
                 at, cell = np.nonzero(_first_cells(low, sizes, k))
                 yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32))], names=["k", "v", "cell"])
 
-    candidates = written(candidates)
-    near = written(_merged(_visit(candidates.mapInArrow(first, "k long, v array<double>, cell int"), index, k, found_radius), k))
+    near = written(_merged(_visit(candidates.mapInArrow(first, "k long, v array<double>, cell int"), index, k, found_radius, few), k))
     known = candidates.join(near.select(F.col("k").alias("of"), F.when(F.size("best") >= k, F.element_at("best", k)["sim"]).alias("kth")), F.col("k") == F.col("of"), "left").select("k", "v", "kth")
 
     def second(batches):
-        pivots, far, sizes, _ = held.value
+        pivots, far, sizes, total = held.value
         for b in batches:
             if not b.num_rows:
                 continue
@@ -220,16 +225,19 @@ def search(candidates: DataFrame, index: Cells, k: int = TOP, radius: float | No
                 whole = ((inside & ~go) * sizes).sum(axis=1)
             go &= low < 10
             at, cell = np.nonzero(go)
-            own = np.arange(len(unit))
-            # One row without a cell for each candidate: what it counts without a visit.
-            at, cell, add = np.concatenate((own, at)), np.concatenate((np.full(len(own), -1), cell)), np.concatenate((whole, np.zeros(len(at), np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cell.astype(np.int32)), pa.array(add)], names=["k", "v", "cell", "whole"])
+            own, none = np.arange(len(unit)), np.zeros(len(at))
+            # One row without a cell for each candidate: what it has without a visit.
+            sums = unit @ total if len(total) else np.zeros(len(unit))
+            at, cell = np.concatenate((own, at)), np.concatenate((np.full(len(own), -1), cell))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(take), b.column("v").take(take), pa.array(cell.astype(np.int32)), pa.array(np.concatenate((whole, none.astype(np.int64)))), pa.array(np.concatenate((sums, none)))], names=["k", "v", "cell", "whole", "total"])
 
-    routed = written(known.mapInArrow(second, "k long, v array<double>, cell int, whole long"))
-    counted = routed.where("cell < 0").select("k", F.col("whole").alias("within"), F.array().cast("array<bigint>").alias("keys"), F.array().cast("array<double>").alias("sims"))
-    before = near.select("k", "within", F.transform("best", lambda b: b["key"]).alias("keys"), F.transform("best", lambda b: b["sim"]).alias("sims"))
-    merged = _merged(_visit(routed.where("cell >= 0").select("k", "v", "cell"), index, k, found_radius).union(before).union(counted), k)
-    return candidates.join(merged, "k", "left").select("k", "v", F.coalesce("within", F.lit(0)).alias("within"), F.coalesce("best", F.array().cast("array<struct<key:bigint,sim:double>>")).alias("best"))
+    routed = written(known.mapInArrow(second, "k long, v array<double>, cell int, whole long, total double"))
+    lists = [F.array().cast("array<bigint>").alias("keys"), F.array().cast("array<double>").alias("sims")]
+    counted = routed.where("cell < 0").select("k", F.col("whole").alias("within"), *lists, F.col("total").alias("similarity_sum"))
+    none = F.lit(0.0).alias("similarity_sum")
+    before = near.select("k", "within", F.transform("best", lambda b: b["key"]).alias("keys"), F.transform("best", lambda b: b["sim"]).alias("sims"), none)
+    return _merged(_visit(routed.where("cell >= 0").select("k", "v", "cell"), index, k, found_radius, few).select("*", none).union(before).union(counted), k)
 
 
 def neighbours(candidates: DataFrame, space: DataFrame, key: str, space_key: str, value: str, k: int = TOP, threshold: float | None = 0.0, pivots: int = PIVOTS) -> DataFrame:
@@ -244,19 +252,9 @@ def space_stats(candidates: DataFrame, space: DataFrame, key: str, space_key: st
 
     The sum needs no pairs: it is the product with the sum of the space's unit vectors."""
     index = cells(_vectors(space, space_key, value), pivots)
-    held, n = index.held(), int(index.sizes.sum())
-    found = search(_vectors(candidates, key, value), index, TOP, radius)
-
-    def add(batches):
-        total = held.value[3]
-        for b in batches:
-            if b.num_rows:
-                sums = _unit(b.column("v")) @ total if len(total) else np.zeros(b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(sums), b.column("within"), b.column("top")], names=["k", "similarity_sum", "within", "top"])
-
-    rows = found.select("k", "v", "within", F.transform("best", lambda b: b["sim"]).alias("top"))
-    out = rows.mapInArrow(add, "k long, similarity_sum double, within long, top array<double>")
-    return out.select(F.col("k").alias(key), F.lit(n).cast("long").alias("n"), "similarity_sum", "within", "top")
+    found = search(_vectors(candidates, key, value), index, TOP, radius, summed=True)
+    n = F.lit(int(index.sizes.sum())).cast("long")
+    return found.select(F.col("k").alias(key), n.alias("n"), "similarity_sum", "within", F.transform("best", lambda b: b["sim"]).alias("top"))
 
 
 def _mean(values):
@@ -352,10 +350,10 @@ def dbscan(vectors: DataFrame, key: str, value: str, eps: float, min_samples: in
     once = written(rows.groupBy("v", lone.alias("lone")).agg(F.min("k").alias("k"), F.count("*").alias("n")))
     index = cells(once.select("k", "v"), pivots)
     reach = float(_angle(np.array(1 - eps))) + SLACK
-    held = index.held()
+    held = vectors.sparkSession.sparkContext.broadcast((index.pivots, index.radius, index.sizes))
 
     def copies(batches):
-        centres, radius, sizes, _ = held.value
+        centres, radius, sizes = held.value
         for b in batches:
             if b.num_rows:
                 low, _ = _bounds(_unit(b.column("v")), centres, radius, sizes)
@@ -417,13 +415,13 @@ def dbscan(vectors: DataFrame, key: str, value: str, eps: float, min_samples: in
         return pa.Table.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], from_pandas=True)], schema=linked)
 
     weight = once.select(F.col("k").alias("of"), "n")
-    placed = written(index.placed.join(weight, F.col("k") == F.col("of")).select("k", "v", "n", "cell"))
+    placed = written(index.placed.join(weight, F.col("k") == F.col("of")).select("k", "v", "n", F.lit(True).alias("core"), "cell"))
     if min_samples > 2:
-        others = paired(placed.withColumn("core", F.lit(True)), count, "k long, n long").groupBy(F.col("k").alias("of")).agg(F.sum("n").alias("others"))
+        others = paired(placed, count, "k long, n long").groupBy(F.col("k").alias("of")).agg(F.sum("n").alias("others"))
         flags = placed.join(others, F.col("k") == F.col("of"), "left").withColumn("core", F.col("n") + F.coalesce("others", F.lit(0)) >= min_samples)
+        flags = written(flags.select("k", "v", "n", "core", "cell"))
     else:
-        flags = placed.withColumn("core", F.lit(True))
-    flags = written(flags.select("k", "v", "n", "core", "cell"))
+        flags = placed
     found = written(paired(flags, link, "a long, b long, sim double"))
     labels = components(found.where("sim is null").select("a", "b"))
     # A core without another is a cluster of its own; without a first pass only one that stands for enough equals is a core.
@@ -432,7 +430,7 @@ def dbscan(vectors: DataFrame, key: str, value: str, eps: float, min_samples: in
     offers = found.where("sim is not null").groupBy("a").agg(F.min(F.struct((-F.round("sim", 12)).alias("minus"), F.col("b").alias("core"))).alias("best")).select("a", F.col("best.core").alias("to"))
     border = offers.join(cores, F.col("to") == F.col("k")).select(F.col("a"), "cluster")
     named = written(cores.where("cluster is not null").union(border))
-    discard(found, flags, placed, index.placed, labels)
+    discard(found, placed, index.placed, labels, *([flags] if flags is not placed else []))
     of_equals = once.select("v", "lone", F.col("k").alias("first")).join(named, F.col("first") == F.col("k")).select(F.col("v").alias("w"), "lone", "cluster")
     whole = written(rows.join(of_equals, (F.col("v") == F.col("w")) & lone.eqNullSafe(F.col("lone"))).select(F.col("k").alias("__k"), "cluster"))
     discard(rows, once, named)
