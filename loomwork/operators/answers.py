@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.scores import parsed_expansions, parsed_relevance, parsed_score
-from loomwork.operators.graph import in_sequence
+from loomwork.operators.graph import in_groups
 from loomwork.plans.store import written
 
 
@@ -85,10 +85,8 @@ def scoring_prompts(links: DataFrame, parent: str, blocks: list[tuple[str, Colum
 
     links: parent, pos, url, anchor, context. Sentences are the caller's. Numbers come from sorted ranges, so no task gathers
     all links of a node; links without a parent are a group of their own."""
-    rows = in_sequence(links.select(parent, "pos", "url", "anchor", "context"), "__n", parent, "pos", "url")
-    first = rows.groupBy(F.col(parent).alias("__p")).agg(F.min("__n").alias("__first"))
-    parts = rows.join(first, F.col(parent).eqNullSafe(F.col("__p"))).withColumn("part", F.floor((F.col("__n") - F.col("__first")) / size))
-    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
+    parts = in_groups(links.select(parent, "pos", "url", "anchor", "context"), [parent], "pos", "url").withColumn("part", F.floor(F.col("__place") / size))
+    items = F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("__place", F.struct("url", "anchor", "context").alias("l")))), lambda x: x.l))
     listed = parts.groupBy(parent, "part").agg(items.alias("__links"), F.count("*").alias("n_links"))
     return listed.select(parent, "part", "n_links", assembled([(head, F.col("__links") if body is LINKS else body) for head, body in blocks]).alias("prompt"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.graph import in_groups
+from loomwork.plans.store import written
+
 #: Shares of the low bucket and of the high bucket that a model sees, and of the latter at random.
 LOW_SHARE, HIGH_SHARE, RANDOM_SHARE = 0.01, 0.30, 0.30
 
@@ -25,17 +28,18 @@ def budgets(links: DataFrame, parent: str, low_share=LOW_SHARE, high_share=HIGH_
 def decisions(links: DataFrame, parent: str, key: str, seed: str, **shares) -> DataFrame:
     """links(parent, key, nlp_score, bucket) with decision: llm, trusted or dropped.
 
-    Random choices follow the md5 of seed and key, so that they can be repeated anywhere."""
+    Random choices follow the md5 of seed and key, so that they can be repeated anywhere. Ranks are places within sorted
+    ranges, so a node with a large share of all links isn't ranked by one task. Links in the middle, or without a bucket, need
+    no rank: the model sees them. The links are written first, since they are read three times."""
+    links = written(links)
     dice = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
     own = budgets(links, parent, **shares).withColumnRenamed(parent, "__parent")
     df = links.join(own, F.col(parent).eqNullSafe(F.col("__parent")))  # links without a parent are a group of their own
-    df = df.withColumn("by_chance", F.row_number().over(Window.partitionBy(parent, "bucket").orderBy(dice, key)))
-    picked = (F.col("bucket") == "high") & (F.col("by_chance") <= F.col("random_budget"))
-    df = df.withColumn("picked", picked)
-    df = df.withColumn("by_score", F.row_number().over(Window.partitionBy(parent, "bucket", "picked").orderBy(F.desc("nlp_score"), key)))
-    decision = (
-        F.when(F.col("bucket") == "mid", "llm")
-        .when(F.col("bucket") == "low", F.when(F.col("by_chance") <= F.col("low_budget"), "llm").otherwise("dropped"))
-        .otherwise(F.when(F.col("picked") | (F.col("by_score") <= F.col("top_budget")), "llm").otherwise("trusted"))
-    )
-    return df.select(*links.columns, decision.alias("decision"))
+    is_high = F.col("bucket") == "high"
+    by_chance = in_groups(df.where("bucket in ('low', 'high')"), [parent, "bucket"], dice, key).withColumnRenamed("__place", "by_chance").drop("__size")
+    picked = F.col("by_chance") < F.when(is_high, F.col("random_budget")).otherwise(F.col("low_budget"))
+    low = by_chance.where(~is_high).select(*links.columns, F.when(picked, "llm").otherwise("dropped").alias("decision"))
+    by_score = in_groups(by_chance.where(is_high).withColumn("__picked", picked), [parent, "__picked"], F.desc("nlp_score"), key)
+    high = by_score.select(*links.columns, F.when(F.col("__picked") | (F.col("__place") < F.col("top_budget")), "llm").otherwise("trusted").alias("decision"))
+    rest = links.where("bucket is null or bucket not in ('low', 'high')").withColumn("decision", F.lit("llm"))
+    return rest.union(low).union(high)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.plans.store import discard, kept, written
@@ -79,7 +81,7 @@ def neighbourhood(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return ancestors(nodes, ids).union(children).distinct()
 
 
-def in_sequence(rows: DataFrame, name: str, *order: str, first: int = 0) -> DataFrame:
+def in_sequence(rows: DataFrame, name: str, *order: str | Column, first: int = 0) -> DataFrame:
     """rows with a running number by order, from ``first``: places within sorted ranges, and a running sum over the ranges."""
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(sorted_rows.withColumn("__m", F.monotonically_increasing_id()))
@@ -89,6 +91,23 @@ def in_sequence(rows: DataFrame, name: str, *order: str, first: int = 0) -> Data
     return place.join(F.broadcast(sizes), "__p").select(*rows.columns, (F.col("__n") + F.col("__k") + first).cast("long").alias(name))
 
 
+def in_groups(rows: DataFrame, by: list[str], *order: str | Column) -> DataFrame:
+    """rows with __place, the place from 0 of each row in its group by order, and __size, the group's number of rows.
+
+    Places come from sorted ranges of all rows, so no task gathers a group; nulls in ``by`` are a group of their own."""
+    numbered = in_sequence(rows, "__n", *by, *order)
+    own = numbered.groupBy(*[F.col(c).alias(f"__by{k}") for k, c in enumerate(by)]).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    same = [F.col(c).eqNullSafe(F.col(f"__by{k}")) for k, c in enumerate(by)]
+    return numbered.join(own, same).select(*rows.columns, (F.col("__n") - F.col("__first")).alias("__place"), "__size")
+
+
+def range_width(rows: DataFrame, order: str, least: int = 10_000) -> int:
+    """How many numbers of ``order`` make a range: the root of what they span, so that the ranges, whose totals meet in
+    one task, and the rows of one range grow alike."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    return least if low is None else max(least, math.isqrt(int(high - low)) + 1)
+
+
 def seed_nodes(seeds: DataFrame, domains: DataFrame, first_priority: float = 0.01) -> DataFrame:
     """seeds(url, domain) joined to domains(base_url); seeds of unknown domains raise."""
     if not seeds.join(domains, seeds["domain"] == domains["base_url"], "left_anti").isEmpty():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.graph import range_width
+
 #: Attempts after which a fetch is given up, what a retry takes off the priority, bounds of the backoff.
 MAX_ATTEMPTS = 3
 FETCH_PENALTY, EMPTY_PENALTY = 2.0, 5.0
@@ -15,7 +17,7 @@ def first_stop(events: DataFrame, max_nodes: int, max_depth: int, target: str |
     """events(seq, ts, type, depth, url) in order of seq -> the first event that ends the crawl, and why.
 
     ``idle`` seconds without an event, as a later event shows, end it at the event before the gap. Running counts come from totals of ranges of seq and a running sum over those, so no task sees all events."""
-    width = 10_000
+    width = range_width(events, "seq")
     df = events.withColumn("__b", F.floor(F.col("seq") / width))
     added = F.col("type") == "node_added"
     sums = df.groupBy("__b").agg(F.count_if(added).alias("n"), F.max(F.when(added, F.col("depth"))).alias("d"), F.max("ts").alias("t"), F.max("seq").alias("s"))

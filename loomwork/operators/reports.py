@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.graph import in_groups, range_width
 from loomwork.operators.telemetry import STATES
 
 #: What a stage's buffer of ticks and a node's retries hold, the place of kinds that have none, and the
@@ -36,11 +37,18 @@ def drop_rate(decisions: DataFrame, by: str, sums: tuple[str, ...] = ()) -> Data
     return decisions.groupBy(by).agg(dropped.alias("dropped"), trusted.alias("trusted"), _rate(dropped, dropped + trusted).alias("rate"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums])
 
 
-def candidates_by_parent(candidates: DataFrame, parent: str, order: str) -> DataFrame:
-    """(parent, n, candidates): the candidates of each parent as a list in their order."""
+#: Candidates of one list; a parent with more gets several.
+LISTED = 1000
+
+
+def candidates_by_parent(candidates: DataFrame, parent: str, order: str, size: int = LISTED) -> DataFrame:
+    """(parent, part, n, candidates): the candidates of each parent in their order, ``size`` a list, and the number of all of them.
+
+    No task gathers all candidates of a parent; those without a parent are a group of their own."""
     rest = [c for c in candidates.columns if c not in (parent, order)]
-    listed = F.sort_array(F.collect_list(F.struct(order, *rest)))
-    return candidates.groupBy(parent).agg(F.count("*").alias("n"), listed.alias("candidates"))
+    parts = in_groups(candidates, [parent], order, *rest).withColumn("part", F.floor(F.col("__place") / size))
+    listed = F.sort_array(F.collect_list(F.struct("__place", F.struct(order, *rest).alias("c"))))
+    return parts.groupBy(parent, "part", F.col("__size").alias("n")).agg(F.transform(listed, lambda x: x.c).alias("candidates"))
 
 
 def signal_scale(signals: DataFrame, by: str, columns: list[str]) -> DataFrame:
@@ -91,10 +99,11 @@ def seen_by_model(decisions: DataFrame) -> DataFrame:
     return decisions.where("decision = 'llm'").withColumn("part", F.when(F.col("bucket") == "mid", "mid").otherwise(F.concat("bucket", F.lit("_sample"))))
 
 
-def running_depth(nodes: DataFrame, order: str = "seq", width: int = 10_000) -> DataFrame:
+def running_depth(nodes: DataFrame, order: str = "seq", width: int | None = None) -> DataFrame:
     """nodes(order, depth) with the number of nodes and the largest depth so far, by order.
 
-    Running values come from ranges of ``width`` numbers and a running sum over those, so no task sees all rows."""
+    Running values come from ranges of ``width`` numbers (range_width() without one) and a running sum over those, so no task sees all rows."""
+    width = width or range_width(nodes, order)
     df = nodes.withColumn("__b", F.floor(F.col(order) / width))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy("__b").agg(F.count("*").alias("n"), F.max("depth").alias("d"))

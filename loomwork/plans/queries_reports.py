@@ -67,7 +67,7 @@ def q_drop_rate(spark, sf_dir):
 
 def q_candidates_by_parent(spark, sf_dir):
     li = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("parent_id"), "l_linenumber", "l_partkey")
-    got = reports.candidates_by_parent(li, "parent_id", "l_linenumber")
+    got = reports.candidates_by_parent(li, "parent_id", "l_linenumber", 3)  # orders have seven lines at most
     return got.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.format_string("%d:%d", c.l_linenumber, c.l_partkey)), "|"))
 
 
@@ -256,7 +256,7 @@ ORACLE_SQL = {
     "children": "SELECT c_custkey AS node_id, c_custkey // 2 AS parent_id FROM customer WHERE c_custkey // 2 = 33",
     "state_histogram": f"WITH {_E} SELECT state, count(*) AS n FROM (SELECT node_id, max_by(state, seq) AS state FROM e GROUP BY node_id) GROUP BY state",
     "drop_rate": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS dropped, count(*) FILTER (WHERE o_orderstatus = 'O') AS trusted, round(coalesce(count(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / nullif(count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')), 0), 0), 6) AS rate, sum(o_custkey % 10)::BIGINT AS accepted, (sum(o_custkey % 7) FILTER (WHERE o_custkey % 3 > 0))::BIGINT AS rejected FROM orders GROUP BY 1",
-    "candidates_by_parent": "SELECT l_orderkey AS parent_id, count(*) AS n, string_agg(printf('%d:%d', l_linenumber, l_partkey), '|' ORDER BY l_linenumber, l_partkey) AS candidates FROM lineitem GROUP BY 1",
+    "candidates_by_parent": "SELECT l_orderkey AS parent_id, part, n, string_agg(printf('%d:%d', l_linenumber, l_partkey), '|' ORDER BY l_linenumber, l_partkey) AS candidates FROM (SELECT l_orderkey, l_linenumber, l_partkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1) // 3 AS part, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY 1, 2, 3",
     "max_abs_signal": "SELECT l_orderkey, greatest(0.001::DOUBLE, max(greatest(abs(l_discount - 0.05::DOUBLE), abs(l_tax)))) AS scale FROM lineitem GROUP BY 1",
     "retry_attempts": "SELECT user_id AS node_id, count(*) AS attempts, least(count(*), 3) AS retried FROM events WHERE event_type = 'error' GROUP BY 1",
     "buffer_stats": "SELECT user_id, count(*) AS added, least(count(*), 40) AS kept, greatest(count(*) - 40, 0) AS lost FROM events GROUP BY 1",

@@ -43,19 +43,20 @@ def run_to(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> N
 def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds: float, target: str | None = None, idle: float | None = None, late: str = "0 seconds") -> DataFrame:
     """events(crawl_id, seq, ts, type, depth, url) -> (crawl_id, stop_seq, reason), once for each crawl, with state.
 
-    A crawl's state is six numbers; events of one trigger are taken in order of seq. ``target`` ends a crawl with a
+    A crawl's state is five numbers; events of one trigger are taken in order of seq, as numbers of some 30 bytes each, so
+    what a trigger may bring (read_events' max_files) bounds a crawl's memory. ``target`` ends a crawl with a
     node whose url contains it. ``idle`` seconds without an event end it too: where a later event shows the gap, or
     else by a timer of event time, which needs ts not to lag by more than ``late``."""
     import pandas as pd
 
     columns = ["crawl_id", "stop_seq", "reason"]
 
-    def why(added, nodes, depth, url, elapsed):
+    def why(added, nodes, depth, hit, elapsed):
         if added and nodes >= max_nodes:
             return "MAX_NODES"
         if added and depth >= max_depth:
             return "MAX_DEPTH"
-        if added and target is not None and target in url:
+        if added and hit:
             return "TARGET_REACHED"
         return "MAX_TIME" if elapsed >= max_seconds else None
 
@@ -68,14 +69,13 @@ def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds:
                 yield pd.DataFrame([(key[0], last_seq, "NO_PROGRESS")], columns=columns)
             return
         rows = pd.concat(list(frames)).sort_values("seq")
-        for seq, sec, kind, depth, url in zip(rows["seq"], rows["sec"], rows["type"], rows["depth"], rows["url"], strict=True):
+        for seq, sec, added, depth, hit in zip(rows["seq"], rows["sec"], rows["added"], rows["depth"], rows["hit"], strict=True):
             reason, stop = None, int(seq)
             if idle is not None and latest >= 0 and sec - latest >= idle:
                 reason, stop = "NO_PROGRESS", last_seq
             begun = sec if begun < 0 else begun
-            added = kind == "node_added"
             nodes += added
-            reason = reason or why(added, nodes, depth, url, sec - begun)
+            reason = reason or why(added, nodes, depth, hit, sec - begun)
             latest, last_seq = max(latest, sec), int(seq)
             if reason and not done:
                 done, found = True, (key[0], stop, reason)
@@ -87,8 +87,9 @@ def stop_monitor(events: DataFrame, max_nodes: int, max_depth: int, max_seconds:
 
     if idle is not None:
         events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    url = F.coalesce("url", F.lit("")) if "url" in events.columns else F.lit("")
-    rows = events.select("crawl_id", "seq", "ts", F.col("ts").cast("timestamp").cast("double").alias("sec"), "type", F.coalesce("depth", F.lit(-1)).alias("depth"), url.alias("url"))
+    hit = F.coalesce(F.contains("url", F.lit(target)), F.lit(False)) if target is not None and "url" in events.columns else F.lit(False)
+    added = F.coalesce(F.col("type") == "node_added", F.lit(False))
+    rows = events.select("crawl_id", "seq", "ts", F.col("ts").cast("timestamp").cast("double").alias("sec"), added.alias("added"), F.coalesce("depth", F.lit(-1)).alias("depth"), hit.alias("hit"))
     kept = "nodes long, begun double, latest double, last_seq long, done boolean"
     return rows.groupBy("crawl_id").applyInPandasWithState(step, "crawl_id long, stop_seq long, reason string", kept, "append", "NoTimeout" if idle is None else "EventTimeTimeout")
 

@@ -244,6 +244,45 @@ def test_links_without_a_parent_are_decided(spark):
     assert sorted((r.key, r.decision) for r in got) == [(0, "llm"), (1, "llm"), (2, "llm"), (9, "dropped")]
 
 
+def test_decisions_of_a_hot_node_against_plain_python(spark):
+    import hashlib
+
+    from loomwork.operators import cascade
+
+    rows = [(7 if k % 3 else None, k, (k * 37 % 101) / 100, ("low", "mid", "high", None)[k * 7 % 4]) for k in range(600)] + [(1, 1000, None, "high"), (1, 1001, 0.5, "high")]
+    links = spark.createDataFrame(rows, "parent long, key long, nlp_score double, bucket string")
+    dice = lambda r: (hashlib.md5(f"s{r[1]}".encode()).hexdigest(), r[1])
+    want = {r[1]: "llm" for r in rows}
+    for parent in (None, 1, 7):
+        low, high = (sorted((r for r in rows if r[0] == parent and r[3] == b), key=dice) for b in ("low", "high"))
+        want |= {r[1]: "dropped" for r in low[int(len(low) * 0.2) :]}
+        n = int(len(high) * 0.5)
+        chance = int(n * 0.3)
+        left = sorted(high[chance:], key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        want |= {r[1]: "trusted" for r in left[n - chance :]}
+    got = cascade.decisions(links, "parent", "key", "s", low_share=0.2, high_share=0.5, random_share=0.3).collect()
+    assert {r.key: r.decision for r in got} == want and len(got) == len(rows)
+    assert cascade.decisions(links.limit(0), "parent", "key", "s").isEmpty()
+
+
+def test_candidates_in_parts(spark):
+    from loomwork.operators import reports
+
+    given = spark.createDataFrame([(p, k, f"u{k}") for p in (None, 1) for k in (2, 0, 1, 1)], "p long, pos long, url string")
+    got = reports.candidates_by_parent(given, "p", "pos", 3).collect()
+    assert sorted((r.p or 0, r.part, r.n, [c.pos for c in r.candidates]) for r in got) == [(p, *x) for p in (0, 1) for x in ((0, 4, [0, 1, 1]), (1, 4, [2]))]
+
+
+def test_ranges_are_as_wide_as_the_root_of_their_span(spark):
+    from loomwork.operators import graph, reports
+
+    assert graph.range_width(spark.range(100).selectExpr("id * 1000000000000L AS seq"), "seq") > 9_900_000
+    assert graph.range_width(spark.range(10), "id") == 10_000 == graph.range_width(spark.range(0), "id")
+    rows = spark.range(50).selectExpr("id * 1000003 AS seq", "id % 7 AS depth")
+    got = sorted(tuple(r) for r in reports.running_depth(rows).select("seq", "nodes", "top_depth").collect())
+    assert got == [(k * 1000003, k + 1, min(k, 6)) for k in range(50)]
+
+
 def test_prompts_of_many_links(spark):
     links = spark.createDataFrame([(p, k, f"u{k}", "a", "c") for p in (None, 1) for k in range(7)], "p long, pos long, url string, anchor string, context string")
     got = answers.scoring_prompts(links, "p", [("", "x"), ("L", answers.LINKS)], 3).collect()
