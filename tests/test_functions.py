@@ -288,3 +288,11 @@ def test_prompts_of_many_links(spark):
     got = answers.scoring_prompts(links, "p", [("", "x"), ("L", answers.LINKS)], 3).collect()
     assert sorted((r.p or 0, r.part, r.n_links) for r in got) == [(p, k, n) for p in (0, 1) for k, n in ((0, 3), (1, 3), (2, 1))]
     assert all(r.prompt.startswith("x\n\nL\n[{") for r in got)
+
+
+def test_named_references_end_with_a_semicolon():
+    page = html.parse('<a href="/x?a=1&copy=2&amp;b=3&lt">&lt;b&gt; &amp;&amp &copy &notit; &#38; Q&A</a><script>a && b &amp; c</script>')
+    link = html.select(page, "//a")[0]
+    assert link.attrs["href"] == "/x?a=1&copy=2&b=3&lt"
+    assert html.as_text(link) == "<b> &&amp &copy &notit; & Q&A"
+    assert html.as_text(html.select(page, "//script")[0]) == "a && b &amp; c"
