@@ -20,19 +20,25 @@ SENT, PAGES = 100_000, 2_000
 MOST_BUCKETS = 4096
 
 
+def one_each(pages: DataFrame) -> DataFrame:
+    """(url, html) of pages(url, html), a row for each url: the smallest of several texts, so that a fetch gives one page."""
+    return pages.where("url is not null").groupBy("url").agg(F.min("html").alias("html"))
+
+
 def from_table(frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """frontier(url) with html from pages(url, html); null is a failed fetch."""
-    return frontier.join(pages.select("url", "html"), "url", "left")
+    """frontier(url) with html from pages(url, html), a row for each of the frontier; null is a failed fetch."""
+    return frontier.join(one_each(pages), "url", "left")
 
 
 class PageTable:
     """pages(url, html) in buckets of their url's hash: a wave reads the buckets of its urls, and html is never shuffled
-    while the wave's urls are few enough to be sent to all tasks. Pages without a url are left out."""
+    while the wave's urls are few enough to be sent to all tasks. Pages without a url are left out,
+    of several with one url the smallest text is taken."""
 
     def __init__(self, pages: DataFrame, path: str, buckets: int | None = None):
         self.spark, self.path = pages.sparkSession, path
         self.buckets = buckets or min(MOST_BUCKETS, max(1, pages.count() // PAGES))
-        rows = pages.where("url is not null").select("url", "html", self._bucket().alias("bucket"))
+        rows = one_each(pages).select("url", "html", self._bucket().alias("bucket"))
         rows.repartition("bucket", F.pmod(F.xxhash64("html"), F.lit(8))).write.partitionBy("bucket").parquet(path)
         self.filled = {r.bucket for r in self.spark.read.schema("bucket int").parquet(path).select("bucket").distinct().collect()}
 

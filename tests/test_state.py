@@ -244,6 +244,14 @@ def test_pages_in_buckets(spark, tmp_path):
     assert len(table.of(front.where("k = 1")).inputFiles()) < 8
 
 
+def test_a_url_with_several_pages_gives_one(spark, tmp_path):
+    df = spark.createDataFrame([("a", "h2"), ("a", "h1"), ("a", None), ("b", None), (None, "x"), (None, "y")], "url string, html string")
+    front = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), ("c", 5)], "url string, k long")
+    want = [(1, "h1"), (2, "h1"), (3, None), (4, None), (5, None)]
+    assert sorted((r.k, r.html) for r in pages.from_table(front, df).collect()) == want
+    assert sorted((r.k, r.html) for r in pages.PageTable(df, str(tmp_path / "p"), 4).of(front).collect()) == want
+
+
 # The live view and lineage
 
 
