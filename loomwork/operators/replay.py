@@ -1,10 +1,11 @@
 """Replay of an event log by snapshots: the state at any event from one snapshot, one delta and a few events.
 
 Events are counted in ranges of ``every`` numbers, and ``per_full`` ranges make a stretch. write_replay() leaves three
-tables, each in folders that a seek names: the whole state before each stretch, for each range of a stretch the state
-gathered since the stretch began, and the events by stretch, sorted. seek() reads one folder of each and of the events
-fewer than ``every`` rows. Sizes: a whole state has a row for each key, so ``every`` times ``per_full`` should be many
-times the number of keys; a delta has at most as many rows as its stretch has events.
+tables, each in folders that a seek names: snapshots before stretches, for each range of a stretch the state gathered
+since the stretch began, and the events by stretch, sorted. A snapshot before stretch n holds what the stretches since
+n less its lowest bit bring, so the whole state before a stretch is in as many snapshots as its number has bits set.
+seek() reads those, one delta and of the events fewer than ``every`` rows. Sizes: an event is in as many snapshots as the
+number of stretches has bits at most, however many keys there are; a delta has at most as many rows as its stretch has events.
 """
 
 from __future__ import annotations
@@ -36,20 +37,29 @@ def write_replay(events: DataFrame, key: str, path: str, every: int = EVERY, per
     steps = F.explode(F.sequence("range", F.col("until") - 1)).alias("at")
     deltas.select(key, *STATE, "stretch", steps).repartition("stretch", "at").write.partitionBy("stretch", "at").parquet(f"{path}/deltas")
     last = rows.agg(F.coalesce(F.max(stretch), F.lit(-1)).alias("last"))
-    wholes = _gathered(_fold(rows, [stretch, key]).join(F.broadcast(last)), [key], "stretch", F.col("last") + 1)  # one row
-    steps = F.explode(F.sequence(F.col("stretch") + 1, F.col("until"))).alias("before")
-    wholes.select(key, *STATE, steps).repartition("before", key).write.partitionBy("before").parquet(f"{path}/wholes")
+    last.write.parquet(f"{path}/last")
+    end = int(last.sparkSession.read.parquet(f"{path}/last").first().last) + 1
+    # A stretch is part of one snapshot for each bit that its number hasn't set: of the stretches that differ from it below that bit.
+    snapshots = F.expr(f"filter(transform(filter(sequence(0, {end.bit_length()}), k -> getbit(stretch, k) = 0), k -> shiftleft(shiftright(stretch, k) + 1, k)), n -> n <= {end})")
+    parts = _fold(rows, [stretch, key]).select(key, *STATE, F.explode(snapshots).alias("before"))
+    sums = [F.max_by("state", "last_seq").alias("state"), F.max("last_seq").alias("last_seq"), F.sum("n_events").alias("n_events")]
+    parts.groupBy("before", key).agg(*sums).repartitionByRange("before", key).write.partitionBy("before").parquet(f"{path}/wholes")
 
 
 def seek(spark: SparkSession, path: str, key: str, seq: int, schema: str, every: int = EVERY, per_full: int = PER_FULL) -> DataFrame:
     """(key, state, last_seq, n_events) as of event number seq, with the sizes that write_replay() had; schema: key and state.
 
-    A number before the first event gives no rows, one beyond the last the state at the end of its stretch at most."""
+    A number before the first event gives no rows, one beyond the last the state at the end."""
     whole = max(seq + 1, 0) // every
     stretch = whole // per_full
+    before = min(stretch, spark.read.schema("last long").parquet(f"{path}/last").first().last + 1)
+    snapshots = []
+    while before:
+        snapshots.append(before)
+        before &= before - 1
     read = lambda table, more: spark.read.schema(f"{schema}, {more}").parquet(f"{path}/{table}")
     sums = "last_seq long, n_events long"
-    old = read("wholes", f"{sums}, before long").where(F.col("before") == stretch)
+    old = read("wholes", f"{sums}, before long").where(F.col("before").isin(snapshots))
     parts = [old.select(key, *STATE)]
     if whole % per_full:
         since = read("deltas", f"{sums}, stretch long, at long").where((F.col("stretch") == stretch) & (F.col("at") == whole - 1))

@@ -38,6 +38,17 @@ def test_replay_of_odd_events(spark, tmp_path):
     assert replay.seek(spark, path, "node_id", 40, "node_id long, state string", 5, 3).count() == 0
 
 
+def test_replay_grows_with_its_events_not_with_keys_times_snapshots(spark, tmp_path):
+    df = spark.range(6400).select(F.col("id").alias("seq"), F.shiftright("id", 1).alias("node_id"), (F.col("id") % 5).cast("string").alias("state"))
+    path = str(tmp_path / "replay")
+    replay.write_replay(df, "node_id", path, 20, 4)
+    # 80 stretches: an event is in 7 snapshots at most.
+    assert spark.read.parquet(f"{path}/wholes").count() <= 7 * 3200
+    for seq in (79, 559, 4000, 6399, 1_000_000):
+        got = replay.seek(spark, path, "node_id", seq, "node_id long, state string", 20, 4)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, telemetry.state_at(df, "node_id", seq).collect()))
+
+
 # Details of nodes
 
 
