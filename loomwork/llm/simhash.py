@@ -91,7 +91,8 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
     dense = not large.isEmpty()
     paired = index.join(large, ["s", "key"], "left_anti") if dense else index
     left, right = paired.select("s", "key", F.col("fp").alias("a")), paired.select("s", "key", F.col("fp").alias("b"))
-    tallied = left.join(right, ["s", "key"]).where(F.col("a") < F.col("b")).groupBy("a", "b").count()
+    # Spark takes an exploded index for a small table, and would send 28 rows for each fingerprint through the driver.
+    tallied = left.hint("merge").join(right.hint("merge"), ["s", "key"]).where(F.col("a") < F.col("b")).groupBy("a", "b").count()
     edges = tallied.where(F.col("count") >= MEETINGS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     if dense:
         free = [[b for b in range(64) if not (m >> b) & 1] for m in MASKS]
@@ -99,7 +100,7 @@ def links(fps: DataFrame, heavy: int = HEAVY) -> DataFrame:
         ball = fps.sparkSession.createDataFrame(deltas, "s int, delta long, steps int")
         points = index.join(large, ["s", "key"], "left_semi").join(F.broadcast(ball), "s").select("s", F.col("fp").bitwiseXOR(F.col("delta")).alias("point"), "fp", "steps")
         hubs = points.groupBy("s", "point").agg(F.min(F.when(F.col("steps") <= 1, F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("hub is not null and n > 1")
-        edges = edges.union(points.join(hubs, ["s", "point"]).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
+        edges = edges.union(points.hint("merge").join(hubs.hint("merge"), ["s", "point"]).where("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")))
     return edges
 
 

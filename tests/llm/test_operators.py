@@ -948,3 +948,12 @@ def test_rare_classes_are_sampled(spark):
     langs, p = language.train(df.select("doc_id", "lang", "text"), rows=20, rounds=1)
     assert langs == ["en", "ga"] and p[:, 1].max() > 2 * p[p[:, 1] > 0, 1].min()
     assert quality.train(df.select("doc_id", "text"), df.select("doc_id", "quality"), rows=20) is not None
+
+
+def test_simhash_index_is_not_sent_through_the_driver(spark):
+    """The exploded index looks small to Spark at any size, so its joins must not be broadcasts."""
+    fps = spark.range(600).select(F.col("id").alias("fp"))
+    for heavy in (10_000, 5):
+        plan = simhash.links(fps, heavy)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [s" in plan
+        assert not re.search(r"BroadcastHashJoin \[s#\d+, (key|point)#\w+\], \[[^]]*\], Inner", plan)
