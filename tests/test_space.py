@@ -1,6 +1,7 @@
 """The vector space's index and clusters against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,26 @@ def test_dbscan_equals_brute_force(spark, least):
     assert space.dbscan(df.where("false"), "k", "v", 0.1, least).count() == 0
 
 
+def test_dbscan_in_many_shares_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(space, "SHARE", (8, 16))
+    monkeypatch.setattr(space, "TILE", (5, 7))
+    rng = np.random.default_rng(6)
+    vectors = clustered(rng, 90)
+    keys, df = frame(spark, rng, vectors)
+    for eps, least in ((0.02, 2), (0.2, 4)):
+        want = brute_dbscan(keys, vectors, eps, least) | dict.fromkeys((5000, 5001, 5002), -1)
+        assert {r.k: r.cluster for r in space.dbscan(df, "k", "v", eps, least, pivots=12).collect()} == want
+
+
+def test_batches_are_cut_by_their_cells():
+    """Many cells take a copy of a vector each: what a task holds doesn't grow with their number."""
+    rng = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(rng.normal(size=(10_000, 2)).tolist())], names=["k", "v"])
+    for n in (1, 300, 100_000):
+        parts = list(space._cut([batch], n))
+        assert sum(p.num_rows for p in parts) == 10_000 and max(p.num_rows for p in parts) * n <= max(n, space.PAIRS)
+
+
 def test_small_spaces_have_no_centroids(spark):
     df = spark.createDataFrame([(0, [1.0]), (0, [3.0]), (1, [5.0])], "label long, v array<double>")
     assert {r.label: r.centroid for r in space.centroids(df, "label", "v").collect()} == {0: [2.0], 1: [5.0]}
