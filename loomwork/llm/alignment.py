@@ -34,6 +34,8 @@ BLOCK = 1 << 20
 JOINED = 24
 TOGETHER = 1 << 14
 CACHE = 360_000
+#: Rows of a row group of the blocks' table: Spark decodes a group at once, up to 4096 rows, and a block takes some 3 MB.
+ROWS = {"parquet.block.row.count.limit": 8}
 STATS = ("doc_id", "n_a", "n_b", "n_groups", "n_links")
 BLOCK_TYPES = {**{c: "array<bigint>" for c in STATS}, "groups_sha256": "array<string>", "codes": "array<int>", "counts": "array<bigint>", "sizes": "array<int>", "places": "array<int>", "times": "array<int>"}
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -318,7 +320,7 @@ def align(docs: DataFrame, a_file: str | None = None, b_file: str | None = None,
 
     files = default_files()
     a_file, b_file = a_file or files[0], b_file or files[1]
-    blocked = materialise(blocks(docs, a_file, b_file, size).withColumn("block", F.monotonically_increasing_id()))
+    blocked = materialise(blocks(docs, a_file, b_file, size).withColumn("block", F.monotonically_increasing_id()), **ROWS)
     base = sentencepiece.SentencePieceProcessor(model_file=b_file).vocab_size()
     sums = materialise(pair_counts(blocked, base))
     own = blocked.select(F.col("block").alias("of"), F.explode("codes").alias("code")).join(sums, "code")

@@ -18,12 +18,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomwork-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a new table; it survives lost executors.
+def written(df: DataFrame, **options) -> DataFrame:
+    """The same rows, read back from a new table; it survives lost executors. options are the writer's.
 
     discard() removes the table; what is behind a result that is still lazy goes when the session's machine ends."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _goes_at_exit(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_path = path

@@ -1,6 +1,7 @@
 """Spelling variants, document fingerprints and tokenizer alignment against brute force, and on odd inputs."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import random
@@ -8,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -214,6 +216,17 @@ def test_alignment_matches_brute_force(spark, docs, odd, aligner, monkeypatch):
     assert alignment.align(odd.where("false")).count() == 0
 
 
+def test_alignment_blocks_are_read_in_small_groups(spark, monkeypatch):
+    """Blocks are wide rows, and Spark decodes a row group at once: no group holds more than a few."""
+    tables = []
+    monkeypatch.setattr(alignment, "materialise", lambda df, keep=alignment.materialise, **o: tables.append(keep(df, **o)) or tables[-1])
+    texts = spark.range(100).selectExpr("id as doc_id", "concat('tide and harbour ', id) as text").coalesce(1)
+    assert alignment.align(texts, size=1).count() == 100
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{tables[0].written_path.removeprefix('file:')}/*.parquet")]
+    groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) <= 8
+
+
 def test_alignment_in_parts(aligner, monkeypatch):
     """A text is aligned alike whole and in parts."""
     text = " ".join(random.Random(6).choices(["tide", "harbour,", "café\n", "😀😀", "12.5", "日本語"], k=3000))
