@@ -64,6 +64,19 @@ def test_search_visits_few_cells(spark):
     assert visited.mean() < 0.2 * len(vectors)
 
 
+def test_search_copies_a_candidate_to_few_bundles(spark, monkeypatch):
+    """Where angles close nothing, a candidate is sent to bundles, not to each of the cells, and to none twice."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(2000, 32))
+    df = spark.createDataFrame(list(enumerate(m.tolist())), "k long, v array<double>")
+    sent = []
+    monkeypatch.setattr(space, "_visit", lambda visits, *a, visit=space._visit: sent.append(visits.groupBy("k").count().toArrow()) or visit(visits, *a))
+    got = {r.k: [b.key for b in r.best] for r in space.search(df.where("k % 20 = 0").select("k", "v"), space.cells(df)).collect()}
+    sims = unit(m) @ unit(m).T
+    assert got == {k: np.argsort(-sims[k])[:5].tolist() for k in range(0, 2000, 20)}
+    assert sum(sum(t.column("count").to_pylist()) for t in sent) <= 100 * (2000 // 512 + 2)
+
+
 def test_empty_spaces(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0])], "k long, v array<double>")
     none = df.where("false").withColumnRenamed("k", "other")
